@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgloom.llm import secrets
-from kgloom.llm.common import table
+from kgloom.llm import fingerprint, minhash, secrets
+from kgloom.llm.common import stored, table, text_or_empty
+
+
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,6 +19,27 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(secrets.findings(versions, secrets.scan_blobs(versions)))
 
 
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", text_or_empty().alias("text"))
+    made = docs.withColumn("digest", fingerprint.digest("text"))
+    clashes = stored(fingerprint.collided(docs, made.select("digest")), "clashes")
+    pairs = fingerprint.with_next(fingerprint.fingerprinted(made, clashes, "text", "digest", "fingerprint"), "doc_id", ["text", "fingerprint"])
+    size = F.length("text")
+    tail = F.floor(size / 4).cast("int")
+    edited = pairs.withColumn("edited", F.concat(F.substring("text", F.lit(1), size - tail), F.substring("next_text", F.lit(1), tail)))
+    # An edited text that falls on a clashing digest is told apart as the texts themselves are.
+    marked = fingerprint.fingerprinted(edited.withColumn("edited_digest", fingerprint.digest("edited")), clashes, "edited", "edited_digest", "edited_fingerprint")
+    return marked.select(
+        "doc_id",
+        size.cast("long").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        "fingerprint",
+        "edited_fingerprint",
+        (F.col("fingerprint") == F.col("edited_fingerprint")).cast("double").alias("near_edited"),
+        (F.col("fingerprint") == F.col("next_fingerprint")).cast("double").alias("near_next"),
+    )
+
+
 def _op9_sql() -> str:
     parts = []
     for order, rule in enumerate(secrets.BASE_RULES + secrets.EXTRA_RULES):
@@ -37,7 +63,9 @@ def _op9_sql() -> str:
 
 
 QUERIES = {
+    "op4_near_duplicates": op4_near_duplicates,
     "op9_secrets": op9_secrets,
+    "op10_fingerprints": op10_fingerprints,
 }
 ORACLE_SQL = {
     "op9_secrets": _op9_sql(),
