@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgloom.llm import fingerprint, minhash, secrets
-from kgloom.llm.common import stored, table, text_or_empty
+from kgloom.llm import fingerprint, langid, minhash, secrets
+from kgloom.llm.common import fold, stored, table, text_or_empty
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,6 +14,14 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
 
 
+def op5_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = fold(F.col("doc_id"), 3) == 1
+    network = langid.train(docs.where(~held_out).select("lang", "text"))
+    found = langid.predict(docs, network)
+    return found.select(F.col("id").alias("doc_id"), F.coalesce(fold(F.col("id"), 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     versions = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.lit(0).alias("version"), F.col("text").alias("content"))
     return secrets.secret_digest(secrets.findings(versions, secrets.scan_blobs(versions)))
@@ -64,6 +72,7 @@ def _op9_sql() -> str:
 
 QUERIES = {
     "op4_near_duplicates": op4_near_duplicates,
+    "op5_languages": op5_languages,
     "op9_secrets": op9_secrets,
     "op10_fingerprints": op10_fingerprints,
 }
