@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgloom.llm import fingerprint, langid, minhash, secrets
+from kgloom.llm import fingerprint, langid, minhash, secrets, toxicity
 from kgloom.llm.common import fold, stored, table, text_or_empty
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").where(fold(F.col("doc_id"), 4) != 2)
+    found = toxicity.score(docs, toxicity.train(docs, labels))
+    return found.select(F.col("id").alias("doc_id"), F.coalesce(fold(F.col("id"), 4) == 2, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = minhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
@@ -71,6 +78,7 @@ def _op9_sql() -> str:
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op4_near_duplicates": op4_near_duplicates,
     "op5_languages": op5_languages,
     "op9_secrets": op9_secrets,
