@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgloom.llm import fingerprint, langid, minhash, secrets, toxicity
+from kgloom.llm import fingerprint, langid, minhash, pii, secrets, toxicity
 from kgloom.llm.common import fold, stored, table, text_or_empty
 
 
@@ -29,6 +29,12 @@ def op5_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.coalesce(fold(F.col("id"), 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = pii.find(docs, pii.disclosing_terms(docs.select("text")))
+    return pii.digest(found).withColumnRenamed("id", "doc_id")
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     versions = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.lit(0).alias("version"), F.col("text").alias("content"))
     return secrets.secret_digest(secrets.findings(versions, secrets.scan_blobs(versions)))
@@ -81,6 +87,7 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op4_near_duplicates": op4_near_duplicates,
     "op5_languages": op5_languages,
+    "op8_personal_data": op8_personal_data,
     "op9_secrets": op9_secrets,
     "op10_fingerprints": op10_fingerprints,
 }
