@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgloom.llm import fingerprint, langid, minhash, pii, secrets, toxicity
+from kgloom.llm import ann, fingerprint, langid, minhash, pii, secrets, toxicity
 from kgloom.llm.common import fold, stored, table, text_or_empty
 
 
@@ -29,6 +29,10 @@ def op5_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.coalesce(fold(F.col("id"), 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = pii.find(docs, pii.disclosing_terms(docs.select("text")))
@@ -87,6 +91,7 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op4_near_duplicates": op4_near_duplicates,
     "op5_languages": op5_languages,
+    "op7_neighbours": op7_neighbours,
     "op8_personal_data": op8_personal_data,
     "op9_secrets": op9_secrets,
     "op10_fingerprints": op10_fingerprints,
