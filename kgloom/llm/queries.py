@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgloom.llm import ann, fingerprint, langid, minhash, pii, secrets, toxicity
+from kgloom.llm import ann, fingerprint, langid, minhash, mixing, pii, secrets, toxicity
+from kgloom.llm import sentencepiece_lattice as lattice
 from kgloom.llm.common import fold, stored, table, text_or_empty
 
 
@@ -16,6 +17,11 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.coalesce(fold(F.col("id"), 4) == 2, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lattice.encode(table(spark, sf_dir, "documents"), lattice.load_pieces(spark))
+    return found.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_pieces"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = minhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
@@ -29,6 +35,11 @@ def op5_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.coalesce(fold(F.col("id"), 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return mixed.select("row.doc_id", "row.source", "block", "slot", "release", "deadline")
+
+
 def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"))
 
@@ -89,8 +100,10 @@ def _op9_sql() -> str:
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op3_sentencepiece": op3_sentencepiece,
     "op4_near_duplicates": op4_near_duplicates,
     "op5_languages": op5_languages,
+    "op6_mixing": op6_mixing,
     "op7_neighbours": op7_neighbours,
     "op8_personal_data": op8_personal_data,
     "op9_secrets": op9_secrets,
