@@ -2,9 +2,9 @@
 
 Distinct vectors are grouped around centroids, which a sample of bounded size
 gives by splitting clusters in two until none is large (so that lists are
-balanced). A vector near a boundary goes into several lists: those whose
-centroid is at most ``BOUNDARY`` times as far as the nearest, unless a chosen
-centroid is nearer to that centroid than the vector is. A query walks a graph
+balanced). A vector near a boundary goes into several lists: those of the
+``REPLICAS`` nearest whose centroid is at most ``BOUNDARY`` times as far as the
+nearest. A query walks a graph
 of the centroids in memory, takes those within ``PRUNE`` times the nearest
 distance, and is compared with all of their vectors; a long list is split in
 chunks that are searched apart.
@@ -32,8 +32,8 @@ from kgloom.llm.common import stored
 
 #: Vectors that the index is fitted on, at most; members of a cluster of the sample, at most; rows of a chunk of a list, about.
 FIT_ROWS, FIT_CLUSTER, CHUNK = 20_000, 40, 4096
-DEGREE, WALK, REPLICAS, BOUNDARY = 24, 96, 6, 1.2
-LISTS, PRUNE = 64, 1.6
+DEGREE, WALK, REPLICAS, BOUNDARY = 24, 192, 4, 1.15
+LISTS, PRUNE = 160, 1.3
 
 
 @dataclass
@@ -74,17 +74,16 @@ class Index:
         found = sorted((-x, i) for x, i in best)
         return np.array([i for _, i in found]), np.array([x for x, _ in found])
 
-    def lists_of(self, vector: np.ndarray) -> list[int]:
-        """The clusters that hold a vector: the nearest, and others across whose boundary it lies."""
-        at, d = self.nearest(vector, 32)
-        chosen = [int(at[0])]
-        for i, x in zip(at[1:], d[1:], strict=True):
-            if len(chosen) == REPLICAS or x > BOUNDARY * d[0] + 1e-12:
-                break
-            apart = np.sqrt(((self.centroids[chosen] - self.centroids[i]) ** 2).sum(axis=1)).min()
-            if apart > x:
-                chosen.append(int(i))
-        return chosen
+    def lists_of(self, vectors: np.ndarray) -> list[np.ndarray]:
+        """The clusters that hold each vector: the nearest, and others across whose boundary it lies."""
+        out = []
+        for i in range(0, len(vectors), 1024):
+            x = vectors[i : i + 1024]
+            d = np.sqrt(np.maximum((x**2).sum(axis=1)[:, None] + (self.centroids**2).sum(axis=1)[None] - 2 * x @ self.centroids.T, 0))
+            at = np.argsort(d, axis=1, kind="stable")[:, :REPLICAS]
+            near = np.take_along_axis(d, at, axis=1)
+            out += [a[n <= BOUNDARY * n[0] + 1e-12] for a, n in zip(at, near, strict=True)]
+        return out
 
     def lists_for(self, query: np.ndarray) -> list[int]:
         """The clusters that a query is compared with."""
@@ -166,7 +165,7 @@ def search(rows: DataFrame, every: int = 100, k: int = 10, vec_id: str = "vec_id
 
     def post(batches):
         for batch in batches:
-            lists = [index.value.lists_of(x) for x in matrix(batch.column(1))]
+            lists = index.value.lists_of(matrix(batch.column(1)))
             at = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lists), pa.int64()), *(batch.column(i).take(pa.array(at)) for i in range(3))], names=["list", "key", "v", "ids"])
 
@@ -185,7 +184,7 @@ def search(rows: DataFrame, every: int = 100, k: int = 10, vec_id: str = "vec_id
 
     def compare(members: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if members.empty or queries.empty:
-            return pd.DataFrame({"query": [], "key": [], "ids": [], "score": []})
+            return pd.DataFrame(columns=["query", "key", "ids", "score"], dtype=object)
         x = np.array(members["v"].tolist())
         keys, ids = members["key"].tolist(), [list(i) for i in members["ids"]]
         first = np.array([i[0] for i in ids])
