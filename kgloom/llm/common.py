@@ -34,6 +34,3 @@ def fold(doc_id: Column, folds: int) -> Column:
     """The fold of a document: crc32 of its id as text."""
     return F.crc32(doc_id.cast("string").cast("binary")) % folds
 
-
-def text_or_empty(name: str = "text") -> Column:
-    return F.coalesce(F.col(name), F.lit(""))

@@ -12,12 +12,14 @@ are kept; other columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import hashlib
 import unicodedata
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+import zstandard
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,93 +36,145 @@ def canonical(text: str) -> str:
     return " ".join(folded.split())
 
 
-@F.pandas_udf(T.BinaryType())
-def canonical_bytes(text: pd.Series) -> pd.Series:
-    return pd.Series([canonical(t or "").encode() for t in text], dtype=object)
+def digest_of(plain: bytes) -> str:
+    return xxhash.xxh3_128_hexdigest(plain)
 
 
-@F.pandas_udf(T.StringType())
-def digest(text: pd.Series) -> pd.Series:
-    return pd.Series([xxhash.xxh3_128_hexdigest(canonical(t or "").encode()) for t in text], dtype=object)
+def second_of(plain: bytes) -> str:
+    return hashlib.sha256(plain).hexdigest()
 
 
-def repeated_filter(digests: DataFrame) -> list[int]:
+def texts(column: pa.Array):
+    """The texts of a column one by one, so that no batch is held as Python objects; null is empty."""
+    for x in column:
+        yield x.as_py() or ""
+
+
+def digests(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``digest`` of each row."""
+
+    def work(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([digest_of(canonical(t).encode()) for t in texts(batch.column(0))], pa.string())], names=["digest"])
+
+    return docs.select(text).mapInArrow(work, "digest string")
+
+
+def repeated_filter(found: DataFrame) -> np.ndarray:
     """A fixed number of bits, of which those are set that a digest seen more than once points at."""
-    place = F.pmod(F.xxhash64("digest"), F.lit(FILTER_BITS))
-    again = digests.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select(place.alias("at"))
+    place = F.pmod(F.conv(F.substring("digest", 1, 8), 16, 10).cast("long"), F.lit(FILTER_BITS))
+    again = found.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select(place.alias("at"))
     words = again.groupBy((F.col("at") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits")).collect()
-    out = [0] * (FILTER_BITS // 64)
+    out = np.zeros(FILTER_BITS // 64, np.int64)
     for row in words:
         out[row["word"]] = row["bits"]
     return out
 
 
-def collided(docs: DataFrame, digests: DataFrame, text: str = "text") -> DataFrame:
+def collided(docs: DataFrame, text: str = "text") -> DataFrame:
     """The digests that stand for more than one canonical text, found by comparing bytes.
 
-    Least and greatest canonical bytes of a digest are equal only if all are; each task keeps
-    two texts of a digest, so a text that a third of all rows share crosses the shuffle once a task.
+    Only texts whose digest may have been seen more than once are looked at again. Least and
+    greatest canonical bytes of a digest are equal only if all are; each task keeps two texts of a
+    digest, so a text that a third of all rows share crosses the shuffle once a task.
     """
-    spark = docs.sparkSession
-    bits = spark.sparkContext.broadcast(repeated_filter(digests))
+    bits = docs.sparkSession.sparkContext.broadcast(repeated_filter(digests(docs, text)))
 
-    @F.pandas_udf(T.BooleanType())
-    def maybe(place: pd.Series) -> pd.Series:
+    def work(batches):
         words = bits.value
-        return place.map(lambda p: bool(words[p >> 6] >> (p & 63) & 1))
+        for batch in batches:
+            names, plains = [], []
+            for t in texts(batch.column(0)):
+                plain = canonical(t).encode()
+                d = digest_of(plain)
+                at = int(d[:8], 16) % FILTER_BITS
+                if int(words[at >> 6]) >> (at & 63) & 1:
+                    names.append(d)
+                    plains.append(plain)
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(plains, pa.binary())], names=["digest", "plain"])
+
+    marked = docs.select(text).mapInArrow(work, "digest string, plain binary")
+    return marked.groupBy("digest").agg(F.min("plain").alias("least"), F.max("plain").alias("most")).where("least <> most").select("digest")
+
+
+def fingerprinted(frame: DataFrame, clashes: DataFrame, digest: str, second: str, name: str) -> DataFrame:
+    """``frame`` with a fingerprint: the digest, followed where it clashes by the second one. Without any clash this adds no join."""
+    if clashes.isEmpty():
+        return frame.withColumn(name, F.col(digest))
+    found = clashes.select(F.col("digest").alias(digest), F.lit(True).alias("clash"))
+    return frame.join(found, digest, "left").withColumn(name, F.when(F.col("clash"), F.concat_ws("-", digest, second)).otherwise(F.col(digest))).drop("clash")
 
-    marked = docs.select(F.col(text).alias("text"), digest(F.col(text)).alias("digest")).where(maybe(F.pmod(F.xxhash64("digest"), F.lit(FILTER_BITS))))
-    compared = marked.select("digest", canonical_bytes("text").alias("bytes")).groupBy("digest").agg(F.min("bytes").alias("least"), F.max("bytes").alias("most"))
-    return compared.where("least <> most").select("digest")
 
+def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``id`` and ``fingerprint`` of each row."""
+    clashes = stored(collided(docs, text), "clashes")
+    return fingerprinted(prepared(docs, np.zeros(0, np.int64), doc_id, text), clashes, "digest", "second", "fingerprint").select("id", "fingerprint")
 
-def extended(digest_of: Column, clash: Column, text: Column) -> Column:
-    """The digest, followed where it clashes by a second one of the canonical text."""
-    return F.when(clash, F.concat(digest_of, F.lit("-"), F.sha2(canonical_bytes(text), 256))).otherwise(digest_of)
 
+def range_ends(docs: DataFrame, doc_id: str = "doc_id") -> np.ndarray:
+    """Ends of ranges of ids that hold about as many rows each, four ranges to a partition of the input; they are all that reaches the driver."""
+    frame = docs.select(doc_id)
+    parts = 4 * frame.rdd.getNumPartitions()
+    ends = frame.agg(F.percentile_approx(doc_id, [k / parts for k in range(1, parts)], 100 * parts).alias("ends")).head()["ends"] if parts > 1 else None
+    return np.unique(np.array(ends or [], np.int64))
 
-def fingerprinted(frame: DataFrame, clashes: DataFrame, text: str, digest_of: str, name: str) -> DataFrame:
-    """``frame`` with the fingerprint of ``text`` as ``name``; without any clash this adds no join."""
-    if clashes.isEmpty():
-        return frame.withColumn(name, F.col(digest_of))
-    found = clashes.select(F.col("digest").alias(digest_of), F.lit(True).alias("clash"))
-    return frame.join(found, digest_of, "left").withColumn(name, extended(F.col(digest_of), F.col("clash"), F.col(text))).drop("clash")
 
+def prepared(docs: DataFrame, ends: np.ndarray, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``id``, ``part`` (the range of the id; null ids come first), ``packed`` (the text, compressed for a shuffle), ``digest``, ``second``."""
+    frame = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    schema = T.StructType([frame.schema["id"], T.StructField("part", T.IntegerType()), T.StructField("packed", T.BinaryType()), T.StructField("digest", T.StringType()), T.StructField("second", T.StringType())])
 
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``id`` and ``fingerprint`` of each row."""
-    made = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), digest(F.col(text)).alias("digest"))
-    clashes = stored(collided(docs, made.select("digest"), text), "clashes")
-    return fingerprinted(made, clashes, "text", "digest", "fingerprint").select("id", "fingerprint")
+    def work(batches):
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            ids = batch.column(0)
+            part = np.where(np.asarray(ids.is_null()), -1, np.searchsorted(ends, ids.fill_null(0).to_numpy(zero_copy_only=False), "left")) if len(ends) else np.where(np.asarray(ids.is_null()), -1, 0)
+            packed, first, second = [], [], []
+            for t in texts(batch.column(1)):
+                plain = canonical(t).encode()
+                packed.append(squeeze(t.encode()))
+                first.append(digest_of(plain))
+                second.append(second_of(plain))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(part, pa.int32()), pa.array(packed, pa.binary()), pa.array(first, pa.string()), pa.array(second, pa.string())], names=["id", "part", "packed", "digest", "second"])
+
+    return frame.mapInArrow(work, schema)
 
 
-def with_next(docs: DataFrame, doc_id: str, columns: list[str]) -> DataFrame:
-    """Each row with ``columns`` of the row that follows in ascending id (after the last: the first), as ``next_*``.
+def with_next(frame: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows with ``id``, ``part`` and ``columns``, and ``columns`` of the row that follows in ascending id (after the last: the first) as ``next_*``.
 
-    Rows are dealt to ranges of ids, of which there are four to a partition of the input; the
-    ends of the ranges are all that reaches the driver. Inside a range a window looks one row
-    ahead, and its last row takes the first row of the range that follows. Null ids come first;
-    equal ids follow in the order of ``columns``.
+    Inside a range a window looks one row ahead; its last row takes the first row of the range that
+    follows. Equal ids follow in the order of ``columns``.
     """
-    frame = docs.select(doc_id, *columns)
-    parts = 4 * frame.rdd.getNumPartitions()
-    ends = frame.agg(F.percentile_approx(doc_id, [k / parts for k in range(1, parts)], 100 * parts).alias("ends")).head()["ends"] if parts > 1 else None
-    ends = np.unique(np.array(ends or [], np.int64))
-
-    @F.pandas_udf(T.IntegerType())
-    def part_of(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.where(ids.isna(), -1, np.searchsorted(ends, ids.fillna(0).astype("int64"), "left")), dtype="int32")
-
-    dealt = frame.withColumn("part", part_of(F.col(doc_id)))
-    firsts = sorted(dealt.groupBy("part").agg(F.min(doc_id).alias("id")).collect(), key=lambda r: r["part"])
-    if not firsts:
-        return frame.select("*", *[F.col(c).alias(f"next_{c}") for c in columns])
-    heads = docs.sparkSession.createDataFrame([(firsts[k - 1]["part"], r["id"]) for k, r in enumerate(firsts)], f"part int, head {frame.schema[doc_id].dataType.simpleString()}")
-    first_rows = (
-        frame.join(F.broadcast(heads), F.col(doc_id).eqNullSafe(F.col("head")))  # a row for each range
-        .groupBy("part")
-        .agg(F.min(F.struct(*columns)).alias("head_row"))
-    )
-    here = Window.partitionBy("part").orderBy(F.col(doc_id).asc_nulls_first(), *columns)
-    ahead = dealt.withColumn("ahead", F.lead(F.struct(*columns)).over(here))
-    return ahead.join(first_rows, "part").select(doc_id, *columns, *[F.when(F.col("ahead").isNull(), F.col(f"head_row.{c}")).otherwise(F.col(f"ahead.{c}")).alias(f"next_{c}") for c in columns])
+    spark = frame.sparkSession
+    firsts = sorted(frame.groupBy("part").agg(F.min("id").alias("id")).collect(), key=lambda r: r["part"])
+    heads = spark.createDataFrame([(firsts[k - 1]["part"], r["id"]) for k, r in enumerate(firsts)], f"before int, head {frame.schema['id'].dataType.simpleString()}")
+    # A row for each range: the rows that stand first in one.
+    first_rows = frame.join(F.broadcast(heads), F.col("id").eqNullSafe(F.col("head"))).groupBy("before").agg(F.min(F.struct(*columns)).alias("head_row"))
+    here = Window.partitionBy("part").orderBy(F.col("id").asc_nulls_first(), *columns)
+    ahead = frame.withColumn("ahead", F.lead(F.struct(*columns)).over(here))
+    follows = [F.when(F.col("ahead").isNull(), F.col(f"head_row.{c}")).otherwise(F.col(f"ahead.{c}")).alias(f"next_{c}") for c in columns]
+    return ahead.join(first_rows, F.col("part") == F.col("before")).select("id", *columns, *follows)
+
+
+def edited(pairs: DataFrame, carried: list[str]) -> DataFrame:
+    """``id``, ``carried``, and of each text with its last quarter replaced by the first code points of the next: ``n_chars`` before, ``sha256``, ``digest``, ``second``."""
+    frame = pairs.select("id", *carried, "packed", "next_packed")
+    schema = T.StructType([*[frame.schema[c] for c in ("id", *carried)], T.StructField("n_chars", T.LongType()), *[T.StructField(c, T.StringType()) for c in ("sha256", "digest", "second")]])
+
+    def work(batches):
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            sizes, whole, first, second = [], [], [], []
+            for a, b in zip(batch.column("packed"), batch.column("next_packed"), strict=True):
+                t, u = unpack(a.as_py()).decode(), unpack(b.as_py()).decode()
+                tail = len(t) // 4
+                new = t[: len(t) - tail] + u[:tail]
+                plain = canonical(new).encode()
+                sizes.append(len(t))
+                whole.append(hashlib.sha256(new.encode()).hexdigest())
+                first.append(digest_of(plain))
+                second.append(second_of(plain))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", *carried)), pa.array(sizes, pa.int64()), *(pa.array(x, pa.string()) for x in (whole, first, second))], names=schema.names)
+
+    return frame.mapInArrow(work, schema)

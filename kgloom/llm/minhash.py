@@ -30,6 +30,8 @@ from kgloom.llm.common import stored
 
 WIDTH, PERCENT = 5, 75
 BINS, ROWS = 256, 5
+#: A shingle of at most so many members is rare.
+RARE = 16
 BANDS = BINS // ROWS
 
 _order = np.random.default_rng(20240229).integers(0, 1 << 62, (BINS, BINS))
@@ -104,13 +106,49 @@ def star_edges(members: DataFrame) -> DataFrame:
     return members.select("key", F.col("rep").alias("a")).join(centres, "key").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def cross_edges(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """``a``, ``b``: pairs of a bucket's members that are in different components."""
-    placed = members.select("key", "rep").join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    mixed = placed.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most")
-    left = placed.join(mixed.select("key"), "key")
-    right = left.select("key", F.col("rep").alias("b"), F.col("label").alias("label_b"))
-    return left.withColumnRenamed("rep", "a").join(right, "key").where("a < b AND label <> label_b").select("a", "b").distinct()
+def shareable(sets: DataFrame, labels: DataFrame, rare: int = RARE) -> tuple[DataFrame, DataFrame]:
+    """Facts of each member, and the posting lists of rare shingles.
+
+    ``rep``, ``label``, ``size``, ``shared`` (how many of its shingles occur in any other component) and ``common``
+    (how many of those are in more than ``rare`` members); and ``rep``, ``shingle`` of the other shared ones.
+    """
+    placed = sets.join(labels, "rep", "left").select("rep", F.coalesce("label", "rep").alias("label"), F.size("shingles").alias("size"), F.explode("shingles").alias("shingle"))
+    seen = placed.groupBy("shingle").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("n")).where("least <> most").select("shingle", "n")
+    met = placed.join(seen, "shingle")
+    counts = met.groupBy("rep").agg(F.any_value("label").alias("label"), F.any_value("size").alias("size"), F.count("*").alias("shared"), F.count_if(F.col("n") > rare).alias("common"))
+    return counts, met.where(F.col("n") <= rare).select("rep", "shingle")
+
+
+def cross_edges(members: DataFrame, facts: DataFrame, postings: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``a``, ``b``: pairs in different components that could be alike enough.
+
+    Alike sets x and y have at least percent / (100 + percent) * (|x| + |y|) shingles in common.
+    Either one of these is rare: then the pair meets in its short posting list. Or all are common
+    ones: then both have that many common shingles, and the pair is looked for in the buckets. Both
+    bounds are exact. They leave out the members of a group of copies that are too far from the
+    rest, of which there can be as many as copies.
+    """
+
+    def could(shared: str, size: str, other: str) -> str:
+        return f"{100 + percent} * {shared} >= {percent} * ({size} + {other})"
+
+    def pairs(rows: DataFrame, on: str, count: str, more: tuple[str, ...] = (), also: str = "true") -> DataFrame:
+        a = rows.select(on, F.col("rep").alias("a"), F.col("label").alias("label_a"), F.col("size").alias("size_a"), F.col(count).alias("count_a"), *map(F.col, more))
+        b = a.toDF(on, "b", "label_b", "size_b", "count_b", *[f"{c}_b" for c in more])
+        alike = f"100 * least(size_a, size_b) >= {percent} * greatest(size_a, size_b) AND {could('count_a', 'size_a', 'size_b')} AND {could('count_b', 'size_b', 'size_a')}"
+        return a.join(b, on).where(f"a < b AND label_a <> label_b AND {alike} AND {also}").select("a", "b")
+
+    def bound(count: str) -> str:
+        return could(count, "size", f"ceil({percent} * size / 100)")
+
+    rows = members.select("key", "rep").join(facts.where(bound("common")), "rep")
+    least = rows.groupBy("key").agg(F.min("size").alias("floor"), F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("key", "floor")
+    rows = rows.join(least, "key").where(could("common", "size", f"greatest(floor, ceil({percent} * size / 100))")).drop("floor")
+    mixed = rows.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("key")
+    rows = rows.join(mixed, "key")
+    # A pair counts in the first of the buckets that both are in, of which a member has one a band at most.
+    keyed = rows.join(rows.groupBy("rep").agg(F.array_sort(F.collect_list("key")).alias("keys")), "rep")
+    return pairs(keyed, "key", "common", ("keys",), "array_intersect(keys, keys_b)[0] = key").union(pairs(postings.join(facts.where(bound("shared")), "rep"), "shingle", "shared")).distinct()
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -157,7 +195,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     sets = stored(shingle_arrays(texts).dropDuplicates(["rep"]), "sets")
     links = stored(confirmed(like_sizes(stars, sizes), sets), "links")
     labels = components(links)
-    crossing = like_sizes(cross_edges(members, labels).join(stars, ["a", "b"], "left_anti"), sizes)
+    facts, postings = shareable(sets, labels)
+    crossing = cross_edges(members, stored(facts, "facts"), stored(postings, "postings")).join(stars, ["a", "b"], "left_anti")
     more = stored(confirmed(crossing, sets), "links")
     if not more.isEmpty():
         labels = components(reduce(DataFrame.union, (links, more)))

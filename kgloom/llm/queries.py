@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kgloom.llm import ann, fingerprint, langid, minhash, mixing, pii, secrets, toxicity
 from kgloom.llm import sentencepiece_lattice as lattice
-from kgloom.llm.common import fold, stored, table, text_or_empty
+from kgloom.llm.common import fold, stored, table
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,19 +56,15 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", text_or_empty().alias("text"))
-    made = docs.withColumn("digest", fingerprint.digest("text"))
-    clashes = stored(fingerprint.collided(docs, made.select("digest")), "clashes")
-    pairs = fingerprint.with_next(fingerprint.fingerprinted(made, clashes, "text", "digest", "fingerprint"), "doc_id", ["text", "fingerprint"])
-    size = F.length("text")
-    tail = F.floor(size / 4).cast("int")
-    edited = pairs.withColumn("edited", F.concat(F.substring("text", F.lit(1), size - tail), F.substring("next_text", F.lit(1), tail)))
-    # An edited text that falls on a clashing digest is told apart as the texts themselves are.
-    marked = fingerprint.fingerprinted(edited.withColumn("edited_digest", fingerprint.digest("edited")), clashes, "edited", "edited_digest", "edited_fingerprint")
-    return marked.select(
-        "doc_id",
-        size.cast("long").alias("n_chars"),
-        F.sha2("edited", 256).alias("edited_sha256"),
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    clashes = stored(fingerprint.collided(docs), "clashes")
+    rows = fingerprint.prepared(docs, fingerprint.range_ends(docs))
+    own = fingerprint.fingerprinted(rows, clashes, "digest", "second", "fingerprint").select("id", "part", "packed", "fingerprint")
+    new = fingerprint.edited(fingerprint.with_next(own, ["packed", "fingerprint"]), ["fingerprint", "next_fingerprint"])
+    return fingerprint.fingerprinted(new, clashes, "digest", "second", "edited_fingerprint").select(
+        F.col("id").alias("doc_id"),
+        "n_chars",
+        F.col("sha256").alias("edited_sha256"),
         "fingerprint",
         "edited_fingerprint",
         (F.col("fingerprint") == F.col("edited_fingerprint")).cast("double").alias("near_edited"),
