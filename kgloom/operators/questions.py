@@ -101,7 +101,7 @@ def assemble(questions: DataFrame, mentions: DataFrame, relations: DataFrame, cl
     fitting = placed.join(ends, "p", "left").withColumn("fits", F.expr("p = '' OR coalesce(if(dir = '+', from_type, to_type) = type, false)"))
     per_id = fitting.groupBy("qid", "start", "id").agg(F.max("fits").alias("fits"))
     ranked = per_id.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct((~F.col("fits")).alias("misfit"), "start", "id"))).alias("m"))
-    heads = ranked.select("qid", F.expr("if(m[0].misfit, null, m[0].id)").alias("anchor_id"), F.expr("element_at(filter(m, x -> x.id <> m[0].id), 1).id").alias("other"))
+    heads = ranked.select("qid", F.expr("if(m[0].misfit, null, m[0].id)").alias("anchor_id"), F.expr("get(filter(m, x -> x.id <> m[0].id), 0).id").alias("other"))
     known = {r["p"] for r in predicates.select("p").distinct().collect()}  # the vocabulary of predicates, which is small
     valid = F.forall(steps(F.col("path")), lambda x: x.p.isin(*known))
     out = questions.select("qid").join(classes, "qid", "left").join(heads, "qid", "left").join(relations.drop("phrase_norm"), "qid", "left")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kgloom.operators import build, manage, questions
+from kgloom.session import cut
 from kgloom.sources.tables import load_source
 
 EDGE_SPECS = {
@@ -168,5 +169,6 @@ class Trade:
 
     @cached_property
     def parsed(self) -> DataFrame:
+        """Logical forms of all questions, worked out once: every path shape starts from them."""
         mentions, relations, classes = self.understood(self.questions)
-        return questions.assemble(self.questions, mentions, relations, classes, self.predicates, self.nodes)
+        return cut(questions.assemble(self.questions, mentions, relations, classes, self.predicates, self.nodes))
