@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgloom.llm import ann, fingerprint, langid, minhash, mixing, pii, secrets, toxicity
+from kgloom.llm import ann, fingerprint, langid, minhash, mixing, pii, secrets, suffix_dedup, toxicity
 from kgloom.llm import sentencepiece_lattice as lattice
 from kgloom.llm.common import fold, stored, table
 
@@ -17,6 +17,11 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.coalesce(fold(F.col("id"), 4) == 2, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op2_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.deduplicated(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lattice.encode(table(spark, sf_dir, "documents"), lattice.load_pieces(spark))
     return found.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_pieces"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -96,6 +101,7 @@ def _op9_sql() -> str:
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_repeated_strings": op2_repeated_strings,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_near_duplicates": op4_near_duplicates,
     "op5_languages": op5_languages,
