@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,9 +18,12 @@ def session(name: str = "kgloom", master: str | None = None, **conf: str) -> Spa
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Ends the lineage of a round of a fixpoint in the checkpoint folder that all executors share."""
+    """Ends the lineage of a round of a fixpoint: a table written once to the checkpoint folder that all executors share."""
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kgloom-"))
-    return df.checkpoint()
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="kgloom-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    path = f"{folder}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
