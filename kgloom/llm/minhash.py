@@ -16,8 +16,6 @@ class; other columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -198,7 +196,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     facts, postings = shareable(sets, labels)
     crossing = cross_edges(members, stored(facts, "facts"), stored(postings, "postings")).join(stars, ["a", "b"], "left_anti")
     more = stored(confirmed(crossing, sets), "links")
-    if not more.isEmpty():
-        labels = components(reduce(DataFrame.union, (links, more)))
-    found = sketch.where("n_shingles > 0").groupBy("set_key").agg(F.min("id").alias("rep")).join(labels, "rep", "left").select("set_key", F.coalesce("label", "rep").alias("component_id"))
+    named = sketch.where("n_shingles > 0").groupBy("set_key").agg(F.min("id").alias("rep")).join(labels, "rep", "left").select("set_key", F.coalesce("label", "rep").alias("label"))
+    if more.isEmpty():
+        found = named.withColumnRenamed("label", "component_id")
+    else:
+        # Few links are left: they join components, whose labels take the place of ids.
+        ends = more.join(labels.toDF("a", "label_a"), "a", "left").join(labels.toDF("b", "label_b"), "b", "left")
+        tops = components(ends.select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b")).distinct()).toDF("label", "top")
+        found = named.join(tops, "label", "left").select("set_key", F.coalesce("top", "label").alias("component_id"))
     return sketch.join(found, "set_key", "left").select("id", "n_shingles", F.coalesce("component_id", "id").alias("component_id"))

@@ -16,7 +16,8 @@ texts and distinct words and nothing for every token.
 A stretch without any cut of more than ``LONG`` characters, for which the fold's
 state would be copied too often, is folded in Python by the same rule.
 
-Cases: null and empty texts have no pieces; repeated rows and ids are kept;
+Cases: null and empty texts have no pieces; U+2581 in a text is a blank to the
+model, and comes back as one; repeated rows and ids are kept;
 other columns are ignored; an empty table gives an empty result.
 """
 
@@ -34,7 +35,7 @@ from pyspark.sql import types as T
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-LONG, BLOCK_CHARS, SAMPLE_DOCS, SAMPLE_WORD = 400, 8_000_000, 4000, 40
+LONG, BLOCK_CHARS, SAMPLE_DOCS, SAMPLE_SEEN, SAMPLE_WORD = 400, 2_000_000, 10_000, 3, 40
 #: The library's penalty of an unknown character below the least score.
 UNKNOWN_PENALTY = 10.0
 
@@ -153,7 +154,7 @@ def lengths(docs: DataFrame, text: str) -> int:
 
 
 def sample_encoding(docs: DataFrame, pieces: Pieces, text: str) -> dict[str, list[int]]:
-    """The words that at least two documents of a sample hold, encoded: at most those of SAMPLE_DOCS documents, and none above SAMPLE_WORD characters.
+    """The words that at least SAMPLE_SEEN documents of a sample hold, encoded: at most those of SAMPLE_DOCS documents, and none above SAMPLE_WORD characters.
 
     It only saves work: a word that it lacks is encoded beside its documents.
     """
@@ -165,7 +166,7 @@ def sample_encoding(docs: DataFrame, pieces: Pieces, text: str) -> dict[str, lis
             found = [sorted({w for w in words_of(t.as_py() or "", pieces) if len(w) <= SAMPLE_WORD}) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array([w for ws in found for w in ws], pa.string())], names=["word"])
 
-    words = chosen.mapInArrow(work, "word string").groupBy("word").agg(F.count("*").alias("n")).where("n > 1").select("word")
+    words = chosen.mapInArrow(work, "word string").groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= SAMPLE_SEEN).select("word")
     rows = encode_words(words, [], pieces).toPandas()
     return {w: settled(w, ids, pieces) for w, ids in zip(rows["word"], rows["ids"], strict=True)}
 
