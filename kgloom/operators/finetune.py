@@ -67,8 +67,10 @@ def near_duplicates(df: DataFrame, threshold: float, key: str = "doc_id", col: s
 
 def decontaminate(df: DataFrame, heldout: DataFrame, n: int = 8, key: str = "doc_id", col: str = "text") -> DataFrame:
     """The rows that share no run of n words with the held-out texts; shorter texts stay."""
-    held = heldout.select(F.explode(grams(tokens(F.col("text")), n)).alias("g")).distinct()
-    mine = df.select(key, F.explode(F.array_distinct(grams(tokens(F.col(col)), n))).alias("g"))
+    # Words become a column of their own first: inside the n-grams they would be found anew for every one.
+    held = heldout.select(tokens(F.col("text")).alias("w")).where(F.size("w") >= n).select(F.explode(grams(F.col("w"), n)).alias("g")).distinct()
+    words = df.select(key, tokens(F.col(col)).alias("w")).where(F.size("w") >= n)
+    mine = words.select(key, F.explode(F.array_distinct(grams(F.col("w"), n))).alias("g"))
     hit = mine.join(held, "g", "left_semi").select(key).distinct()
     return df.join(hit, key, "left_anti")
 

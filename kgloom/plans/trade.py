@@ -162,8 +162,9 @@ class Trade:
 
     def understood(self, asked: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         """Mentions with ids, relations and classes of questions."""
-        relations = questions.link_relations(asked, self.lexicon)
-        found = questions.find_mentions(asked, self.aliases)
+        # Both are read several times below.
+        relations = cut(questions.link_relations(asked, self.lexicon))
+        found = cut(questions.find_mentions(asked, self.aliases))
         mentions = questions.disambiguate(found, self.aliases, relations, self.predicates, self.nodes, self.degrees)
         return mentions, relations, questions.classify(asked, self.cues)
 
