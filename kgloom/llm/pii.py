@@ -171,8 +171,8 @@ def term_documents(docs: DataFrame, terms: DataFrame) -> DataFrame:
                     term.extend(mine)
             yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(term, pa.int64())], names=["doc", "term"])
 
-    seen = docs.select("text").mapInArrow(work, "doc long, term long").distinct()
-    return seen.join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
+    seen = docs.select("text").mapInArrow(work, "doc long, term long").distinct().groupBy("term").agg(F.count("*").alias("n_t"))
+    return seen.join(terms, "term", "left_semi")
 
 
 def disclosing_terms(docs: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
@@ -181,19 +181,20 @@ def disclosing_terms(docs: DataFrame, support: int = SUPPORT, disclosure: float
     Only entities of ``support`` texts can have any.
     """
     near = stored(near_terms(docs), "near-terms")
+    whole = docs.select(F.xxhash64("text").alias("h")).distinct().count()
+    if not whole:
+        return near.select("entity", F.lit(0).cast("long").alias("term")).limit(0)
     entities = near.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= support)
-    pairs = stored(
-        near.join(entities.select("entity"), "entity", "left_semi").select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= support),
-        "pairs",
-    )
+    # A pair discloses if its term is in at most n_et * (all / n_e) ^ (1 - disclosure) texts; one that stands
+    # near entities of any kind in more texts than that is out before its texts are counted.
+    spread = near.select("doc", F.explode("terms").alias("term")).distinct().groupBy("term").agg(F.count("*").alias("n_near"))
+    met = near.join(entities, "entity").select("entity", "n_e", F.explode("terms").alias("term")).groupBy("entity", "n_e", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= support)
+    most = F.col("n_et") * F.pow(F.lit(float(whole)) / F.col("n_e"), F.lit(1 - disclosure))
+    pairs = stored(met.where(F.col("n_e") < whole).join(spread, "term").withColumn("most", most).where("n_near <= most * 1.000001").select("entity", "term", "most"), "pairs")
     if pairs.isEmpty():
         return pairs.select("entity", "term")
     terms = stored(pairs.select("term").distinct(), "terms")
-    whole = docs.select(F.xxhash64("text").alias("h")).distinct().count()
-    counted = pairs.join(entities, "entity").join(term_documents(docs, terms), "term")
-    pmi = F.log(F.lit(float(whole)) * F.col("n_et") / (F.col("n_e") * F.col("n_t")))
-    information = F.log(F.lit(float(whole)) / F.col("n_e"))
-    return counted.where((information > 0) & (pmi >= disclosure * information)).select("entity", "term")
+    return pairs.join(term_documents(docs, terms), "term").where("n_t <= most * 1.000001").select("entity", "term")
 
 
 def find(docs: DataFrame, disclosing: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
