@@ -229,7 +229,7 @@ def segments(docs: DataFrame, length: int, anchor: int) -> DataFrame:
 
     def work(batches):
         for batch in batches:
-            for first, offsets, data in slices(batch.column("text")):
+            for first, offsets, data in slices(batch.column("text"), 1 << 19):
                 text, anchors, start, n = segments_of(offsets, data, length, anchor)
                 view = memoryview(data)
                 segs = [xxhash.xxh3_128_digest(view[a : a + k + length - 1]) for a, k in zip(start.tolist(), n.tolist(), strict=True)]
