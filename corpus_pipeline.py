@@ -41,8 +41,17 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document with its pieces: ``doc_id``, ``n_pieces``, ``ids``."""
-    return lattice.encode(docs, lattice.load_pieces(spark)).select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_pieces"), "ids")
+    """Each document with its place in the mixture and its pieces: ``doc_id``, ``slot``, ``n_pieces``, ``ids``.
+
+    Files do not keep the order of rows, so the schedule of the mixing stage travels as ``slot``. It is worked
+    out from the documents alone and so is the same here as there; only keys and slots are joined, no texts.
+    """
+    key = mixing.document_key("doc_id", "source", "text")
+    slots = mixing.mix(docs).select(F.col("row.doc_id").alias("slot_id"), mixing.document_key("row.doc_id", "row.source", "row.text").alias("slot_key"), "slot").distinct()
+    rows = docs.select(F.struct("doc_id", key.alias("key")).alias("doc"), "text")
+    pieces = lattice.encode(rows, lattice.load_pieces(spark), "doc").select(F.col("id.doc_id").alias("doc_id"), F.col("id.key").alias("key"), F.size("ids").cast("long").alias("n_pieces"), "ids")
+    placed = pieces.join(slots, (F.col("key") == F.col("slot_key")) & F.col("doc_id").eqNullSafe(F.col("slot_id")))
+    return placed.select("doc_id", "slot", "n_pieces", "ids")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

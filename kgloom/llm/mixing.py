@@ -61,6 +61,11 @@ def _source(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def document_key(doc_id: str, source: str, text: str) -> Column:
+    """A hash of source, id and text: rows that share all three share a slot."""
+    return F.xxhash64(_source(source), F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.coalesce(F.col(text), F.lit("")))
+
+
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_chars: int = BLOCK_CHARS, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """``row`` (the whole row of ``docs``), ``block``, ``slot``, ``release``, ``deadline``.
 

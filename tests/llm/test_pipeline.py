@@ -1,6 +1,7 @@
 """The pipeline's stages on a small table."""
 
 import corpus_pipeline
+from kgloom.llm import mixing
 
 
 def test_stages_keep_the_columns(spark, tmp_path):
@@ -23,3 +24,26 @@ def test_stages_keep_the_columns(spark, tmp_path):
             cleaned = at.where("doc_id = 13").head()
             assert cleaned["text"] == "mail <EMAIL> now please" and cleaned["n_chars"] == len(cleaned["text"])
     assert seen == [14, 13, 13, 13, 13]
+
+
+def test_the_schedule_reaches_the_last_stage(spark):
+    """A bad order of rows on reading changes nothing: slots are those of a schedule played slot by slot."""
+    texts = {i: "w" * (i * 977 % 4001) + " end" for i in range(300)}
+    rows = [(i, t, "en", "ab"[i % 5 == 0], len(t)) for i, t in texts.items()] + [(None, "no id", "en", None, 5)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame(rows, schema)
+    block = {(r["row"]["source"], r["row"]["doc_id"]): r["block"] for r in mixing.mix(docs).collect()}
+    sizes = {}
+    for _, t, _, s, _ in rows:
+        sizes[s or ""] = sizes.get(s or "", 0) + len(t)
+    share = mixing.shares({s: float(n) ** mixing.EXPONENT for s, n in sizes.items()})
+    period, slot_of, done = sum(share.values()), {}, dict.fromkeys(share, 0)
+    for t in range(2 * period):
+        due, s = min((-(-(n + 1) * period // share[s]), s) for s, n in done.items() if n * period // share[s] <= t)
+        slot_of[s, done[s]] = t
+        done[s] += 1
+    want = {i: slot_of[s or "", block[s, i]] for i, _, _, s, _ in rows}
+    assert len(set(want.values())) > 5
+    moved = spark.createDataFrame(rows[::-1], schema)
+    got = corpus_pipeline.STAGES[-1][1](spark, moved, "").collect()
+    assert len(got) == len(rows) and {r["doc_id"]: r["slot"] for r in got} == want and all(r["n_pieces"] == len(r["ids"]) for r in got)
