@@ -1,10 +1,13 @@
 """Mixing of sources to target weights by proportionate-fair (Pfair) scheduling.
 
-A source's documents fall into blocks of about ``block_chars`` characters by the
-hash of their id. Time is counted in slots of one block. With weight w, block i
+A source's documents stand one after another in the order of a hash, and every ``block_chars``
+characters of that row are a block; a document belongs to the block in which it
+starts and fills as many blocks as it reaches into (``n_blocks``). The running sum of characters
+is taken inside ranges of hashes, whose sums are added up beforehand. Time is counted in slots of one block. With weight w, block i
 of a source is released at floor(i / w) and due at ceil((i + 1) / w), and the
 block that is due earliest goes first. At every slot each source is then
-less than one block away from its share (Baruah et al. 1996), for as long as it has blocks.
+less than one block of characters away from its share (Baruah et al. 1996), for as long as it has
+blocks, where a document's characters count in the slots of the blocks that they fill.
 
 Weights are rounded to multiples of 1 / ``PERIOD``, so that the schedule repeats
 after ``PERIOD`` slots. One period is worked out on the driver, whatever the size of
@@ -13,18 +16,20 @@ document is kept, once: a source that runs out leaves its later slots empty.
 
 Cases: a null source counts as the source ''; a null id hashes as ''; null and empty
 texts count as one character; sources without a given weight, or with none above
-zero, get the least weight there is (one slot a period); repeated rows fall into one block; an
-empty table gives an empty result.
+zero, get the least weight there is (one slot a period); repeated rows start in one block and fill
+blocks together; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import heapq
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PERIOD, BLOCK_CHARS, EXPONENT = 4096, 65536, 0.7
+#: Ranges of hashes, besides one for each source, at most: their sums reach the driver.
+RANGES = 4096
 
 
 def shares(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
@@ -67,29 +72,43 @@ def document_key(doc_id: str, source: str, text: str) -> Column:
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_chars: int = BLOCK_CHARS, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """``row`` (the whole row of ``docs``), ``block``, ``slot``, ``release``, ``deadline``.
+    """``row`` (the whole row of ``docs``), ``block``, ``n_blocks``, ``slot``, ``release``, ``deadline``.
 
     Without ``weights`` a source's target is its characters to the power ``EXPONENT``, which lifts small sources.
-    The sources, as many as a mixture names, are all that reaches the driver.
+    The sources, as many as a mixture names, and sums of RANGES ranges are all that reaches the driver.
     """
     spark = docs.sparkSession
-    chars = F.greatest(F.coalesce(F.char_length(F.col(text)), F.lit(0)), F.lit(1))
+    chars = F.greatest(F.coalesce(F.char_length(F.col(text)), F.lit(0)), F.lit(1)).cast("long")
     sizes = {r["s"]: r["n"] for r in docs.groupBy(_source(source).alias("s")).agg(F.sum(chars).alias("n")).collect()}
-    rows = docs.select(F.struct("*").alias("row"), _source(source).alias("s"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")).alias("i"))
-    schedule = "s string, k long, at long, released long, due long"
+    rows = docs.select(F.struct("*").alias("row"), _source(source).alias("s"), document_key(doc_id, source, text).alias("h"), chars.alias("chars"))
+    schedule, share = "s string, k long, at long, released long, due long", "s string, ranges long, slots long"
+    offset = "s string, range long, before long"
     if not sizes:
-        plan, facts, period = spark.createDataFrame([], schedule), spark.createDataFrame([], "s string, blocks long, slots long"), 1
+        plan, facts, offsets, period = spark.createDataFrame([], schedule), spark.createDataFrame([], share), spark.createDataFrame([], offset), 1
     else:
         slots = shares({s: (weights or {}).get(s, 0.0) if weights is not None else float(n) ** EXPONENT for s, n in sizes.items()})
         period = sum(slots.values())
         plan = spark.createDataFrame(period_schedule(slots), schedule)
-        facts = spark.createDataFrame([(s, -(-n // block_chars), slots[s]) for s, n in sizes.items()], "s string, blocks long, slots long")
-    # Both sides are bounded: a row for each source, and one for each slot of a period.
-    place = F.conv(F.substring(F.md5("i"), 1, 12), 16, 10).cast("long")
-    placed = rows.join(F.broadcast(facts), "s").withColumn("block", F.floor(place / F.lit(float(1 << 48)) * F.col("blocks")).cast("long"))
+        width = max(block_chars, -(-sum(sizes.values()) // RANGES))
+        facts = spark.createDataFrame([(s, -(-n // width), slots[s]) for s, n in sizes.items()], share)
+    # What is broadcast is bounded: a row for each source, for each slot of a period, and for each range.
+    ranged = rows.join(F.broadcast(facts), "s").withColumn("range", F.pmod("h", "ranges"))
+    if sizes:
+        sums = sorted(tuple(r) for r in ranged.groupBy("s", "range").agg(F.sum("chars").alias("n")).collect())
+        before, so_far = [], dict.fromkeys(sizes, 0)
+        for s, r, n in sums:
+            before.append((s, r, so_far[s]))
+            so_far[s] += n
+        offsets = spark.createDataFrame(before, offset)
+    # The frame holds whole groups of equal hashes, so that equal rows share a place and their order does not matter.
+    upto = F.sum("chars").over(Window.partitionBy("s", "range").orderBy("h").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    own = F.sum("chars").over(Window.partitionBy("s", "range", "h"))
+    placed = ranged.withColumn("upto", upto).withColumn("own", own).join(F.broadcast(offsets), ["s", "range"])
+    stop = F.col("before") + F.col("upto")
+    placed = placed.withColumn("block", F.floor((stop - F.col("own")) / F.lit(block_chars)).cast("long")).withColumn("n_blocks", F.floor((stop - 1) / F.lit(block_chars)).cast("long") - F.col("block") + 1)
     lap = F.floor(F.col("block") / F.col("slots")).cast("long") * period
     timed = placed.withColumn("k", F.col("block") % F.col("slots")).withColumn("lap", lap).join(F.broadcast(plan), ["s", "k"])
-    return timed.select("row", "block", (F.col("lap") + F.col("at")).alias("slot"), (F.col("lap") + F.col("released")).alias("release"), (F.col("lap") + F.col("due")).alias("deadline"))
+    return timed.select("row", "block", "n_blocks", (F.col("lap") + F.col("at")).alias("slot"), (F.col("lap") + F.col("released")).alias("release"), (F.col("lap") + F.col("due")).alias("deadline"))
 
 
 def mixed_order(mixed: DataFrame, partitions: int) -> DataFrame:

@@ -42,7 +42,7 @@ def op5_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    return mixed.select("row.doc_id", "row.source", "block", "slot", "release", "deadline")
+    return mixed.select("row.doc_id", "row.source", "block", "n_blocks", "slot", "release", "deadline")
 
 
 def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

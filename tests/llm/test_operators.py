@@ -202,6 +202,39 @@ def test_mixing_keeps_every_source_within_a_block_of_its_share(spark, docs, empt
     assert mixing.mixed_order(mixing.mix(empty), 2).count() == 0
 
 
+def test_mixing_keeps_every_source_within_a_block_of_characters(spark):
+    lengths = [2 + rng.randrange(300) + (4000 if i % 97 == 5 else 0) for i in range(900)]
+    rows = [(i, "x" * n, None, "big" if i % 6 else "small") for i, n in enumerate(lengths)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    size, weights = 500, {"big": 3.0, "small": 1.0}
+    slots = mixing.shares(weights)
+    at = {(s, k): t for s, k, t, _, _ in mixing.period_schedule(slots)}
+    period, filled, totals = sum(slots.values()), Counter(), Counter()
+    mixed = sorted(mixing.mix(docs, weights, block_chars=size).collect(), key=lambda r: (r["row"]["source"], r["block"], r["n_blocks"]))
+    for r in mixed:  # a block is filled by what starts in it, and what goes over into the next
+        s, left = r["row"]["source"], len(r["row"]["text"])
+        assert totals[s] // size >= r["block"] and r["n_blocks"] >= left / size
+        totals[s] += left
+        b = r["block"]
+        while left:
+            part = min(left, size - filled[s, b])
+            assert part >= 0 and b < r["block"] + r["n_blocks"]
+            filled[s, b] += part
+            left -= part
+            b += 1
+    for s, n in totals.items():
+        blocks = -(-n // size)
+        assert [filled[s, b] for b in range(blocks)] == [size] * (blocks - 1) + [n - size * (blocks - 1)]
+        placed = sorted((b // slots[s] * period + at[s, b % slots[s]], filled[s, b]) for b in range(blocks - 1))
+        so_far = 0
+        for t, c in placed:
+            assert abs(so_far - t * size * slots[s] / period) < size
+            so_far += c
+            assert abs(so_far - (t + 1) * size * slots[s] / period) < size
+    first = {(r["row"]["source"], r["block"]): r["slot"] for r in mixed}
+    assert all(t == b // slots[s] * period + at[s, b % slots[s]] for (s, b), t in first.items())
+
+
 def test_neighbours(spark):
     made = np.random.default_rng(5)
     x = made.normal(size=(600, 16))
