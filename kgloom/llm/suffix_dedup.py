@@ -5,7 +5,14 @@ such string belongs to the least hash of its ``ANCHOR``-byte substrings, so
 equal strings belong to equal hashes: neighbouring strings with one anchor make
 a segment, segments are dealt to shards by the anchor's hash, and all that is
 left to find lies inside one shard. Equal segments are one, with a count; only
-anchors of more than one segment are sorted.
+anchors of more than one segment are sorted, a shard in runs of whole anchors.
+
+An anchor with more than ``PART_BYTES`` of different segments (a passage in many
+contexts) is split first. Its strings fall into ranges of their anchor's place; all strings of a
+range hold the same bytes around the anchor, and the hash of those is the new key.
+Equal strings have equal places and bytes, so they stay together; what is still too
+large is split into narrower ranges, down to one place, where the key is the whole string
+and equal rows are all that is left.
 
 A shard's suffixes are sorted by induction (Nong, Zhang and Chan 2009; on disk:
 Bingmann, Fischer and Osipov 2013): leftmost S-suffixes are sorted through
@@ -15,7 +22,7 @@ hold suffixes in sorted order and spill to an unnamed scratch file of the task a
 have ``length`` bytes in common are repeats; hashes pick them out and bytes confirm them.
 
 Cases: null and empty texts have nothing to remove; texts shorter than
-``length`` neither; rows that repeat an id are expected to repeat its text;
+``length`` neither; rows are told apart by id and text, and an id may be null or repeated;
 other columns are ignored; an empty table gives an empty result.
 """
 
@@ -30,12 +37,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from kgloom.llm.bytesvec import mix, powers, prefix_sums, slices
 from kgloom.llm.common import stored
 
 LENGTH, ANCHOR = 400, 128
-SHARD_BYTES, QUEUE_BYTES = 4 << 20, 256 << 20
+SHARD_BYTES, PART_BYTES, QUEUE_BYTES = 4 << 20, 1 << 20, 256 << 20
 
 
 class Queue:
@@ -206,14 +214,19 @@ def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(ahead[: n - width + 1], back[width - 1 : n])
 
 
+def window_hashes(data: np.ndarray, anchor: int) -> np.ndarray:
+    """A hash of every substring of ``anchor`` bytes."""
+    sums = prefix_sums(data)
+    return mix((sums[anchor:] - sums[:-anchor]) * powers(len(data) + 1)[1][: len(data) - anchor + 1])
+
+
 def segments_of(offsets: np.ndarray, data: np.ndarray, length: int, anchor: int):
     """Arrays (text, anchor's hash, start in the slice, how many strings start in it) of the segments of a slice of texts."""
     sizes = np.diff(offsets)
     counts = np.maximum(0, sizes - length + 1)
     if not counts.sum():
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    sums = prefix_sums(data)
-    h = mix((sums[anchor:] - sums[:-anchor]) * powers(len(data) + 1)[1][: len(data) - anchor + 1])
+    h = window_hashes(data, anchor)
     low = np.uint64(0xFFFFFFFF)
     least = sliding_least((h & ~low) | np.arange(len(h), dtype=np.uint64), length - anchor + 1)
     text = np.repeat(np.arange(len(sizes)), counts)
@@ -239,6 +252,67 @@ def segments(docs: DataFrame, length: int, anchor: int) -> DataFrame:
     return docs.select("id", "text").mapInArrow(work, schema)
 
 
+def lead_of(segment: bytes, length: int, anchor: int) -> int:
+    """How many bytes of a segment stand before its anchor."""
+    h = window_hashes(np.frombuffer(segment[:length], np.uint8), anchor)
+    return int(np.argmin(h >> np.uint64(32)))
+
+
+def range_widths(length: int, anchor: int) -> list[int]:
+    """Widths of the ranges of places of an anchor in a string, wider ones first, down to one."""
+    out = [1 << max(0, (length - anchor).bit_length() - 2)]
+    while out[-1] > 1:
+        out.append(max(1, out[-1] // 4))
+    return out
+
+
+def parts_of(segment: bytes, lead: int, key: int, width: int, length: int, anchor: int):
+    """(key, offset, lead, bytes) of a segment's strings for each range of ``width`` places of the anchor."""
+    strings = len(segment) - length + 1
+    for low in range((lead - strings + 1) // width * width, lead + 1, width):
+        high = min(low + width - 1, length - anchor)
+        first, last = min(high, lead), max(low, lead - strings + 1)
+        core = segment[lead - low : lead - high + length]
+        own = xxhash.xxh3_64_intdigest(core, (key + low * 0x9E3779B97F4A7C15 + width) % (1 << 64)) - (1 << 63)
+        yield own, lead - first, first, segment[lead - first : lead - last + length]
+
+
+def split_hot(pieces: DataFrame, length: int, anchor: int, part_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """``sorted later`` (``id``, ``anchor``, ``copies``, ``start``, ``bytes``, of at most ``part_bytes`` for each anchor) and spans found on the way.
+
+    ``pieces`` are the different segments of anchors that are too large. Equal parts become one before they are counted.
+    """
+    id_field, longs = pieces.schema["id"], [T.StructField(c, T.LongType()) for c in ("anchor", "copies", "start", "lead")]
+    schema = T.StructType([id_field, *longs, T.StructField("bytes", T.BinaryType()), T.StructField("seg", T.BinaryType())])
+    hot = pieces.withColumn("lead", F.lit(-1).cast("long"))
+    done = spans = None
+    for width in range_widths(length, anchor):
+
+        def split(batches, width=width):
+            for batch in batches:
+                rows = []
+                for i, key, copies, start, raw, lead in zip(*(batch.column(c).to_pylist() for c in ("id", "anchor", "copies", "start", "bytes", "lead")), strict=True):
+                    lead = lead_of(raw, length, anchor) if lead < 0 else lead
+                    rows += [(i, own, copies, start + off, at, part, xxhash.xxh3_128_digest(part)) for own, off, at, part in parts_of(raw, lead, key, width, length, anchor)]
+                columns = list(zip(*rows, strict=True)) or [[]] * 7
+                types = [batch.schema.field("id").type, *[pa.int64()] * 4, pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=schema.names)
+
+        parts = stored(hot.select("id", "anchor", "copies", "start", "bytes", "lead").mapInArrow(split, schema), "parts")
+        classes = stored(parts.groupBy("anchor", "seg").agg(F.count("*").alias("met"), F.sum("copies").alias("copies"), F.min(F.struct("id", "start", "lead", "bytes")).alias("first")), "part-classes")
+        equal = classes.where("met > 1").select("anchor", "seg")
+        copied = parts.join(equal, ["anchor", "seg"]).select("id", "start", (F.col("start") + F.length("bytes")).alias("stop"))
+        spans = copied if spans is None else spans.union(copied)
+        several = classes.groupBy("anchor").agg(F.count("*").alias("classes"), F.sum(F.length("first.bytes")).alias("size")).where("classes > 1").select("anchor", "size")
+        rest = classes.join(several, "anchor").select("first.id", "anchor", "copies", "first.start", "first.bytes", "first.lead", "size")
+        small = (rest if width == 1 else rest.where(F.col("size") <= part_bytes)).select("id", "anchor", "copies", "start", "bytes")
+        done = small if done is None else done.union(small)
+        hot = rest.where(F.col("size") > part_bytes).drop("size")
+        if width == 1 or hot.isEmpty():
+            break
+    return done, spans
+
+
 def packed(docs: DataFrame) -> DataFrame:
     schema = T.StructType([docs.schema["id"], T.StructField("packed", T.BinaryType())])
 
@@ -250,19 +324,16 @@ def packed(docs: DataFrame) -> DataFrame:
     return docs.select("id", "text").mapInArrow(work, schema)
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, part_bytes: int = PART_BYTES) -> DataFrame:
     """``id``, ``start``, ``stop``: stretches of repeated strings, in bytes; they may overlap. ``docs`` has ``id`` and ``text``."""
     every = stored(segments(docs, length, anchor), "segments")
     shared = every.groupBy("anchor").agg(F.count("*").alias("met")).where("met > 1").select("anchor")
     candidates = stored(every.join(shared, "anchor"), "candidates")
     classes = candidates.groupBy("anchor", "seg").agg(F.count("*").alias("copies"), F.min(F.struct("id", "start", "n")).alias("first"))
-    several = classes.groupBy("anchor").agg(F.count("*").alias("classes")).where("classes > 1").select("anchor")
     classes = stored(classes, "classes")
+    several = classes.groupBy("anchor").agg(F.count("*").alias("classes"), F.sum(F.col("first.n") + length).alias("size")).where("classes > 1").select("anchor", (F.col("size") > part_bytes).alias("hot"))
     copied = candidates.join(classes.where("copies > 1").select("anchor", "seg"), ["anchor", "seg"]).select("id", "start", (F.col("start") + F.col("n") + (length - 1)).alias("stop"))
-    sought = stored(classes.join(several, "anchor").select("anchor", "copies", "first.*"), "sought")
-    size = sought.agg(F.sum(F.col("n") + length)).head()[0] or 0
-    shards = max(1, -(-size // SHARD_BYTES))
-    wanted = sought.groupBy("id").agg(F.collect_list(F.struct("anchor", "copies", "start", "n")).alias("cuts"))
+    sought = stored(classes.join(several, "anchor").select("anchor", "copies", "hot", "first.*"), "sought")
     id_field = docs.schema["id"]
 
     def cut(batches):
@@ -273,38 +344,58 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], batch.schema.field("id").type), *(pa.array(columns[k], pa.int64()) for k in (1, 2, 3)), pa.array(columns[4], pa.binary())], names=["id", "anchor", "copies", "start", "bytes"])
 
     cut_schema = T.StructType([id_field, *[T.StructField(c, T.LongType()) for c in ("anchor", "copies", "start")], T.StructField("bytes", T.BinaryType())])
-    fetched = packed(docs).join(wanted, "id").mapInArrow(cut, cut_schema).repartition(int(shards), "anchor")
 
-    def sort(batches):
-        ids, copies, start, pieces = [], [], [], []
-        for batch in batches:
-            ids += batch.column("id").to_pylist()
-            copies += batch.column("copies").to_pylist()
-            start += batch.column("start").to_pylist()
-            pieces += [x.as_py() for x in batch.column("bytes")]
-        if not pieces:
-            return
-        out_id, out_a, out_b = [], [], []
-        for i, c, s, hits in zip(ids, copies, start, repeated_starts(pieces, length), strict=True):
+    def fetch(chosen: DataFrame) -> DataFrame:
+        wanted = chosen.groupBy("id").agg(F.collect_list(F.struct("anchor", "copies", "start", "n")).alias("cuts"))
+        return packed(docs).join(wanted, "id").mapInArrow(cut, cut_schema)
+
+    size = sought.where("NOT hot").agg(F.sum(F.col("n") + length)).head()[0] or 0
+    fetched, hot = fetch(sought.where("NOT hot")), sought.where("hot")
+    if not hot.isEmpty():
+        parts, equal = split_hot(fetch(hot), length, anchor, part_bytes)
+        parts = stored(parts, "split")
+        size += parts.agg(F.sum(F.length("bytes"))).head()[0] or 0
+        fetched, copied = fetched.union(parts.select(*fetched.columns)), copied.union(equal)
+    shards = max(1, -(-size // SHARD_BYTES))
+    fetched = fetched.repartition(int(shards), "anchor").sortWithinPartitions("anchor")
+
+    def repeats(rows: list) -> pa.RecordBatch:
+        out = []
+        for (i, _, c, s, _), hits in zip(rows, repeated_starts([r[4] for r in rows], length), strict=True):
             if c > 1 or not len(hits):
                 continue
             cuts = np.flatnonzero(np.r_[True, hits[1:] != hits[:-1] + 1])
-            for a, b in zip(hits[cuts], hits[np.append(cuts[1:], len(hits)) - 1], strict=True):
-                out_id.append(i)
-                out_a.append(int(s + a))
-                out_b.append(int(s + b + length))
-        yield pa.RecordBatch.from_arrays([pa.array(out_id, batch.schema.field("id").type), pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["id", "start", "stop"])
+            out += [(i, int(s + a), int(s + b + length)) for a, b in zip(hits[cuts], hits[np.append(cuts[1:], len(hits)) - 1], strict=True)]
+        columns = list(zip(*out, strict=True)) or [[]] * 3
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (id_type, pa.int64(), pa.int64()), strict=True)], names=["id", "start", "stop"])
+
+    id_type = to_arrow_type(id_field.dataType)
+
+    def sort(batches):
+        # A shard comes in the order of its anchors; whole anchors make a run, which is all that is held.
+        rows, held = [], 0
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("id", "anchor", "copies", "start", "bytes")), strict=True):
+                if held >= part_bytes and row[1] != rows[-1][1]:
+                    yield repeats(rows)
+                    rows, held = [], 0
+                rows.append(row)
+                held += len(row[4])
+        if rows:
+            yield repeats(rows)
 
     found = fetched.mapInArrow(sort, T.StructType([id_field, T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())]))
     return copied.union(found)
 
 
-def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
+def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, anchor: int = ANCHOR, part_bytes: int = PART_BYTES) -> DataFrame:
     """``id``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept`` (the remaining bytes) of each row."""
-    rows = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    spans = repeated_spans(rows, length, anchor).groupBy("id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    joined = packed(rows).join(spans, "id", "left")
-    schema = T.StructType([rows.schema["id"], *[T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")], T.StructField("kept", T.BinaryType())])
+    named = docs.select(F.col(doc_id).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    # A key of id and text that is never null; the id itself comes along to the result.
+    rows = named.select(F.struct(F.xxhash64("doc", "text").alias("key"), "doc").alias("id"), "text")
+    spans = repeated_spans(rows.select("id.key", "text").withColumnRenamed("key", "id"), length, anchor, part_bytes).groupBy("id").agg(F.collect_list(F.struct("start", "stop")).alias("spans")).withColumnRenamed("id", "key")
+    joined = packed(rows).select(F.col("id.doc").alias("id"), "id.key", "packed").join(spans, "key", "left").drop("key")
+    schema = T.StructType([T.StructField("id", named.schema["doc"].dataType), *[T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")], T.StructField("kept", T.BinaryType())])
 
     def work(batches):
         unpack = zstandard.ZstdDecompressor().decompress

@@ -63,6 +63,43 @@ def test_repeated_strings_against_brute_force(docs, empty):
     assert suffix_dedup.deduplicated(empty).count() == 0
 
 
+def test_hot_passages_are_split(spark):
+    length, anchor, limit = 60, 20, 2000
+    made = random.Random(3)
+    noise = lambda n: "".join(made.choice("abcdefghij") for _ in range(n))
+    hot = [noise(n) for n in (25, 45, 70, 200)]
+    texts = [noise(80) + hot[i % 4] + noise(80) for i in range(240)]
+    texts += [texts[k][30:] for k in range(8)] + [texts[k][:140] + "zz" for k in range(8, 16)]
+    ids = [None if i % 50 == 3 else i for i in range(len(texts))]
+    raw = [t.encode() for t in texts]
+    counts = Counter(t[i : i + length] for t in raw for i in range(len(t) - length + 1))
+    want = Counter()
+    for i, t in zip(ids, raw, strict=True):
+        gone = np.zeros(len(t), bool)
+        for k in range(len(t) - length + 1):
+            if counts[t[k : k + length]] > 1:
+                gone[k : k + length] = True
+        want[i, bytes(np.frombuffer(t, np.uint8)[~gone])] += 1
+    docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
+    for part_bytes in (1, limit, 1 << 20):
+        got = suffix_dedup.deduplicated(docs, length=length, anchor=anchor, part_bytes=part_bytes).collect()
+        assert Counter((r["id"], bytes(r["kept"])) for r in got) == want, part_bytes
+    at = texts[1].index(hot[1]) + 10
+    pieces = []
+    for i in range(1, 240, 4):  # all strings that hold one and the same anchor, each in other bytes
+        t = raw[i]
+        _, h, start, n = suffix_dedup.segments_of(np.array([0, len(t)]), np.frombuffer(t, np.uint8), length, anchor)
+        pieces += [(i, int(a) - (1 << 63), 1, int(s), t[s : s + k + length - 1]) for a, s, k in zip(h.tolist(), start.tolist(), n.tolist(), strict=True) if s <= at < s + length]
+    key = Counter(p[1] for p in pieces).most_common(1)[0][0]
+    one = [p for p in pieces if p[1] == key]
+    assert sum(len(p[4]) for p in one) > 2 * limit
+    parts, _ = suffix_dedup.split_hot(spark.createDataFrame(one, "id long, anchor long, copies long, start long, bytes binary"), length, anchor, limit)
+    sizes = Counter()
+    for r in parts.collect():
+        sizes[r["anchor"]] += len(r["bytes"])
+    assert max(sizes.values(), default=0) <= limit
+
+
 def shingles(t):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
