@@ -1,9 +1,9 @@
 """Secret scans over an incremental blob ledger, in DataFrame functions only.
 
 Every historical version of every path is addressed by the digest of its
-content. A ledger records which (blob, rule, rule version) has been scanned;
-only pairs that it lacks are scanned, each blob once however many paths hold
-it, and findings are joined back to all paths.
+content. A ledger records which (blob, rule, rule version) has been scanned and
+what was found; only pairs that it lacks are scanned, each blob once however many
+paths hold it, and old and new findings together are joined back to all paths.
 
 Cases: null content is empty content; empty content has no findings; repeated
 rows give repeated results; columns beyond those named are ignored; an empty
@@ -110,12 +110,27 @@ def scan_blobs(versions: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + EXTRA
 
 
 def ledger_entries(scanned: DataFrame) -> DataFrame:
-    """What a scan adds to the ledger: ``blob``, ``rule``, ``rule_version``."""
-    return scanned.select("blob", F.explode("scanned").alias("x")).select("blob", "x.rule", "x.rule_version")
+    """What a scan adds to the ledger: ``blob``, ``rule``, ``rule_version``, ``found`` (of that rule alone)."""
+    pairs = scanned.select("blob", "found", F.explode("scanned").alias("x"))
+    return pairs.select("blob", "x.rule", "x.rule_version", F.filter("found", lambda f: f.kind == F.col("x.rule")).alias("found"))
+
+
+def united(ledger: DataFrame, scanned: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + EXTRA_RULES) -> DataFrame:
+    """``blob``, ``found``: one row a blob with all that is known of it for the current versions of ``rules``, old and new."""
+    spark = scanned.sparkSession
+    current = spark.createDataFrame([(r.name, r.version, k) for k, r in enumerate(rules)], "rule string, rule_version int, place int")
+    entries = ledger.select("blob", "rule", "rule_version", "found").union(ledger_entries(scanned)).join(F.broadcast(current), ["rule", "rule_version"])
+    # A pair that was entered twice counts once; the place of a rule may have changed since it was entered.
+    once = entries.groupBy("blob", "place").agg(F.any_value("found").alias("found"))
+    placed = once.withColumn("found", F.expr(f"cast(transform(found, f -> named_struct('start', f.start, 'ord', place, 'kind', f.kind, 'stop', f.stop)) as {FOUND})"))
+    return placed.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("found"))).alias("found"))
 
 
 def findings(versions: DataFrame, scanned: DataFrame) -> DataFrame:
-    """Findings joined back to every version of every path; a version without any has an empty list."""
+    """Findings joined back to every version of every path; a version without any has an empty list.
+
+    ``scanned`` is a scan without a ledger, or ``united`` of a ledger and the scan that used it.
+    """
     return addressed(versions).join(scanned.select("blob", "found"), "blob", "left").select("path", "version", "blob", F.coalesce("found", F.array().cast(FOUND)).alias("found"))
 
 

@@ -183,6 +183,18 @@ def test_only_unseen_blobs_and_rules_are_scanned(spark):
     assert sorted(len(r["scanned"]) for r in secrets.scan_blobs(new, newer, ledger).collect()) == [1, 3]
 
 
+def test_a_second_run_with_a_ledger_equals_a_full_scan(spark):
+    old = spark.createDataFrame([("a", 1, SECRETS), ("c", 1, "none")], "path string, version int, content string")
+    ledger = secrets.ledger_entries(secrets.scan_blobs(old, secrets.BASE_RULES))
+    new = old.union(spark.createDataFrame([("b", 1, "key " + "ab" * 9), ("d", 1, SECRETS), ("e", 1, "ghp_" + "Z" * 36)], old.schema))
+    told = lambda found: sorted((r["path"], r["version"], str(r["found"])) for r in found.collect())
+    newer = secrets.Rule("hex", 2, "[0-9a-f]{18,}", least=18)
+    for rules in (secrets.BASE_RULES, secrets.BASE_RULES + secrets.EXTRA_RULES, (newer, *secrets.BASE_RULES[:2])):
+        full = told(secrets.findings(new, secrets.scan_blobs(new, rules)))
+        again = secrets.united(ledger.union(ledger), secrets.scan_blobs(new, rules, ledger), rules)
+        assert told(secrets.findings(new, again)) == full and len(full) == 5
+
+
 def test_personal_data(spark, empty):
     text = "Mail bob.x+1@mail.example.org or 10.0.0.255 and 10.0.0.256, card 4111 1111 1111 1111, call +1 (555) 010-9999. é +12 4111111111111112"
     found = {tuple(text[a:b].strip() for a, b in [(s["start"], s["stop"])]) + (pii.KINDS[s["kind"]],) for s in pii.find(frame(spark, [text])).head()["spans"]}
