@@ -6,8 +6,9 @@ balanced). A vector near a boundary goes into several lists: those of the
 ``REPLICAS`` nearest whose centroid is at most ``BOUNDARY`` times as far as the
 nearest. A query walks a graph
 of the centroids in memory, takes those within ``PRUNE`` times the nearest
-distance, and is compared with all of their vectors; a long list is split in
-chunks that are searched apart.
+distance, and further ones until they hold ``k + 1`` distinct vectors, and is
+compared with all of their vectors; a long list is split in chunks that are
+searched apart.
 
 Equal vectors are one entry with their ``k + 1`` smallest ids, which is all of
 them that any query can need, since ties go to smaller ids.
@@ -85,10 +86,24 @@ class Index:
             out += [a[n <= BOUNDARY * n[0] + 1e-12] for a, n in zip(at, near, strict=True)]
         return out
 
-    def lists_for(self, query: np.ndarray) -> list[int]:
-        """The clusters that a query is compared with."""
+    def lists_for(self, query: np.ndarray, owned: np.ndarray, least: int) -> list[int]:
+        """The clusters that a query is compared with, of ``least`` distinct vectors at least if there are so many.
+
+        ``owned`` counts the vectors of which a cluster is the nearest, so that none counts twice.
+        """
         at, d = self.nearest(query)
-        return at[:LISTS][d[:LISTS] <= PRUNE * d[0] + 1e-12].tolist()
+        out = at[:LISTS][d[:LISTS] <= PRUNE * d[0] + 1e-12].tolist()
+        held = int(owned[out].sum())
+        if held < least:
+            every = np.argsort(((self.centroids - query) ** 2).sum(axis=1), kind="stable").tolist()
+            taken = set(out)
+            for i in every:
+                if held >= least:
+                    break
+                if i not in taken:
+                    out.append(i)
+                    held += int(owned[i])
+        return out
 
 
 def balanced_centroids(x: np.ndarray, most: int = FIT_CLUSTER, seed: int = 5) -> np.ndarray:
@@ -167,15 +182,22 @@ def search(rows: DataFrame, every: int = 100, k: int = 10, vec_id: str = "vec_id
         for batch in batches:
             lists = index.value.lists_of(matrix(batch.column(1)))
             at = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lists), pa.int64()), *(batch.column(i).take(pa.array(at)) for i in range(3))], names=["list", "key", "v", "ids"])
+            nearest = np.concatenate([np.arange(len(x)) == 0 for x in lists])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lists), pa.int64()), *(batch.column(i).take(pa.array(at)) for i in range(3)), pa.array(nearest)], names=["list", "key", "v", "ids", "nearest"])
 
     def ask(batches):
         for batch in batches:
-            lists = [index.value.lists_for(x) for x in matrix(batch.column(1))]
+            lists = [index.value.lists_for(x, owned.value, k + 1) for x in matrix(batch.column(1))]
             at = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lists), pa.int64()), batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at))], names=["list", "query", "q"])
 
-    postings = stored(held.select("key", "v", "ids").mapInArrow(post, "list long, key string, v array<double>, ids array<long>"), "postings")
+    postings = stored(held.select("key", "v", "ids").mapInArrow(post, "list long, key string, v array<double>, ids array<long>, nearest boolean"), "postings")
+    # One number for each list; lists are as many as the bounded sample gives.
+    counts = np.zeros(len(index.value.centroids), np.int64)
+    for r in postings.where("nearest").groupBy("list").agg(F.count("*").alias("n")).collect():
+        counts[r["list"]] = r["n"]
+    owned = spark.sparkContext.broadcast(counts)
+    postings = postings.drop("nearest")
     chunks = postings.groupBy("list").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
     asked = vectors.where(F.col("id") % every == 0)
     query_keys = entries(asked, 0).select("key", "v")

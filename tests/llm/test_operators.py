@@ -303,6 +303,18 @@ def test_neighbours(spark):
     assert ann.search(table.limit(0)).count() == 0
 
 
+def test_a_tight_group_smaller_than_k_gets_k_neighbours(spark):
+    made = np.random.default_rng(8)
+    tight = [made.normal(size=8) * 1e-3 + 50 * np.eye(8)[g % 8] * (1 + g // 8) for g in range(40) for _ in range(9)]
+    rows = [(100 * i, [float(v) for v in x]) for i, x in enumerate(tight)]
+    got = Counter(r["query_id"] for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == {i: 10 for i, _ in rows}
+    few = spark.createDataFrame(rows[:6], "vec_id long, embedding array<double>")
+    assert Counter(r["query_id"] for r in ann.search(few).collect()) == {i: 5 for i, _ in rows[:6]}
+    index = ann.Index(np.array([[0.0], [100.0], [101.0]]), np.array([[1, 2], [0, 2], [0, 1]]), np.array([0, 1, 2]))
+    assert index.lists_for(np.array([0.1]), np.array([9, 1, 5]), 11) == [0, 1, 2] and index.lists_for(np.array([0.1]), np.array([9, 9, 5]), 11) == [0, 1]
+
+
 def test_languages(spark, docs, empty):
     parts = {"aa": "ba na ka la ma".split(), "bb": "öx üx ßx äx ix".split()}
     texts = [(lang, " ".join(rng.choice(parts[lang]) for _ in range(60))) for lang in parts for _ in range(60)]
