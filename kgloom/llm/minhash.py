@@ -4,14 +4,19 @@ One hash a shingle fills all bins of a signature; an empty bin takes the value
 of a non-empty one that a fixed random order picks (optimal densification).
 Bands of bins make buckets; each bucket gives star-shaped edges from its
 members to one centre, so that pairs grow with members and not with their
-square. Edges are confirmed on the full shingle sets. Members of a bucket that
-the confirmed edges leave in different components are then compared across
-those components, so that a star whose centre is far from a member loses no link.
+square. Edges are confirmed on the full shingle sets. Buckets whose members
+the confirmed edges leave in different components are looked at again: their
+members are compared across components, but for those that exact bounds rule
+out, so that a star whose centre is far from a member loses no link.
+
+Equal sets are one class from the start, however many rows they have, and are
+known by 128 bits of the set; ids are attached last.
 
 Cases: null and empty texts have no shingles and are linked with nothing; a
-text of fewer words than a shingle has its words as one; equal sets are one
-class from the start, however many rows they have; repeated ids get the same
-class; other columns are ignored; an empty table gives an empty result.
+text of fewer words than a shingle has its words as one; rows that share an id
+keep their own sets and classes; a row without an id is linked like any other, and names its
+component only if no member has an id (then the component is null); other
+columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -55,69 +60,84 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
     return mix((rows * _factors).sum(axis=1) ^ _salts).view(np.int64)
 
 
+def set_keys(sets: list[np.ndarray]) -> pa.Array:
+    """128 bits of each whole set; null for an empty one."""
+    return pa.array([xxhash.xxh3_128_digest(u.tobytes()) if len(u) else None for u in sets], pa.binary())
+
+
 def sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``id``, ``n_shingles``, ``set_key`` (128 bits of the whole set; null without shingles) and ``bands`` of each row."""
-    frame = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-    schema = T.StructType([frame.schema["id"], T.StructField("n_shingles", T.LongType()), T.StructField("set_key", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+    """``id``, ``at`` (a hash of the text), ``n_shingles``, ``set_key`` (null without shingles) and ``bands`` of each row."""
+    frame = docs.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("at"), F.col(text).alias("text"))
+    fields = [T.StructField("n_shingles", T.LongType()), T.StructField("set_key", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))]
 
     def work(batches):
         for batch in batches:
-            ids = batch.column(0)
-            for first, offsets, data in slices(batch.column(1)):
-                sizes, keys, bands = [], [], []
-                for u in shingle_sets(offsets, data, WIDTH):
-                    sizes.append(len(u))
-                    keys.append(xxhash.xxh3_128_digest(u.tobytes()) if len(u) else None)
-                    bands.append(band_keys(u) if len(u) else np.zeros(0, np.int64))
+            for first, offsets, data in slices(batch.column(2)):
+                sets = list(shingle_sets(offsets, data, WIDTH))
+                bands = [band_keys(u) if len(u) else np.zeros(0, np.int64) for u in sets]
                 flat = pa.ListArray.from_arrays(np.r_[0, np.cumsum([len(b) for b in bands])].astype(np.int32), pa.array(np.concatenate(bands)))
-                yield pa.RecordBatch.from_arrays([ids.slice(first, len(sizes)), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), flat], names=["id", "n_shingles", "set_key", "bands"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(first, len(sets)) for k in (0, 1)), pa.array([len(u) for u in sets], pa.int64()), set_keys(sets), flat], names=["id", "at", "n_shingles", "set_key", "bands"])
 
-    return frame.mapInArrow(work, schema)
+    return frame.mapInArrow(work, T.StructType([*frame.schema.fields[:2], *fields]))
 
 
-def shingle_arrays(docs: DataFrame) -> DataFrame:
-    """``rep`` and its whole shingle set, from ``rep`` and ``text``."""
-    schema = T.StructType([docs.schema["rep"], T.StructField("shingles", T.ArrayType(T.LongType()))])
+def shingle_arrays(texts: DataFrame) -> DataFrame:
+    """``rep`` (the set's key) and ``shingles`` (the whole set) of each ``text``."""
 
     def work(batches):
         for batch in batches:
-            for first, offsets, data in slices(batch.column(1)):
-                sets = [u.view(np.int64) for u in shingle_sets(offsets, data, WIDTH)]
-                flat = pa.ListArray.from_arrays(np.r_[0, np.cumsum([len(u) for u in sets])].astype(np.int32), pa.array(np.concatenate(sets)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(sets)), flat], names=["rep", "shingles"])
+            for _, offsets, data in slices(batch.column(0)):
+                sets = list(shingle_sets(offsets, data, WIDTH))
+                flat = pa.ListArray.from_arrays(np.r_[0, np.cumsum([len(u) for u in sets])].astype(np.int32), pa.array(np.concatenate(sets).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([set_keys(sets), flat], names=["rep", "shingles"])
 
-    return docs.select("rep", "text").mapInArrow(work, schema)
+    return texts.select("text").mapInArrow(work, "rep binary, shingles array<long>")
 
 
 def bucket_members(classes: DataFrame) -> DataFrame:
-    """``key``, ``rep``, ``n``: the rows of every bucket that holds more than one class."""
-    rows = classes.select("rep", F.explode("bands").alias("key"))
-    shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    return rows.join(shared, "key")
+    """``key``, ``rep``, ``size``: the rows of every bucket that holds more than one class."""
+    rows = classes.select("rep", "size", F.explode("bands").alias("key"))
+    shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    return rows.join(shared, "key").select("key", "rep", "size")
+
 
+def star_edges(members: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``a``, ``b``: each member with its bucket's centre, unless their sizes alone rule it out.
 
-def star_edges(members: DataFrame) -> DataFrame:
-    """``a``, ``b``: each member with its bucket's centre, the member that meets most others over all its buckets."""
-    busy = members.groupBy("rep").agg(F.sum(F.col("n") - 1).alias("met"))
-    ranked = members.join(busy, "rep").groupBy("key").agg(F.min(F.struct((-F.col("met")).alias("rank"), F.col("rep"))).alias("first"))
-    centres = ranked.select("key", F.col("first.rep").alias("b"))
-    return members.select("key", F.col("rep").alias("a")).join(centres, "key").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    The centre is the member with the least key, so that a group that meets in many buckets has few centres.
+    """
+    centres = members.groupBy("key").agg(F.min("rep").alias("b"), F.min_by("size", "rep").alias("size_b"))
+    pairs = members.join(centres, "key").where(f"rep <> b AND 100 * least(size, size_b) >= {percent} * greatest(size, size_b)")
+    return pairs.select("b", F.col("rep").alias("a")).distinct()
+
+
+def mixed_members(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """``key``, ``rep``, ``size``, ``label`` of the buckets that hold more than one component."""
+    rows = members.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    mixed = rows.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("key")
+    return rows.join(mixed, "key").select("key", "rep", "size", "label")
 
 
-def shareable(sets: DataFrame, labels: DataFrame, rare: int = RARE) -> tuple[DataFrame, DataFrame]:
-    """Facts of each member, and the posting lists of rare shingles.
+def could(shared: str, size: str, other: str, percent: int = PERCENT) -> str:
+    """Alike sets have at least percent / (100 + percent) of their sizes' sum in common; ``shared`` is as much as one side can."""
+    return f"{100 + percent} * {shared} >= {percent} * ({size} + {other})"
+
+
+def shareable(suspects: DataFrame, sets: DataFrame, rare: int = RARE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """Facts of each of ``suspects`` (``rep``, ``label``, ``size``), and the posting lists of rare shingles.
 
     ``rep``, ``label``, ``size``, ``shared`` (how many of its shingles occur in any other component) and ``common``
-    (how many of those are in more than ``rare`` members); and ``rep``, ``shingle`` of the other shared ones.
+    (how many of those are in more than ``rare`` suspects); and ``shingle`` besides for each of the others that it shares.
+    Suspects that share too little for any set of a like size are left out of both.
     """
-    placed = sets.join(labels, "rep", "left").select("rep", F.coalesce("label", "rep").alias("label"), F.size("shingles").alias("size"), F.explode("shingles").alias("shingle"))
+    placed = sets.join(suspects, "rep").select("rep", "label", "size", F.explode("shingles").alias("shingle"))
     seen = placed.groupBy("shingle").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("n")).where("least <> most").select("shingle", "n")
-    met = placed.join(seen, "shingle")
-    counts = met.groupBy("rep").agg(F.any_value("label").alias("label"), F.any_value("size").alias("size"), F.count("*").alias("shared"), F.count_if(F.col("n") > rare).alias("common"))
-    return counts, met.where(F.col("n") <= rare).select("rep", "shingle")
+    met = placed.join(seen, "shingle").groupBy("rep", "label", "size").agg(F.count("*").alias("shared"), F.count_if(F.col("n") > rare).alias("common"), F.collect_list(F.when(F.col("n") <= rare, F.col("shingle"))).alias("rares"))
+    facts = stored(met.where(could("shared", "size", f"ceil({percent} * size / 100)", percent)), "facts")
+    return facts.drop("rares"), facts.select("rep", "label", "size", "shared", F.explode("rares").alias("shingle"))
 
 
-def cross_edges(members: DataFrame, facts: DataFrame, postings: DataFrame, percent: int = PERCENT) -> DataFrame:
+def cross_edges(mixed: DataFrame, facts: DataFrame, postings: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``a``, ``b``: pairs in different components that could be alike enough.
 
     Alike sets x and y have at least percent / (100 + percent) * (|x| + |y|) shingles in common.
@@ -127,26 +147,16 @@ def cross_edges(members: DataFrame, facts: DataFrame, postings: DataFrame, perce
     rest, of which there can be as many as copies.
     """
 
-    def could(shared: str, size: str, other: str) -> str:
-        return f"{100 + percent} * {shared} >= {percent} * ({size} + {other})"
-
     def pairs(rows: DataFrame, on: str, count: str, more: tuple[str, ...] = (), also: str = "true") -> DataFrame:
         a = rows.select(on, F.col("rep").alias("a"), F.col("label").alias("label_a"), F.col("size").alias("size_a"), F.col(count).alias("count_a"), *map(F.col, more))
         b = a.toDF(on, "b", "label_b", "size_b", "count_b", *[f"{c}_b" for c in more])
-        alike = f"100 * least(size_a, size_b) >= {percent} * greatest(size_a, size_b) AND {could('count_a', 'size_a', 'size_b')} AND {could('count_b', 'size_b', 'size_a')}"
-        return a.join(b, on).where(f"a < b AND label_a <> label_b AND {alike} AND {also}").select("a", "b")
-
-    def bound(count: str) -> str:
-        return could(count, "size", f"ceil({percent} * size / 100)")
+        alike = f"100 * least(size_a, size_b) >= {percent} * greatest(size_a, size_b) AND {could('count_a', 'size_a', 'size_b', percent)} AND {could('count_b', 'size_b', 'size_a', percent)}"
+        return a.join(b, on).where(f"a < b AND label_a <> label_b AND {alike} AND {also}").select("b", "a")
 
-    rows = members.select("key", "rep").join(facts.where(bound("common")), "rep")
-    least = rows.groupBy("key").agg(F.min("size").alias("floor"), F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("key", "floor")
-    rows = rows.join(least, "key").where(could("common", "size", f"greatest(floor, ceil({percent} * size / 100))")).drop("floor")
-    mixed = rows.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("key")
-    rows = rows.join(mixed, "key")
+    within = mixed.select("key", "rep").join(facts.where(could("common", "size", f"ceil({percent} * size / 100)", percent)), "rep")
     # A pair counts in the first of the buckets that both are in, of which a member has one a band at most.
-    keyed = rows.join(rows.groupBy("rep").agg(F.array_sort(F.collect_list("key")).alias("keys")), "rep")
-    return pairs(keyed, "key", "common", ("keys",), "array_intersect(keys, keys_b)[0] = key").union(pairs(postings.join(facts.where(bound("shared")), "rep"), "shingle", "shared")).distinct()
+    keyed = stored(within.groupBy("rep", "label", "size", "common").agg(F.array_sort(F.collect_list("key")).alias("keys")), "bucket-rows").withColumn("key", F.explode("keys"))
+    return pairs(keyed, "key", "common", ("keys",), "array_intersect(keys, keys_b)[0] = key").union(pairs(postings, "shingle", "shared")).distinct()
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -157,20 +167,14 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
     return both.where(100 * F.col("common") >= percent * (F.size("in_a") + F.size("in_b") - F.col("common"))).select("a", "b")
 
 
-def like_sizes(pairs: DataFrame, sizes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs that their set sizes alone do not rule out."""
-    a, b = (sizes.select(F.col("rep").alias(x), F.col("n_shingles").alias(f"n_{x}")) for x in "ab")
-    return pairs.join(a, "a").join(b, "b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).select("a", "b")
-
-
 def components(edges: DataFrame) -> DataFrame:
-    """``rep``, ``label``: the least id reachable over the edges, for every id that has one.
+    """``rep``, ``label``: the least key reachable over the edges, for every key that has one.
 
     Each round takes the least label among neighbours and then the label of that label,
     and is stored; rounds end when no label changes, about log2 of the longest path.
     """
     both = stored(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "links")
-    labels = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("rep"), F.least("a", "m").alias("label")), "labels")
+    labels = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("rep"), F.least("a", "m").alias("label"))
     while True:
         near = both.join(labels.withColumnRenamed("rep", "b"), "b").groupBy("a").agg(F.min("label").alias("seen"))
         step = labels.join(near, labels.rep == near.a).select("rep", F.least("label", "seen").alias("hop"), F.col("label").alias("was"))
@@ -184,24 +188,25 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``id``, ``n_shingles``, ``component_id`` of every row of ``docs``."""
     sketch = stored(sketches(docs, doc_id, text), "sketches")
-    classes = sketch.where("n_shingles > 0").groupBy("set_key").agg(F.min("id").alias("rep"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("bands").alias("bands"))
+    holding = sketch.where("n_shingles > 0")
+    classes = holding.groupBy("set_key").agg(F.min(F.struct("id", "at")).alias("first"), F.any_value("n_shingles").alias("size"), F.any_value("bands").alias("bands")).withColumnRenamed("set_key", "rep")
     members = stored(bucket_members(classes), "members")
-    stars = stored(star_edges(members), "stars")
-    reps = members.select("rep").distinct()
-    sizes = sketch.select(F.col("id").alias("rep"), "n_shingles").join(reps, "rep", "left_semi").groupBy("rep").agg(F.max("n_shingles").alias("n_shingles"))
-    texts = docs.select(F.col(doc_id).alias("rep"), F.col(text).alias("text")).join(reps, "rep", "left_semi")
+    # One row stands for a class: its text is looked up again by id and hash, and the set by its own key.
+    firsts = holding.groupBy("set_key").agg(F.min(F.struct("id", "at")).alias("first")).join(members.select("rep").distinct(), F.col("set_key") == F.col("rep"), "left_semi").select(F.col("first.id").alias("of"), "first.at")
+    texts = docs.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("hash"), F.col(text).alias("text")).join(firsts, F.col("id").eqNullSafe(F.col("of")) & (F.col("hash") == F.col("at")), "left_semi")
     sets = stored(shingle_arrays(texts).dropDuplicates(["rep"]), "sets")
-    links = stored(confirmed(like_sizes(stars, sizes), sets), "links")
-    labels = components(links)
-    facts, postings = shareable(sets, labels)
-    crossing = cross_edges(members, stored(facts, "facts"), stored(postings, "postings")).join(stars, ["a", "b"], "left_anti")
-    more = stored(confirmed(crossing, sets), "links")
-    named = sketch.where("n_shingles > 0").groupBy("set_key").agg(F.min("id").alias("rep")).join(labels, "rep", "left").select("set_key", F.coalesce("label", "rep").alias("label"))
-    if more.isEmpty():
-        found = named.withColumnRenamed("label", "component_id")
-    else:
-        # Few links are left: they join components, whose labels take the place of ids.
+    labels = components(confirmed(star_edges(members), sets))
+    mixed = stored(mixed_members(members, labels), "mixed")
+    named = holding.groupBy("set_key").agg(F.min("id").alias("id")).withColumnRenamed("set_key", "rep").join(labels, "rep", "left").select("rep", "id", F.coalesce("label", "rep").alias("label"))
+    more = None
+    if not mixed.isEmpty():
+        facts, postings = shareable(mixed.select("rep", "label", "size").distinct(), sets)
+        more = stored(confirmed(cross_edges(mixed, facts, postings), sets), "links")
+    if more is not None and not more.isEmpty():
+        # Few links are left: they join components, whose labels take the place of keys.
         ends = more.join(labels.toDF("a", "label_a"), "a", "left").join(labels.toDF("b", "label_b"), "b", "left")
         tops = components(ends.select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b")).distinct()).toDF("label", "top")
-        found = named.join(tops, "label", "left").select("set_key", F.coalesce("top", "label").alias("component_id"))
-    return sketch.join(found, "set_key", "left").select("id", "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
+        named = named.join(tops, "label", "left").select("rep", "id", F.coalesce("top", "label").alias("label"))
+    named = stored(named, "named")
+    found = named.select("rep", "label").join(named.groupBy("label").agg(F.min("id").alias("component_id")), "label").select(F.col("rep").alias("set_key"), "component_id")
+    return sketch.join(found, "set_key", "left").select("id", "n_shingles", F.when(F.col("set_key").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
