@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -15,6 +14,7 @@ from kgloom.operators import questions as ask
 from kgloom.plans import sql
 from kgloom.plans.sql import query as over
 from kgloom.plans.trade import CUES, EDGE_SPECS, LEXICON, STOP_WORDS, Trade
+from kgloom.session import shared_dir
 from kgloom.sources.tables import load_source, read_kg, write_kg
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,7 +31,7 @@ def register(name: str, text: str):
 
 
 def folder(spark: SparkSession) -> str:
-    return (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kgloom-")) + f"/kg-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/kg-{uuid.uuid4().hex}"
 
 
 # Building and managing

@@ -17,13 +17,20 @@ def session(name: str = "kgloom", master: str | None = None, **conf: str) -> Spa
     return builder.getOrCreate()
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where that is unset, a fresh one on this machine, but only if executors run here too."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = tempfile.mkdtemp(prefix="kgloom-")
+        spark.conf.set("spark.checkpoint.dir", path)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Ends the lineage of a round of a fixpoint: a table written once to the checkpoint folder that all executors share."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="kgloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder}/cut-{uuid.uuid4().hex}"
+    """Ends the lineage of a round of a fixpoint: a table written once to the shared folder."""
+    path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
