@@ -9,56 +9,63 @@ block that is due earliest goes first. At every slot each source is then
 less than one block of characters away from its share (Baruah et al. 1996), for as long as it has
 blocks, where a document's characters count in the slots of the blocks that they fill.
 
-Weights are rounded to multiples of 1 / ``PERIOD``, so that the schedule repeats
-after ``PERIOD`` slots. One period is worked out on the driver, whatever the size of
-the data; the slot of any block follows from its number by arithmetic. Every
+Weights are exact fractions, and so are releases and deadlines: nothing is rounded that could add up.
+Blocks grow with the data beyond ``BLOCKS`` of them, so that the schedule, which the driver plays
+and broadcasts, has about that many rows at any size. Every
 document is kept, once: a source that runs out leaves its later slots empty.
 
 Cases: a null source counts as the source ''; a null id hashes as ''; null and empty
 texts count as one character; sources without a given weight, or with none above
-zero, get the least weight there is (one slot a period); repeated rows start in one block and fill
+zero, get ``LEAST`` of the others' total; repeated rows start in one block and fill
 blocks together; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import heapq
+from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PERIOD, BLOCK_CHARS, EXPONENT = 4096, 65536, 0.7
+BLOCK_CHARS, BLOCKS, EXPONENT, LEAST = 65536, 1 << 17, 0.7, Fraction(1, 4096)
 #: Ranges of hashes, besides one for each source, at most: their sums reach the driver.
 RANGES = 4096
 
 
-def shares(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
-    """Slots of a period for each source, one at least, by largest remainder; all of them are given out."""
-    period = max(period, 2 * len(weights))
-    total = sum(max(0.0, w) for w in weights.values())
-    exact = {s: (max(0.0, w) / total if total else 1 / len(weights)) * (period - len(weights)) for s, w in weights.items()}
-    out = {s: 1 + int(x) for s, x in exact.items()}
-    for s in sorted(exact, key=lambda s: (int(exact[s]) - exact[s], s))[: period - sum(out.values())]:
-        out[s] += 1
-    return out
+def shares(weights: dict[str, float]) -> dict[str, Fraction]:
+    """The exact share of each source; all together are one."""
+    given = {s: Fraction(w) if w > 0 else Fraction(0) for s, w in weights.items()}
+    total = sum(given.values())
+    least = total * LEAST if total else Fraction(1)
+    given = {s: w or least for s, w in given.items()}
+    total = sum(given.values())
+    return {s: w / total for s, w in given.items()}
+
+
+def window(share: Fraction, block: int) -> tuple[int, int]:
+    """Release and deadline of a block: floor(i / w) and ceil((i + 1) / w)."""
+    return block * share.denominator // share.numerator, -(-(block + 1) * share.denominator // share.numerator)
 
 
-def period_schedule(slots: dict[str, int]) -> list[tuple[str, int, int, int, int]]:
-    """(source, block, slot, release, deadline) of one period: of the released blocks the one due earliest goes first."""
-    period = sum(slots.values())
-    window = lambda s, i: (i * period // slots[s], -(-(i + 1) * period // slots[s]))
-    coming = [(0, s, 0) for s in slots]
+def schedule(share: dict[str, Fraction], blocks: dict[str, int]) -> list[tuple[str, int, int, int, int]]:
+    """(source, block, slot, release, deadline) of all blocks: at each slot, of the released ones the one due earliest, ties by source."""
+    coming = [(0, s, 0) for s, n in blocks.items() if n]
     heapq.heapify(coming)
-    ready: list[tuple[int, str, int]] = []
-    out = []
-    for t in range(period):
+    ready: list[tuple[int, str, int, int]] = []
+    out, t = [], 0
+    while coming or ready:
+        if not ready:
+            t = max(t, coming[0][0])
         while coming and coming[0][0] <= t:
-            _, s, i = heapq.heappop(coming)
-            heapq.heappush(ready, (window(s, i)[1], s, i))
-        due, s, i = heapq.heappop(ready)
-        out.append((s, i, t, window(s, i)[0], due))
-        if i + 1 < slots[s]:
-            heapq.heappush(coming, (window(s, i + 1)[0], s, i + 1))
+            release, s, i = heapq.heappop(coming)
+            heapq.heappush(ready, (window(share[s], i)[1], s, i, release))
+        due, s, i, release = heapq.heappop(ready)
+        out.append((s, i, t, release, due))
+        if i + 1 < blocks[s]:
+            heapq.heappush(coming, (window(share[s], i + 1)[0], s, i + 1))
+        t += 1
     return out
 
 
@@ -80,35 +87,30 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_chars: i
     spark = docs.sparkSession
     chars = F.greatest(F.coalesce(F.char_length(F.col(text)), F.lit(0)), F.lit(1)).cast("long")
     sizes = {r["s"]: r["n"] for r in docs.groupBy(_source(source).alias("s")).agg(F.sum(chars).alias("n")).collect()}
+    total = sum(sizes.values())
+    block_chars = max(block_chars, -(-total // BLOCKS))
+    width = max(block_chars, -(-total // RANGES))
+    share = shares({s: (weights or {}).get(s, 0.0) if weights is not None else float(n) ** EXPONENT for s, n in sizes.items()})
+    # What is broadcast is bounded: a row for each source, for each range, and for each block.
+    facts = spark.createDataFrame([(s, -(-n // width)) for s, n in sizes.items()], "s string, ranges long")
     rows = docs.select(F.struct("*").alias("row"), _source(source).alias("s"), document_key(doc_id, source, text).alias("h"), chars.alias("chars"))
-    schedule, share = "s string, k long, at long, released long, due long", "s string, ranges long, slots long"
-    offset = "s string, range long, before long"
-    if not sizes:
-        plan, facts, offsets, period = spark.createDataFrame([], schedule), spark.createDataFrame([], share), spark.createDataFrame([], offset), 1
-    else:
-        slots = shares({s: (weights or {}).get(s, 0.0) if weights is not None else float(n) ** EXPONENT for s, n in sizes.items()})
-        period = sum(slots.values())
-        plan = spark.createDataFrame(period_schedule(slots), schedule)
-        width = max(block_chars, -(-sum(sizes.values()) // RANGES))
-        facts = spark.createDataFrame([(s, -(-n // width), slots[s]) for s, n in sizes.items()], share)
-    # What is broadcast is bounded: a row for each source, for each slot of a period, and for each range.
     ranged = rows.join(F.broadcast(facts), "s").withColumn("range", F.pmod("h", "ranges"))
-    if sizes:
-        sums = sorted(tuple(r) for r in ranged.groupBy("s", "range").agg(F.sum("chars").alias("n")).collect())
-        before, so_far = [], dict.fromkeys(sizes, 0)
-        for s, r, n in sums:
-            before.append((s, r, so_far[s]))
-            so_far[s] += n
-        offsets = spark.createDataFrame(before, offset)
+    before, so_far = [], dict.fromkeys(sizes, 0)
+    for s, r, n in sorted(tuple(r) for r in ranged.groupBy("s", "range").agg(F.sum("chars").alias("n")).collect()):
+        before.append((s, r, so_far[s]))
+        so_far[s] += n
+    offsets = spark.createDataFrame(before, "s string, range long, before long")
+    played = schedule(share, {s: -(-n // block_chars) for s, n in sizes.items()})
+    columns = list(zip(*played, strict=True)) or [[]] * 5
+    names = ["s", "block", "slot", "release", "deadline"]
+    plan = spark.createDataFrame(pa.table([pa.array(c, pa.int64() if k else pa.string()) for k, c in enumerate(columns)], names=names))
     # The frame holds whole groups of equal hashes, so that equal rows share a place and their order does not matter.
     upto = F.sum("chars").over(Window.partitionBy("s", "range").orderBy("h").rangeBetween(Window.unboundedPreceding, Window.currentRow))
     own = F.sum("chars").over(Window.partitionBy("s", "range", "h"))
     placed = ranged.withColumn("upto", upto).withColumn("own", own).join(F.broadcast(offsets), ["s", "range"])
     stop = F.col("before") + F.col("upto")
     placed = placed.withColumn("block", F.floor((stop - F.col("own")) / F.lit(block_chars)).cast("long")).withColumn("n_blocks", F.floor((stop - 1) / F.lit(block_chars)).cast("long") - F.col("block") + 1)
-    lap = F.floor(F.col("block") / F.col("slots")).cast("long") * period
-    timed = placed.withColumn("k", F.col("block") % F.col("slots")).withColumn("lap", lap).join(F.broadcast(plan), ["s", "k"])
-    return timed.select("row", "block", "n_blocks", (F.col("lap") + F.col("at")).alias("slot"), (F.col("lap") + F.col("released")).alias("release"), (F.col("lap") + F.col("due")).alias("deadline"))
+    return placed.join(F.broadcast(plan), ["s", "block"]).select("row", "block", "n_blocks", "slot", "release", "deadline")
 
 
 def mixed_order(mixed: DataFrame, partitions: int) -> DataFrame:
