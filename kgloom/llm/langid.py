@@ -4,8 +4,10 @@ Texts are cut into windows of a fixed number of bytes that cover them whole.
 Filters of several widths slide over the byte embeddings of a window, each
 gives its largest response, and a softmax turns these into languages; a
 document has the mean over its windows. The network is fitted on the driver
-to a bounded sample of labelled windows: at most ``FIT_DOCS`` documents of a
-language and ``FIT_WINDOWS`` windows of a document.
+to a bounded sample of labelled windows: about ``FIT_DOCS`` different texts of a
+language and ``FIT_WINDOWS`` windows of a text, which lie evenly over all of it. The second
+bound keeps a few very long texts from making up most of what is learnt; prediction
+reads every window of every text.
 
 Cases: a null text, or one without any letter, is ``und`` with score 0; so is
 every text where nothing can be learnt (no labelled rows). Rows without a
@@ -127,18 +129,15 @@ def cut(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def training_windows(labelled: DataFrame, docs: int = FIT_DOCS, windows: int = FIT_WINDOWS) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Windows of a sample of ``text`` and ``lang``: those documents of each language whose text has the least hash.
-
-    A document gives windows that are spread evenly over its whole text.
-    """
+    """Windows of a sample of ``text`` and ``lang``: those texts of each language that have the least hashes, each once however often it is repeated."""
     rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text", F.xxhash64("text").alias("h"))
-    total = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    total = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).collect()}
     if not total:
         return np.zeros((0, WINDOW), np.uint8), np.zeros(0, np.int64), []
     languages = sorted(total)
-    # A share of the hash range that holds `docs` rows of the language, give or take.
-    most = F.create_map(*[x for lang in languages for x in (F.lit(lang), F.lit(min(1.0, docs / total[lang])))])
-    chosen = rows.where((F.col("h").cast("double") / 2.0**64 + 0.5) <= most[F.col("lang")])
+    # A share of the hash range that holds `docs` different texts of the language, give or take.
+    most = F.create_map(*[x for lang in languages for x in (F.lit(lang), F.lit(min(1.0, docs / max(1, total[lang]))))])
+    chosen = rows.where((F.col("h").cast("double") / 2.0**64 + 0.5) <= most[F.col("lang")]).dropDuplicates(["lang", "h"])
     pieces = chosen.select("lang", F.expr(f"transform(sequence(0, {windows - 1}), k -> substring(text, cast(1 + floor(greatest(char_length(text) - {WINDOW}, 0) * k / {windows - 1}) as int), {WINDOW}))").alias("cut"))
     found = pieces.select("lang", F.explode(F.array_distinct("cut")).alias("piece")).where("piece rlike '\\\\p{L}'").toPandas()
     if found.empty:
