@@ -29,9 +29,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from kgloom.llm.bytesvec import mix, shingle_sets, slices
 from kgloom.llm.common import stored
@@ -128,8 +130,6 @@ def sample(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id") -> tuple[
 
     @F.pandas_udf(T.ArrayType(T.LongType()))
     def least_hashes(text: pd.Series) -> pd.Series:
-        import pyarrow as pa
-
         out = []
         for _, offsets, data in slices(pa.array(text, pa.string())):
             for u in shingle_sets(offsets, data):
@@ -168,7 +168,7 @@ def log_odds(counts: DataFrame, n_toxic: int, n_clean: int) -> DataFrame:
 
 
 def scanned(rows: DataFrame, model: Model) -> pd.DataFrame:
-    """Of each sample document its label, words, marks, segment scores: small rows, as many as the sample."""
+    """Of each sample document its label, words, marks (their different weights, and how often), segment scores: small rows, as many as the sample."""
 
     def work(frames):
         for frame in frames:
@@ -177,10 +177,11 @@ def scanned(rows: DataFrame, model: Model) -> pd.DataFrame:
                 words = WORD.findall(lowered(text))
                 hits = model.hits(words)
                 spread = hits[-1][0] - hits[0][0] + 1 if hits else 0
-                out.append((toxic, len(words), len(hits), spread, [w for _, w in hits][:1000], [s for _, _, s in maximal_segments(hits, model.drift)]))
-            yield pd.DataFrame(out, columns=["toxic", "words", "hits", "spread", "weights", "segments"])
+                weights = Counter(w for _, w in hits)
+                out.append((toxic, len(words), len(hits), spread, list(weights), list(weights.values()), [s for _, _, s in maximal_segments(hits, model.drift)]))
+            yield pd.DataFrame(out, columns=["toxic", "words", "hits", "spread", "weights", "times", "segments"])
 
-    return rows.select("toxic", "text").mapInPandas(work, "toxic int, words long, hits long, spread long, weights array<double>, segments array<double>").toPandas()
+    return rows.select("toxic", "text").mapInPandas(work, "toxic int, words long, hits long, spread long, weights array<double>, times array<long>, segments array<double>").toPandas()
 
 
 def decay(values: np.ndarray, chances: np.ndarray) -> float:
@@ -224,8 +225,12 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id") -> Model:
     q_toxic = min(0.5, (toxic.hits.sum() + 1) / (toxic.spread.sum() + 20))
     q_clean = (clean.hits.sum() + 0.5) / (clean.words.sum() + 20)
     model.drift = min(-0.005, math.log1p(-q_toxic) - math.log1p(-q_clean))
-    seen = np.array([w for ws in clean.weights for w in ws] or [max(weights.values(), default=1.0)])
-    values, chances = np.r_[seen, model.drift], np.r_[np.full(len(seen), q_clean / len(seen)), 1 - q_clean]
+    seen = Counter()
+    for ws, ns in zip(clean.weights, clean.times, strict=True):
+        seen.update(dict(zip(ws, ns, strict=True)))
+    seen = seen or Counter([max(weights.values(), default=1.0)])
+    often = np.array(list(seen.values()), float)
+    values, chances = np.r_[list(seen), model.drift], np.r_[often * (q_clean / often.sum()), 1 - q_clean]
     model.rate = decay(values, chances / chances.sum())
     held = scanned(rest, model)
     peaks = [model.rate * max(s) - math.log(max(1, n)) for s, n, t in zip(held.segments, held.words, held.toxic, strict=True) if t == 0 and len(s)]
@@ -248,17 +253,18 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
     frame = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     schema = T.StructType([frame.schema["id"], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("passages", T._parse_datatype_string(PASSAGES))])
 
-    def work(frames):
-        for part in frames:
+    def work(batches):
+        for batch in batches:
             scores, passages = [], []
-            for t in part["text"]:
-                low = lowered(t or "")
+            for t in batch.column(1):
+                low = lowered(t.as_py() or "")
                 words = WORD.findall(low)
                 segments = maximal_segments(model.hits(words), model.drift)
                 scores.append(model.probability(model.summary(segments, len(words))))
                 kept = [(a, b, s, e) for a, b, s in segments if (e := math.exp(-max(-30.0, model.normalised(s, len(words))))) <= ALPHA]
                 spans = [m.span() for m in WORD.finditer(low)] if kept else []
-                passages.append([(spans[a][0], spans[b][1], s, e) for a, b, s, e in kept])
-            yield pd.DataFrame({"id": part["id"], "score": scores, "predicted": [int(s >= THRESHOLD) for s in scores], "passages": passages})
+                passages.append([{"start": spans[a][0], "stop": spans[b][1], "score": s, "expected": e} for a, b, s, e in kept])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= THRESHOLD) for s in scores], pa.int32()), pa.array(passages, kind)], names=schema.names)
 
-    return frame.mapInPandas(work, schema)
+    kind = to_arrow_type(schema["passages"].dataType)
+    return frame.mapInArrow(work, schema)
