@@ -1,14 +1,19 @@
 """Approximate nearest neighbours over balanced posting lists.
 
-Distinct vectors are grouped around centroids, which a sample of bounded size
-gives by splitting clusters in two until none is large (so that lists are
-balanced). A vector near a boundary goes into several lists: those of the
+Distinct vectors are grouped around centroids, about ``PER_ROOT`` times the square root of their
+number, which a sample gives by splitting clusters in two until none is large (so that lists are
+balanced); a sample that is too large for one task is split in cells first, each of which is fitted by a task
+of its own. A vector near a boundary goes into several lists: those of the
 ``REPLICAS`` nearest whose centroid is at most ``BOUNDARY`` times as far as the
 nearest. A query walks a graph
-of the centroids in memory, takes those within ``PRUNE`` times the nearest
+of the centroids in memory, takes all within a ratio of the nearest
 distance, and further ones until they hold ``k + 1`` distinct vectors, and is
 compared with all of their vectors; a long list is split in chunks that are
-searched apart.
+searched apart. The ratio is the least that reaches ``TARGET`` of the nearest neighbours of
+``TRIALS`` vectors of the sample within the sample.
+
+How much this saves depends on the vectors: where they form clusters few lists are near, while
+among vectors of many dimensions without any structure all centroids are about as far away.
 
 Equal vectors are one entry with their ``k + 1`` smallest ids, which is all of
 them that any query can need, since ties go to smaller ids.
@@ -31,10 +36,12 @@ from pyspark.sql import functions as F
 
 from kgloom.llm.common import stored
 
-#: Vectors that the index is fitted on, at most; members of a cluster of the sample, at most; rows of a chunk of a list, about.
-FIT_ROWS, FIT_CLUSTER, CHUNK = 20_000, 40, 4096
-DEGREE, WALK, REPLICAS, BOUNDARY = 24, 192, 4, 1.15
-LISTS, PRUNE = 160, 1.3
+#: Lists for the square root of the number of vectors; vectors of the sample for a list, about; members of a cluster of the sample, at most.
+PER_ROOT, FIT_EACH, FIT_CLUSTER = 3.3, 27, 40
+#: Vectors that one task fits, about; rows of a chunk of a list, about.
+FIT_ROWS, CHUNK = 20_000, 4096
+DEGREE, WALK, REPLICAS, BOUNDARY = 24, 64, 4, 1.15
+TARGET, TRIALS = 0.95, 256
 
 
 @dataclass
@@ -44,36 +51,37 @@ class Index:
     centroids: np.ndarray
     graph: np.ndarray
     entry: np.ndarray
+    ratio: float = 1.3
+
+    def nearest(self, vector: np.ndarray, width: int = WALK) -> list[int]:
+        """Best-first walk of the graph: numbers of the centroids within the ratio of the nearest one's distance, nearest first.
 
-    def nearest(self, vector: np.ndarray, width: int = WALK) -> tuple[np.ndarray, np.ndarray]:
-        """Best-first walk of the graph: numbers and distances of about ``width`` nearest centroids, nearest first."""
-        c = self.centroids
-        start = self.entry
-        d = np.sqrt(((c[start] - vector) ** 2).sum(axis=1))
-        seen = set(start.tolist())
-        todo = list(zip(d.tolist(), start.tolist(), strict=True))
+        It goes on until what is left to follow lies beyond that distance and beyond the ``width`` nearest met.
+        """
+        c, ratio = self.centroids, self.ratio
+        d = np.sqrt(((c[self.entry] - vector) ** 2).sum(axis=1))
+        met = dict(zip(self.entry.tolist(), d.tolist(), strict=True))
+        todo = [(x, i) for i, x in met.items()]
         heapq.heapify(todo)
-        best = [(-x, i) for x, i in todo]
+        best = heapq.nlargest(width, (-x for x in met.values()))
         heapq.heapify(best)
-        while len(best) > width:
-            heapq.heappop(best)
+        least = min(met.values())
         while todo:
             x, i = heapq.heappop(todo)
-            if len(best) >= width and x > -best[0][0]:
+            if len(best) >= width and x > max(-best[0], ratio * least):
                 break
-            fresh = [j for j in self.graph[i].tolist() if j not in seen]
+            fresh = [j for j in self.graph[i].tolist() if j not in met]
             if not fresh:
                 continue
-            seen.update(fresh)
             for y, j in zip(np.sqrt(((c[fresh] - vector) ** 2).sum(axis=1)).tolist(), fresh, strict=True):
+                met[j] = y
+                heapq.heappush(todo, (y, j))
                 if len(best) < width:
-                    heapq.heappush(best, (-y, j))
-                    heapq.heappush(todo, (y, j))
-                elif y < -best[0][0]:
-                    heapq.heapreplace(best, (-y, j))
-                    heapq.heappush(todo, (y, j))
-        found = sorted((-x, i) for x, i in best)
-        return np.array([i for _, i in found]), np.array([x for x, _ in found])
+                    heapq.heappush(best, -y)
+                elif y < -best[0]:
+                    heapq.heapreplace(best, -y)
+            least = min(least, -max(best))
+        return [i for x, i in sorted((x, i) for i, x in met.items() if x <= ratio * least + 1e-12)]
 
     def lists_of(self, vectors: np.ndarray) -> list[np.ndarray]:
         """The clusters that hold each vector: the nearest, and others across whose boundary it lies."""
@@ -91,8 +99,7 @@ class Index:
 
         ``owned`` counts the vectors of which a cluster is the nearest, so that none counts twice.
         """
-        at, d = self.nearest(query)
-        out = at[:LISTS][d[:LISTS] <= PRUNE * d[0] + 1e-12].tolist()
+        out = self.nearest(query)
         held = int(owned[out].sum())
         if held < least:
             every = np.argsort(((self.centroids - query) ** 2).sum(axis=1), kind="stable").tolist()
@@ -132,8 +139,7 @@ def balanced_centroids(x: np.ndarray, most: int = FIT_CLUSTER, seed: int = 5) ->
     return np.array(done)
 
 
-def build_index(sample: np.ndarray) -> Index:
-    c = balanced_centroids(sample)
+def build_index(c: np.ndarray, sample: np.ndarray, k: int = 10) -> Index:
     near = []
     for i in range(0, len(c), 512):
         d = ((c[i : i + 512] ** 2).sum(axis=1)[:, None] + (c**2).sum(axis=1)[None]) - 2 * c[i : i + 512] @ c.T
@@ -141,7 +147,55 @@ def build_index(sample: np.ndarray) -> Index:
     near = np.concatenate(near)
     # A few links at random join what nearness alone leaves apart.
     far = np.random.default_rng(3).integers(0, len(c), (len(c), 4))
-    return Index(c, np.concatenate([near, far], axis=1), np.unique(np.linspace(0, len(c) - 1, min(16, len(c))).astype(int)))
+    index = Index(c, np.concatenate([near, far], axis=1), np.unique(np.linspace(0, len(c) - 1, min(16, len(c))).astype(int)))
+    index.ratio = ratio_for(index, sample, k)
+    return index
+
+
+def ratio_for(index: Index, sample: np.ndarray, k: int) -> float:
+    """How far lists must be searched, in units of the nearest centroid's distance, to meet TARGET of the k nearest."""
+    lists, needed = index.lists_of(sample), []
+    for i in np.unique(np.linspace(0, len(sample) - 1, min(TRIALS, len(sample))).astype(int)):
+        d = ((sample - sample[i]) ** 2).sum(axis=1)
+        d[i] = np.inf
+        to_lists = np.sqrt(((index.centroids - sample[i]) ** 2).sum(axis=1))
+        near = np.argsort(d, kind="stable")[: min(k, len(sample) - 1)]
+        needed += [to_lists[lists[j]].min() / max(to_lists.min(), 1e-12) for j in near]
+    return max(1.0, float(np.quantile(needed, TARGET, method="higher"))) if needed else 1.0
+
+
+def fit(held: DataFrame, k: int = 10) -> Index:
+    """The index of a sample of the distinct vectors (``key``, ``v``). Centroids, as many as grow with the root of their number, reach the driver, and vectors of about FIT_ROWS."""
+    spark, n = held.sparkSession, held.count()
+    wanted = FIT_EACH * max(1, round(PER_ROOT * n**0.5))
+    place = F.xxhash64("key").cast("double") / 2.0**64 + 0.5
+
+    def sample(rows: int) -> DataFrame:
+        return held.where(place <= min(1.0, rows / max(1, n))).orderBy("key").select("v")
+
+    first = np.array([r["v"] for r in sample(min(wanted, FIT_ROWS)).collect() or held.orderBy("key").limit(FIT_ROWS).select("v").collect()], float)
+    # As many neighbours in the sample as lie, on average, among the k nearest of all.
+    k = max(1, round(k * len(first) / max(1, n)))
+    if wanted <= FIT_ROWS or n <= FIT_ROWS:
+        return build_index(balanced_centroids(first), first, k)
+    cells = spark.sparkContext.broadcast(balanced_centroids(first, max(2, len(first) * FIT_ROWS // (2 * wanted))))
+
+    def place_in(batches):
+        for batch in batches:
+            x = matrix(batch.column(0))
+            d = (cells.value**2).sum(axis=1)[None] - 2 * x @ cells.value.T
+            yield pa.RecordBatch.from_arrays([pa.array(d.argmin(axis=1), pa.int64()), batch.column(0)], names=["cell", "v"])
+
+    def split(rows: pd.DataFrame) -> pd.DataFrame:
+        x = np.array(sorted(rows["v"].tolist(), key=tuple))
+        return pd.DataFrame({"v": list(balanced_centroids(x))})
+
+    found = held.where(place <= min(1.0, wanted / n)).select("v").mapInArrow(place_in, "cell long, v array<double>").groupBy("cell").applyInPandas(split, "v array<double>")
+    return build_index(np.array(sorted(r["v"] for r in found.collect())), first, k)
+
+
+def matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
 def usable(rows: DataFrame, vec_id: str, vector: str) -> DataFrame:
@@ -169,14 +223,7 @@ def search(rows: DataFrame, every: int = 100, k: int = 10, vec_id: str = "vec_id
         return spark.createDataFrame([], out)
     vectors = vectors.where(F.size("v") == sizes[0]["d"])
     held = stored(entries(vectors, k), "vectors")
-    share = min(1.0, FIT_ROWS / max(1, held.count()))
-    fitted = held.where(F.xxhash64("key").cast("double") / 2.0**64 + 0.5 <= share).orderBy("key").limit(FIT_ROWS).select("v").toPandas()
-    if fitted.empty:
-        fitted = held.orderBy("key").limit(FIT_ROWS).select("v").toPandas()
-    index = spark.sparkContext.broadcast(build_index(np.array(fitted["v"].tolist(), float)))
-
-    def matrix(column: pa.Array) -> np.ndarray:
-        return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+    index = spark.sparkContext.broadcast(fit(held, k))
 
     def post(batches):
         for batch in batches:
@@ -192,7 +239,7 @@ def search(rows: DataFrame, every: int = 100, k: int = 10, vec_id: str = "vec_id
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lists), pa.int64()), batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at))], names=["list", "query", "q"])
 
     postings = stored(held.select("key", "v", "ids").mapInArrow(post, "list long, key string, v array<double>, ids array<long>, nearest boolean"), "postings")
-    # One number for each list; lists are as many as the bounded sample gives.
+    # One number for each list, of which there are as many as centroids.
     counts = np.zeros(len(index.value.centroids), np.int64)
     for r in postings.where("nearest").groupBy("list").agg(F.count("*").alias("n")).collect():
         counts[r["list"]] = r["n"]
