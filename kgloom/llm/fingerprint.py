@@ -111,12 +111,36 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return fingerprinted(prepared(docs, np.zeros(0, np.int64), doc_id, text), clashes, "digest", "second", "fingerprint").select("id", "fingerprint")
 
 
+#: Ids that are looked at for each end of a range.
+OVER = 8
+
+
 def range_ends(docs: DataFrame, doc_id: str = "doc_id") -> np.ndarray:
-    """Ends of ranges of ids that hold about as many rows each, four ranges to a partition of the input; they are all that reaches the driver."""
+    """Ends of ranges of ids that hold about as many rows each, two ranges to a partition of the input; every ``OVER``-th of a sample of different ids, which is all that reaches the driver."""
     frame = docs.select(doc_id)
-    parts = 4 * frame.rdd.getNumPartitions()
-    ends = frame.agg(F.percentile_approx(doc_id, [k / parts for k in range(1, parts)], 100 * parts).alias("ends")).head()["ends"] if parts > 1 else None
-    return np.unique(np.array(ends or [], np.int64))
+    parts = 2 * frame.rdd.getNumPartitions()
+    share = min(1.0, OVER * parts / max(1, frame.count()))
+    chosen = frame.where((F.xxhash64(doc_id).cast("double") / 2.0**64 + 0.5 <= share) & F.col(doc_id).isNotNull()).distinct()
+    ids = np.sort(np.array([r[0] for r in chosen.collect()], np.int64))
+    return ids[OVER - 1 :: OVER]
+
+
+def part_of(ids: pa.Array, ends: np.ndarray) -> pa.Array:
+    """The range of each id; null ids come before all."""
+    return pa.array(np.where(np.asarray(ids.is_null()), -1, np.searchsorted(ends, ids.fill_null(0).to_numpy(zero_copy_only=False), "left")), pa.int32())
+
+
+def range_heads(docs: DataFrame, ends: np.ndarray, doc_id: str = "doc_id") -> DataFrame:
+    """``before``, ``head``: for each range the least id of the range that follows, from the ids alone; after the last comes the first."""
+
+    def work(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), part_of(batch.column(0), ends)], names=["id", "part"])
+
+    frame = docs.select(F.col(doc_id).alias("id"))
+    parts = frame.mapInArrow(work, T.StructType([frame.schema["id"], T.StructField("part", T.IntegerType())]))
+    firsts = sorted((tuple(r) for r in parts.groupBy("part").agg(F.min("id").alias("id")).collect()), key=lambda r: r[0])
+    return docs.sparkSession.createDataFrame([(firsts[k - 1][0], i) for k, (_, i) in enumerate(firsts)], f"before int, head {frame.schema['id'].dataType.simpleString()}")
 
 
 def prepared(docs: DataFrame, ends: np.ndarray, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -128,29 +152,25 @@ def prepared(docs: DataFrame, ends: np.ndarray, doc_id: str = "doc_id", text: st
         squeeze = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
             ids = batch.column(0)
-            part = np.where(np.asarray(ids.is_null()), -1, np.searchsorted(ends, ids.fill_null(0).to_numpy(zero_copy_only=False), "left")) if len(ends) else np.where(np.asarray(ids.is_null()), -1, 0)
             packed, first, second = [], [], []
             for t in texts(batch.column(1)):
                 plain = canonical(t).encode()
                 packed.append(squeeze(t.encode()))
                 first.append(digest_of(plain))
                 second.append(second_of(plain))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(part, pa.int32()), pa.array(packed, pa.binary()), pa.array(first, pa.string()), pa.array(second, pa.string())], names=["id", "part", "packed", "digest", "second"])
+            yield pa.RecordBatch.from_arrays([ids, part_of(ids, ends), pa.array(packed, pa.binary()), pa.array(first, pa.string()), pa.array(second, pa.string())], names=["id", "part", "packed", "digest", "second"])
 
     return frame.mapInArrow(work, schema)
 
 
-def with_next(frame: DataFrame, columns: list[str]) -> DataFrame:
+def with_next(frame: DataFrame, heads: DataFrame, head_rows: DataFrame, columns: list[str]) -> DataFrame:
     """Rows with ``id``, ``part`` and ``columns``, and ``columns`` of the row that follows in ascending id (after the last: the first) as ``next_*``.
 
     Inside a range a window looks one row ahead; its last row takes the first row of the range that
-    follows. Equal ids follow in the order of ``columns``.
+    follows, which ``heads`` names and ``head_rows`` (rows like ``frame``'s) holds. Equal ids follow in the order of ``columns``.
     """
-    spark = frame.sparkSession
-    firsts = sorted(frame.groupBy("part").agg(F.min("id").alias("id")).collect(), key=lambda r: r["part"])
-    heads = spark.createDataFrame([(firsts[k - 1]["part"], r["id"]) for k, r in enumerate(firsts)], f"before int, head {frame.schema['id'].dataType.simpleString()}")
     # A row for each range: the rows that stand first in one.
-    first_rows = frame.join(F.broadcast(heads), F.col("id").eqNullSafe(F.col("head"))).groupBy("before").agg(F.min(F.struct(*columns)).alias("head_row"))
+    first_rows = head_rows.join(F.broadcast(heads), F.col("id").eqNullSafe(F.col("head"))).groupBy("before").agg(F.min(F.struct(*columns)).alias("head_row"))
     here = Window.partitionBy("part").orderBy(F.col("id").asc_nulls_first(), *columns)
     ahead = frame.withColumn("ahead", F.lead(F.struct(*columns)).over(here))
     follows = [F.when(F.col("ahead").isNull(), F.col(f"head_row.{c}")).otherwise(F.col(f"ahead.{c}")).alias(f"next_{c}") for c in columns]

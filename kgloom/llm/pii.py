@@ -2,15 +2,19 @@
 
 The base patterns find e-mail and IP addresses, card and phone numbers. An
 address or number that stands in several documents is a protected entity, and
-the corpus tells how strongly a term near it reveals it: a term t discloses an
+the corpus tells how strongly a term of these documents reveals it: a term t discloses an
 entity e if PMI(t, e) reaches ``DISCLOSURE`` of e's information -log p(e), that
 is, if seeing t all but names e (Sanchez and Batet 2013). Probabilities are
-shares of all documents; equal texts count once. Such terms are generalised to
-a class by their form where their class hides them (numbers) and removed where
-it does not.
+shares of all documents; equal texts count once. The whole text is an entity's context, and
+every occurrence of a disclosing term in a document with the entity is a span. Such terms are
+generalised up a hierarchy of forms: numbers, codes of letters and digits, and capitalised names to
+their class, which is common and so hides them; plain words, whose form tells no class, are removed.
+
+Co-occurrence in fewer than ``SUPPORT`` texts is no estimate of a probability (every term of a text
+would disclose an entity that is seen once), so such pairs disclose nothing.
 
 Counts of documents per term are taken over the whole corpus, for those terms
-only that stand near an entity at least ``SUPPORT`` times; a filter of fixed
+only that stand with an entity at least ``SUPPORT`` times; a filter of fixed
 size, which is all that is broadcast, picks them out, and an exact join follows.
 
 Cases: null and empty texts have no spans; ties go to the span that starts
@@ -23,7 +27,6 @@ from __future__ import annotations
 import re
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -33,8 +36,8 @@ from pyspark.sql import types as T
 from kgloom.llm.common import stored
 
 KINDS = ("email", "ip", "card", "phone")
-#: Words (and characters) on either side of an entity that are its context; least documents of a pair; share of the entity's information.
-NEAR, REACH, SUPPORT, DISCLOSURE = 8, 200, 5, 0.8
+#: Least texts that an entity and a term share; share of the entity's information.
+SUPPORT, DISCLOSURE = 3, 0.8
 FILTER_BITS = 1 << 22
 
 # The base patterns.
@@ -97,46 +100,49 @@ def term_key(term: str) -> int:
     return xxhash.xxh3_64_intdigest(term) - (1 << 63)
 
 
-def contexts(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, list[tuple[str, int, int]]]]:
-    """(kind, entity, terms near it with their places) for each base span; terms inside base spans are left out."""
-    out = []
-    covered = sorted((a, b) for _, a, b in spans)
-    starts = [a for a, _ in covered]
-    for kind, a, b in spans:
-        low, high = max(0, a - REACH), min(len(text), b + REACH)
-        # A word that the edge of the reach cuts is left out.
-        left = [m for m in _TERM.finditer(text, low, a) if m.start() > low or low == 0 or not _TERM.match(text[low - 1])][-NEAR:]
-        right = [m for m in _TERM.finditer(text, b, high) if m.end() < high or high == len(text) or not _TERM.match(text[high])][:NEAR]
-        terms = []
-        for m in (*left, *right):
-            k = int(np.searchsorted(starts, m.end(), "left")) - 1
-            if k < 0 or covered[k][1] <= m.start():
-                terms.append((m[0].lower(), m.start(), m.end()))
-        out.append((kind, entity_key(kind, text[a:b]), terms))
+def terms_of(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, int, int]]:
+    """(lower-cased term, start, stop) of every term of a text that no base span touches."""
+    out, end = [], 0
+    for a, b in [*sorted((a, b) for _, a, b in spans), (len(text), len(text))]:
+        if a > end:
+            out += [(m[0].lower(), *m.span()) for m in _TERM.finditer(text, end, a) if not (m.start() == end > 0 and _TERM.match(text[end - 1])) and not (m.end() == a < len(text) and _TERM.match(text[a]))]
+        end = max(end, b)
     return out
 
 
-def near_terms(docs: DataFrame) -> DataFrame:
-    """``doc`` (hash of the text), ``entity``, ``terms`` (keys of the distinct terms near it) of every entity of every text."""
+SPAN = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType())])
+_SPANS = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("stop", pa.int32())]))
+
+
+def _listed(spans: list[list[tuple[int, int, int]]]) -> pa.Array:
+    return pa.array([[{"kind": k, "start": a, "stop": b} for k, a, b in ss] for ss in spans], _SPANS)
+
+
+def split_holders(frame: DataFrame, holding: bool) -> DataFrame:
+    """``id``, ``at``, ``text``, ``spans`` of the rows with base spans, and the keys of their ``entities``; or of those without."""
+    fields = [*frame.select("id", "at", "text").schema.fields, T.StructField("spans", T.ArrayType(SPAN)), T.StructField("entities", T.ArrayType(T.LongType()))]
 
     def work(batches):
         for batch in batches:
-            doc, entity, terms = [], [], []
-            for t in batch.column(0):
-                t = t.as_py() or ""
-                if not (spans := base_spans(t)):
-                    continue
-                at = xxhash.xxh3_64_intdigest(t) - (1 << 63)
-                found: dict[int, set[int]] = {}
-                for _, e, ts in contexts(t, spans):
-                    found.setdefault(e, set()).update(term_key(x) for x, _, _ in ts)
-                for e, ts in found.items():
-                    doc.append(at)
-                    entity.append(e)
-                    terms.append(sorted(ts))
-            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(entity, pa.int64()), pa.array(terms, pa.list_(pa.int64()))], names=["doc", "entity", "terms"])
+            spans = [base_spans(t.as_py()) for t in batch.column(2)]
+            at = [k for k, ss in enumerate(spans) if bool(ss) == holding]
+            chosen = batch.take(pa.array(at, pa.int64()))
+            entities = [sorted({entity_key(kind, t.as_py()[a:b]) for kind, a, b in spans[k]}) if holding else [] for k, t in zip(at, chosen.column(2), strict=True)]
+            yield pa.RecordBatch.from_arrays([*chosen.columns, _listed([spans[k] for k in at]), pa.array(entities, pa.list_(pa.int64()))], names=["id", "at", "text", "spans", "entities"])
+
+    return frame.select("id", "at", "text").mapInArrow(work, T.StructType(fields))
 
-    return docs.select("text").mapInArrow(work, "doc long, entity long, terms array<long>").distinct()
+
+def near_terms(held: DataFrame) -> DataFrame:
+    """``doc`` (hash of the text), ``entity``, ``terms`` (keys of the distinct terms of the text) of every entity of every text."""
+
+    def work(batches):
+        for batch in batches:
+            terms = [sorted({term_key(x) for x in {x for x, _, _ in terms_of(t.as_py(), [(s["kind"], s["start"], s["stop"]) for s in ss.as_py()])}}) for t, ss in zip(batch.column(1), batch.column(2), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), pa.array(terms, pa.list_(pa.int64()))], names=["doc", "entities", "terms"])
+
+    once = held.select("at", "text", "spans", "entities").dropDuplicates(["at"])
+    return once.mapInArrow(work, "doc long, entities array<long>, terms array<long>").select("doc", F.explode("entities").alias("entity"), "terms")
 
 
 def term_documents(docs: DataFrame, terms: DataFrame) -> DataFrame:
@@ -175,69 +181,59 @@ def term_documents(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return seen.join(terms, "term", "left_semi")
 
 
-def disclosing_terms(docs: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
-    """``entity``, ``term``: the terms that disclose an entity, by co-occurrence over all distinct texts of ``docs``.
+def disclosing_terms(docs: DataFrame, held: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
+    """``entity``, ``term``: the terms that disclose an entity, by co-occurrence over all distinct texts of ``docs``; ``held`` has those with entities.
 
     Only entities of ``support`` texts can have any.
     """
-    near = stored(near_terms(docs), "near-terms")
+    near = stored(near_terms(held), "near-terms")
     whole = docs.select(F.xxhash64("text").alias("h")).distinct().count()
-    if not whole:
-        return near.select("entity", F.lit(0).cast("long").alias("term")).limit(0)
-    entities = near.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= support)
+    entities = near.groupBy("entity").agg(F.count("*").alias("n_e")).where((F.col("n_e") >= support) & (F.col("n_e") < whole))
+    known = stored(near.join(entities, "entity"), "known-entities")
+    if known.isEmpty():
+        return known.select("entity", F.lit(0).cast("long").alias("term"))
     # A pair discloses if its term is in at most n_et * (all / n_e) ^ (1 - disclosure) texts; one that stands
-    # near entities of any kind in more texts than that is out before its texts are counted.
-    spread = near.select("doc", F.explode("terms").alias("term")).distinct().groupBy("term").agg(F.count("*").alias("n_near"))
-    met = near.join(entities, "entity").select("entity", "n_e", F.explode("terms").alias("term")).groupBy("entity", "n_e", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= support)
+    # in more texts with entities of any kind than that is out before its texts are counted.
+    spread = known.dropDuplicates(["doc"]).select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_near"))
+    met = known.select("entity", "n_e", F.explode("terms").alias("term")).groupBy("entity", "n_e", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= support)
     most = F.col("n_et") * F.pow(F.lit(float(whole)) / F.col("n_e"), F.lit(1 - disclosure))
-    pairs = stored(met.where(F.col("n_e") < whole).join(spread, "term").withColumn("most", most).where("n_near <= most * 1.000001").select("entity", "term", "most"), "pairs")
+    pairs = stored(met.join(spread, "term").withColumn("most", most).where("n_near <= most * 1.000001").select("entity", "term", "most"), "pairs")
     if pairs.isEmpty():
         return pairs.select("entity", "term")
     terms = stored(pairs.select("term").distinct(), "terms")
     return pairs.join(term_documents(docs, terms), "term").where("n_t <= most * 1.000001").select("entity", "term")
 
 
-def find(docs: DataFrame, disclosing: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``id``, ``text``, ``spans`` (``kind``, ``start``, ``stop``) of each row: base kinds, then ``term``.
+def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", terms: bool = True, clean: bool = False) -> DataFrame:
+    """``id``, ``text`` (with ``clean``, generalised), ``spans`` (``kind``, ``start``, ``stop``) of each row: base kinds, then, with ``terms``, disclosing terms.
 
-    ``disclosing`` is joined by entity to the few rows that hold such an entity.
+    Rows with base spans are stored, and everything about entities starts from them; the others have no more to find.
     """
-    frame = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    span = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType())])
-
-    @F.pandas_udf(T.ArrayType(span))
-    def base(texts: pd.Series) -> pd.Series:
-        return pd.Series([[{"kind": k, "start": a, "stop": b} for k, a, b in base_spans(t)] for t in texts], dtype=object)
-
-    found = frame.withColumn("spans", base("text"))
-    if disclosing is None:
-        return found
-
-    @F.pandas_udf(T.ArrayType(T.LongType()))
-    def entities(texts: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([sorted({entity_key(s["kind"], t[s["start"] : s["stop"]]) for s in ss}) for t, ss in zip(texts, spans, strict=True)], dtype=object)
-
-    @F.pandas_udf(T.ArrayType(span))
-    def with_terms(texts: pd.Series, spans: pd.Series, revealing: pd.Series) -> pd.Series:
-        out = []
-        for t, ss, rs in zip(texts, spans, revealing, strict=True):
-            known = {(r["entity"], r["term"]) for r in rs} if rs is not None else set()
-            base_of = [(s["kind"], s["start"], s["stop"]) for s in ss]
-            terms = sorted({(a, b) for _, e, near in contexts(t, base_of) for x, a, b in near if (e, term_key(x)) in known}) if known else []
-            out.append([{"kind": k, "start": a, "stop": b} for k, a, b in (*base_of, *((len(KINDS), a, b) for a, b in terms))])
-        return pd.Series(out, dtype=object)
-
-    # Rows without an entity pass by the join; equal texts are looked up once.
-    holders = found.where("size(spans) > 0").withColumn("at", F.xxhash64("text"))
-    revealing = (
-        holders.select("at", F.explode(entities("text", "spans")).alias("entity"))
-        .distinct()
-        .join(disclosing, "entity")
-        .groupBy("at")
-        .agg(F.collect_set(F.struct("entity", "term")).alias("revealing"))
-    )
-    revealed = holders.join(revealing, "at", "left").select("id", "text", with_terms("text", "spans", "revealing").alias("spans"))
-    return found.where("size(spans) = 0").select("id", "text", "spans").union(revealed)
+    frame = docs.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("at"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    held = stored(split_holders(frame, True), "holders")
+    found = held
+    if terms:
+        pairs = disclosing_terms(frame.select("text"), held)
+        named = held.select("at", F.explode("entities").alias("entity")).distinct()
+        found = held.join(named.join(pairs, "entity").groupBy("at").agg(F.collect_set("term").alias("revealing")), "at", "left")
+    else:
+        found = held.withColumn("revealing", F.lit(None).cast("array<long>"))
+    schema = T.StructType([held.schema["id"], T.StructField("text", T.StringType()), T.StructField("spans", T.ArrayType(SPAN))])
+
+    def finish(batches):
+        for batch in batches:
+            texts, spans = [], []
+            for t, ss, rs in zip(batch.column(1), batch.column(2), batch.column(3), strict=True):
+                t, known = t.as_py(), set(rs.as_py() or ())
+                mine = [(s["kind"], s["start"], s["stop"]) for s in ss.as_py()]
+                if known:
+                    mine += [(len(KINDS), a, b) for x, a, b in terms_of(t, mine) if term_key(x) in known]
+                texts.append(cleaned(t, mine) if clean else t)
+                spans.append(mine)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), _listed(spans)], names=["id", "text", "spans"])
+
+    marked = found.select("id", "text", "spans", "revealing").mapInArrow(finish, schema)
+    return split_holders(frame, False).select("id", "text", "spans").union(marked)
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -251,26 +247,27 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select("id", *counts, F.sha2(said(F.expr(f"filter(spans, x -> x.kind < {len(KINDS)})")), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"))
 
 
+def general(term: str) -> str:
+    """What stands for a disclosing term: its class by form, nothing for a plain word."""
+    if term.isdigit():
+        return "<NUMBER>"
+    if any(map(str.isdigit, term)):
+        return "<CODE>"
+    return "<NAME>" if term[:1].isupper() else ""
+
+
 def cleaned(text: str, spans: list[tuple[int, int, int]]) -> str:
-    """The text with each span generalised to its kind; a disclosing number to <NUMBER>, any other disclosing term removed.
+    """The text with each span generalised: base kinds to their names, disclosing terms as ``general`` says.
 
     Of overlapping spans the one that starts first, then the longest, names the whole stretch.
     """
     out, at, reach = [], 0, -1
-    for a, b, k in sorted((a, b, k) for k, a, b in spans if b > a):
+    for a, b, k in sorted((a, -b, k) for k, a, b in spans if b > a):
+        b = -b
         if a < reach:
             if b > reach:
                 reach = at = b
             continue
-        out.append(text[at:a])
-        if k < len(KINDS):
-            out.append(f"<{KINDS[k].upper()}>")
-        elif text[a:b].isdigit():
-            out.append("<NUMBER>")
+        out += [text[at:a], f"<{KINDS[k].upper()}>" if k < len(KINDS) else general(text[a:b])]
         at = reach = b
     return "".join((*out, text[at:]))
-
-
-@F.pandas_udf(T.StringType())
-def sanitised(text: pd.Series, spans: pd.Series) -> pd.Series:
-    return pd.Series([cleaned(t, [(s["kind"], s["start"], s["stop"]) for s in ss]) for t, ss in zip(text, spans, strict=True)], dtype=object)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kgloom.llm import ann, fingerprint, langid, minhash, mixing, pii, secrets, suffix_dedup, toxicity
 from kgloom.llm import sentencepiece_lattice as lattice
-from kgloom.llm.common import fold, stored, table
+from kgloom.llm.common import fold, shared_dir, stored, table
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,22 +52,28 @@ def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    found = pii.find(docs, pii.disclosing_terms(docs.select("text")))
-    return pii.digest(found).withColumnRenamed("id", "doc_id")
+    return pii.digest(pii.find(table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     versions = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.lit(0).alias("version"), F.col("text").alias("content"))
-    return secrets.secret_digest(secrets.findings(versions, secrets.scan_blobs(versions)))
+    # A ledger of this run alone, so that the result is that of the tables given.
+    return secrets.secret_digest(secrets.scan(versions, f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}"))
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     clashes = stored(fingerprint.collided(docs), "clashes")
-    rows = fingerprint.prepared(docs, fingerprint.range_ends(docs))
-    own = fingerprint.fingerprinted(rows, clashes, "digest", "second", "fingerprint").select("id", "part", "packed", "fingerprint")
-    new = fingerprint.edited(fingerprint.with_next(own, ["packed", "fingerprint"]), ["fingerprint", "next_fingerprint"])
+    ends = fingerprint.range_ends(docs)
+    heads = fingerprint.range_heads(docs, ends)
+
+    def own(rows: DataFrame) -> DataFrame:
+        named = fingerprint.fingerprinted(fingerprint.prepared(rows, ends), clashes, "digest", "second", "fingerprint")
+        return named.select("id", "part", "packed", "fingerprint")
+
+    # Heads are a row for each range: their documents are picked before anything is worked out of them.
+    first = docs.join(F.broadcast(heads.select("head").distinct()), F.col("doc_id").eqNullSafe(F.col("head")), "left_semi")
+    new = fingerprint.edited(fingerprint.with_next(own(docs), heads, own(first), ["packed", "fingerprint"]), ["fingerprint", "next_fingerprint"])
     return fingerprint.fingerprinted(new, clashes, "digest", "second", "edited_fingerprint").select(
         F.col("id").alias("doc_id"),
         "n_chars",

@@ -14,9 +14,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kgloom.llm.common import stored
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -54,6 +57,7 @@ EXTRA_RULES = (
 )
 
 FOUND = "array<struct<start:int,ord:int,kind:string,stop:int>>"
+LEDGER = f"blob binary, rule string, rule_version int, found {FOUND}"
 
 
 def _quoted(text: str) -> str:
@@ -63,21 +67,20 @@ def _quoted(text: str) -> str:
 def _spans(rule: Rule, order: int, content: str = "content"):
     """All matches of a rule, leftmost and not overlapping, with code-point positions.
 
-    A match is the first place of its own string after the previous match:
-    any earlier place would itself have matched.
+    What stands between matches and the matches themselves add up to the places; spans are
+    gathered in runs, so that the time is in proportion to the text and its matches.
     """
     whole = f"regexp_extract_all({content}, {_quoted(rule.pattern)}, 0)"
-    if rule.group:
-        matches = f"zip_with({whole}, regexp_extract_all({content}, {_quoted(rule.pattern)}, {rule.group}), (m, g) -> named_struct('m', m, 'g', g))"
-    else:
-        matches = f"transform({whole}, m -> named_struct('m', m, 'g', m))"
-    at = f"locate(x.m, {content}, a.at)"
-    return F.expr(f"""aggregate({matches}, named_struct('at', 1, 'found', cast(array() as {FOUND})),
-      (a, x) -> named_struct(
-        'at', {at} + char_length(x.m),
-        'found', if(char_length(x.g) < {rule.least}, a.found, concat(a.found, array(named_struct(
-          'start', {at} - 1, 'ord', {order}, 'kind', '{rule.name}', 'stop', {at} - 1 + char_length(x.m)))))),
-      a -> a.found)""")
+    pairs = f"zip_with({whole}, regexp_extract_all({content}, {_quoted(rule.pattern)}, {rule.group}), (m, g) -> named_struct('m', m, 'g', g))" if rule.group else f"transform({whole}, m -> named_struct('m', m, 'g', m))"
+    # One gap more than matches: what follows the last of them.
+    matches = f"zip_with({pairs}, split({content}, {_quoted(rule.pattern)}, -1), (y, gap) -> named_struct('m', y.m, 'g', y.g, 'gap', gap))"
+    span = f"named_struct('start', a.at + char_length(x.gap), 'ord', {order}, 'kind', '{rule.name}', 'stop', a.at + char_length(x.gap) + char_length(x.m))"
+    return F.expr(f"""if({content} rlike {_quoted(rule.pattern)}, aggregate({matches}, named_struct('at', 0, 'old', cast(array() as array<{FOUND}>), 'near', cast(array() as {FOUND})),
+      (a, x) -> if(x.m IS NULL, a, named_struct(
+        'at', a.at + char_length(x.gap) + char_length(x.m),
+        'old', if(size(a.near) < 256, a.old, concat(a.old, array(a.near))),
+        'near', concat(if(size(a.near) < 256, a.near, cast(array() as {FOUND})), if(char_length(x.g) < {rule.least}, cast(array() as {FOUND}), array({span}))))),
+      a -> flatten(concat(a.old, array(a.near)))), cast(array() as {FOUND}))""")
 
 
 def addressed(versions: DataFrame) -> DataFrame:
@@ -115,11 +118,12 @@ def ledger_entries(scanned: DataFrame) -> DataFrame:
     return pairs.select("blob", "x.rule", "x.rule_version", F.filter("found", lambda f: f.kind == F.col("x.rule")).alias("found"))
 
 
-def united(ledger: DataFrame, scanned: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + EXTRA_RULES) -> DataFrame:
+def united(ledger: DataFrame, scanned: DataFrame | None, rules: tuple[Rule, ...] = BASE_RULES + EXTRA_RULES) -> DataFrame:
     """``blob``, ``found``: one row a blob with all that is known of it for the current versions of ``rules``, old and new."""
-    spark = scanned.sparkSession
+    spark = ledger.sparkSession
     current = spark.createDataFrame([(r.name, r.version, k) for k, r in enumerate(rules)], "rule string, rule_version int, place int")
-    entries = ledger.select("blob", "rule", "rule_version", "found").union(ledger_entries(scanned)).join(F.broadcast(current), ["rule", "rule_version"])
+    entries = ledger.select("blob", "rule", "rule_version", "found")
+    entries = (entries if scanned is None else entries.union(ledger_entries(scanned))).join(F.broadcast(current), ["rule", "rule_version"])
     # A pair that was entered twice counts once; the place of a rule may have changed since it was entered.
     once = entries.groupBy("blob", "place").agg(F.any_value("found").alias("found"))
     placed = once.withColumn("found", F.expr(f"cast(transform(found, f -> named_struct('start', f.start, 'ord', place, 'kind', f.kind, 'stop', f.stop)) as {FOUND})"))
@@ -134,6 +138,27 @@ def findings(versions: DataFrame, scanned: DataFrame) -> DataFrame:
     return addressed(versions).join(scanned.select("blob", "found"), "blob", "left").select("path", "version", "blob", F.coalesce("found", F.array().cast(FOUND)).alias("found"))
 
 
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """The ledger at a path; an empty one where there is none yet."""
+    try:
+        return spark.read.schema(LEDGER).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], LEDGER)
+
+
+def scan(versions: DataFrame, path: str, rules: tuple[Rule, ...] = BASE_RULES + EXTRA_RULES) -> DataFrame:
+    """Findings of every version, with what the ledger at ``path`` lacks scanned and appended to it first.
+
+    A run that dies leaves no half entry; one that is repeated scans what is still unseen.
+    """
+    spark = versions.sparkSession
+    ledger_entries(scan_blobs(versions, rules, read_ledger(spark, path))).write.mode("append").parquet(path)
+    mine = addressed(versions).select("blob").distinct()
+    return findings(versions, stored(united(read_ledger(spark, path).join(mine, "blob", "left_semi"), None, rules), "found"))
+
+
 def secret_digest(found: DataFrame) -> DataFrame:
     """Counts of the base kinds and the spans as text: of the base kinds hashed, of all kinds in full."""
     base = F.filter("found", lambda x: x.ord < len(BASE_RULES))
