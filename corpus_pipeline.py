@@ -29,10 +29,9 @@ def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def personal_data_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with personal data, and what discloses it, generalised; ``n_chars`` follows."""
     rows = docs.select(F.struct("*").alias("row"), "text")
-    found = pii.find(rows, pii.disclosing_terms(docs.select("text")), "row")
-    cleaned = found.withColumn("text", F.when(F.size("spans") > 0, pii.sanitised("text", "spans")).otherwise(F.col("id.text")))
-    new = {"text": F.col("text"), "n_chars": F.when(F.col("id.text").isNotNull(), F.char_length("text")).otherwise(F.col("id.n_chars")).cast("long")}
-    return cleaned.select(*[new.get(c, F.col("id").getField(c)).alias(c) for c in docs.columns])
+    found = pii.find(rows, "row", clean=True)
+    new = {"text": F.when(F.col("id.text").isNotNull(), F.col("text")), "n_chars": F.when(F.col("id.text").isNotNull(), F.char_length("text")).otherwise(F.col("id.n_chars")).cast("long")}
+    return found.select(*[new.get(c, F.col("id").getField(c)).alias(c) for c in docs.columns])
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
