@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kgloom.operators.query import hop
+from kgloom.session import cut
 
 
 def _steps(path: str) -> list[tuple[str, bool]]:
@@ -33,7 +34,8 @@ def ends(parsed: DataFrame, edges: DataFrame) -> DataFrame:
 def answer(parsed: DataFrame, nodes: DataFrame, edges: DataFrame, attrs: DataFrame) -> DataFrame:
     """``qid``, ``answer_id``, ``answer_label``: entities for lists and superlatives, a number for counts, yes or no, or a value."""
     asked = parsed.select("qid", "qtype", "agg", "attr_p", "target_id").where("qtype IS NOT NULL")
-    at = ends(parsed, edges).join(asked, "qid")
+    # Every class of question starts from these ends: they are walked once and stored.
+    at = cut(ends(parsed, edges).join(asked, "qid"))
     labelled = nodes.select("id", "label")
     lists = at.where("qtype = 'list'").select("qid", "id").distinct()
     counted = at.where("qtype = 'count'").groupBy("qid").agg(F.countDistinct("id").cast("string").alias("answer_id"))
@@ -73,12 +75,16 @@ def verbalize(questions: DataFrame, answers: DataFrame, templates: DataFrame, m:
 
     ``questions`` has ``qid`` and ``qtype``; ``templates`` has ``qtype`` and ``sentence`` with one ``%s``.
     """
-    named = answers.groupBy("qid").agg(F.array_sort(F.collect_list("answer_label")).alias("names"))
+    # The first names and the count of all are found apart, so that no row gathers a question's every answer.
+    given = answers.where("answer_label IS NOT NULL").select("qid", "answer_label")
+    first = Window.partitionBy("qid").orderBy("answer_label")
+    heads = given.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= m).groupBy("qid").agg(F.array_sort(F.collect_list("answer_label")).alias("names"))
+    named = heads.join(given.groupBy("qid").agg(F.count("*").alias("n")), "qid")
     joined = questions.select("qid", "qtype").join(templates, "qtype", "left").join(named, "qid", "left")
-    more = F.size("names") - m
-    listed = F.concat(F.array_join(F.slice("names", 1, m), ", "), F.when(more > 0, F.concat(F.lit(" and "), more.cast("string"), F.lit(" more"))).otherwise(""))
+    more = F.col("n") - m
+    listed = F.concat(F.array_join("names", ", "), F.when(more > 0, F.concat(F.lit(" and "), more.cast("string"), F.lit(" more"))).otherwise(""))
     text = F.when(F.col("names").isNull() | F.col("sentence").isNull(), F.lit(fallback)).otherwise(F.replace("sentence", F.lit("%s"), listed))
-    return joined.select("qid", text.alias("answer_text"), F.coalesce(F.size("names"), F.lit(0)).cast("long").alias("n_answers")).withColumn("n_answers", F.greatest("n_answers", F.lit(0).cast("long")))
+    return joined.select("qid", text.alias("answer_text"), F.coalesce("n", F.lit(0)).cast("long").alias("n_answers"))
 
 
 def score(answers: DataFrame, gold: DataFrame) -> DataFrame:

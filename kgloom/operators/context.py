@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kgloom.functions.text import tokens
+from kgloom.session import cut
 
 
 def with_history(conversations: DataFrame, n: int) -> DataFrame:
@@ -34,7 +35,7 @@ def split_passages(documents: DataFrame, n: int, stride: int) -> DataFrame:
 
 def retrieve_bm25(questions: DataFrame, docs: DataFrame, k: int, k1: float = 1.2, b: float = 0.75, common: float = 0.1) -> DataFrame:
     """``qid``, ``doc_id``, ``score``, ``rank``: the k best by BM25; terms of more than a share ``common`` of documents are left out."""
-    words = docs.select("doc_id", tokens(F.col("text")).alias("w"))
+    words = cut(docs.select("doc_id", tokens(F.col("text")).alias("w")))  # read for lengths, spread and postings
     sizes = words.agg(F.count("*").alias("n_docs"), F.avg(F.size("w")).alias("mean")).head()
     n_docs, mean = sizes["n_docs"], sizes["mean"] or 1.0
     terms = words.select("doc_id", F.size("w").alias("len"), F.explode("w").alias("tok")).groupBy("tok", "doc_id", "len").agg(F.count("*").alias("tf"))
@@ -52,6 +53,8 @@ def retrieve_bm25(questions: DataFrame, docs: DataFrame, k: int, k1: float = 1.2
 def retrieve_knn(queries: DataFrame, vectors: DataFrame, k: int, block: int = 4096) -> DataFrame:
     """``query_id``, ``vec_id``, ``score``, ``rank``: the k nearest by cosine, itself left out; exact.
 
+    Meant for a stated set of queries, each block of which is a scan; a share of a growing table asks for an index instead.
+
     Queries are dealt in blocks of at most ``block``, and every block meets every batch of vectors, as a stated set of queries does; each
     meeting sends on its k best, and a window takes the best of these.
     """

@@ -15,12 +15,13 @@ def make_examples(questions: DataFrame, responses: DataFrame, cap: int) -> DataF
     return made.select(F.md5("qid").alias("example_id"), F.col("text").alias("question"), F.col("answer_text").alias("answer"), "p")
 
 
-def numbered(nodes: DataFrame, buckets: int = 64) -> DataFrame:
+def numbered(nodes: DataFrame, buckets: int = 64, rows: int = 65536) -> DataFrame:
     """``type``, ``idx`` (from 0, without gaps, by hash bucket and id), ``id``, ``size`` of the type.
 
-    A type is numbered in buckets, and a bucket starts where those before it end: no task holds a whole type.
+    A type is numbered in buckets of about ``rows``, ``buckets`` at least, and a bucket starts where those before it end: no task holds a whole type.
     """
-    dealt = nodes.select("type", "id", (md5_int(F.col("id")) % buckets).alias("bucket"))
+    counts = nodes.groupBy("type").agg(F.greatest(F.lit(buckets), F.ceil(F.count("*") / rows)).alias("buckets"))
+    dealt = nodes.join(counts, "type").select("type", "id", (md5_int(F.col("id")) % F.col("buckets")).alias("bucket"))
     sizes = dealt.groupBy("type", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("type").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("type", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("at"), F.sum("n").over(Window.partitionBy("type")).alias("size"))
@@ -98,3 +99,8 @@ def to_chat(conversations: DataFrame) -> DataFrame:
     turns = conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
     messages = F.transform("t", lambda x: F.struct(x.role.alias("role"), x.text.alias("content")))
     return turns.select("conv_id", F.to_json(F.struct(messages.alias("messages"))).alias("line"))
+
+
+def write_chat(lines: DataFrame, path: str) -> None:
+    """The lines as text files, one conversation a line."""
+    lines.select("line").write.text(path)

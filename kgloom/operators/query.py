@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -102,7 +103,7 @@ def follow(edges: DataFrame, anchors: DataFrame, path: list[tuple[str, str]]) ->
 
 def reach(edges: DataFrame, seeds: DataFrame, k: int) -> DataFrame:
     """``id``, ``hops``: the nodes within k steps in any direction, with the least number. Only the frontier is joined."""
-    pairs = edges.select(F.col("s").alias("id"), F.col("o").alias("next")).union(edges.select("o", "s")).distinct()
+    pairs = cut(edges.select(F.col("s").alias("id"), F.col("o").alias("next")).union(edges.select("o", "s")).distinct())
     seen = cut(seeds.select("id").distinct().withColumn("hops", F.lit(0)))
     front = seen
     for n in range(1, k + 1):
@@ -113,13 +114,13 @@ def reach(edges: DataFrame, seeds: DataFrame, k: int) -> DataFrame:
     return seen
 
 
-def closure(edges: DataFrame, preds: list[str], bound: int = 64) -> DataFrame:
-    """``s``, ``o``, ``depth``: all ancestors over the given predicates with the least depth; cycles end."""
+def closure(edges: DataFrame, preds: list[str]) -> DataFrame:
+    """``s``, ``o``, ``depth``: all ancestors over the given predicates with the least depth, however deep; cycles end, as a frontier holds new pairs only."""
     base = cut(edges.where(F.col("p").isin(*preds)).select("s", "o").distinct())
     step = base.select(F.col("s").alias("o"), F.col("o").alias("next"))
     seen = cut(base.withColumn("depth", F.lit(1)))
     front = seen
-    for n in range(2, bound + 1):
+    for n in itertools.count(2):
         front = cut(front.join(step, "o").select("s", F.col("next").alias("o")).distinct().join(seen, ["s", "o"], "left_anti").withColumn("depth", F.lit(n)))
         if front.isEmpty():
             break
@@ -132,7 +133,7 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
 
     A frontier keeps one path, the least, for each (source, node).
     """
-    step = edges.select(F.col("s").alias("at"), F.col("o").alias("next")).distinct()
+    step = cut(edges.select(F.col("s").alias("at"), F.col("o").alias("next")).distinct())
     sources = pairs.select("s").distinct()
     front = cut(sources.select("s", F.col("s").alias("at"), F.array("s").alias("path")))
     seen = cut(front.select("s", "at"))
@@ -154,11 +155,18 @@ def common_neighbors(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.select("a", "b").distinct().join(left, "a").join(right, ["b", "p", "o"]).groupBy("a", "b", "p").agg(F.count("*").alias("n"))
 
 
-def related(edges: DataFrame, p: str, k: int, max_degree: int) -> DataFrame:
-    """``id``, ``other``, ``n``, ``rank``: of the subjects of ``p`` the k that share most objects; objects of more than ``max_degree`` subjects say little and are left out."""
-    mine = edges.where(F.col("p") == p).select("s", "o").distinct()
-    kept = mine.join(mine.groupBy("o").agg(F.count("*").alias("n")).where(F.col("n") <= max_degree).select("o"), "o", "left_semi")
-    met = kept.select(F.col("s").alias("id"), "o").join(kept.select(F.col("s").alias("other"), "o"), "o").where("id <> other").groupBy("id", "other").agg(F.count("*").alias("n"))
+def related(edges: DataFrame, p: str, k: int, block: int = 64) -> DataFrame:
+    """``id``, ``other``, ``n``, ``rank``: of the subjects of ``p`` the k that share most objects.
+
+    An object of many subjects meets itself in blocks of subjects: each of its rows goes to every block
+    as ``id`` and to one block as ``other``, so that no task holds all its pairs; counts are summed before the rank.
+    """
+    mine = cut(edges.where(F.col("p") == p).select("s", "o").distinct())
+    blocks = mine.groupBy("o").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    kept = mine.join(blocks, "o")
+    ids = kept.select(F.col("s").alias("id"), "o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    others = kept.select(F.col("s").alias("other"), "o", F.pmod(F.xxhash64("s"), F.col("blocks")).cast("int").alias("block"))
+    met = ids.join(others, ["o", "block"]).where("id <> other").groupBy("id", "other").agg(F.count("*").alias("n"))
     best = Window.partitionBy("id").orderBy(F.desc("n"), "other")
     return met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 

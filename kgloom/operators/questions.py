@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kgloom.functions.text import norm, tokens
@@ -55,11 +55,24 @@ def find_mentions(questions: DataFrame, aliases: DataFrame) -> DataFrame:
     return raw.join(beaten, ["qid", "start", "n_tok"], "left_anti")
 
 
+def deletions(word: str, most: int) -> Column:
+    """A word and what is left of it without up to ``most`` of its letters: words at a distance of at most ``most`` have one of these in common."""
+    level = every = F.array(word)
+    for _ in range(most):
+        fewer = F.transform(F.filter(level, lambda x: F.length(x) > 0), lambda x: F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.length(x)))))
+        level = F.array_distinct(F.flatten(fewer))
+        every = F.concat(every, level)
+    return F.array_distinct(every)
+
+
 def correct_tokens(tokens_: DataFrame, vocab: DataFrame, max_dist: int = 1) -> DataFrame:
     """``qid``, ``pos``, ``tok``, ``fixed``: unknown words of four letters or more become the nearest known one with the same first letter."""
     known = vocab.select("tok").distinct()
     unknown = tokens_.select("tok").distinct().where("tok rlike '^[a-z]{4,}$'").join(known, "tok", "left_anti")
-    near = unknown.join(known.select(F.col("tok").alias("fixed")), F.substring("tok", 1, 1) == F.substring("fixed", 1, 1)).withColumn("d", F.levenshtein("tok", "fixed", max_dist)).where("d >= 0")
+    first = F.substring("tok", 1, 1).alias("first")
+    mine = unknown.select("tok", first, F.explode(deletions("tok", max_dist)).alias("left"))
+    theirs = known.select(F.col("tok").alias("fixed"), first, F.explode(deletions("tok", max_dist)).alias("left"))
+    near = mine.join(theirs, ["first", "left"]).select("tok", "fixed").distinct().withColumn("d", F.levenshtein("tok", "fixed", max_dist)).where("d >= 0")
     best = near.withColumn("nth", F.row_number().over(Window.partitionBy("tok").orderBy("d", "fixed"))).where("nth = 1").select("tok", "fixed")
     return tokens_.join(best, "tok", "left").select("qid", "pos", "tok", F.coalesce("fixed", "tok").alias("fixed"))
 
@@ -74,14 +87,17 @@ def link_relations(questions: DataFrame, lexicon: DataFrame) -> DataFrame:
 
 def disambiguate(mentions: DataFrame, aliases: DataFrame, relations: DataFrame, predicates: DataFrame, nodes: DataFrame, degrees: DataFrame, k: int = 1) -> DataFrame:
     """Mentions with ``id`` and ``rank``: ids of the alias by fit of type with the relation's first step, then degree, then id; the first k."""
-    ids = mentions.join(aliases.select("alias_norm", "id"), "alias_norm").join(nodes.select("id", "type"), "id")
+    # Ids of an alias are ranked once for each type, before questions fan out: the first k of a question are among these.
+    degree = degrees.select("id", (F.col("n_in") + F.col("n_out")).alias("degree"))
+    named = aliases.select("alias_norm", "id").join(mentions.select("alias_norm").distinct(), "alias_norm", "left_semi").join(nodes.select("id", "type"), "id").join(degree, "id", "left")
+    of_type = Window.partitionBy("alias_norm", "type").orderBy(F.coalesce("degree", F.lit(0)).desc(), "id")
+    ids = mentions.join(named.withColumn("nth", F.row_number().over(of_type)).where(F.col("nth") <= k).drop("nth"), "alias_norm")
     first = relations.select("qid", F.regexp_extract("path", r"^([+-])", 1).alias("dir"), F.regexp_extract("path", r"^[+-]([^/]+)", 1).alias("p"))
     ends = predicates.groupBy("p").agg(F.collect_set("from_type").alias("from_types"), F.collect_set("to_type").alias("to_types"))
     wanted = first.join(ends, "p", "left").select("qid", F.when(F.col("dir") == "+", F.col("from_types")).otherwise(F.col("to_types")).alias("types"))
     scored = ids.join(wanted, "qid", "left").withColumn("fit", F.coalesce(F.array_contains("types", F.col("type")), F.lit(True)).cast("int"))
-    ranked = scored.join(degrees.select("id", (F.col("n_in") + F.col("n_out")).alias("degree")), "id", "left")
     best = Window.partitionBy("qid", "start").orderBy(F.desc("fit"), F.coalesce("degree", F.lit(0)).desc(), "id")
-    return ranked.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("qid", "start", "n_tok", "alias_norm", "id", "rank")
+    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("qid", "start", "n_tok", "alias_norm", "id", "rank")
 
 
 def steps(path) -> F.Column:

@@ -108,7 +108,7 @@ def g9(t: Trade) -> DataFrame:
     return manage.apply_delta(t.edges, delta(t))
 
 
-@register("g10_diff_kg", over(f"SELECT *, 'removed' AS change FROM edges WHERE p = 'placed_by' AND s IN ({_GONE}) UNION ALL SELECT *, 'added' FROM (SELECT s, p, o, 'logistics' AS domain FROM edges WHERE p = 'supplies')", "edges"))
+@register("g10_diff_kg", over(f"SELECT *, 'removed' AS change FROM edges WHERE p = 'placed_by' AND s IN ({_GONE}) UNION ALL SELECT *, 'added' FROM (SELECT s, p, o, 'logistics' AS domain FROM edges WHERE p = 'supplies')", "edges").replace("edges AS (", "edges AS MATERIALIZED (", 1))
 def g10(t: Trade) -> DataFrame:
     return manage.diff_kg(t.edges, manage.apply_delta(t.edges, delta(t)).unionByName(logistics(t).where("p = 'supplies'")))
 
@@ -364,10 +364,10 @@ def k13(t: Trade) -> DataFrame:
     "k14_related",
     over(
         "SELECT id, other, n, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC, other) AS rank FROM (SELECT a.s AS id, b.s AS other, count(*) AS n FROM m a JOIN m b ON a.o = b.o AND a.s <> b.s GROUP BY ALL)) WHERE rank <= 3", "edges"
-    ).replace("SELECT id, other, n, rank::INT", ", m AS (SELECT s, o FROM edges WHERE p = 'supplies' AND o IN (SELECT o FROM edges WHERE p = 'supplies' GROUP BY o HAVING count(*) <= 40)) SELECT id, other, n, rank::INT", 1),
+    ).replace("SELECT id, other, n, rank::INT", ", m AS (SELECT s, o FROM edges WHERE p = 'supplies') SELECT id, other, n, rank::INT", 1),
 )
 def k14(t: Trade) -> DataFrame:
-    return query.related(t.edges, "supplies", 3, 40)
+    return query.related(t.edges, "supplies", 3)
 
 
 @register("k15_aggregate", "SELECT 'nation:' || c_nationkey AS n, count(*) AS customers, count(DISTINCT c_mktsegment) AS segments, round(sum(c_acctbal), 2) AS total, min(c_acctbal) AS least, max(c_acctbal) AS most FROM customer GROUP BY c_nationkey")
@@ -548,7 +548,7 @@ def f1(t: Trade) -> DataFrame:
     "f2_negatives",
     over(
         f"""SELECT DISTINCT s, p, f.id AS o FROM (SELECT e.s, e.p, ({sql.md5_int("e.s || '|' || e.p || '|' || e.o || '|1'")}) % size AS idx, n.type FROM edges e JOIN nodes n ON n.id = e.o JOIN (SELECT type, count(*) AS size FROM nodes GROUP BY type) z ON z.type = n.type) x
-        JOIN (SELECT type, id, row_number() OVER (PARTITION BY type ORDER BY ({sql.md5_int("id")}) % 64, id) - 1 AS idx FROM nodes) f ON f.type = x.type AND f.idx = x.idx WHERE (s, p, f.id) NOT IN (SELECT (s, p, o) FROM edges)""",
+        JOIN (SELECT type, id, row_number() OVER (PARTITION BY type ORDER BY ({sql.md5_int("id")}) % greatest(64, (n + 65535) // 65536), id) - 1 AS idx FROM (SELECT *, count(*) OVER (PARTITION BY type) AS n FROM nodes)) f ON f.type = x.type AND f.idx = x.idx WHERE (s, p, f.id) NOT IN (SELECT (s, p, o) FROM edges)""",
         "edges",
         "nodes",
     ),

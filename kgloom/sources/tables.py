@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-BUCKETS = 16
+#: Edges of a file, about.
+FILE_EDGES = 1_000_000
 
 
 def load_source(spark: SparkSession, fmt: str, path: str, schema: StructType | str | None = None, **options: str) -> DataFrame:
@@ -17,10 +18,11 @@ def load_source(spark: SparkSession, fmt: str, path: str, schema: StructType | s
     return reader.load(path) if path else reader.load()
 
 
-def write_kg(edges: DataFrame, path: str, buckets: int = BUCKETS) -> None:
-    """One folder a predicate, in files dealt by subject, so that a large predicate is not one task."""
-    bucket = F.pmod(F.conv(F.substring(F.md5("s"), 1, 8), 16, 10).cast("long"), F.lit(buckets))
-    edges.withColumn("bucket", bucket).repartition(F.col("p"), F.col("bucket")).drop("bucket").write.mode("overwrite").partitionBy("p").parquet(path)
+def write_kg(edges: DataFrame, path: str, rows: int = FILE_EDGES) -> None:
+    """One folder a predicate, in as many files, dealt by subject, as it has ``rows`` edges, so that a large predicate is not one task."""
+    buckets = edges.groupBy("p").agg(F.ceil(F.count("*") / rows).alias("buckets"))
+    dealt = edges.join(buckets, "p").select(*edges.columns, F.pmod(F.xxhash64("s"), F.col("buckets")).alias("bucket"))
+    dealt.repartition(F.col("p"), F.col("bucket")).drop("bucket").write.mode("overwrite").partitionBy("p").parquet(path)
 
 
 def read_kg(spark: SparkSession, path: str) -> DataFrame:
