@@ -1,10 +1,12 @@
 """Micro-graphs with known answers, and properties that hold between operators."""
 
+import json
+
 import pytest
 
 from kgloom.functions.text import norm
 from kgloom.operators import answer, build, context, finetune, manage, query, questions
-from kgloom.sources.tables import read_kg, write_kg
+from kgloom.sources.tables import load_source, read_kg, write_kg
 
 
 def edges(spark, rows, domain="d"):
@@ -79,11 +81,6 @@ def test_patterns(spark):
     assert len(query.neighbors(edges(spark, [("a", "r", "a")]), ids(spark, "a")).collect()) == 2
 
 
-def test_hubs_are_left_out(spark):
-    e = edges(spark, [(f"s{i}", "r", "hub") for i in range(30)] + [("s1", "r", "x"), ("s2", "r", "x")])
-    assert got(query.related(e, "r", 2, 10), "id", "other", "n") == [("s1", "s2", 1), ("s2", "s1", 1)]
-
-
 def test_superlative_keeps_ties(spark):
     m = spark.createDataFrame([("c", "o1"), ("c", "o2"), ("c", "o3")], "anchor string, id string")
     attrs = spark.createDataFrame([("o1", "v", 5.0), ("o2", "v", 5.0), ("o3", "v", 1.0)], "s string, p string, v_num double")
@@ -141,3 +138,40 @@ def test_layout_round_trip(spark, tmp_path):
 def test_norm(spark):
     df = spark.createDataFrame([("Ünder_Score  #12!",)], "t string")
     assert df.select(norm(df.t)).head()[0] == "ünder score 12"
+
+
+def test_sources_and_sinks(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a", 2.5), (2, None, None)], "k long, name string, x double")
+    for fmt, options in (("parquet", {}), ("csv", {"header": "true"}), ("json", {}), ("orc", {})):
+        path = str(tmp_path / fmt)
+        rows.write.format(fmt).options(**options).save(path)
+        assert sorted(map(tuple, load_source(spark, fmt, path, "k long, name string, x double", **options).collect())) == [(1, "a", 2.5), (2, None, None)]
+    talk = spark.createDataFrame([(7, 1, "assistant", "hi \"you\""), (7, 0, "user", "hello")], "conv_id long, turn long, role string, text string")
+    finetune.write_chat(finetune.to_chat(talk), str(tmp_path / "chat"))
+    lines = [json.loads(r["value"]) for r in spark.read.text(str(tmp_path / "chat")).collect()]
+    assert lines == [{"messages": [{"role": "user", "content": "hello"}, {"role": "assistant", "content": "hi \"you\""}]}]
+
+
+def test_records_as_maps(spark):
+    attrs = spark.createDataFrame([("a", "size", "num", None, 3.0, None), ("a", "name", "str", "x", None, None), ("b", "name", "str", "y", None, None)], "s string, p string, dtype string, v_str string, v_num double, v_ts timestamp")
+    ids = spark.createDataFrame([("a",), ("a",), ("z",)], "id string")
+    assert [(r["id"], r["record"]) for r in query.entity_record(attrs, ids).collect()] == [("a", {"name": "x", "size": "3.0"})]
+
+
+def test_related_splits_hub_objects(spark):
+    edges = spark.createDataFrame([(f"s{i}", "r", "hub") for i in range(9)] + [("s1", "r", "x"), ("s2", "r", "x")], "s string, p string, o string")
+    for block in (2, 100):
+        got = {(r["id"], r["other"]): r["n"] for r in query.related(edges, "r", 100, block).collect()}
+        assert len(got) == 72 and got["s1", "s2"] == got["s2", "s1"] == 2 and got["s1", "s3"] == 1
+
+
+def test_spelling_meets_all_near_words(spark):
+    words = ["nation", "nacion", "natoin", "regon", "region", "nations", "motion", "nat"]
+    toks = spark.createDataFrame([("q", i, w) for i, w in enumerate(words)], "qid string, pos int, tok string")
+    vocab = spark.createDataFrame([("nation",), ("region",), ("mot",)], "tok string")
+    assert [r["fixed"] for r in questions.correct_tokens(toks, vocab, 2).orderBy("pos").collect()] == ["nation", "nation", "nation", "region", "region", "nation", "motion", "nat"]
+
+
+def test_closure_has_no_bound(spark):
+    edges = spark.createDataFrame([(str(i), "r", str(i + 1)) for i in range(12)] + [("12", "r", "0")], "s string, p string, o string")
+    assert query.closure(edges, ["r"]).agg({"depth": "max"}).head()[0] == 13
