@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kgloom.functions.text import norm
 from kgloom.operators.query import hop
 from kgloom.session import cut
 
@@ -31,11 +32,21 @@ def ends(parsed: DataFrame, edges: DataFrame) -> DataFrame:
     return reduce(DataFrame.union, found) if found else parsed.where("false").select("qid", F.col("anchor_id").alias("id"))
 
 
-def answer(parsed: DataFrame, nodes: DataFrame, edges: DataFrame, attrs: DataFrame) -> DataFrame:
-    """``qid``, ``answer_id``, ``answer_label``: entities for lists and superlatives, a number for counts, yes or no, or a value."""
+def filtered(ends_: DataFrame, filters: DataFrame, attrs: DataFrame) -> DataFrame:
+    """The rows of ``ends_`` (``qid``, ``id``) that meet all of their question's ``filters`` (``qid``, ``filter_p``, ``value``); questions without any keep theirs."""
+    having = attrs.where("v_str IS NOT NULL").select(F.col("s").alias("id"), F.col("p").alias("filter_p"), norm(F.col("v_str")).alias("value")).distinct()
+    asked = filters.distinct()
+    met = ends_.distinct().join(asked, "qid").join(having, ["id", "filter_p", "value"]).groupBy("qid", "id").agg(F.count("*").alias("n"))
+    all_met = met.join(asked.groupBy("qid").agg(F.count("*").alias("n")), ["qid", "n"]).select("qid", "id")
+    return ends_.join(asked.select("qid").distinct(), "qid", "left_anti").select("qid", "id").union(all_met)
+
+
+def answer(parsed: DataFrame, nodes: DataFrame, edges: DataFrame, attrs: DataFrame, filters: DataFrame | None = None) -> DataFrame:
+    """``qid``, ``answer_id``, ``answer_label``: entities for lists and superlatives, a number for counts, yes or no, or a value; of ends that meet ``filters``."""
     asked = parsed.select("qid", "qtype", "agg", "attr_p", "target_id").where("qtype IS NOT NULL")
     # Every class of question starts from these ends: they are walked once and stored.
-    at = cut(ends(parsed, edges).join(asked, "qid"))
+    found = ends(parsed, edges)
+    at = cut((found if filters is None else filtered(found, filters, attrs)).join(asked, "qid"))
     labelled = nodes.select("id", "label")
     lists = at.where("qtype = 'list'").select("qid", "id").distinct()
     counted = at.where("qtype = 'count'").groupBy("qid").agg(F.countDistinct("id").cast("string").alias("answer_id"))

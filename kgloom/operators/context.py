@@ -25,6 +25,12 @@ def carry_focus(mentions: DataFrame, questions: DataFrame) -> DataFrame:
     return questions.join(own, "qid", "left").select("qid", F.last("id", ignorenulls=True).over(so_far).alias("focus"))
 
 
+def with_focus(mentions: DataFrame, focus: DataFrame) -> DataFrame:
+    """Mentions, and for questions without any the entity in focus as one without words."""
+    silent = focus.where("focus IS NOT NULL").join(mentions.select("qid").distinct(), "qid", "left_anti")
+    return mentions.unionByName(silent.select("qid", F.lit(0).alias("start"), F.lit(0).alias("n_tok"), F.lit("").alias("alias_norm"), F.col("focus").alias("id"), F.lit(1).alias("rank")))
+
+
 def split_passages(documents: DataFrame, n: int, stride: int) -> DataFrame:
     """``passage_id``, ``doc_id``, ``pos``, ``text``: windows of n words, a stride apart; the last holds the end."""
     words = documents.select("doc_id", tokens(F.col("text")).alias("w")).where("size(w) > 0")

@@ -85,6 +85,15 @@ def link_relations(questions: DataFrame, lexicon: DataFrame) -> DataFrame:
     return hits.withColumn("nth", F.row_number().over(best)).where("nth = 1").select("qid", "phrase_norm", "path", "agg", "attr_p")
 
 
+def link_filters(questions: DataFrame, filters: DataFrame, attrs: DataFrame) -> DataFrame:
+    """``qid``, ``filter_p``, ``value``: conditions on the answers, a phrase of ``filters`` (``phrase_norm``, ``attr_p``) followed by a value that the attribute has."""
+    # As many rows as attributes of this kind have different values: they meet the questions' n-grams by equality.
+    values = attrs.where("v_str IS NOT NULL").select(F.col("p").alias("attr_p"), norm(F.col("v_str")).alias("value")).where("value <> ''").distinct()
+    wanted = filters.join(values, "attr_p").select("attr_p", "value", F.concat_ws(" ", "phrase_norm", "value").alias("gram"))
+    longest = wanted.agg(F.max(F.size(F.split("gram", " ")))).head()[0] or 1
+    return ngrams(questions, longest).join(wanted, "gram").select("qid", F.col("attr_p").alias("filter_p"), "value").distinct()
+
+
 def disambiguate(mentions: DataFrame, aliases: DataFrame, relations: DataFrame, predicates: DataFrame, nodes: DataFrame, degrees: DataFrame, k: int = 1) -> DataFrame:
     """Mentions with ``id`` and ``rank``: ids of the alias by fit of type with the relation's first step, then degree, then id; the first k."""
     # Ids of an alias are ranked once for each type, before questions fan out: the first k of a question are among these.

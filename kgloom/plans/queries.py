@@ -13,8 +13,8 @@ from kgloom.operators import answer, build, context, finetune, manage, query
 from kgloom.operators import questions as ask
 from kgloom.plans import sql
 from kgloom.plans.sql import query as over
-from kgloom.plans.trade import CUES, EDGE_SPECS, LEXICON, STOP_WORDS, Trade
-from kgloom.session import shared_dir
+from kgloom.plans.trade import CUES, EDGE_SPECS, FILTERS, LEXICON, STOP_WORDS, Trade
+from kgloom.session import cut, shared_dir
 from kgloom.sources.tables import load_source, read_kg, write_kg
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -397,12 +397,16 @@ def c1(t: Trade) -> DataFrame:
 
 @register("c2_carry_focus", "SELECT t || '|customer:' || c_custkey AS qid, 'customer:' || c_custkey AS focus FROM customer, (VALUES ('T1'), ('T9')) AS v(t)")
 def c2(t: Trade) -> DataFrame:
+    both = follow_ups(t)
+    mentions, _, _ = t.understood(both)
+    return context.carry_focus(mentions, both)
+
+
+def follow_ups(t: Trade) -> DataFrame:
     """A conversation for each customer: its nation, then "how many orders did it place", which names nobody."""
     first = t.questions.where("tid = 'T1'").select("qid", F.col("anchor_id").alias("conv_id"), F.lit(0).alias("turn"), "text")
     second = first.select(F.concat(F.lit("T9|"), "conv_id").alias("qid"), "conv_id", F.lit(1).alias("turn"), F.lit("How many orders did it place?").alias("text"))
-    both = first.unionByName(second)
-    mentions, _, _ = t.understood(both)
-    return context.carry_focus(mentions, both)
+    return first.unionByName(second)
 
 
 @register(
@@ -485,6 +489,28 @@ def a2(t: Trade) -> DataFrame:
     return answer.evidence(t.parsed, answers(t), t.edges)
 
 
+@register("a6_answer_filtered", "SELECT DISTINCT 'T8|supplier:' || l_suppkey || '|' || p_type AS qid, 'part:' || p_partkey AS answer_id, p_name AS answer_label FROM lineitem JOIN part ON l_partkey = p_partkey")
+def a6(t: Trade) -> DataFrame:
+    """Which parts of a type a supplier supplies: a question for each supplier and type that go together."""
+    pairs = t.table("lineitem").select("l_suppkey", "l_partkey").join(t.table("part").select(F.col("p_partkey").alias("l_partkey"), "p_type"), "l_partkey").select("l_suppkey", "p_type").distinct()
+    named = pairs.join(t.table("supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_name"), "l_suppkey")
+    asked = named.select(F.concat_ws("|", F.lit("T8"), F.concat(F.lit("supplier:"), "l_suppkey"), "p_type").alias("qid"), F.concat(F.lit("Which parts does "), "s_name", F.lit(" supply of type "), "p_type", F.lit("?")).alias("text"))
+    mentions, relations, classes = t.understood(asked)
+    parsed = cut(ask.assemble(asked, mentions, relations, classes, t.predicates, t.nodes))
+    filters = ask.link_filters(asked, t.spark.createDataFrame(FILTERS, "phrase_norm string, attr_p string"), t.attrs)
+    return answer.answer(parsed, t.nodes, t.edges, t.attrs, filters)
+
+
+@register("a7_answer_follow_up", over("SELECT * FROM labelled WHERE qid LIKE 'T1|%' UNION ALL SELECT 'T9' || substr(qid, 3), answer_id, answer_label FROM labelled WHERE qid LIKE 'T4|%'", "labelled"))
+def a7(t: Trade) -> DataFrame:
+    """The second turn of a conversation is answered for the entity that its first one names."""
+    both = follow_ups(t)
+    mentions, relations, classes = t.understood(both)
+    mentions = cut(mentions)
+    parsed = cut(ask.assemble(both, context.with_focus(mentions, context.carry_focus(mentions, both)), relations, classes, t.predicates, t.nodes))
+    return answer.answer(parsed, t.nodes, t.edges, t.attrs)
+
+
 def responses(t: Trade) -> DataFrame:
     return answer.verbalize(t.parsed, answers(t), t.sentences)
 

@@ -76,7 +76,10 @@ LEXICON = [
     ("market segment", "", "", "market_segment"),
     ("orders contain", "-contains_part", "count", ""),
     ("is supplier", "+in_nation", "", ""),
+    ("parts does", "+supplies", "", ""),
 ]
+#: phrase_norm, attr_p
+FILTERS = [("of type", "type"), ("of brand", "brand")]
 #: cue_norm, qtype, priority
 CUES = [("how many", "count", 50), ("most expensive", "superlative", 40), ("market segment", "attribute", 30), ("is supplier", "boolean", 20)]
 #: qtype, sentence
