@@ -22,6 +22,6 @@ def grams(words: Column, n: int) -> Column:
     return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
 
 
-def md5_int(text: Column) -> Column:
-    """The first 32 bits of the md5 digest as a number."""
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
+def md5_int(text: Column, digits: int = 8) -> Column:
+    """The first hexadecimal digits of the md5 digest as a number, 15 at most."""
+    return F.conv(F.substring(F.md5(text), 1, digits), 16, 10).cast("long")

@@ -52,9 +52,9 @@ def near_duplicates(df: DataFrame, threshold: float, key: str = "doc_id", col: s
     """
     firsts = dedup_exact(df, key, col)
     texts = df.join(firsts.select(key), key, "left_semi").select(F.col(key).alias("id"), tokens(F.col(col)).alias("w"))
-    shingles = texts.select("id", F.explode(F.array_distinct(grams(F.col("w"), width))).alias("g")).select("id", md5_int(F.col("g")).alias("g"))
+    shingles = texts.select("id", F.explode(F.array_distinct(grams(F.col("w"), width))).alias("g")).select("id", md5_int(F.col("g"), 15).alias("g"))
     prime = 2147483647
-    hashes = [F.min((F.col("g") * (2 * i + 3) * 7919 + (i + 1) * 104729) % prime).alias(f"h{i}") for i in range(bands * rows)]
+    hashes = [F.min((F.col("g") % prime * (2 * i + 3) * 7919 + (i + 1) * 104729) % prime).alias(f"h{i}") for i in range(bands * rows)]
     signed = shingles.groupBy("id").agg(*hashes)
     banded = signed.select("id", F.explode(F.array(*[F.concat_ws("|", F.lit(str(j)), *[F.col(f"h{j * rows + r}").cast("string") for r in range(rows)]) for j in range(bands)])).alias("band"))
     pairs = banded.select(F.col("id").alias("a"), "band").join(banded.select(F.col("id").alias("b"), "band"), "band").where("a < b").select("a", "b").distinct()

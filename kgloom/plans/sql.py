@@ -14,8 +14,8 @@ def norm(x: str) -> str:
     return f"array_to_string(regexp_extract_all(lower({x}), '[\\p{{L}}\\p{{N}}]+'), ' ')"
 
 
-def md5_int(x: str) -> str:
-    return f"('0x' || substr(md5({x}), 1, 8))::BIGINT"
+def md5_int(x: str, digits: int = 8) -> str:
+    return f"('0x' || substr(md5({x}), 1, {digits}))::BIGINT"
 
 
 _EDGES = " UNION ".join(
