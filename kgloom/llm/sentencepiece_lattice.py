@@ -1,20 +1,21 @@
 """SentencePiece encoding as a relational lattice, and decoding.
 
-A text with its blanks as U+2581 and one more in front falls into words: no
-piece has that mark after another character, so no piece spans two words.
-Distinct words are exploded to their substrings of at most the longest piece's
-length, joined by equality to the table of pieces, grouped by word again, and
-folded: the best score of every end, over edges in the order of their ends, and then
-back from the last. Ties go to the edge that starts first, as in the library's
-unigram encoder; a character that is no piece is spelt in byte pieces.
-
-Words of a bounded sample of documents are encoded once and broadcast. Other
-words are encoded once for each block of documents (about ``BLOCK_CHARS``
-characters), beside which they come to lie, so that the shuffle carries compressed
-texts and distinct words and nothing for every token.
-
-A stretch without any cut of more than ``LONG`` characters, for which the fold's
-state would be copied too often, is folded in Python by the same rule.
+A text has its blanks as U+2581 and one more in front. It falls into parts
+wherever two neighbouring characters stand side by side in no piece: no piece
+spans such a place, so the best path of the text is the parts' paths in a row.
+Each distinct part is encoded once: exploded to its substrings of at most the
+longest piece's length, joined by equality to the table of pieces, grouped by
+part again, and folded: the best score of every end, over edges in the order of
+their ends, and then back from the last. Ties go to the edge that starts first,
+as in the library's unigram encoder; a character that is no piece is spelt in
+byte pieces. The fold keeps its last nodes apart from the older ones, so that
+its time is in proportion to a part's length, however long.
+
+Stretches between blanks that a bounded sample of documents holds often are encoded
+first and broadcast. All other parts go, with the blocks of documents (about
+``BLOCK_CHARS`` characters each) that hold them, to the task of the part, and their
+pieces from there to the blocks, beside which the texts come to lie: the shuffle
+carries compressed texts once and rare parts twice, and nothing for every token.
 
 Cases: null and empty texts have no pieces; U+2581 in a text is a blank to the
 model, and comes back as one; repeated rows and ids are kept;
@@ -23,10 +24,13 @@ other columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import hashlib
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -35,22 +39,32 @@ from pyspark.sql import types as T
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-LONG, BLOCK_CHARS, SAMPLE_DOCS, SAMPLE_SEEN, SAMPLE_WORD = 400, 2_000_000, 10_000, 3, 40
+BLOCK_CHARS = 8_000_000
+#: Documents of the sample, about; documents of it that hold a stretch that is broadcast, at least; stretches that are broadcast, at most.
+SAMPLE_DOCS, SAMPLE_SEEN, KNOWN = 20_000, 2, 250_000
+#: Nodes that the fold keeps apart, at least; a longer part is named by its digest and not by itself.
+SPAN = 64
 #: The library's penalty of an unknown character below the least score.
 UNKNOWN_PENALTY = 10.0
 
 
 @dataclass(frozen=True)
 class Pieces:
-    """The normal pieces by text with id and score, and the bytes of every id."""
+    """The normal pieces by text with id and score, the bytes of every id, and the pairs of characters that pieces hold."""
 
     normal: dict[str, tuple[int, float]]
     spelt: tuple[bytes, ...]
     byte_ids: tuple[int, ...]
     longest: int
     unknown: float
-    #: Words: marks and what follows them, cut also around control characters that no piece holds.
-    words: re.Pattern
+    pairs: frozenset[str]
+
+
+def pieces_from(normal: dict[str, tuple[int, float]], spelt: list[bytes], byte_ids: list[int]) -> Pieces:
+    if any(MARK in p.lstrip(MARK) for p in normal):
+        raise ValueError("a piece spans two stretches")
+    least = min((x for _, x in normal.values()), default=0.0)
+    return Pieces(normal, tuple(spelt), tuple(byte_ids), max(map(len, normal), default=1), least - UNKNOWN_PENALTY, frozenset(p[i : i + 2] for p in normal for i in range(len(p) - 1)))
 
 
 def pieces_of(model: bytes) -> Pieces:
@@ -68,12 +82,7 @@ def pieces_of(model: bytes) -> Pieces:
         elif p.type == kinds.BYTE:
             byte = int(p.piece[3:5], 16)
             byte_ids[byte], spelt[i] = i, bytes([byte])
-    if any(MARK in p.lstrip(MARK) for p in normal):
-        raise ValueError("a piece spans two words")
-    cut = "".join(c for c in "\n\r\t" if not any(c in p for p in normal))
-    words = re.compile(f"{MARK}+[^{MARK}{cut}]*|[^{MARK}{cut}]+" + (f"|[{cut}]+" if cut else ""))
-    scores = [x for _, x in normal.values()]
-    return Pieces(normal, tuple(spelt), tuple(byte_ids), max(map(len, normal), default=1), min(scores, default=0.0) - UNKNOWN_PENALTY, words)
+    return pieces_from(normal, spelt, byte_ids)
 
 
 def load_pieces(spark: SparkSession, path: str = MODEL_PATH) -> Pieces:
@@ -82,169 +91,246 @@ def load_pieces(spark: SparkSession, path: str = MODEL_PATH) -> Pieces:
         return pieces_of(f.read())
 
 
-def viterbi(word: str, pieces: Pieces) -> list[int]:
-    """The fold of one word in Python."""
-    best: list[tuple[float, int, int]] = [(0.0, -1, -1)]
-    for end in range(1, len(word) + 1):
-        top = None
-        for start in range(max(0, end - pieces.longest), end):
-            hit = pieces.normal.get(word[start:end])
-            if hit is None and start == end - 1:
-                hit = (-1, pieces.unknown)
-            if hit is not None and (top is None or best[start][0] + hit[1] > top[0]):
-                top = (best[start][0] + hit[1], hit[0], start)
-        best.append(top)
-    out, at = [], len(word)
-    while at:
-        _, i, start = best[at]
-        out.append([i] if i >= 0 else [pieces.byte_ids[b] for b in word[start:at].encode()])
-        at = start
-    return [i for part in reversed(out) for i in part]
-
-
-def words_of(text: str, pieces: Pieces) -> list[str]:
-    return pieces.words.findall(MARK + text.replace(" ", MARK)) if text else []
-
-
-def stretches(word: str, pieces: Pieces) -> list[str]:
-    """A long word cut wherever no piece crosses, into parts of at least LONG / 4 characters."""
-    reach, parts, begin = 0, [], 0
-    for at in range(len(word)):
-        if at >= reach and at - begin >= LONG // 4:
-            parts.append(word[begin:at])
+_STRETCH = re.compile(f"{MARK}+[^{MARK}]*")
+
+
+def stretches(text: str) -> list[str]:
+    """What blanks divide a text into, each without the one mark in front of it; more marks in front are kept."""
+    if not text:
+        return []
+    if "  " in text or text[0] == " " or MARK in text:
+        return [x[1:] for x in _STRETCH.findall(MARK + text.replace(" ", MARK))]
+    return text.split(" ")
+
+
+def parts_of(stretch: str, pairs: frozenset[str]) -> list[str]:
+    """The parts of a stretch, its mark put back: cut between characters that no piece has side by side."""
+    s = MARK + stretch
+    both = [a + b for a, b in zip(s, stretch, strict=False)]
+    if pairs.issuperset(both):
+        return [s]
+    out, begin = [], 0
+    for at, pair in enumerate(both, 1):
+        if pair not in pairs:
+            out.append(s[begin:at])
             begin = at
-        for n in range(min(pieces.longest, len(word) - at), 1, -1):
-            if word[at : at + n] in pieces.normal:
-                reach = max(reach, at + n)
-                break
-    return [*parts, word[begin:]]
+    out.append(s[begin:])
+    return out
+
+
+def key_of(part: str) -> str:
+    """A part itself, or a digest of a long one, which no part equals as it begins with a blank."""
+    return part if len(part) <= SPAN else " " + hashlib.sha256(part.encode()).hexdigest()
+
+
+def part_rows(parts: list[str], blocks: list[int] | None = None) -> pa.RecordBatch:
+    """``block``, ``key`` and, where the key is a digest, ``long``: the part."""
+    blocks = pa.nulls(len(parts), pa.int32()) if blocks is None else pa.array(blocks, pa.int32())
+    return pa.RecordBatch.from_arrays([blocks, pa.array(list(map(key_of, parts)), pa.string()), pa.array([p if len(p) > SPAN else None for p in parts], pa.string())], names=["block", "key", "long"])
+
 
+PART_ROWS = "block int, key string, long string"
 
-def encode_words(words: DataFrame, keys: list[str], pieces: Pieces) -> DataFrame:
-    """``ids`` of each distinct row of ``keys`` and ``word``, where words are of at most LONG characters.
 
-    Where the rows are dealt by ``keys`` neither the grouping nor the joins move anything: the table of
-    pieces, whose size is the vocabulary's, is broadcast.
+def encode_parts(rows: DataFrame, pieces: Pieces) -> DataFrame:
+    """``key``, ``blocks`` and ``ids`` of each distinct part of ``rows`` (``block``, ``key``, ``long``), which are dealt by ``key``.
+
+    Neither the groupings nor the join move anything: the table of pieces, whose size is the
+    vocabulary's, is broadcast. The blocks ride on a part's first edge. A long part is cut into
+    windows first, so that no row of the explosion carries more than one of them.
     """
-    spark = words.sparkSession
+    spark, span = rows.sparkSession, max(SPAN, pieces.longest)
     table = F.broadcast(spark.createDataFrame([(p, i, s) for p, (i, s) in pieces.normal.items()], "piece string, piece_id int, score double"))
-    starts = words.select(*keys, "word", F.explode(F.expr("sequence(0, char_length(word) - 1)")).alias("start"))
-    spans = starts.select(*keys, "word", "start", F.explode(F.expr(f"sequence(start + 1, least(start + {pieces.longest}, char_length(word)))")).alias("stop"))
-    joined = spans.join(table, F.expr("substring(word, start + 1, stop - start)") == F.col("piece"), "left").where("piece_id IS NOT NULL OR stop = start + 1")
+    parts = rows.groupBy("key").agg(F.first("long", ignorenulls=True).alias("long"), F.collect_set("block").alias("blocks"))
+    parts = parts.select("key", "blocks", F.coalesce("long", "key").alias("part"))
+    windows = parts.select("key", "blocks", F.explode(F.expr(f"transform(sequence(0, char_length(part) - 1, {span}), b -> named_struct('base', b, 'text', substring(part, b + 1, {span + pieces.longest - 1})))")).alias("w"))
+    starts = windows.select("key", F.when(F.col("w.base") == 0, F.col("blocks")).alias("blocks"), "w.base", "w.text", F.explode(F.expr(f"sequence(0, least({span}, char_length(w.text)) - 1)")).alias("start"))
+    starts = starts.select("key", F.when(F.col("start") == 0, F.col("blocks")).alias("blocks"), "base", "text", "start")
+    spans = starts.select("key", "blocks", "base", "text", "start", F.explode(F.expr(f"sequence(start + 1, least(start + {pieces.longest}, char_length(text)))")).alias("stop"))
+    joined = spans.join(table, F.expr("substring(text, start + 1, stop - start)") == F.col("piece"), "left").where("piece_id IS NOT NULL OR stop = start + 1")
     # A character that is no piece says where it stands by a number below -1.
-    edges = joined.select(*keys, "word", F.struct("stop", "start", F.coalesce("score", F.lit(pieces.unknown)).alias("score"), F.coalesce("piece_id", -2 - F.col("start")).alias("id")).alias("edge"))
-    lattice = edges.groupBy(*keys, "word").agg(F.array_sort(F.collect_list("edge")).alias("edges"))
-    node = "named_struct('best', a[e.start].best + e.score, 'id', e.id, 'origin', e.start)"
-    fold = f"""aggregate(edges, array(named_struct('best', cast(0 as double), 'id', -1, 'origin', -1)),
-      (a, e) -> if(size(a) = e.stop, concat(a, array({node})),
-        if(a[e.start].best + e.score > a[e.stop].best, concat(slice(a, 1, e.stop), array({node})), a)),
-      a -> aggregate(slice(a, 2, size(a)), named_struct('at', size(a) - 1, 'ids', cast(array() as array<int>)),
-        (b, e) -> if(b.at <= 0, b, named_struct('at', a[b.at].origin, 'ids', concat(array(a[b.at].id), b.ids))),
-        b -> b.ids))"""
-    return lattice.select(*keys, "word", F.expr(fold).alias("ids"))
-
-
-def settled(word: str, ids, pieces: Pieces) -> list[int]:
-    """Numbers below zero replaced by the byte pieces of the character they point at."""
-    return [j for i in ids for j in ([i] if i >= 0 else [pieces.byte_ids[b] for b in word[-2 - i].encode()])]
+    at = F.col("base") + F.col("start")
+    edge = F.struct((F.col("base") + F.col("stop")).alias("stop"), at.alias("start"), F.coalesce("score", F.lit(pieces.unknown)).alias("score"), F.coalesce("piece_id", -2 - at).alias("id"))
+    edges = joined.select("key", F.when(F.col("stop") == F.col("start") + 1, F.col("blocks")).alias("blocks"), edge.alias("edge"))
+    lattice = edges.groupBy("key").agg(F.first("blocks", ignorenulls=True).alias("blocks"), F.array_sort(F.collect_list("edge")).alias("edges"))
+    return lattice.select("key", "blocks", F.when(F.startswith("key", F.lit(" ")), F.expr(long_fold(span))).otherwise(F.expr(FOLD)).alias("ids"))
+
+
+#: The fold over ``edges``: nodes of all ends so far, the last of which a better edge replaces; then back from the last.
+FOLD = """aggregate(edges, array(named_struct('best', cast(0 as double), 'id', -1, 'origin', -1)),
+  (a, e) -> if(size(a) = e.stop, concat(a, array(named_struct('best', a[e.start].best + e.score, 'id', e.id, 'origin', e.start))),
+    if(a[e.start].best + e.score > a[e.stop].best, concat(slice(a, 1, e.stop), array(named_struct('best', a[e.start].best + e.score, 'id', e.id, 'origin', e.start))), a)),
+  a -> aggregate(slice(a, 2, size(a)), named_struct('at', size(a) - 1, 'ids', cast(array() as array<int>)),
+    (b, x) -> if(b.at <= 0, b, named_struct('at', a[b.at].origin, 'ids', concat(array(a[b.at].id), b.ids))),
+    b -> b.ids))"""
+
+
+def long_fold(span: int) -> str:
+    """The same fold, whose steps copy at most ``2 * span`` nodes: older ones are put away in runs of ``span``, and so are the ids on the way back."""
+    node = "named_struct('best', a.near[e.start - a.base].best + e.score, 'id', e.id, 'origin', e.start)"
+    nodes = f"""aggregate(edges,
+      named_struct('base', 0, 'old', cast(array() as array<array<struct<best:double,id:int,origin:int>>>), 'near', array(named_struct('best', cast(0 as double), 'id', -1, 'origin', -1))),
+      (a, e) -> if(a.base + size(a.near) = e.stop,
+        if(size(a.near) < {2 * span},
+          named_struct('base', a.base, 'old', a.old, 'near', concat(a.near, array({node}))),
+          named_struct('base', a.base + {span}, 'old', concat(a.old, array(slice(a.near, 1, {span}))), 'near', concat(slice(a.near, {span + 1}, {span}), array({node})))),
+        if(a.near[e.start - a.base].best + e.score > a.near[e.stop - a.base].best,
+          named_struct('base', a.base, 'old', a.old, 'near', concat(slice(a.near, 1, size(a.near) - 1), array({node}))), a)),
+      a -> flatten(concat(a.old, array(a.near))))"""
+    return f"""transform(array({nodes}), n -> aggregate(slice(n, 2, size(n)),
+      named_struct('at', size(n) - 1, 'old', cast(array() as array<array<int>>), 'ids', cast(array() as array<int>)),
+      (b, x) -> if(b.at <= 0, b, if(size(b.ids) < {span},
+        named_struct('at', n[b.at].origin, 'old', b.old, 'ids', concat(b.ids, array(n[b.at].id))),
+        named_struct('at', n[b.at].origin, 'old', concat(b.old, array(b.ids)), 'ids', array(n[b.at].id)))),
+      b -> reverse(flatten(concat(b.old, array(b.ids))))))[0]"""
+
+
+def settled(part: str, ids: list[int], pieces: Pieces) -> bytes:
+    """Ids as bytes, numbers below zero replaced by the byte pieces of the character they point at."""
+    if min(ids) < 0:
+        ids = [j for i in ids for j in ([i] if i >= 0 else [pieces.byte_ids[b] for b in part[-2 - i].encode()])]
+    return np.array(ids, "<i4").tobytes()
 
 
 def lengths(docs: DataFrame, text: str) -> int:
     return docs.agg(F.sum(F.char_length(F.col(text)))).head()[0] or 0
 
 
-def sample_encoding(docs: DataFrame, pieces: Pieces, text: str) -> dict[str, list[int]]:
-    """The words that at least SAMPLE_SEEN documents of a sample hold, encoded: at most those of SAMPLE_DOCS documents, and none above SAMPLE_WORD characters.
+def sample_encoding(docs: DataFrame, pieces: Pieces, text: str) -> tuple[dict[str, bytes], dict[str, bytes]]:
+    """Ids, as bytes, of the stretches that most documents of a sample hold, KNOWN at most, and of the parts of these.
 
-    It only saves work: a word that it lacks is encoded beside its documents.
+    It only saves work: a stretch that it lacks is encoded in parts. None has more than SPAN characters.
     """
     share = min(1.0, SAMPLE_DOCS / max(1, docs.count()))
     chosen = docs.where(F.xxhash64(text).cast("double") / 2.0**64 + 0.5 <= share).select(F.col(text).alias("text"))
 
-    def work(batches):
+    def count(batches):
         for batch in batches:
-            found = [sorted({w for w in words_of(t.as_py() or "", pieces) if len(w) <= SAMPLE_WORD}) for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array([w for ws in found for w in ws], pa.string())], names=["word"])
+            seen = Counter()
+            for t in batch.column(0):
+                seen.update({w for w in stretches(t.as_py() or "") if len(w) < SPAN})
+            yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], names=["stretch", "n"])
 
-    words = chosen.mapInArrow(work, "word string").groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= SAMPLE_SEEN).select("word")
-    rows = encode_words(words, [], pieces).toPandas()
-    return {w: settled(w, ids, pieces) for w, ids in zip(rows["word"], rows["ids"], strict=True)}
+    def cut(batches):
+        for batch in batches:
+            yield part_rows(sorted({p for w in batch.column(0).to_pylist() for p in parts_of(w, pieces.pairs)}))
+
+    counts = chosen.mapInArrow(count, "stretch string, n long").groupBy("stretch").agg(F.sum("n").alias("n")).where(F.col("n") >= SAMPLE_SEEN)
+    often = counts.orderBy(F.desc("n"), "stretch").limit(KNOWN).select("stretch").toPandas()["stretch"].tolist()
+    listed = docs.sparkSession.createDataFrame(pa.table([pa.array(often, pa.string())], names=["stretch"])).repartition(12)
+    rows = encode_parts(listed.mapInArrow(cut, PART_ROWS), pieces).select("key", "ids").toPandas()
+    parts = {p: settled(p, list(ids), pieces) for p, ids in zip(rows["key"], rows["ids"], strict=True)}
+    return {w: b"".join([parts[p] for p in parts_of(w, pieces.pairs)]) for w in often}, parts
 
 
 def encode(docs: DataFrame, pieces: Pieces, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``id``, ``ids`` (piece ids) and ``decoded`` (what they decode to) of each row."""
     spark = docs.sparkSession
     frame = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    known = spark.sparkContext.broadcast((pieces, sample_encoding(frame, pieces, "text")))
+    known = spark.sparkContext.broadcast((pieces, *sample_encoding(frame, pieces, "text")))
     blocks = max(1, -(-lengths(frame, "text") // BLOCK_CHARS))
     id_field = frame.schema["id"]
+    blocked = frame.select("id", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int").alias("block"), "text")
 
     def pack(batches):
+        # Texts of a batch that go to one block are compressed as one.
         squeeze = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([squeeze(t.as_py().encode()) for t in batch.column(2)], pa.binary())], names=["id", "block", "packed"])
-
-    block = F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int").alias("block")
-    dealt = frame.select("id", block, "text").mapInArrow(pack, T.StructType([id_field, T.StructField("block", T.IntegerType()), T.StructField("packed", T.BinaryType())])).repartition(blocks, "block")
+            at = batch.column(1).to_numpy()
+            order = np.argsort(at, kind="stable")
+            cuts = np.flatnonzero(np.r_[True, at[order][1:] != at[order][:-1]]) if len(at) else np.zeros(0, int)
+            edges = pa.array(np.append(cuts, len(at)), pa.int32())
+            texts = [[t.as_py().encode() for t in batch.column(2).take(pa.array(order[x:y]))] for x, y in zip(cuts, [*cuts[1:], len(at)], strict=True)]
+            sizes = pa.array([len(t) for ts in texts for t in ts], pa.int32())
+            ids = batch.column(0).take(pa.array(order))
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(edges, ids), pa.array(at[order][cuts], pa.int32()), pa.ListArray.from_arrays(edges, sizes), pa.array([squeeze(b"".join(ts)) for ts in texts], pa.binary())], names=["ids", "block", "sizes", "packed"])
+
+    packed_schema = T.StructType([T.StructField("ids", T.ArrayType(id_field.dataType)), T.StructField("block", T.IntegerType()), T.StructField("sizes", T.ArrayType(T.IntegerType())), T.StructField("packed", T.BinaryType())])
+    dealt = blocked.mapInArrow(pack, packed_schema).repartition(blocks, "block")
 
     def rare(batches):
-        unpack = zstandard.ZstdDecompressor().decompress
-        pieces, encoded = known.value
+        pieces, whole, parts = known.value
         for batch in batches:
-            mine: dict[int, set[str]] = {}
-            for b, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                here = mine.setdefault(b, set())
-                for w in words_of(unpack(t.as_py()).decode(), pieces):
-                    if w not in encoded:
-                        here.update((w,) if len(w) <= LONG else (x for x in stretches(w, pieces) if len(x) <= LONG))
-            for b, ws in mine.items():
-                ws = sorted(ws)
-                for k in range(0, len(ws), 10_000):
-                    part = ws[k : k + 10_000]
-                    yield pa.RecordBatch.from_arrays([pa.array([b] * len(part), pa.int32()), pa.array(part, pa.string())], names=["block", "word"])
-
-    words = dealt.select("block", "packed").mapInArrow(rare, "block int, word string").repartition(blocks, "block").distinct()
-    found = encode_words(words, ["block"], pieces)
+            missing, at = [], []
+            for block, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                here = {p for w in set(stretches(t.as_py())).difference(whole) for p in parts_of(w, pieces.pairs)}.difference(parts)
+                missing += here
+                at += [block] * len(here)
+            # Alike parts side by side are compressed better.
+            order = sorted(range(len(missing)), key=missing.__getitem__)
+            yield part_rows([missing[k] for k in order], [at[k] for k in order])
+
+    # Each task of this encodes whole parts; a block's rare parts come from all of them.
+    found = encode_parts(blocked.select("block", "text").mapInArrow(rare, PART_ROWS).repartition(blocks, "key"), pieces)
+    found = found.select(F.explode("blocks").alias("block"), "key", "ids")
     schema = T.StructType([id_field, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
 
     def assemble(texts: pa.Table, mine: pa.Table) -> pa.Table:
         unpack = zstandard.ZstdDecompressor().decompress
-        pieces, encoded = known.value
-        own = {}
+        pieces, whole, parts = known.value
+        own: dict[str, list[int] | bytes] = {}
         for chunk in mine.to_batches():
-            names = chunk.column("word").to_pylist()
             ids = chunk.column("ids")
-            flat, at = ids.flatten().to_numpy(zero_copy_only=False), np.r_[0, np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))]
-            for k, w in enumerate(names):
-                part = flat[at[k] : at[k + 1]].tolist()
-                own[w] = part if not part or min(part) >= 0 else settled(w, part, pieces)
-
-        def long(word: str) -> list[int]:
-            return [i for x in stretches(word, pieces) for i in (own[x] if len(x) <= LONG else viterbi(x, pieces))]
-
-        out, decoded = [], []
-        for t in texts.column("packed"):
-            ids: list[int] = []
-            for w in words_of(unpack(t.as_py()).decode(), pieces):
-                ids += encoded.get(w) or own.get(w) or long(w)
-            out.append(np.array(ids, np.int32))
-            decoded.append(decode(ids, pieces))
-        flat = pa.ListArray.from_arrays(np.r_[0, np.cumsum([len(x) for x in out])].astype(np.int32), pa.array(np.concatenate(out) if out else np.zeros(0, np.int32)))
-        return pa.table([texts.column("id"), flat, pa.array(decoded, pa.string())], names=["id", "ids", "decoded"])
+            flat, at = ids.flatten().to_numpy(zero_copy_only=False).astype("<i4"), np.r_[0, np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))].tolist()
+            odd = np.minimum.reduceat(flat, at[:-1]) < 0 if len(flat) else []
+            raw = flat.tobytes()
+            for k, key in enumerate(chunk.column("key").to_pylist()):
+                own[key] = flat[at[k] : at[k + 1]].tolist() if odd[k] else raw[4 * at[k] : 4 * at[k + 1]]
+
+        def ids_of(part: str) -> bytes:
+            found = parts.get(part)
+            if found is None:
+                found = own[key_of(part)]
+                if isinstance(found, list):
+                    found = settled(part, found, pieces)
+            return found
+
+        spelling, out, counts, decoded = Spelling(pieces), [], [], []
+        for chunk in texts.to_batches():
+            for sizes, p in zip(chunk.column("sizes"), chunk.column("packed"), strict=True):
+                raw, at, mine_ids = unpack(p.as_py()), 0, []
+                for n in sizes.as_py():
+                    ws = stretches(raw[at : at + n].decode())
+                    at += n
+                    found = list(map(whole.get, ws))
+                    for k, f in enumerate(found):
+                        if f is None:
+                            found[k] = b"".join(map(ids_of, parts_of(ws[k], pieces.pairs)))
+                    mine_ids.append(b"".join(found))
+                counts += [len(x) // 4 for x in mine_ids]
+                out.append(b"".join(mine_ids))
+                decoded += spelling.texts(np.frombuffer(out[-1], "<i4"), np.array([len(x) // 4 for x in mine_ids]))
+        flat = pa.ListArray.from_arrays(np.r_[0, np.cumsum(counts)].astype(np.int32), pa.array(np.frombuffer(b"".join(out), "<i4")))
+        ids = texts.column("ids").combine_chunks().flatten()
+        return pa.table([ids, flat, pa.array(decoded, pa.string())], names=["id", "ids", "decoded"])
 
     return dealt.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(assemble, schema)
 
 
+class Spelling:
+    """The bytes of all pieces in a row, for decoding many ids at once."""
+
+    def __init__(self, pieces: Pieces):
+        self.sizes = np.array([len(x) for x in pieces.spelt])
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.bytes = np.frombuffer(b"".join(pieces.spelt), np.uint8)
+
+    def texts(self, ids: np.ndarray, counts: np.ndarray) -> list[str]:
+        """The texts of runs of ``counts`` ids each."""
+        sizes = self.sizes[ids]
+        stops = np.cumsum(sizes)
+        raw = self.bytes[np.repeat(self.starts[ids] - (stops - sizes), sizes) + np.arange(sizes.sum())].tobytes()
+        bounds = np.r_[0, stops][np.r_[0, np.cumsum(counts)]].tolist()
+        return [raw[a:b].decode(errors="replace")[1:] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+
 def decode(ids: list[int], pieces: Pieces) -> str:
     """The text of piece ids, without the blank that encoding puts in front; bytes that are no text come out as replacement marks."""
-    spelt = pieces.spelt
-    return b"".join([spelt[i] for i in ids]).decode(errors="replace")[1:]
+    return b"".join(map(pieces.spelt.__getitem__, ids)).decode(errors="replace")[1:]
 
 
 def decode_column(pieces: Pieces):
     """A column function from arrays of piece ids to texts."""
-    import pandas as pd
-
     @F.pandas_udf(T.StringType())
     def decoded(ids: pd.Series) -> pd.Series:
         return pd.Series([None if x is None else decode(list(x), pieces) for x in ids], dtype=object)
