@@ -3,12 +3,14 @@
 import hashlib
 import random
 import re
+import tempfile
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
 
-from kgloom.llm import ann, fingerprint, langid, minhash, mixing, pii, secrets, suffix_dedup, toxicity
+from kgloom.llm import ann, fingerprint, langid, minhash, mixing, pii, queries, secrets, suffix_dedup, toxicity
 from kgloom.llm import sentencepiece_lattice as lattice
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, row string, part int"
@@ -125,11 +127,24 @@ def test_near_duplicates_against_brute_force(spark, empty):
     assert minhash.near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_with_repeated_and_null_ids(spark):
+    a, b = prose(40), prose(40)
+    near = lambda t, w: " ".join([*t.split()[:-1], w])
+    rows = [(1, a), (1, b), (2, near(a, "other")), (3, near(b, "other")), (None, near(a, "more")), (None, "x y z"), (7, "x y z"), (None, "p q r"), (None, None), (9, "")]
+    got = sorted(((r["id"], r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == sorted([(1, 36, 1), (1, 36, 1), (2, 36, 1), (3, 36, 1), (None, 36, 1), (None, 1, 7), (7, 1, 7), (None, 1, None), (None, 0, None), (9, 0, 9)], key=str)
+
+
 def test_cross_component_pairs_are_bounded_and_exact(spark):
     facts = spark.createDataFrame([(1, 1, 10, 10, 10), (2, 2, 10, 10, 10), (3, 3, 10, 4, 4), (4, 1, 10, 10, 2)], "rep long, label long, size int, shared long, common long")
-    members = spark.createDataFrame([(7, r, 4) for r in (1, 2, 3, 4)] + [(8, 1, 2), (8, 2, 2)], "key long, rep long, n long")
-    postings = spark.createDataFrame([(2, 5), (4, 5), (3, 5)], "rep long, shingle long")
-    assert sorted(tuple(r) for r in minhash.cross_edges(members, facts, postings).collect()) == [(1, 2), (2, 4)]
+    mixed = spark.createDataFrame([(7, r) for r in (1, 2, 3, 4)] + [(8, 1), (8, 2)], "key long, rep long")
+    postings = spark.createDataFrame([(r, lab, 10, n, 5) for r, lab, n in ((2, 2, 10), (4, 1, 10))], "rep long, label long, size int, shared long, shingle long")
+    assert sorted((r["a"], r["b"]) for r in minhash.cross_edges(mixed, facts, postings).collect()) == [(1, 2), (2, 4)]
+    suspects = spark.createDataFrame([(1, 1, 4), (2, 2, 4), (3, 3, 4)], "rep long, label long, size int")
+    sets = spark.createDataFrame([(1, [1, 2, 3, 4]), (2, [1, 2, 3, 5]), (3, [1, 7, 8, 9])], "rep long, shingles array<long>")
+    facts, postings = minhash.shareable(suspects, sets, rare=2, percent=50)
+    assert sorted((r["rep"], r["shared"], r["common"]) for r in facts.collect()) == [(1, 3, 1), (2, 3, 1)]
+    assert sorted((r["rep"], r["shingle"]) for r in postings.collect()) == [(1, 2), (1, 3), (2, 2), (2, 3)]
 
 
 def test_fingerprints(docs, empty):
@@ -148,13 +163,26 @@ def test_clashing_digests_are_told_apart(spark):
     assert sorted(r["f"] for r in fingerprint.fingerprinted(rows, clashes, "digest", "second", "f").collect()) == ["d-p", "d-q", "e"]
 
 
-def test_next_rows(docs):
-    rows = fingerprint.prepared(docs, np.array([2, 5], np.int64)).select("id", "part", "packed", F_digest := "digest")
-    found = {r["id"]: r for r in fingerprint.edited(fingerprint.with_next(rows, ["packed", F_digest]), []).collect()}
-    for i, t in enumerate(TEXTS):
-        t, u = t or "", TEXTS[(i + 1) % len(TEXTS)] or ""
-        k = len(t) // 4
-        assert found[i]["sha256"] == hashlib.sha256((t[: len(t) - k] + u[:k]).encode()).hexdigest() and found[i]["n_chars"] == len(t)
+def test_next_rows(spark, docs):
+    """Whole query against brute force: edited texts, and both likenesses."""
+    made = random.Random(2)
+    texts = [*TEXTS, *(prose(made.randrange(5)) for _ in range(40)), "Same  text", "same TEXT", "abcd", "abc" + "D", "d"]
+    order = made.sample(range(0, 900), len(texts))
+    rows = [(i, t, 5) for i, t in zip(order, texts, strict=True)]
+    spark.createDataFrame(rows, "doc_id long, text string, part int").repartition(5).write.parquet(path := tempfile.mkdtemp() + "/documents.parquet")
+    found = {r["doc_id"]: r for r in queries.op10_fingerprints(spark, path.rpartition("/")[0]).collect()}
+    in_order = sorted(rows)
+    plain = fingerprint.canonical
+    for k, (i, t, _) in enumerate(in_order):
+        t, u = t or "", in_order[(k + 1) % len(in_order)][1] or ""
+        n = len(t) // 4
+        new = t[: len(t) - n] + u[:n]
+        r = found[i]
+        assert r["edited_sha256"] == hashlib.sha256(new.encode()).hexdigest() and r["n_chars"] == len(t)
+        assert (r["near_edited"], r["near_next"]) == (float(plain(t) == plain(new)), float(plain(t) == plain(u)))
+    assert len(found) == len(rows)
+    heads = fingerprint.range_heads(docs, np.array([2, 5], np.int64))
+    assert sorted(tuple(r) for r in heads.collect()) == [(0, 3), (1, 6), (2, 0)]
 
 
 SECRETS = 'password = "abcDEF123456"; token: short; secret=token:abcdefghijklmnop AKIA' + "A1" * 8 + " " + "0f" * 10 + " é PASSWD='zzzzzzzzzzzzz'"
@@ -195,31 +223,93 @@ def test_a_second_run_with_a_ledger_equals_a_full_scan(spark):
         assert told(secrets.findings(new, again)) == full and len(full) == 5
 
 
+def test_a_stored_ledger_grows_by_what_is_unseen(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    schema = "path string, version int, content string"
+    old = spark.createDataFrame([("a", 1, SECRETS), ("c", 1, None), ("c", 2, "")], schema)
+    told = lambda found: sorted((r["path"], r["version"], str(r["found"])) for r in found.collect())
+    first = told(secrets.scan(old, path))
+    entries = secrets.read_ledger(spark, path).count()
+    assert first == told(secrets.findings(old, secrets.scan_blobs(old))) and entries == 2 * len(secrets.BASE_RULES + secrets.EXTRA_RULES)
+    assert told(secrets.scan(old, path)) == first and secrets.read_ledger(spark, path).count() == entries
+    new = old.union(spark.createDataFrame([("b", 1, "key " + "ab" * 9)], schema))
+    assert told(secrets.scan(new, path)) == told(secrets.findings(new, secrets.scan_blobs(new)))
+    assert secrets.read_ledger(spark, path).count() == entries * 3 // 2
+    assert secrets.scan(old.limit(0), path).count() == 0
+    many = spark.createDataFrame([("m", 1, "é token=abcdefabcdefab " * 1500)], schema)
+    assert [(f["start"], f["stop"]) for f in secrets.scan(many, path).head()["found"] if f["ord"] == 0] == [(23 * k + 2, 23 * k + 22) for k in range(1500)]
+
+
 def test_personal_data(spark, empty):
     text = "Mail bob.x+1@mail.example.org or 10.0.0.255 and 10.0.0.256, card 4111 1111 1111 1111, call +1 (555) 010-9999. é +12 4111111111111112"
     found = {tuple(text[a:b].strip() for a, b in [(s["start"], s["stop"])]) + (pii.KINDS[s["kind"]],) for s in pii.find(frame(spark, [text])).head()["spans"]}
     assert found == {("bob.x+1@mail.example.org", "email"), ("10.0.0.255", "ip"), ("4111 1111 1111 1111", "card"), ("+1 (555) 010-9999", "phone")}
     for t in ("@" * 50, "a@b@c.d.e", "x@y", "a.b@c-d.e..f", "..@a.b"):
         assert list(pii.emails(t)) == [m.span() for m in pii.EMAIL.finditer(t)]
-    assert pii.cleaned("ab cd 12", [(0, 0, 2), (2, 1, 4), (4, 6, 8)]) == "<EMAIL>d <NUMBER>"
-    assert pii.find(empty, pii.disclosing_terms(empty.select("text"))).count() == 0
+    assert pii.cleaned("ab cd 12 x9 Bo", [(0, 0, 2), (2, 1, 4), (4, 6, 8), (4, 9, 11), (4, 12, 14)]) == "<EMAIL>d <NUMBER> <CODE> <NAME>"
+    assert pii.cleaned("abcdef", [(0, 0, 2), (2, 0, 4)]) == "<CARD>ef"
+    assert pii.find(empty).count() == 0
+
+
+def random_personal(made):
+    kinds = ["a.b@c.d", "x@y.z.", "@", "1.2.3.4", "300.1.1.1", "1.2.3.4.5", "4111 1111-1111 1111", "4111111111111112", "12345678901234567890", "+1 555 010 9999", "+12", "++49(0)30-1234567", "é", " ", ".", "-", "word", "7"]
+    return "".join(made.choice(kinds) for _ in range(made.randrange(12)))
+
+
+def test_base_spans_against_the_patterns(spark):
+    """The stated patterns themselves, leftmost and not overlapping, on texts made of their fragments."""
+    made = random.Random(21)
+    texts = [random_personal(made) for _ in range(1500)] + [None, "", "9" * 400, "1.2.3.4 " * 300]
+    rows = {r["id"]: r for r in pii.digest(pii.find(frame(spark, texts), terms=False)).collect()}
+    digits = lambda x: [int(c) for c in x if c.isdigit()]
+    luhn = lambda d: sum(x if i % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x) for i, x in enumerate(d[::-1])) % 10 == 0
+    rules = [
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda x: True),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda x: all(int(p) <= 255 for p in x.split("."))),
+        ("card", r"[0-9]([\x20-]?[0-9])+", lambda x: 16 <= len(digits(x)) <= 19 and luhn(digits(x))),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda x: 8 <= len(digits(x)) <= 15),
+    ]
+    for i, t in enumerate(texts):
+        want = {k: [f"{k}:{m.start()}:{m.end()}" for m in re.finditer(p, t or "") if good(m[0])] for k, p, good in rules}
+        said = ",".join(x for k in want for x in want[k])
+        assert rows[i]["spans"] == said and rows[i]["base_sha256"] == hashlib.sha256(said.encode()).hexdigest(), t
+        assert [rows[i][f"n_{k}"] for k in want] == [len(v) for v in want.values()]
 
 
 def test_terms_that_disclose_an_entity(spark):
-    texts = [f"{prose(20)} ask zorblax jane@corp.example.com {prose(20)}" for _ in range(8)] + [prose(60) for _ in range(150)]
-    docs = frame(spark, texts)
-    terms = pii.disclosing_terms(docs.select("text"))
-    rows = pii.find(docs, terms).collect()
-    spans = [{(s["kind"], r["text"][s["start"] : s["stop"]]) for s in r["spans"]} for r in rows if r["spans"]]
-    assert len(spans) == 8 and all({(0, "jane@corp.example.com"), (4, "zorblax")} <= s for s in spans)
-
-
-def test_encoding(spark, docs, empty):
+    """Planted names, numbers and codes far from their address are found wherever they stand; words of all texts are not."""
+    made = random.Random(5)
+    texts = []
+    for i in range(60):
+        texts += [f"Zorblax{i} {prose(made.randrange(20, 60))} jane{i}@corp.example.com {prose(30)} ref 77{i:04d} zorblax{i} unit a{i}b" for _ in range(6)]
+    texts += [prose(60) for _ in range(300)] + ["only once rare%d mail solo%d@x.example.com" % (i, i) for i in range(20)]
+    rows = pii.find(frame(spark, texts)).collect()
+    hits = 0
+    for r in rows:
+        found = {r["text"][s["start"] : s["stop"]].lower() for s in r["spans"] if s["kind"] == 4}
+        if r["id"] < 360:
+            i = r["id"] // 6
+            assert found == {f"zorblax{i}", f"77{i:04d}", f"a{i}b"}, found
+            hits += sum(r["text"][s["start"] : s["stop"]].lower() == f"zorblax{i}" for s in r["spans"])
+        else:
+            assert not found
+    assert hits == 720
+    cleaned = {r["id"]: r["text"] for r in pii.find(frame(spark, texts), clean=True).collect()}
+    assert cleaned[0].startswith("<CODE> ") and cleaned[0].endswith(" <EMAIL> " + texts[0].split("com ")[1].split(" ref")[0] + " ref <NUMBER> <CODE> unit <CODE>") and cleaned[365] == texts[365]
+
+
+def test_encoding(spark, docs, empty, monkeypatch):
     pieces = lattice.load_pieces(spark)
-    rows = {r["id"]: r for r in lattice.encode(docs, pieces).collect()}
-    for i, t in enumerate(TEXTS):
-        assert rows[i]["decoded"] == (t or "").replace(lattice.MARK, " ")
-        assert list(rows[i]["ids"]) == [p for w in lattice.words_of(t or "", pieces) for p in lattice.viterbi(w, pieces)]
+    for share in (0, 20_000):  # every part by the lattice of rare ones, and by the sample's
+        monkeypatch.setattr(lattice, "SAMPLE_DOCS", share)
+        rows = {r["id"]: r for r in lattice.encode(docs, pieces).collect()}
+        for i, t in enumerate(TEXTS):
+            assert rows[i]["decoded"] == (t or "").replace(lattice.MARK, " ")
+            if len(t or "") < 2000:
+                assert list(rows[i]["ids"]) == (best_path(t, pieces.normal, pieces.unknown, pieces.byte_ids) if t else [])
+    assert lattice.encode(empty, pieces).count() == 0
+    again = lattice.encode(docs, pieces).select("decoded", lattice.decode_column(pieces)("ids").alias("again")).collect()
+    assert all(r["decoded"] == r["again"] for r in again)
     sentencepiece = pytest.importorskip("sentencepiece")
     from sentencepiece import sentencepiece_model_pb2
 
@@ -228,37 +318,58 @@ def test_encoding(spark, docs, empty):
     model.trainer_spec.model_type = 1
     library = sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
     total = lambda ids: sum(model.pieces[i].score for i in ids)
-    same = 0
-    for w in set(" ".join(t or "" for t in TEXTS[:9]).split()):
-        mine, theirs = lattice.viterbi(lattice.MARK + w, pieces), library.encode(w)
-        assert total(mine) >= total(theirs)
-        same += mine == theirs
-    assert same > 100
-    assert lattice.encode(empty, pieces).count() == 0
+    words = sorted(set(" ".join(t or "" for t in TEXTS[:9]).split()))
+    mine = [list(r["ids"]) for r in lattice.encode(frame(spark, words), pieces).orderBy("id").collect()]
+    theirs = [library.encode(w) for w in words]
+    assert all(total(a) >= total(b) for a, b in zip(mine, theirs, strict=True)) and sum(a == b for a, b in zip(mine, theirs, strict=True)) > 100
+
+
+def test_long_parts_and_odd_vocabularies(spark):
+    """Parts of many windows, pieces longer than a span, characters that only stand in longer pieces."""
+    made = random.Random(7)
+    names = ["a", "b", "aa", "ab", "ba", "aab", "xy", "a" * 70, lattice.MARK, lattice.MARK + "a", lattice.MARK * 2]
+    normal = {p: (300 + k, -float(made.randrange(3, 9) * (5 + len(p)))) for k, p in enumerate(names)}  # whole numbers: sums are exact, ties are ties
+    spelt = [bytes([i]) for i in range(256)] + [b""] * 44 + [p.replace(lattice.MARK, " ").encode() for p in names]
+    pieces = lattice.pieces_from(normal, spelt, list(range(256)))
+    texts = ["".join(made.choice("aab") for _ in range(n)) for n in (1, 63, 64, 65, 128, 129, 700)] + ["a" * 300, "xyx yx  x ", "   ", "aé\na b"]
+    rows = {r["id"]: r for r in lattice.encode(frame(spark, texts), pieces).collect()}
+    for i, t in enumerate(texts):
+        assert rows[i]["decoded"] == t and list(rows[i]["ids"]) == best_path(t, normal, pieces.unknown, list(range(256))), t
 
 
-def test_mixing_keeps_every_source_within_a_block_of_its_share(spark, docs, empty):
-    slots = mixing.shares({"a": 5.0, "b": 2.0, "c": 0.5, "d": 0.0}, 64)
-    assert sum(slots.values()) == 64 and min(slots.values()) >= 1
-    seen = Counter()
-    for t, (s, _, at, release, due) in enumerate(mixing.period_schedule(slots)):
-        assert at == t and release <= t < due
+def test_mixing_keeps_every_source_within_a_block_of_its_weight(spark, docs, empty):
+    weights = {"a": 0.5, "b": 0.3, "c": 0.15, "d": 0.05, "e": 0.0}
+    share = mixing.shares(weights)
+    assert sum(share.values()) == 1 and share["a"] / share["b"] == Fraction(0.5) / Fraction(0.3) and share["e"] > 0
+    slots = 100_000
+    seen = dict.fromkeys(share, 0)
+    for t, (s, i, at, release, due) in enumerate(mixing.schedule(share, {s: int(x * slots) for s, x in share.items()})):
+        assert at == t and i == seen[s] and release <= t < due
         seen[s] += 1
-        assert all(abs(seen[x] - n * (t + 1) / 64) < 1 for x, n in slots.items())
+        if t % 37 == 0:
+            assert all(abs(seen[x] - w * (t + 1)) < 1 for x, w in share.items())
+    # Against the weights as they are meant, far from the start.
+    assert all(abs(seen[x] - w * (t + 1) * float(1 / (1 + mixing.LEAST))) < 1 for x, w in weights.items() if w)
+    alone = mixing.schedule({"a": Fraction(1, 3), "b": Fraction(2, 3)}, {"a": 3, "b": 1})
+    assert [x[2] for x in alone if x[0] == "a"] == [x[2] for x in alone if x[0] == "a" and x[3] <= x[2] < x[4]]
     rows = mixing.mix(docs, block_chars=100).collect()
     assert sorted(r["row"]["doc_id"] for r in rows) == list(range(len(TEXTS))) and all(r["release"] <= r["slot"] < r["deadline"] for r in rows)
     assert mixing.mixed_order(mixing.mix(docs), 2).columns == docs.columns
     assert mixing.mixed_order(mixing.mix(empty), 2).count() == 0
 
 
+def test_blocks_grow_with_the_data(docs, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCKS", 5)
+    rows = mixing.mix(docs, block_chars=1).collect()
+    assert len(rows) == len(TEXTS) and max(r["block"] + r["n_blocks"] for r in rows) <= 5
+
+
 def test_mixing_keeps_every_source_within_a_block_of_characters(spark):
     lengths = [2 + rng.randrange(300) + (4000 if i % 97 == 5 else 0) for i in range(900)]
     rows = [(i, "x" * n, None, "big" if i % 6 else "small") for i, n in enumerate(lengths)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     size, weights = 500, {"big": 3.0, "small": 1.0}
-    slots = mixing.shares(weights)
-    at = {(s, k): t for s, k, t, _, _ in mixing.period_schedule(slots)}
-    period, filled, totals = sum(slots.values()), Counter(), Counter()
+    filled, totals = Counter(), Counter()
     mixed = sorted(mixing.mix(docs, weights, block_chars=size).collect(), key=lambda r: (r["row"]["source"], r["block"], r["n_blocks"]))
     for r in mixed:  # a block is filled by what starts in it, and what goes over into the next
         s, left = r["row"]["source"], len(r["row"]["text"])
@@ -271,17 +382,17 @@ def test_mixing_keeps_every_source_within_a_block_of_characters(spark):
             filled[s, b] += part
             left -= part
             b += 1
+    at = {(s, k): t for s, k, t, _, _ in mixing.schedule(mixing.shares(weights), {s: -(-n // size) for s, n in totals.items()})}
     for s, n in totals.items():
         blocks = -(-n // size)
         assert [filled[s, b] for b in range(blocks)] == [size] * (blocks - 1) + [n - size * (blocks - 1)]
-        placed = sorted((b // slots[s] * period + at[s, b % slots[s]], filled[s, b]) for b in range(blocks - 1))
         so_far = 0
-        for t, c in placed:
-            assert abs(so_far - t * size * slots[s] / period) < size
+        for t, c in sorted((at[s, b], filled[s, b]) for b in range(blocks - 1)):
+            assert abs(so_far - t * size * weights[s] / 4) < size
             so_far += c
-            assert abs(so_far - (t + 1) * size * slots[s] / period) < size
+            assert abs(so_far - (t + 1) * size * weights[s] / 4) < size
     first = {(r["row"]["source"], r["block"]): r["slot"] for r in mixed}
-    assert all(t == b // slots[s] * period + at[s, b % slots[s]] for (s, b), t in first.items())
+    assert all(t == at[k] for k, t in first.items())
 
 
 def test_neighbours(spark):
@@ -311,10 +422,36 @@ def test_a_tight_group_smaller_than_k_gets_k_neighbours(spark):
     assert got == {i: 10 for i, _ in rows}
     few = spark.createDataFrame(rows[:6], "vec_id long, embedding array<double>")
     assert Counter(r["query_id"] for r in ann.search(few).collect()) == {i: 5 for i, _ in rows[:6]}
-    index = ann.Index(np.array([[0.0], [100.0], [101.0]]), np.array([[1, 2], [0, 2], [0, 1]]), np.array([0, 1, 2]))
+    index = ann.Index(np.array([[0.0], [100.0], [101.0]]), np.array([[1, 2], [0, 2], [0, 1]]), np.array([0, 1, 2]), 1.3)
     assert index.lists_for(np.array([0.1]), np.array([9, 1, 5]), 11) == [0, 1, 2] and index.lists_for(np.array([0.1]), np.array([9, 9, 5]), 11) == [0, 1]
 
 
+@pytest.mark.parametrize("fit_rows", [20_000, 1500])
+def test_recall_on_many_lists(spark, monkeypatch, fit_rows):
+    """Clustered vectors on some 300 lists, fitted by one task and by several: recall, and the share of rows in the lists searched."""
+    monkeypatch.setattr(ann, "FIT_ROWS", fit_rows)
+    made = np.random.default_rng(12)
+    centres = made.normal(size=(400, 24))
+    x = centres[made.integers(0, 400, 8000)] + made.normal(size=(8000, 24)) * 0.25
+    table = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.search(table).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = 0
+    for q in range(0, 8000, 100):
+        d = ((x - x[q]) ** 2).sum(axis=1)
+        hits += len(got[q] & set([i for i in np.lexsort((np.arange(8000), d)) if i != q][:10]))
+    assert hits >= 0.9 * 800
+    held = ann.entries(ann.usable(table, "vec_id", "embedding"), 10)
+    index = ann.fit(held)
+    assert 150 < len(index.centroids) < 700
+    lists = index.lists_of(x)
+    sizes = np.bincount(np.concatenate(lists), minlength=len(index.centroids))
+    owned = np.bincount([a[0] for a in lists], minlength=len(index.centroids))
+    compared = [sizes[index.lists_for(x[q], owned, 11)].sum() for q in range(0, 8000, 100)]
+    assert np.mean(compared) < 0.1 * 8000
+
+
 def test_languages(spark, docs, empty):
     parts = {"aa": "ba na ka la ma".split(), "bb": "öx üx ßx äx ix".split()}
     texts = [(lang, " ".join(rng.choice(parts[lang]) for _ in range(60))) for lang in parts for _ in range(60)]

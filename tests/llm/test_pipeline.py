@@ -1,5 +1,8 @@
 """The pipeline's stages on a small table."""
 
+from fractions import Fraction
+from math import ceil, floor
+
 import corpus_pipeline
 from kgloom.llm import mixing
 
@@ -36,12 +39,17 @@ def test_the_schedule_reaches_the_last_stage(spark):
     sizes = {}
     for _, t, _, s, _ in rows:
         sizes[s or ""] = sizes.get(s or "", 0) + len(t)
-    share = mixing.shares({s: float(n) ** mixing.EXPONENT for s, n in sizes.items()})
-    period, slot_of, done = sum(share.values()), {}, dict.fromkeys(share, 0)
-    for t in range(2 * period):
-        due, s = min((-(-(n + 1) * period // share[s]), s) for s, n in done.items() if n * period // share[s] <= t)
-        slot_of[s, done[s]] = t
-        done[s] += 1
+    # Played slot by slot, by definition: of the blocks whose window has begun the one whose window ends first.
+    power = {s: Fraction(float(n) ** mixing.EXPONENT) for s, n in sizes.items()}
+    share = {s: x / sum(power.values()) for s, x in power.items()}
+    left, slot_of, done, t = {s: -(-n // mixing.BLOCK_CHARS) for s, n in sizes.items()}, {}, dict.fromkeys(share, 0), 0
+    while any(done[s] < n for s, n in left.items()):
+        ready = [(ceil((done[s] + 1) / w), s) for s, w in share.items() if done[s] < left[s] and floor(done[s] / w) <= t]
+        if ready:
+            s = min(ready)[1]
+            slot_of[s, done[s]] = t
+            done[s] += 1
+        t += 1
     want = {i: slot_of[s or "", block[s, i]] for i, _, _, s, _ in rows}
     assert len(set(want.values())) > 5
     moved = spark.createDataFrame(rows[::-1], schema)
