@@ -298,6 +298,20 @@ def test_terms_that_disclose_an_entity(spark):
     assert cleaned[0].startswith("<CODE> ") and cleaned[0].endswith(" <EMAIL> " + texts[0].split("com ")[1].split(" ref")[0] + " ref <NUMBER> <CODE> unit <CODE>") and cleaned[365] == texts[365]
 
 
+def best_path(text, normal, unknown, byte_ids):
+    """By definition, over the whole text: the greatest total of scores in exact numbers, ends settled one by one."""
+    s = lattice.MARK + text.replace(" ", lattice.MARK)
+    best = [(Fraction(0), [])]
+    for stop in range(1, len(s) + 1):
+        found = []
+        for start in range(stop):
+            i, x = normal.get(s[start:stop], (None, unknown))
+            if i is not None or stop - start == 1:
+                found.append((best[start][0] + Fraction(x), -start, best[start][1] + ([i] if i is not None else [byte_ids[b] for b in s[start:stop].encode()])))
+        best.append(max(found)[::2])
+    return best[-1][1]
+
+
 def test_encoding(spark, docs, empty, monkeypatch):
     pieces = lattice.load_pieces(spark)
     for share in (0, 20_000):  # every part by the lattice of rare ones, and by the sample's
