@@ -327,11 +327,12 @@ def packed(docs: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, part_bytes: int = PART_BYTES) -> DataFrame:
     """``id``, ``start``, ``stop``: stretches of repeated strings, in bytes; they may overlap. ``docs`` has ``id`` and ``text``."""
     every = stored(segments(docs, length, anchor), "segments")
-    shared = every.groupBy("anchor").agg(F.count("*").alias("met")).where("met > 1").select("anchor")
+    # Stored, as is what else is counted by anchor: a join of two stored tables is one whose hot keys Spark splits.
+    shared = stored(every.groupBy("anchor").agg(F.count("*").alias("met")).where("met > 1").select("anchor"), "shared")
     candidates = stored(every.join(shared, "anchor"), "candidates")
     classes = candidates.groupBy("anchor", "seg").agg(F.count("*").alias("copies"), F.min(F.struct("id", "start", "n")).alias("first"))
     classes = stored(classes, "classes")
-    several = classes.groupBy("anchor").agg(F.count("*").alias("classes"), F.sum(F.col("first.n") + length).alias("size")).where("classes > 1").select("anchor", (F.col("size") > part_bytes).alias("hot"))
+    several = stored(classes.groupBy("anchor").agg(F.count("*").alias("classes"), F.sum(F.col("first.n") + length).alias("size")).where("classes > 1").select("anchor", (F.col("size") > part_bytes).alias("hot")), "several")
     copied = candidates.join(classes.where("copies > 1").select("anchor", "seg"), ["anchor", "seg"]).select("id", "start", (F.col("start") + F.col("n") + (length - 1)).alias("stop"))
     sought = stored(classes.join(several, "anchor").select("anchor", "copies", "hot", "first.*"), "sought")
     id_field = docs.schema["id"]
