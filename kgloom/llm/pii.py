@@ -25,6 +25,7 @@ are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -145,40 +146,56 @@ def near_terms(held: DataFrame) -> DataFrame:
     return once.mapInArrow(work, "doc long, entities array<long>, terms array<long>").select("doc", F.explode("entities").alias("entity"), "terms")
 
 
-def term_documents(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """``term``, ``n_t``: in how many distinct texts each of the given terms occurs, over all texts."""
-    spark = docs.sparkSession
-    place = F.pmod(F.col("term"), F.lit(FILTER_BITS))
-    words = terms.select(place.alias("at")).groupBy((F.col("at") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits")).collect()
+def bits_of(keys: DataFrame) -> np.ndarray:
+    """A filter of FILTER_BITS, of which those are set that a value of the column ``key`` points at; its size, and so what is broadcast, is fixed."""
+    place = F.pmod(F.col("key"), F.lit(FILTER_BITS))
+    words = keys.select(place.alias("at")).groupBy((F.col("at") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits")).collect()
     bits = np.zeros(FILTER_BITS // 64, np.uint64)
     for r in words:
         bits[r["word"]] = np.int64(r["bits"]).view(np.uint64)
-    shared = spark.sparkContext.broadcast(bits)
+    return bits
+
+
+def is_set(bits: np.ndarray, key: int) -> bool:
+    p = key % FILTER_BITS
+    return bool(int(bits[p >> 6]) >> (p & 63) & 1)
+
+
+def term_documents(docs: DataFrame, terms: DataFrame, copied: DataFrame) -> DataFrame:
+    """``term``, ``n_t``: in how many distinct texts each of the given terms occurs, over all texts (``at``, ``text``).
+
+    Texts that are there once are counted inside each task. Only for those that may have copies (``copied`` names these by
+    ``at``) do pairs of text and term go through the shuffle, where equal ones become one.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((bits_of(terms.select(F.col("term").alias("key"))), bits_of(copied.select(F.col("at").alias("key")))))
 
     def work(batches):
-        flags, known = shared.value, {}
+        flags, again = shared.value
+        known = {}
         for batch in batches:
-            doc, term = [], []
-            for t in batch.column(0):
-                t = t.as_py() or ""
-                mine = set()
-                for w in set(_TERM.findall(t.lower())):
+            single, pairs = Counter(), set()
+            for at, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                mine = []
+                for w in set(_TERM.findall(t.as_py().lower())):
                     k = known.get(w)
                     if k is None:
                         if len(known) > 500_000:
                             known.clear()
                         k = term_key(w)
-                        p = k % FILTER_BITS
-                        known[w] = k = k if int(flags[p >> 6]) >> (p & 63) & 1 else 0
+                        known[w] = k = k if is_set(flags, k) else 0
                     if k:
-                        mine.add(k)
-                if mine:
-                    doc.extend([xxhash.xxh3_64_intdigest(t) - (1 << 63)] * len(mine))
-                    term.extend(mine)
-            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(term, pa.int64())], names=["doc", "term"])
+                        mine.append(k)
+                if is_set(again, at):
+                    pairs.update((at, k) for k in mine)
+                else:
+                    single.update(mine)
+            pairs = sorted(pairs)
+            doc = pa.array([*[None] * len(single), *(d for d, _ in pairs)], pa.int64())
+            yield pa.RecordBatch.from_arrays([doc, pa.array([*single, *(k for _, k in pairs)], pa.int64()), pa.array([*single.values(), *[1] * len(pairs)], pa.int64())], names=["doc", "term", "n"])
 
-    seen = docs.select("text").mapInArrow(work, "doc long, term long").distinct().groupBy("term").agg(F.count("*").alias("n_t"))
-    return seen.join(terms, "term", "left_semi")
+    # Equal pairs, and what tasks have counted of a term, meet here; then both kinds of count are added up.
+    once = docs.select("at", "text").mapInArrow(work, "doc long, term long, n long").groupBy("term", "doc").agg(F.when(F.col("doc").isNull(), F.sum("n")).otherwise(F.lit(1)).alias("n"))
+    return once.groupBy("term").agg(F.sum("n").alias("n_t")).join(terms, "term", "left_semi")
 
 
 def disclosing_terms(docs: DataFrame, held: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
@@ -187,7 +204,8 @@ def disclosing_terms(docs: DataFrame, held: DataFrame, support: int = SUPPORT, d
     Only entities of ``support`` texts can have any.
     """
     near = stored(near_terms(held), "near-terms")
-    whole = docs.select(F.xxhash64("text").alias("h")).distinct().count()
+    texts = stored(docs.groupBy("at").agg(F.count("*").alias("n")), "texts")
+    whole = texts.count()
     entities = near.groupBy("entity").agg(F.count("*").alias("n_e")).where((F.col("n_e") >= support) & (F.col("n_e") < whole))
     known = stored(near.join(entities, "entity"), "known-entities")
     if known.isEmpty():
@@ -201,7 +219,7 @@ def disclosing_terms(docs: DataFrame, held: DataFrame, support: int = SUPPORT, d
     if pairs.isEmpty():
         return pairs.select("entity", "term")
     terms = stored(pairs.select("term").distinct(), "terms")
-    return pairs.join(term_documents(docs, terms), "term").where("n_t <= most * 1.000001").select("entity", "term")
+    return pairs.join(term_documents(docs, terms, texts.where("n > 1")), "term").where("n_t <= most * 1.000001").select("entity", "term")
 
 
 def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", terms: bool = True, clean: bool = False) -> DataFrame:
@@ -213,7 +231,7 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", terms: boo
     held = stored(split_holders(frame, True), "holders")
     found = held
     if terms:
-        pairs = disclosing_terms(frame.select("text"), held)
+        pairs = disclosing_terms(frame.select("at", "text"), held)
         named = held.select("at", F.explode("entities").alias("entity")).distinct()
         found = held.join(named.join(pairs, "entity").groupBy("at").agg(F.collect_set("term").alias("revealing")), "at", "left")
     else:

@@ -37,6 +37,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kgloom.llm.common import stored
+
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 BLOCK_CHARS = 8_000_000
@@ -196,8 +198,26 @@ def lengths(docs: DataFrame, text: str) -> int:
     return docs.agg(F.sum(F.char_length(F.col(text)))).head()[0] or 0
 
 
-def sample_encoding(docs: DataFrame, pieces: Pieces, text: str) -> tuple[dict[str, bytes], dict[str, bytes]]:
-    """Ids, as bytes, of the stretches that most documents of a sample hold, KNOWN at most, and of the parts of these.
+class Known:
+    """Stretches and parts whose ids every task knows. It travels as two tables; a worker makes dictionaries of them once."""
+
+    def __init__(self, pieces: Pieces, stretches: pa.Table, parts: pa.Table):
+        self.pieces, self.tables, self.made = pieces, (stretches, parts), None
+
+    def __getstate__(self):
+        return self.__dict__ | {"made": None}
+
+    def dictionaries(self) -> tuple[Pieces, dict[str, bytes], dict[str, bytes]]:
+        """The pieces, and ids as bytes by stretch and by part."""
+        if self.made is None:
+            whole, rows = self.tables
+            parts = {p: settled(p, ids.as_py(), self.pieces) for p, ids in zip(rows["key"].to_pylist(), rows["ids"], strict=True)}
+            self.made = self.pieces, {w: b"".join([parts[p] for p in parts_of(w, self.pieces.pairs)]) for w in whole["stretch"].to_pylist()}, parts
+        return self.made
+
+
+def sample_encoding(docs: DataFrame, pieces: Pieces, text: str) -> Known:
+    """The stretches that most documents of a sample hold, KNOWN at most, and the encoding of their parts.
 
     It only saves work: a stretch that it lacks is encoded in parts. None has more than SPAN characters.
     """
@@ -216,18 +236,16 @@ def sample_encoding(docs: DataFrame, pieces: Pieces, text: str) -> tuple[dict[st
             yield part_rows(sorted({p for w in batch.column(0).to_pylist() for p in parts_of(w, pieces.pairs)}))
 
     counts = chosen.mapInArrow(count, "stretch string, n long").groupBy("stretch").agg(F.sum("n").alias("n")).where(F.col("n") >= SAMPLE_SEEN)
-    often = counts.orderBy(F.desc("n"), "stretch").limit(KNOWN).select("stretch").toPandas()["stretch"].tolist()
-    listed = docs.sparkSession.createDataFrame(pa.table([pa.array(often, pa.string())], names=["stretch"])).repartition(12)
-    rows = encode_parts(listed.mapInArrow(cut, PART_ROWS), pieces).select("key", "ids").toPandas()
-    parts = {p: settled(p, list(ids), pieces) for p, ids in zip(rows["key"], rows["ids"], strict=True)}
-    return {w: b"".join([parts[p] for p in parts_of(w, pieces.pairs)]) for w in often}, parts
+    often = stored(counts.orderBy(F.desc("n"), "stretch").limit(KNOWN).select("stretch"), "stretches")
+    parts = encode_parts(often.repartition(12).mapInArrow(cut, PART_ROWS).repartition(12, "key"), pieces)
+    return Known(pieces, often.toArrow(), parts.select("key", "ids").toArrow())
 
 
 def encode(docs: DataFrame, pieces: Pieces, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``id``, ``ids`` (piece ids) and ``decoded`` (what they decode to) of each row."""
     spark = docs.sparkSession
     frame = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    known = spark.sparkContext.broadcast((pieces, *sample_encoding(frame, pieces, "text")))
+    known = spark.sparkContext.broadcast(sample_encoding(frame, pieces, "text"))
     blocks = max(1, -(-lengths(frame, "text") // BLOCK_CHARS))
     id_field = frame.schema["id"]
     blocked = frame.select("id", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int").alias("block"), "text")
@@ -249,7 +267,7 @@ def encode(docs: DataFrame, pieces: Pieces, doc_id: str = "doc_id", text: str =
     dealt = blocked.mapInArrow(pack, packed_schema).repartition(blocks, "block")
 
     def rare(batches):
-        pieces, whole, parts = known.value
+        pieces, whole, parts = known.value.dictionaries()
         for batch in batches:
             missing, at = [], []
             for block, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -267,7 +285,7 @@ def encode(docs: DataFrame, pieces: Pieces, doc_id: str = "doc_id", text: str =
 
     def assemble(texts: pa.Table, mine: pa.Table) -> pa.Table:
         unpack = zstandard.ZstdDecompressor().decompress
-        pieces, whole, parts = known.value
+        pieces, whole, parts = known.value.dictionaries()
         own: dict[str, list[int] | bytes] = {}
         for chunk in mine.to_batches():
             ids = chunk.column("ids")
