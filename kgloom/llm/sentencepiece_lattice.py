@@ -36,6 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from kgloom.llm.common import stored
 
@@ -212,6 +213,7 @@ class Known:
         if self.made is None:
             whole, rows = self.tables
             parts = {p: settled(p, ids.as_py(), self.pieces) for p, ids in zip(rows["key"].to_pylist(), rows["ids"], strict=True)}
+            self.tables = None
             self.made = self.pieces, {w: b"".join([parts[p] for p in parts_of(w, self.pieces.pairs)]) for w in whole["stretch"].to_pylist()}, parts
         return self.made
 
@@ -283,6 +285,8 @@ def encode(docs: DataFrame, pieces: Pieces, doc_id: str = "doc_id", text: str =
     found = found.select(F.explode("blocks").alias("block"), "key", "ids")
     schema = T.StructType([id_field, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
 
+    empty = pa.schema([("id", to_arrow_type(id_field.dataType)), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())]).empty_table()
+
     def assemble(texts: pa.Table, mine: pa.Table) -> pa.Table:
         unpack = zstandard.ZstdDecompressor().decompress
         pieces, whole, parts = known.value.dictionaries()
@@ -303,43 +307,42 @@ def encode(docs: DataFrame, pieces: Pieces, doc_id: str = "doc_id", text: str =
                     found = settled(part, found, pieces)
             return found
 
-        spelling, out, counts, decoded = Spelling(pieces), [], [], []
+        spelling, done = Spelling(pieces), []
         for chunk in texts.to_batches():
-            for sizes, p in zip(chunk.column("sizes"), chunk.column("packed"), strict=True):
-                raw, at, mine_ids = unpack(p.as_py()), 0, []
+            for k, (sizes, p) in enumerate(zip(chunk.column("sizes"), chunk.column("packed"), strict=True)):
+                # One document at a time: what is held of a block is its result, as Arrow arrays.
+                raw, at, found_ids, decoded = unpack(p.as_py()), 0, [], []
                 for n in sizes.as_py():
                     ws = stretches(raw[at : at + n].decode())
                     at += n
                     found = list(map(whole.get, ws))
-                    for k, f in enumerate(found):
+                    for j, f in enumerate(found):
                         if f is None:
-                            found[k] = b"".join(map(ids_of, parts_of(ws[k], pieces.pairs)))
-                    mine_ids.append(b"".join(found))
-                counts += [len(x) // 4 for x in mine_ids]
-                out.append(b"".join(mine_ids))
-                decoded += spelling.texts(np.frombuffer(out[-1], "<i4"), np.array([len(x) // 4 for x in mine_ids]))
-        flat = pa.ListArray.from_arrays(np.r_[0, np.cumsum(counts)].astype(np.int32), pa.array(np.frombuffer(b"".join(out), "<i4")))
-        ids = texts.column("ids").combine_chunks().flatten()
-        return pa.table([ids, flat, pa.array(decoded, pa.string())], names=["id", "ids", "decoded"])
+                            found[j] = b"".join(map(ids_of, parts_of(ws[j], pieces.pairs)))
+                    found_ids.append(b"".join(found))
+                    decoded.append(spelling.text(np.frombuffer(found_ids[-1], "<i4")))
+                offsets = np.r_[0, np.cumsum([len(x) // 4 for x in found_ids])].astype(np.int32)
+                flat = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(found_ids), "<i4")))
+                done.append(pa.table([chunk.column("ids").slice(k, 1).flatten(), flat, pa.array(decoded, pa.string())], names=["id", "ids", "decoded"]))
+        return pa.concat_tables(done) if done else empty
 
     return dealt.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(assemble, schema)
 
 
 class Spelling:
-    """The bytes of all pieces in a row, for decoding many ids at once."""
+    """The bytes of all pieces in a row, for decoding all ids of a text at once."""
 
     def __init__(self, pieces: Pieces):
         self.sizes = np.array([len(x) for x in pieces.spelt])
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.bytes = np.frombuffer(b"".join(pieces.spelt), np.uint8)
 
-    def texts(self, ids: np.ndarray, counts: np.ndarray) -> list[str]:
-        """The texts of runs of ``counts`` ids each."""
+    def text(self, ids: np.ndarray) -> str:
+        """What ids decode to, without the blank that encoding puts in front."""
         sizes = self.sizes[ids]
         stops = np.cumsum(sizes)
         raw = self.bytes[np.repeat(self.starts[ids] - (stops - sizes), sizes) + np.arange(sizes.sum())].tobytes()
-        bounds = np.r_[0, stops][np.r_[0, np.cumsum(counts)]].tolist()
-        return [raw[a:b].decode(errors="replace")[1:] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        return raw.decode(errors="replace")[1:]
 
 
 def decode(ids: list[int], pieces: Pieces) -> str:
