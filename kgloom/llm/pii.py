@@ -165,7 +165,7 @@ def term_documents(docs: DataFrame, terms: DataFrame, copied: DataFrame) -> Data
     """``term``, ``n_t``: in how many distinct texts each of the given terms occurs, over all texts (``at``, ``text``).
 
     Texts that are there once are counted inside each task. Only for those that may have copies (``copied`` names these by
-    ``at``) do pairs of text and term go through the shuffle, where equal ones become one.
+    ``at``) do pairs of text and term go through the shuffle, where equal ones become one. A filter picks the terms: a few others may be among the result.
     """
     shared = docs.sparkSession.sparkContext.broadcast((bits_of(terms.select(F.col("term").alias("key"))), bits_of(copied.select(F.col("at").alias("key")))))
 
@@ -195,7 +195,7 @@ def term_documents(docs: DataFrame, terms: DataFrame, copied: DataFrame) -> Data
 
     # Equal pairs, and what tasks have counted of a term, meet here; then both kinds of count are added up.
     once = docs.select("at", "text").mapInArrow(work, "doc long, term long, n long").groupBy("term", "doc").agg(F.when(F.col("doc").isNull(), F.sum("n")).otherwise(F.lit(1)).alias("n"))
-    return once.groupBy("term").agg(F.sum("n").alias("n_t")).join(terms, "term", "left_semi")
+    return once.groupBy("term").agg(F.sum("n").alias("n_t"))
 
 
 def disclosing_terms(docs: DataFrame, held: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
