@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgloom.llm import ann, fingerprint, langid, minhash, mixing, pii, secrets, suffix_dedup, toxicity
+from kgloom.llm import ann, fingerprint, langid, line_dedup, minhash, mixing, pii, secrets, suffix_dedup, toxicity
 from kgloom.llm import sentencepiece_lattice as lattice
 from kgloom.llm.common import fold, shared_dir, stored, table
 
@@ -85,6 +85,11 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.deduplicated(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def _op9_sql() -> str:
     parts = []
     for order, rule in enumerate(secrets.BASE_RULES + secrets.EXTRA_RULES):
@@ -107,6 +112,14 @@ def _op9_sql() -> str:
       FROM docs d LEFT JOIN per_doc USING (doc_id)"""
 
 
+_OP12_SQL = """WITH lines AS (
+    SELECT doc_id, unnest(range(1, len(w) + 1)) AS pos, unnest(w) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS w FROM documents)),
+  keyed AS (SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines),
+  crowded AS (SELECT key, max(doc_id) AS keep FROM keyed WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+  marked AS (SELECT doc_id, pos, line, coalesce(doc_id <> keep, false) AS gone FROM keyed LEFT JOIN crowded USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256 FROM marked GROUP BY doc_id"""
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_repeated_strings": op2_repeated_strings,
@@ -118,7 +131,9 @@ QUERIES = {
     "op8_personal_data": op8_personal_data,
     "op9_secrets": op9_secrets,
     "op10_fingerprints": op10_fingerprints,
+    "op12_repeated_lines": op12_repeated_lines,
 }
 ORACLE_SQL = {
     "op9_secrets": _op9_sql(),
+    "op12_repeated_lines": _OP12_SQL,
 }
