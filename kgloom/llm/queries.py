@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgloom.llm import ann, fingerprint, langid, line_dedup, minhash, mixing, pii, secrets, suffix_dedup, toxicity
+from kgloom.llm import alignment, ann, collocations, fingerprint, langid, line_dedup, minhash, mixing, pii, secrets, suffix_dedup, toxicity
 from kgloom.llm import sentencepiece_lattice as lattice
 from kgloom.llm.common import fold, shared_dir, stored, table
 
@@ -85,11 +85,20 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.deduplicated(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = alignment.alignment(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(F.col("id").cast("long").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256"))
+
+
 def _op9_sql() -> str:
     parts = []
     for order, rule in enumerate(secrets.BASE_RULES + secrets.EXTRA_RULES):
@@ -112,6 +121,23 @@ def _op9_sql() -> str:
       FROM docs d LEFT JOIN per_doc USING (doc_id)"""
 
 
+_OP11_SQL = r"""WITH pieces AS (
+    SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (SELECT coalesce(lang, 'und') AS lang,
+      unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+  totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM pieces GROUP BY lang),
+  grams AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f
+    FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM pieces, (VALUES (1), (2), (3)) AS lengths(k)) GROUP BY lang, k, phrase HAVING count(*) >= 10),
+  phrases AS (SELECT lang, phrase, f AS a, k AS words, string_split(phrase, ' ') AS w FROM grams WHERE k >= 2),
+  cuts AS (SELECT lang, phrase, a, c, array_to_string(w[1:c], ' ') AS x, array_to_string(w[c + 1:], ' ') AS y FROM (SELECT *, unnest(range(1, words)) AS c FROM phrases)),
+  scored AS (SELECT cuts.lang, cuts.phrase, a, c, g.f AS l, h.f AS r, ((1000000::HUGEINT * a * a) // (g.f::HUGEINT * h.f))::BIGINT AS score
+    FROM cuts JOIN grams g ON g.lang = cuts.lang AND g.phrase = x JOIN grams h ON h.lang = cuts.lang AND h.phrase = y),
+  least AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) AS nth FROM scored) WHERE nth = 1),
+  around AS (SELECT lang, phrase, max(a) AS most FROM (SELECT lang, a, unnest([w[1] || ' ' || w[2], w[2] || ' ' || w[3]]) AS phrase FROM phrases WHERE words = 3) GROUP BY lang, phrase),
+  ranked AS (SELECT least.*, row_number() OVER (PARTITION BY least.lang ORDER BY score DESC, a DESC, least.phrase) AS rank
+    FROM least LEFT JOIN around USING (lang, phrase) WHERE most IS NULL OR 100 * most < 50 * a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000"""
+
+
 _OP12_SQL = """WITH lines AS (
     SELECT doc_id, unnest(range(1, len(w) + 1)) AS pos, unnest(w) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS w FROM documents)),
   keyed AS (SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines),
@@ -131,9 +157,12 @@ QUERIES = {
     "op8_personal_data": op8_personal_data,
     "op9_secrets": op9_secrets,
     "op10_fingerprints": op10_fingerprints,
+    "op11_collocations": op11_collocations,
     "op12_repeated_lines": op12_repeated_lines,
+    "op13_token_alignment": op13_token_alignment,
 }
 ORACLE_SQL = {
     "op9_secrets": _op9_sql(),
+    "op11_collocations": _OP11_SQL,
     "op12_repeated_lines": _OP12_SQL,
 }
