@@ -21,6 +21,8 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kgloom.llm.common import stored
+
 #: What is stripped at both ends of a line.
 WHITE = " \t\n\x0b\x0c\r"
 
@@ -60,7 +62,8 @@ def deduplicated(docs: DataFrame, least_chars: int = 20, least_docs: int = 3, ke
     t1, t2 = wide_hash(F.col("text"))
     rows = rows.withColumns({"t1": t1, "t2": t2})
     lines = keyed_lines(rows, least_chars)
-    gone = lines.join(crowded(lines, least_docs), ["h1", "h2"]).where(F.col("id").isNull() | (F.col("id") != F.col("keep")))
+    # Stored, so that its rows are dealt anew for the join and a line that many hold can be split.
+    gone = lines.join(stored(crowded(lines, least_docs), "crowded"), ["h1", "h2"]).where(F.col("id").isNull() | (F.col("id") != F.col("keep")))
     places = gone.groupBy("id", "t1", "t2").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
     places = places.select(F.col("id").alias("of"), F.col("t1").alias("of1"), F.col("t2").alias("of2"), "gone")
     found = rows.join(places, F.col("id").eqNullSafe(F.col("of")) & (F.col("t1") == F.col("of1")) & (F.col("t2") == F.col("of2")), "left")
