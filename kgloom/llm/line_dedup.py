@@ -61,7 +61,7 @@ def deduplicated(docs: DataFrame, least_chars: int = 20, least_docs: int = 3, ke
     rows = docs.select(F.col(key).alias("id"), F.coalesce(col, F.lit("")).alias("text"))
     t1, t2 = wide_hash(F.col("text"))
     rows = rows.withColumns({"t1": t1, "t2": t2})
-    lines = keyed_lines(rows, least_chars)
+    lines = stored(keyed_lines(rows, least_chars), "lines")  # numbers only, read twice
     # Stored, so that its rows are dealt anew for the join and a line that many hold can be split.
     gone = lines.join(stored(crowded(lines, least_docs), "crowded"), ["h1", "h2"]).where(F.col("id").isNull() | (F.col("id") != F.col("keep")))
     places = gone.groupBy("id", "t1", "t2").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
