@@ -22,6 +22,7 @@ decimal digits, for counts of up to 10^16.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,19 +49,46 @@ KIND[[*b".,;:!?", *range(0x0A, 0x0E)]] = 2
 
 
 def in_blocks(docs: DataFrame, lang: str = "lang", col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``block``, ``lang``, ``text``, ``size``: texts labelled, in the order in which a task reads them, with a block of about ``block_bytes``."""
+    """``block``, ``size``, ``payload``: the texts and languages that a task reads, in blocks of about ``block_bytes`` that are compressed as one."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, done = TaskContext.get().partitionId() << 32, 0
+        block, held, size = TaskContext.get().partitionId() << 32, [], 0
+
+        def row() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([block]), pa.array([size]), pa.array([_ipc(held)], pa.binary())], ["block", "size", "payload"])
+
         for batch in batches:
-            sizes = pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-            after = done + np.cumsum(sizes)
-            block = first + (after - sizes) // block_bytes
-            done = int(after[-1]) if len(after) else done
-            yield pa.RecordBatch.from_arrays([pa.array(block), batch["lang"], batch["text"], pa.array(sizes)], ["block", "lang", "text", "size"])
+            ends = np.cumsum(pc.binary_length(batch["text"]).to_numpy(zero_copy_only=False).astype(np.int64))
+            at = 0
+            while at < len(ends):
+                before = int(ends[at - 1]) if at else 0
+                # As many texts as fill the block, the one that does included.
+                stop = min(len(ends), int(np.searchsorted(ends, before + block_bytes - size)) + 1)
+                held.append(batch.slice(at, stop - at))
+                size += int(ends[stop - 1]) - before
+                at = stop
+                if size >= block_bytes:
+                    yield row()
+                    block, held, size = block + 1, [], 0
+        if held:
+            yield row()
 
     named = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.coalesce(col, F.lit("")).alias("text"))
-    return named.mapInArrow(work, "block long, lang string, text string, size long")
+    return named.mapInArrow(work, "block long, size long, payload binary")
+
+
+def _ipc(batches: list[pa.RecordBatch]) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batches[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        for batch in batches:
+            out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _block(payload: bytes) -> tuple[pa.Array, pa.Array]:
+    """Languages and texts of a block."""
+    table = pa.ipc.open_stream(payload).read_all().combine_chunks()
+    return tuple(x.chunk(0) if x.num_chunks else pa.array([], x.type) for x in (table["lang"], table["text"]))
 
 
 class Grams:
@@ -95,6 +123,8 @@ class Grams:
         self.ids = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         joined = np.concatenate(joins) if joins else np.zeros(0, bool)
         self.lang_of = np.concatenate(lang_ids).astype(np.int64) if lang_ids else np.zeros(0, np.int64)
+        self.word_hash = np.array([xxhash.xxh3_64_intdigest(w) for w in self.words.cast(pa.large_binary()).to_pylist()], np.uint64)
+        self.lang_hash = np.array([xxhash.xxh3_64_intdigest(x) for x in self.langs.to_pylist()], np.uint64)
         self.found: list[tuple[np.ndarray, np.ndarray]] = []
         v, key, place = max(1, len(self.words)), self.lang_of, np.arange(len(self.ids))
         for n in range(1, longest + 1):
@@ -110,9 +140,6 @@ class Grams:
 
     def hashes(self, n: int) -> np.ndarray:
         """64 bits for each distinct n-gram and its language."""
-        if not hasattr(self, "word_hash"):
-            self.word_hash = np.array([xxhash.xxh3_64_intdigest(w) for w in self.words.cast(pa.large_binary()).to_pylist()], np.uint64)
-            self.lang_hash = np.array([xxhash.xxh3_64_intdigest(x) for x in self.langs.to_pylist()], np.uint64)
         at = self.found[n - 1][0]
         h = mix(self.lang_hash[self.lang_of[at]] + np.uint64(n))
         for k in range(n):
@@ -125,6 +152,22 @@ class Grams:
         return spelt[0] if n == 1 else pc.binary_join_element_wise(*spelt, pa.scalar(" ", pa.large_string()))
 
 
+    def message(self, parts: int, cap: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places of all n-grams, as ``placed`` gives them, in order, and how often each is there, up to ``cap``."""
+        at = np.concatenate([placed(self.hashes(n + 1), parts) for n in range(len(self.found))])
+        counts = np.concatenate([c for _, c in self.found])
+        order = np.argsort(at)
+        at = at[order]
+        starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else np.zeros(0, np.int64)
+        return at[starts], np.minimum(np.add.reduceat(counts[order], starts), cap) if len(at) else counts
+
+
+def runs(part: np.ndarray) -> list[tuple[int, int]]:
+    """Bounds of runs of equal values."""
+    edges = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])) if len(part) else np.zeros(1, np.int64)
+    return list(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))
+
+
 def placed(hashes: np.ndarray, parts: int) -> np.ndarray:
     """Hash partition and 32 bits within it, as one number."""
     return ((hashes % np.uint64(parts)) << np.uint64(32)) | (hashes >> np.uint64(32))
@@ -180,7 +223,7 @@ def found_in(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def survivors(messages: list[tuple[bytes, int]], mass: int, least: int) -> list[np.ndarray]:
-    """For the messages of one hash partition, the keys of each that are counted ``least`` times or more in all of them."""
+    """For the messages of one hash partition, which keys of each are counted ``least`` times or more in all of them."""
     summary = Summary(mass // least + 1)
     for payload, n in messages:
         summary.add(*unpack(payload, n))
@@ -191,74 +234,100 @@ def survivors(messages: list[tuple[bytes, int]], mass: int, least: int) -> list[
         held, at = found_in(summary.keys, keys)
         exact[at[held]] += counts[held]
     frequent = summary.keys[exact >= least]
-    replies = []
-    for payload, n in messages:
-        keys, _ = unpack(payload, n)
-        replies.append(keys[found_in(frequent, keys)[0]])
-    return replies
+    return [found_in(frequent, unpack(payload, n)[0])[0] for payload, n in messages]
+
+
+def pack_counts(names: list[str], codes: np.ndarray, phrases: list[str], counts: np.ndarray) -> tuple[int, bytes]:
+    """Counts of phrases in order, which compress well; the size before and the bytes. No phrase holds a line feed."""
+    raw = pickle.dumps((names, codes.astype(np.uint32), counts.astype(np.int64).view(np.uint8).reshape(-1, 8).T.tobytes(), "\n".join(phrases)))
+    return len(raw), pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpack_counts(size: int, payload: bytes) -> pa.Table:
+    names, codes, planes, text = pickle.loads(pa.decompress(payload, size, codec="zstd", asbytes=True))
+    counts = np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).view(np.int64).ravel()
+    return pa.table({"lang": pa.array(names, pa.large_string()).take(pa.array(codes)), "phrase": pa.array(text.split("\n"), pa.large_string()), "n": counts})
 
 
 def frequent_grams(docs: DataFrame, least: int = 10, longest: int = 3, lang: str = "lang", col: str = "text", block_bytes: int = BLOCK_BYTES, part_mass: int = PART_MASS) -> DataFrame:
-    """``lang``, ``words``, ``phrase``, ``n``: every n-gram of one to ``longest`` words with ``least`` occurrences or more in its language; with ``words`` 0 and a null phrase, all words of a language."""
+    """``lang``, ``words``, ``phrase``, ``n``: every n-gram of one to ``longest`` words with ``least`` occurrences or more in its language; with ``words`` 0 and an empty phrase, all words of a language."""
     texts = stored(in_blocks(docs, lang, col, block_bytes), "blocks")
     size = texts.agg(F.sum("size")).head()[0] or 0
     # A word and the gap behind it take about six bytes; this is for size alone and the guarantee does not rest on it.
     parts = int(max(1, -(-size * longest // (6 * part_mass))))
+    cap = min(least, 255)
+    high = np.uint64(32)
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            blocks = batch["block"].to_numpy()
-            edges = np.flatnonzero(np.concatenate([[True], blocks[1:] != blocks[:-1], [True]])) if len(blocks) else [0]
-            for a, b in zip(edges[:-1], edges[1:], strict=True):
-                grams = Grams(batch["lang"][a:b], batch["text"][a:b], longest)
-                at = np.concatenate([placed(grams.hashes(n), parts) for n in range(1, longest + 1)])
-                counts = np.concatenate([c for _, c in grams.found])
-                if not len(at):
-                    continue
-                order = np.argsort(at)
-                at = at[order]
-                starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-                seen, at = np.minimum(np.add.reduceat(counts[order], starts), min(least, 255)), at[starts]
-                part, keys = (at >> np.uint64(32)).astype(np.int64), (at & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-                cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
-                spans = list(zip(cuts[:-1], cuts[1:], strict=True))
+            for block, payload in zip(batch["block"].to_pylist(), batch["payload"], strict=True):
+                at, seen = Grams(*_block(payload.as_buffer()), longest).message(parts, cap)
+                part, keys = (at >> high).astype(np.int64), at.astype(np.uint32)
+                spans = runs(part)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(part[cuts[:-1]]),
-                        pa.array(np.full(len(spans), blocks[a])),
+                        pa.array([part[x] for x, _ in spans], pa.int64()),
+                        pa.array(np.full(len(spans), block, np.int64)),
                         pa.array([y - x for x, y in spans], pa.int32()),
-                        pa.array(np.add.reduceat(seen, cuts[:-1])),
+                        pa.array([seen[x:y].sum() for x, y in spans], pa.int64()),
                         pa.array([pack(keys[x:y], seen[x:y]) for x, y in spans], pa.binary()),
                     ],
                     ["part", "block", "n", "mass", "payload"],
                 )
 
     def decide(messages: pd.DataFrame) -> pd.DataFrame:
-        left = survivors(list(zip(messages["payload"], messages["n"], strict=True)), int(messages["mass"].sum()), min(least, 255))
-        return pd.DataFrame({"to": messages["block"], "part": messages["part"], "keys": [k.tobytes() for k in left]})
+        left = survivors(list(zip(messages["payload"], messages["n"], strict=True)), int(messages["mass"].sum()), cap)
+        return pd.DataFrame({"to": messages["block"], "part": messages["part"], "stays": [np.packbits(k).tobytes() for k in left]})
 
-    out = pa.schema([("lang", pa.string()), ("words", pa.int32()), ("phrase", pa.string()), ("n", pa.int64())])
+    counts_schema = pa.schema([("part", pa.int64()), ("size", pa.int64()), ("payload", pa.binary())])
 
     def count(block: pa.Table, replies: pa.Table) -> pa.Table:
-        if not block.num_rows:
-            return out.empty_table()
-        grams = Grams(block["lang"].combine_chunks(), block["text"].combine_chunks(), longest)
-        told = [np.frombuffer(k, np.uint32).astype(np.uint64) | np.uint64(p << 32) for p, k in zip(replies["part"].to_pylist(), replies["keys"].to_pylist(), strict=True)]
-        wanted = np.unique(np.concatenate(told)) if told else np.zeros(0, np.uint64)
-        totals = np.bincount(grams.lang_of, minlength=len(grams.langs)).astype(np.int64)
-        made = [pa.table([grams.langs, pa.array(np.zeros(len(totals), np.int32)), pa.nulls(len(totals), pa.string()), pa.array(totals)], schema=out)]
-        for n in range(1, longest + 1):
-            at, counts = grams.found[n - 1]
-            chosen = np.flatnonzero(found_in(wanted, placed(grams.hashes(n), parts))[0])
-            langs = grams.langs.take(pa.array(grams.lang_of[at[chosen]]))
-            made.append(pa.table([langs, pa.array(np.full(len(chosen), n, np.int32)), grams.phrases(n, chosen).cast(pa.string()), pa.array(counts[chosen])], schema=out))
-        return pa.concat_tables(made)
-
-    messages = texts.select("block", "lang", "text").mapInArrow(tell, "part long, block long, n int, mass long, payload binary")
-    replies = messages.groupBy("part").applyInPandas(decide, "to long, part long, keys binary")
-    counted = texts.select("block", "lang", "text").groupBy("block").cogroup(replies.where(F.octet_length("keys") > 0).groupBy("to")).applyInArrow(count, "lang string, words int, phrase string, n long")
-    # Exact: by the words themselves.
-    return counted.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n")).where((F.col("words") == 0) | (F.col("n") >= least))
+        """The block's own counts of what survived, and of all words as those of an empty phrase, by hash partition."""
+        grams = Grams(*_block(block["payload"][0].as_buffer()), longest)
+        at, _ = grams.message(parts, cap)
+        stays = np.zeros(len(at), bool)
+        told = dict(zip(replies["part"].to_pylist(), replies["stays"].to_pylist(), strict=True))
+        for x, y in runs((at >> high).astype(np.int64)):
+            if bits := told.get(int(at[x] >> high)):
+                stays[x:y] = np.unpackbits(np.frombuffer(bits, np.uint8), count=y - x)
+        totals = np.bincount(grams.lang_of, minlength=len(grams.langs))
+        where, codes, spelt, counts = [(grams.lang_hash % np.uint64(parts)).astype(np.int64)], [np.arange(len(totals))], [pa.array([""] * len(totals), pa.large_string())], [totals]
+        for n, (places, seen) in enumerate(grams.found, 1):
+            mine = placed(grams.hashes(n), parts)
+            chosen = np.flatnonzero(stays[np.searchsorted(at, mine)])
+            where.append((mine[chosen] >> high).astype(np.int64))
+            codes.append(grams.lang_of[places[chosen]])
+            spelt.append(grams.phrases(n, chosen))
+            counts.append(seen[chosen])
+        made = pa.table({"part": np.concatenate(where), "code": np.concatenate(codes), "phrase": pa.chunked_array(spelt), "n": np.concatenate(counts)}).sort_by([("part", "ascending"), ("phrase", "ascending")])
+        part, names = made["part"].to_numpy(), grams.langs.to_pylist()
+        codes, phrases, counts = made["code"].to_numpy(), made["phrase"].to_pylist(), made["n"].to_numpy()
+        spans = runs(part)
+        packed = [pack_counts(names, codes[x:y], phrases[x:y], counts[x:y]) for x, y in spans]
+        return pa.table([[part[x] for x, _ in spans], [p[0] for p in packed], [p[1] for p in packed]], schema=counts_schema)
+
+    grams_schema = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64())])
+
+    def total(rows: pa.Table) -> pa.Table:
+        """Sums over all blocks, by the words themselves."""
+        held, waiting, n = None, [], 0
+
+        def summed(tables: list[pa.Table]) -> pa.Table:
+            return pa.concat_tables(tables).group_by(["lang", "phrase"]).aggregate([("n", "sum")]).rename_columns(["lang", "phrase", "n"])
+
+        for raw, payload in zip(rows["size"].to_pylist(), rows["payload"].to_pylist(), strict=True):
+            waiting.append(unpack_counts(raw, payload))
+            n += waiting[-1].num_rows
+            if n > max(1 << 18, held.num_rows if held else 0):
+                held, waiting, n = summed([*([held] if held else []), *waiting]), [], 0
+        held = summed([*([held] if held else []), *waiting]).select(["lang", "phrase", "n"])
+        return held.filter(pc.or_(pc.greater_equal(held["n"], least), pc.equal(held["phrase"], ""))).cast(grams_schema)
+
+    messages = texts.select("block", "payload").mapInArrow(tell, "part long, block long, n int, mass long, payload binary")
+    replies = messages.groupBy("part").applyInPandas(decide, "to long, part long, stays binary")
+    counted = texts.select("block", "payload").groupBy("block").cogroup(replies.groupBy("to")).applyInArrow(count, "part long, size long, payload binary")
+    sums = counted.groupBy("part").applyInArrow(total, "lang string, phrase string, n long")
+    return sums.select("lang", F.when(F.col("phrase") == "", 0).otherwise(F.size(F.split("phrase", " "))).alias("words"), "phrase", "n")
 
 
 def scored(grams: DataFrame, share: int = 50) -> DataFrame:
