@@ -1,4 +1,4 @@
-"""Context of questions: earlier turns, entities in focus, passages, retrieval."""
+"""Context of questions: earlier turns, entities in focus, passages, retrieval by vectors, ranks by context."""
 
 from __future__ import annotations
 
@@ -39,23 +39,6 @@ def split_passages(documents: DataFrame, n: int, stride: int) -> DataFrame:
     return at.select(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("pos").cast("string")).alias("passage_id"), "doc_id", "pos", F.array_join(F.slice("w", F.col("pos") * stride + 1, n), " ").alias("text"))
 
 
-def retrieve_bm25(questions: DataFrame, docs: DataFrame, k: int, k1: float = 1.2, b: float = 0.75, common: float = 0.1) -> DataFrame:
-    """``qid``, ``doc_id``, ``score``, ``rank``: the k best by BM25; terms of more than a share ``common`` of documents are left out."""
-    words = cut(docs.select("doc_id", tokens(F.col("text")).alias("w")))  # read for lengths, spread and postings
-    sizes = words.agg(F.count("*").alias("n_docs"), F.avg(F.size("w")).alias("mean")).head()
-    n_docs, mean = sizes["n_docs"], sizes["mean"] or 1.0
-    terms = words.select("doc_id", F.size("w").alias("len"), F.explode("w").alias("tok")).groupBy("tok", "doc_id", "len").agg(F.count("*").alias("tf"))
-    spread = terms.groupBy("tok").agg(F.count("*").alias("df")).where(F.col("df") <= common * n_docs)
-    asked = questions.select("qid", F.explode(F.array_distinct(tokens(F.col("text")))).alias("tok"))
-    # The questions' terms first: postings of other terms are not joined.
-    wanted = asked.join(spread, "tok")
-    idf = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / mean))
-    scored = wanted.join(terms, "tok").groupBy("qid", "doc_id").agg(F.round(F.sum(weight), 6).alias("score"))
-    best = Window.partitionBy("qid").orderBy(F.desc("score"), "doc_id")
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-
-
 def retrieve_knn(queries: DataFrame, vectors: DataFrame, k: int, block: int = 4096) -> DataFrame:
     """``query_id``, ``vec_id``, ``score``, ``rank``: the k nearest by cosine, itself left out; exact.
 

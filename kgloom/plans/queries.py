@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kgloom.functions.text import norm, tokens
-from kgloom.operators import answer, build, context, finetune, manage, query
+from kgloom.operators import answer, bm25, build, context, finetune, manage, query
 from kgloom.operators import questions as ask
 from kgloom.plans import sql
 from kgloom.plans.sql import query as over
@@ -421,14 +421,14 @@ def c3(t: Trade) -> DataFrame:
 @register(
     "c4_retrieve_bm25",
     """WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents), st AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM w),
-    terms AS (SELECT doc_id, len, tok, count(*) AS tf FROM (SELECT doc_id, len(w) AS len, unnest(w) AS tok FROM w) GROUP BY ALL), spread AS (SELECT tok, count(*) AS df FROM terms, st GROUP BY tok, n HAVING count(*) <= 0.1 * n),
+    terms AS (SELECT doc_id, len, tok, count(*) AS tf FROM (SELECT doc_id, len(w) AS len, unnest(w) AS tok FROM w) GROUP BY ALL), spread AS (SELECT tok, count(*) AS df FROM terms GROUP BY tok),
     asked AS (SELECT DISTINCT 'B|' || item_id AS qid, tok FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS tok FROM benchmark)),
     scored AS (SELECT qid, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))), 6) AS score FROM asked JOIN spread USING (tok) JOIN terms USING (tok), st GROUP BY qid, doc_id)
     SELECT qid, doc_id, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM scored) WHERE rank <= 5""",
 )
 def c4(t: Trade) -> DataFrame:
     asked = t.table("benchmark").select(F.concat(F.lit("B|"), F.col("item_id").cast("string")).alias("qid"), "text")
-    return context.retrieve_bm25(asked, t.table("documents"), 5)
+    return bm25.retrieve(asked, t.table("documents"), 5)
 
 
 @register(
