@@ -57,6 +57,9 @@ COLUMNS = {
     "op8_personal_data": ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"],
     "op9_secrets": ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"],
     "op10_fingerprints": ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
+    "op11_collocations": ["lang", "rank", "phrase", "a", "l", "r", "n", "score"],
+    "op12_repeated_lines": ["doc_id", "n_lines", "n_dropped", "kept_sha256"],
+    "op13_token_alignment": ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"],
 }
 
 
@@ -71,6 +74,8 @@ def test_on_odd_and_empty_tables(spark, odd, bare, name):
         for r in rows:
             near.setdefault(r["query_id"], []).append((r["score"], r["vec_id"], r["rank"]))
         assert set(near) == {0, 100} and all([x[2] for x in sorted(near[100])] == list(range(1, 11)) for _ in near)
+    elif name == "op11_collocations":
+        assert {r["lang"] for r in rows} == {"aa", "und"} and all(r["a"] >= 10 for r in rows)
     else:
         assert sorted(str(r["doc_id"]) for r in rows) == sorted(str(r["doc_id"]) for r in docs.select("doc_id").collect())
     if "held_out" in COLUMNS[name]:
