@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 #: Bytes that are worked on at a time; one longer text makes a slice of its own.
 SLICE_BYTES = 1 << 21
@@ -63,7 +64,10 @@ def prefix_sums(data: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words, A-Z lower-cased, in order, and the offsets at which each text's words start."""
+    """Hashes of all words, A-Z lower-cased, in order, and the offsets at which each text's words start.
+
+    Each distinct word is hashed by itself: sums of powers modulo 2^64 collide for some words whatever the base.
+    """
     inside = ~IS_SPACE[data]
     starts, ends = inside.copy(), inside.copy()
     starts[1:] &= ~inside[:-1]
@@ -72,8 +76,10 @@ def word_hashes(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.n
     starts[bounds] = inside[bounds]
     ends[bounds - 1] = inside[bounds - 1]
     s, e = np.flatnonzero(starts), np.flatnonzero(ends) + 1
-    sums = prefix_sums(LOWER[data])
-    return mix((sums[e] - sums[s]) * powers(len(data) + 1)[1][s]), np.searchsorted(s, offsets)
+    at = np.concatenate([[0], np.cumsum(e - s)])
+    coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(s), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(LOWER[data[inside]].tobytes())]).dictionary_encode()
+    each = np.array([xxhash.xxh3_64_intdigest(w) for w in coded.dictionary.to_pylist()], np.uint64)
+    return each[coded.indices.to_numpy(zero_copy_only=False)] if len(s) else np.zeros(0, np.uint64), np.searchsorted(s, offsets)
 
 
 def shingle_sets(offsets: np.ndarray, data: np.ndarray, width: int = 5) -> Iterator[np.ndarray]:

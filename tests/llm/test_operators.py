@@ -127,6 +127,15 @@ def test_near_duplicates_against_brute_force(spark, empty):
     assert minhash.near_duplicates(empty).count() == 0
 
 
+def test_words_whose_sums_of_powers_agree_are_not_alike(spark):
+    """The sequence of Thue and Morse and its complement have equal sums for every odd base modulo 2^64."""
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rows = [(1, word), (2, other), (3, f"{word} x y z"), (4, f"{other} x y z")]
+    got = {r["id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 4}
+
+
 def test_near_duplicates_with_repeated_and_null_ids(spark):
     a, b = prose(40), prose(40)
     near = lambda t, w: " ".join([*t.split()[:-1], w])
