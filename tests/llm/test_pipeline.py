@@ -29,6 +29,17 @@ def test_stages_keep_the_columns(spark, tmp_path):
     assert seen == [14, 13, 13, 13, 13]
 
 
+def test_one_of_each_group_of_copies_stays(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a, "k"), (1, a, "k"), (3, b, "k"), (5, b + " x", "k"), (5, c, "k"), (None, c + " y", "k"), (None, None, "k"), (None, None, "k"), (8, " ", "k"), (9, "alone here", "k"), (9, "alone here", "other")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key string")
+    kept = corpus_pipeline.near_copies_out(spark, docs, "")
+    assert kept.columns == docs.columns
+    got = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str)
+    assert got == sorted([(1, a), (3, b), (None, c + " y"), (None, None), (None, None), (8, " "), (9, "alone here")], key=str)
+    assert corpus_pipeline.near_copies_out(spark, docs.limit(0), "").count() == 0
+
+
 def test_the_schedule_reaches_the_last_stage(spark):
     """A bad order of rows on reading changes nothing: slots are those of a schedule played slot by slot."""
     texts = {i: "w" * (i * 977 % 4001) + " end" for i in range(300)}
