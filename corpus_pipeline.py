@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from kgloom.llm import minhash, mixing, pii, toxicity
 from kgloom.llm import sentencepiece_lattice as lattice
-from kgloom.llm.common import shared_dir, table
+from kgloom.llm.common import shared_dir, stored, table
 
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,9 +21,21 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies: the one with the smallest id."""
-    kept = minhash.near_duplicates(docs).where("id <=> component_id").select(F.col("id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+    """One document of each class of near copies: the one with the smallest id, and of texts with that id the one with the smallest hash.
+
+    Rows that are equal in id and text are one document, and one row of them stays. Texts without words are in no class, and all their rows stay.
+    """
+    key = F.struct(F.col("doc_id").alias("of"), F.xxhash64("text").alias("h1"), F.xxhash64(F.lit("second"), "text").alias("h2"))
+    found = minhash.near_duplicates(docs.select(key.alias("key"), "text"), "key")
+    kept = stored(found.where("id = component_id").groupBy("id").agg(F.count_if(F.col("n_shingles") > 0).alias("n")).select("id.*", "n"), "kept")
+    own = f"key-{uuid.uuid4().hex}"  # clashes with no column
+    keyed = docs.withColumn(own, key)
+
+    def rows(which: str) -> DataFrame:
+        some = kept.where(which)
+        return keyed.join(some, keyed[own]["of"].eqNullSafe(some["of"]) & (keyed[own]["h1"] == some["h1"]) & (keyed[own]["h2"] == some["h2"]), "left_semi")
+
+    return rows("n <= 1").union(rows("n > 1").dropDuplicates([own])).drop(own)
 
 
 def personal_data_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
