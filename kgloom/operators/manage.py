@@ -10,18 +10,30 @@ from kgloom.session import cut
 KEY = ["s", "p", "o", "domain"]
 
 
-def apply_delta(edges: DataFrame, delta: DataFrame) -> DataFrame:
-    """Edges after upserts and deletes (``op``, ``ts``): the latest op of an edge wins, a delete on equal times."""
+def latest_ops(delta: DataFrame) -> DataFrame:
+    """The latest ``op`` of each edge of a delta (``op``, ``ts``), a delete on equal times."""
     latest = Window.partitionBy(*KEY).orderBy(F.col("ts").desc_nulls_last(), F.col("op"))
-    old = edges.select(*KEY).withColumn("op", F.lit("upsert")).withColumn("ts", F.lit(None).cast(delta.schema["ts"].dataType))
-    every = old.unionByName(delta.select(*KEY, "op", "ts"))
-    return every.withColumn("nth", F.row_number().over(latest)).where("nth = 1 AND op = 'upsert'").select(*KEY)
+    return delta.select(*KEY, "op", F.row_number().over(latest).alias("nth")).where("nth = 1").drop("nth")
+
+
+def apply_delta(edges: DataFrame, delta: DataFrame) -> DataFrame:
+    """Edges after upserts and deletes (``op``, ``ts``): the latest op of an edge wins, a delete on equal times.
+
+    Edges are a set; they are looked up in the delta, which alone is ordered. ``store.change`` does the same to a stored graph and reads the touched folders only.
+    """
+    ops = latest_ops(delta)
+    return edges.select(*KEY).join(ops.select(*KEY), KEY, "left_anti").unionByName(ops.where("op = 'upsert'").select(*KEY))
+
+
+def signed_sums(signed: DataFrame) -> DataFrame:
+    """Edges with ``change`` (``added``, ``removed``) of those with ``sign`` +1 and -1, as often as one side has more of them."""
+    sums = signed.groupBy(*KEY).agg(F.sum("sign").alias("sign")).where("sign <> 0")
+    return sums.select(*KEY, F.explode(F.expr("array_repeat(if(sign > 0, 'added', 'removed'), cast(abs(sign) as int))")).alias("change"))
 
 
 def diff_kg(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Edges with ``change``: ``added`` or ``removed``."""
-    a, b = old.select(*KEY), new.select(*KEY)
-    return b.exceptAll(a).withColumn("change", F.lit("added")).unionByName(a.exceptAll(b).withColumn("change", F.lit("removed")))
+    """Edges with ``change``: ``added`` or ``removed``. Each side is read once, and one sum settles what both have. ``store.diff`` compares stored graphs by digests first."""
+    return signed_sums(old.select(*KEY).withColumn("sign", F.lit(-1)).unionByName(new.select(*KEY).withColumn("sign", F.lit(1))))
 
 
 def dangling_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:

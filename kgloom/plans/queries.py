@@ -15,6 +15,7 @@ from kgloom.plans import sql
 from kgloom.plans.sql import query as over
 from kgloom.plans.trade import CUES, EDGE_SPECS, FILTERS, LEXICON, STOP_WORDS, Trade
 from kgloom.session import cut, shared_dir
+from kgloom.sources import store
 from kgloom.sources.tables import load_source, read_kg, write_kg
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,11 +109,36 @@ def g9(t: Trade) -> DataFrame:
     return manage.apply_delta(t.edges, delta(t))
 
 
-@register("g10_diff_kg", over(f"SELECT *, 'removed' AS change FROM edges WHERE p = 'placed_by' AND s IN ({_GONE}) UNION ALL SELECT *, 'added' FROM (SELECT s, p, o, 'logistics' AS domain FROM edges WHERE p = 'supplies')", "edges").replace("edges AS (", "edges AS MATERIALIZED (", 1))
+@register("g9_stored_delta", over(f"SELECT * FROM edges WHERE NOT (p = 'placed_by' AND s IN ({_GONE}))", "edges"))
+def g9_stored(t: Trade) -> DataFrame:
+    return store.change(stored_trade(t), delta(t)).edges()
+
+
+def stored_trade(t: Trade) -> store.Graph:
+    return store.write_graph(t.edges, folder(t.spark))
+
+
+_DIFF = """SELECT 'order:' || o_orderkey AS s, 'placed_by' AS p, 'customer:' || o_custkey AS o, 'trade' AS domain, 'removed' AS change FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority <> '1-URGENT'
+  UNION ALL SELECT DISTINCT 'supplier:' || l_suppkey, 'supplies', 'part:' || l_partkey, 'logistics', 'added' FROM lineitem"""
+
+
+@register("g10_diff_kg", _DIFF)
 def g10(t: Trade) -> DataFrame:
     return manage.diff_kg(t.edges, manage.apply_delta(t.edges, delta(t)).unionByName(logistics(t).where("p = 'supplies'")))
 
 
+@register("g10_stored_diff", _DIFF)
+def g10_stored(t: Trade) -> DataFrame:
+    old = stored_trade(t)
+    return store.diff(old, store.change(old, moved_on(t)))
+
+
+def moved_on(t: Trade) -> DataFrame:
+    """The delta, and what logistics says of suppliers."""
+    more = logistics(t).where("p = 'supplies'").withColumns({"op": F.lit("upsert"), "ts": F.lit(None).cast("timestamp_ntz")})
+    return delta(t).unionByName(more)
+
+
 _SOLVENT = "SELECT id FROM nodes WHERE id NOT IN (SELECT 'customer:' || c_custkey FROM customer WHERE c_acctbal <= 0)"
 
 
@@ -163,6 +189,14 @@ def g15(t: Trade) -> DataFrame:
     return manage.kg_stats(t.edges)
 
 
+_STATS = "SELECT p, sum(n)::BIGINT AS n_edges, any_value(n_s) AS n_s, count(*) AS n_o, max(n) AS max_in FROM (SELECT p, o, count(*) AS n FROM later GROUP BY p, o) JOIN (SELECT p, count(DISTINCT s) AS n_s FROM later GROUP BY p) USING (p) GROUP BY p"
+
+
+@register("g15_stored_stats", over(_STATS, "edges").replace("SELECT p, sum(n)", f", later AS (SELECT * FROM edges WHERE NOT (p = 'placed_by' AND s IN ({_GONE})) UNION ALL SELECT s, p, o, 'logistics' FROM edges WHERE p = 'supplies') SELECT p, sum(n)", 1))
+def g15_stored(t: Trade) -> DataFrame:
+    return store.change(stored_trade(t), moved_on(t)).stats()
+
+
 @register("g16_degrees", over("SELECT * FROM degrees", "degrees"))
 def g16(t: Trade) -> DataFrame:
     return t.degrees
@@ -266,6 +300,12 @@ def k1(t: Trade) -> DataFrame:
     return query.match(t.edges, p="in_nation")
 
 
+@register("k1_match_object", over("SELECT s, p, o FROM edges WHERE p = 'in_nation' AND o = 'nation:3'", "edges"))
+def k1_object(t: Trade) -> DataFrame:
+    """By the copy that is dealt by objects."""
+    return stored_trade(t).edges(p="in_nation", o="nation:3").select("s", "p", "o")
+
+
 @register("k2_filter_attr", "SELECT 'customer:' || c_custkey AS id FROM customer WHERE c_acctbal > 5000 AND c_mktsegment LIKE 'B%'")
 def k2(t: Trade) -> DataFrame:
     rich = query.filter_attr(t.nodes.where("type = 'customer'").select("id"), t.attrs, "acctbal", "v_num > 5000")
