@@ -23,9 +23,11 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -42,6 +44,16 @@ BYTE_PATH = "/opt/tokenizers/byte_bpe_50k.json"
 PIECE_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 #: A count, its pair and whether it is the best take so many bytes of a broadcast, about.
 PAIR_BYTES, BROADCAST_BYTES = 48, 64 << 20
+#: Fixed value: how a byte-level vocabulary of this kind cuts a text into words.
+WORDS = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Signs for which two libraries could have tables of different age.
+RARE = re.compile(r"[^\x00-\u024f]")
+#: Stretches that a worker remembers; then it starts anew.
+STRETCHES = 1 << 18
+#: Stretches that are encoded as one text.
+TOGETHER = 256
+#: A blank that is not alone between two other signs.
+UNEVEN = re.compile(r"\A | \Z| \s|\s ")
 
 
 def byte_of_sign() -> dict[str, int]:
@@ -64,6 +76,7 @@ class Encoders:
 
     def __init__(self, sides: Sides):
         import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -79,22 +92,126 @@ class Encoders:
             piece = self.b.id_to_piece(i)
             self.b_bytes.append(bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode())
         self.a_len, self.b_len = (np.array([len(x) for x in side], np.int64) for side in (self.a_bytes, self.b_bytes))
+        # The same merges in their order, which another library applies faster; words are cut by the same rule, and for plain letters by the same tables.
+        ranks = {self.a_bytes[i]: i for token, i in self.a.get_vocab(with_added_tokens=False).items() if all(c in signs for c in token)}
+        self.fast = tiktoken.Encoding("bytes", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
         # What stands behind an id in the text of groups: a comma, or the sign that ends its side of the group.
         self.spelt = pa.array([f"{i}{sign}" for side, signs in ((self.a_bytes, ",|"), (self.b_bytes, ",;")) for sign in signs for i in range(len(side))], pa.large_string())
 
-    def encode(self, texts: list[bytes]) -> list[tuple[list[int], list[int]]]:
-        """Ids of both sides of each text; none where either does not give it back."""
-        plain = [t.decode("utf-8", "replace") for t in texts]
-        tokens_a = self.a.encode_batch_fast([" " + t for t in plain], add_special_tokens=False)
-        tokens_b = self.b.encode(plain, num_threads=1)
+        # Stretches between blanks that were encoded already; no piece holds a blank behind another sign, nor does a byte-level word.
+        self.apart = not any(re.search("[^▁]▁", self.b.id_to_piece(i)) for i in range(self.b.vocab_size()))
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.held = Encoded.of([])
+
+    def encode_bytes(self, plain: list[str]) -> list[list[int]]:
+        """Ids of side A, a blank in front."""
+        slow = iter(self.a.encode_batch_fast([" " + t for t in plain if RARE.search(t)], add_special_tokens=False))
+        return [next(slow).ids if RARE.search(t) else self.fast.encode_ordinary(" " + t) for t in plain]
+
+    def encode_each(self, plain: list[str]) -> Encoded:
+        """Ids of both sides of each of some texts, a blank in front; none where either does not give it back."""
         found = []
-        for text, a, b in zip(texts, tokens_a, tokens_b, strict=True):
-            ids = a.ids
-            whole = b" " + text
-            same = text and b"".join(map(self.a_bytes.__getitem__, ids)) == whole and b"".join(map(self.b_bytes.__getitem__, b)) == whole
-            found.append((ids, b) if same else ([], []))
+        for text, ids, b in zip(plain, self.encode_bytes(plain), self.b.encode(plain, num_threads=1), strict=True):
+            whole = b" " + text.encode()
+            same = b"".join(map(self.a_bytes.__getitem__, ids)) == whole and b"".join(map(self.b_bytes.__getitem__, b)) == whole
+            found.append((ids, b) if same else None)
+        return Encoded.of(found)
+
+    def encode_joined(self, stretches: list[str]) -> "list[Encoded]":
+        """The same for stretches, ``TOGETHER`` of them as one text, whose tokens are dealt back by their bytes."""
+        runs = [stretches[k : k + TOGETHER] for k in range(0, len(stretches), TOGETHER)]
+        plain = [" ".join(x) for x in runs]
+        found = []
+        for run, text, a, b in zip(runs, plain, self.encode_bytes(plain), self.b.encode(plain, num_threads=1), strict=True):
+            whole = b" " + text.encode()
+            ends = np.cumsum([len(x.encode()) + 1 for x in run])
+            sides = [(np.array(ids, np.int64), np.cumsum(n[ids])) for ids, n in ((a, self.a_len), (b, self.b_len))]
+            last = [np.searchsorted(stop, ends, "right") for _, stop in sides]
+            fits = all(len(stop) and np.array_equal(stop[k - 1], ends) for (_, stop), k in zip(sides, last, strict=True))
+            if fits and b"".join(map(self.a_bytes.__getitem__, a)) == whole and b"".join(map(self.b_bytes.__getitem__, b)) == whole:
+                found.append(Encoded((sides[0][0], sides[1][0]), (last[0], last[1]), np.ones(len(run), bool)))
+            else:
+                found.append(self.encode_each(run))
         return found
 
+    def encode(self, texts: list[bytes]) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+        """For each side the document of each token, and its id.
+
+        Neither side joins what stands on two sides of a blank between other signs, so a text is encoded by its
+        stretches and each stretch once; a text with other white space beside a blank is one stretch.
+        """
+        plain = [t.decode("utf-8", "replace") for t in texts]
+        spoilt = [p.encode() != t for p, t in zip(plain, texts, strict=True)]
+        parts = [[] if bad or not p else p.split(" ") if self.apart and not UNEVEN.search(p) else None for p, bad in zip(plain, spoilt, strict=True)]
+        wanted = set().union(*(x for x in parts if x))
+        new = wanted.difference(self.known)
+        if len(self.known) + len(new) > STRETCHES:
+            self.forget()
+            new = wanted
+        if new:
+            # Many at a time, blanks between them; but those that begin or end in white space by themselves.
+            joined = [x for x in new if not (x[0].isspace() or x[-1].isspace())]
+            alone = list(new.difference(joined))
+            for x in [*(joined[k : k + TOGETHER] for k in range(0, len(joined), TOGETHER)), *([alone] if alone else [])]:
+                self.known.update(zip(x, range(len(self.known), len(self.known) + len(x)), strict=True))
+            self.held = Encoded.joined([self.held, *self.encode_joined(joined), *([self.encode_each(alone)] if alone else [])])
+        whole = [p for p, x in zip(plain, parts, strict=True) if x is None]
+        held = Encoded.joined([self.held, self.encode_each(whole)]) if whole else self.held
+        place = len(self.known)
+        rows: list[int] = []
+        counts = []
+        for x in parts:
+            if x is None:
+                rows.append(place)
+                place += 1
+            else:
+                rows.extend(map(self.known.__getitem__, x))
+            counts.append(1 if x is None else len(x))
+        return held.take(np.array(rows, np.int64), np.repeat(np.arange(len(parts)), counts), len(parts))
+
+
+@dataclass
+class Encoded:
+    """Ids of many stretches, one behind another, and where each stretch's end, for both sides; ``same`` is false for those that are not given back."""
+
+    ids: tuple[np.ndarray, np.ndarray]
+    ends: tuple[np.ndarray, np.ndarray]
+    same: np.ndarray
+
+    @staticmethod
+    def of(found: list) -> Encoded:
+        ids, ends = [], []
+        for side in (0, 1):
+            each = [x[side] if x else [] for x in found]
+            ids.append(np.fromiter(chain.from_iterable(each), np.int64))
+            ends.append(np.cumsum([len(x) for x in each], dtype=np.int64))
+        return Encoded(tuple(ids), tuple(ends), np.array([x is not None for x in found], bool))
+
+    @staticmethod
+    def joined(parts: "list[Encoded]") -> "Encoded":
+        ids, ends = [], []
+        for side in (0, 1):
+            before = np.cumsum([0, *(len(x.ids[side]) for x in parts[:-1])])
+            ids.append(np.concatenate([x.ids[side] for x in parts]))
+            ends.append(np.concatenate([x.ends[side] + n for x, n in zip(parts, before.tolist(), strict=True)]))
+        return Encoded((ids[0], ids[1]), (ends[0], ends[1]), np.concatenate([x.same for x in parts]))
+
+    def take(self, rows: np.ndarray, doc: np.ndarray, n: int) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+        """The tokens of the stretches in ``rows``, each of a document; none of documents that are not given back."""
+        spoilt = np.bincount(doc[~self.same[rows]], minlength=n) > 0
+        rows, doc = rows[~spoilt[doc]], doc[~spoilt[doc]]
+        docs, ids = [], []
+        for mine, ends in zip(self.ids, self.ends, strict=True):
+            starts = np.concatenate([[0], ends])[rows] if len(ends) else rows
+            counts = ends[rows] - starts if len(ends) else rows
+            before = np.cumsum(counts) - counts
+            docs.append(np.repeat(doc, counts))
+            ids.append(mine[np.repeat(starts - before, counts) + np.arange(int(counts.sum()))])
+        return tuple(docs), tuple(ids)
+
 
 @lru_cache(maxsize=2)
 def encoders(sides: Sides) -> Encoders:
@@ -143,25 +260,19 @@ class Aligned:
         return a[held][order], b[held][order]
 
 
-def align(encoded: list[tuple[list[int], list[int]]], lengths: tuple[np.ndarray, np.ndarray]) -> Aligned:
-    doc, ids, start, stop = [], [], [], []
-    for side in (0, 1):
-        counts = np.array([len(x[side]) for x in encoded], np.int64)
-        mine = np.array([i for x in encoded for i in x[side]], np.int64)
-        ends = np.cumsum(lengths[side][mine]) if len(mine) else mine
-        doc.append(np.repeat(np.arange(len(encoded)), counts))
-        ids.append(mine)
-        start.append(ends - lengths[side][mine] if len(mine) else mine)
-        stop.append(ends)
-    frames = [pd.DataFrame({"doc": doc[k], "start": start[k], "ab"[k]: np.arange(len(ids[k]))}) for k in (0, 1)]
+def align(doc: tuple[np.ndarray, np.ndarray], ids: tuple[np.ndarray, np.ndarray], lengths: tuple[np.ndarray, np.ndarray]) -> Aligned:
+    """Tokens lie over the bytes of the documents laid end to end, so a place says which document it is in."""
+    stop = tuple(np.cumsum(n[i]) for n, i in zip(lengths, ids, strict=True))
+    start = tuple(e - n[i] for e, n, i in zip(stop, lengths, ids, strict=True))
     if not len(ids[0]):
-        return Aligned(tuple(doc), tuple(ids), tuple(start), tuple(stop), (np.zeros(0, np.int64), np.zeros(0, np.int64)))
-    covers_a = pd.merge_asof(frames[0], frames[1], on="start", by="doc")
-    covers_b = pd.merge_asof(frames[1], frames[0], on="start", by="doc")
+        return Aligned(doc, ids, start, stop, (np.zeros(0, np.int64), np.zeros(0, np.int64)))
+    a, b = (pd.DataFrame({"start": start[k], "doc": doc[k], "ab"[k]: np.arange(len(ids[k]))}) for k in (0, 1))
+    covers_a = pd.merge_asof(a, b.drop(columns="doc"), on="start")
+    covers_b = pd.merge_asof(b, a.drop(columns="doc"), on="start")
     a, b = covers_b["a"].to_numpy(np.int64), covers_b["b"].to_numpy()
     new = start[0][a] != start[1][b]  # tokens that start together were found from the other side
     over = (np.concatenate([covers_a["a"].to_numpy(), a[new]]), np.concatenate([covers_a["b"].to_numpy(np.int64), b[new]]))
-    return Aligned(tuple(doc), tuple(ids), tuple(start), tuple(stop), over)
+    return Aligned(doc, ids, start, stop, over)
 
 
 def _batches(batches: Iterator[pa.RecordBatch], sides: Sides):
@@ -171,7 +282,7 @@ def _batches(batches: Iterator[pa.RecordBatch], sides: Sides):
         for row, offsets, data in slices(batch["text"]):
             raw = data.tobytes()
             texts = [raw[x:y] for x, y in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-            yield coders, batch["id"][row : row + len(texts)], len(texts), align(coders.encode(texts), (coders.a_len, coders.b_len))
+            yield coders, batch["id"][row : row + len(texts)], len(texts), align(*coders.encode(texts), (coders.a_len, coders.b_len))
 
 
 def overlaps(docs: DataFrame, sides: Sides, key: str = "doc_id", col: str = "text") -> DataFrame:

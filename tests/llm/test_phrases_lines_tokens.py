@@ -178,3 +178,23 @@ def test_alignment_against_brute_force(spark):
     assert pairs == sorted(overlapping)
     assert alignment.alignment(docs.limit(0), sides).count() == 0
     assert len(counts) <= alignment.most_pairs(coders.a_bytes, coders.b_bytes)
+
+
+@pytest.mark.skipif(not os.path.exists(alignment.BYTE_PATH), reason="no tokenizers")
+def test_stretches_and_the_fast_coder_change_no_id():
+    coders = alignment.encoders(alignment.load_sides())
+    signs = [chr(c) for c in range(0x250)]
+    texts = ["".join(f"{a}{c}{b}" for a in ("a", " ", "1", ".", "\n", "'") for b in ("b", " ", "2", "!", "\t")) for c in signs]
+    texts += ["".join(rng.choice("abcdefghijklmnop éèßñ   '.,0123456789\n\t▁日") for _ in range(90)) for _ in range(2000)]
+    plain = [x.decode() for x in coders.a_bytes if x.isascii()]
+    texts += plain + [a + b for a, b in zip(rng.sample(plain, 9000), rng.sample(plain, 9000), strict=True)]
+    slow = coders.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
+    assert all(a.ids == b for a, b in zip(slow, coders.encode_bytes(texts), strict=True))
+    # Texts by their stretches, remembered or not, against texts as one.
+    for _ in range(2):
+        docs, ids = coders.encode([t.encode() for t in texts])
+        whole = coders.encode_each(texts)
+        for side in (0, 1):
+            counts = np.diff(whole.ends[side], prepend=0)
+            assert np.array_equal(np.bincount(docs[side], minlength=len(texts)), np.where([bool(t) for t in texts], counts, 0))
+            assert np.array_equal(ids[side], whole.ids[side][np.repeat([bool(t) for t in texts], counts)])
