@@ -22,11 +22,12 @@ ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import chain
 
 import numpy as np
@@ -49,7 +50,9 @@ WORDS = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s
 #: Signs for which two libraries could have tables of different age.
 RARE = re.compile(r"[^\x00-\u024f]")
 #: Stretches that a worker remembers; then it starts anew.
-STRETCHES = 1 << 18
+STRETCHES = 1 << 17
+#: Bytes of text that are aligned at a time.
+SLICE = 1 << 19
 #: Stretches that are encoded as one text.
 TOGETHER = 256
 #: A blank that is not alone between two other signs.
@@ -77,23 +80,22 @@ class Encoders:
     def __init__(self, sides: Sides):
         import sentencepiece
         import tiktoken
-        from tokenizers import Tokenizer
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.a = Tokenizer.from_str(sides.byte_file.decode())
-        self.a.encode_special_tokens = True
+        self.file = sides.byte_file
         self.b = sentencepiece.SentencePieceProcessor(model_proto=sides.piece_file)
-        signs = byte_of_sign()
-        self.a_bytes = [b""] * self.a.get_vocab_size(with_added_tokens=True)
-        for token, i in self.a.get_vocab(with_added_tokens=True).items():
-            self.a_bytes[i] = bytes(signs[c] for c in token) if all(c in signs for c in token) else token.encode()
+        signs, said = byte_of_sign(), json.loads(sides.byte_file)
+        added = {x["content"]: x["id"] for x in said["added_tokens"]}
+        vocab = said["model"]["vocab"] | added
+        self.a_bytes = [b""] * (max(vocab.values()) + 1)
+        for token, i in vocab.items():
+            self.a_bytes[i] = token.encode() if token in added else bytes(signs[c] for c in token)
         self.b_bytes = []
         for i in range(self.b.vocab_size()):
             piece = self.b.id_to_piece(i)
             self.b_bytes.append(bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode())
         self.a_len, self.b_len = (np.array([len(x) for x in side], np.int64) for side in (self.a_bytes, self.b_bytes))
         # The same merges in their order, which another library applies faster; words are cut by the same rule, and for plain letters by the same tables.
-        ranks = {self.a_bytes[i]: i for token, i in self.a.get_vocab(with_added_tokens=False).items() if all(c in signs for c in token)}
+        ranks = {self.a_bytes[i]: i for token, i in vocab.items() if token not in added}
         self.fast = tiktoken.Encoding("bytes", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
         # What stands behind an id in the text of groups: a comma, or the sign that ends its side of the group.
         self.spelt = pa.array([f"{i}{sign}" for side, signs in ((self.a_bytes, ",|"), (self.b_bytes, ",;")) for sign in signs for i in range(len(side))], pa.large_string())
@@ -102,13 +104,24 @@ class Encoders:
         self.apart = not any(re.search("[^▁]▁", self.b.id_to_piece(i)) for i in range(self.b.vocab_size()))
         self.forget()
 
+    @cached_property
+    def a(self):
+        """The library whose file it is, made when a text needs it."""
+        from tokenizers import Tokenizer
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        made = Tokenizer.from_str(self.file.decode())
+        made.encode_special_tokens = True
+        return made
+
     def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.held = Encoded.of([])
 
     def encode_bytes(self, plain: list[str]) -> list[list[int]]:
         """Ids of side A, a blank in front."""
-        slow = iter(self.a.encode_batch_fast([" " + t for t in plain if RARE.search(t)], add_special_tokens=False))
+        rare = [t for t in plain if RARE.search(t)]
+        slow = iter(self.a.encode_batch_fast([" " + t for t in rare], add_special_tokens=False)) if rare else iter(())
         return [next(slow).ids if RARE.search(t) else self.fast.encode_ordinary(" " + t) for t in plain]
 
     def encode_each(self, plain: list[str]) -> Encoded:
@@ -279,10 +292,11 @@ def _batches(batches: Iterator[pa.RecordBatch], sides: Sides):
     """The coders, the first row of a run of texts, its keys, and its texts aligned."""
     coders = encoders(sides)
     for batch in batches:
-        for row, offsets, data in slices(batch["text"]):
+        for row, offsets, data in slices(batch["text"], SLICE):
             raw = data.tobytes()
             texts = [raw[x:y] for x, y in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
             yield coders, batch["id"][row : row + len(texts)], len(texts), align(*coders.encode(texts), (coders.a_len, coders.b_len))
+    coders.forget()  # a worker stays when its task ends
 
 
 def overlaps(docs: DataFrame, sides: Sides, key: str = "doc_id", col: str = "text") -> DataFrame:
