@@ -73,17 +73,20 @@ def write_index(docs: DataFrame, path: str, k1: float = 1.2, b: float = 0.75, vo
     blocks = placed.groupBy("tok", "level", "shard").agg(F.max("posting.weight").alias("top"), F.count("*").alias("n"), F.collect_list("posting").alias("postings"))
     dealt = blocks.withColumn("bucket", F.pmod(F.xxhash64("tok"), F.lit(buckets)))
     (dealt.repartition("bucket", "shard", F.pmod(F.xxhash64("tok", "level"), F.lit(8))) if buckets > 1 else dealt).write.partitionBy("bucket").parquet(f"{path}/blocks")
-    stored = spark.read.parquet(f"{path}/blocks")
-    stored.groupBy("tok", "level").agg(F.max("top").alias("top"), F.sum("n").alias("n")).write.parquet(f"{path}/levels")
+    _blocks(words, path).groupBy("tok", "level").agg(F.max("top").alias("top"), F.sum("n").alias("n")).write.parquet(f"{path}/levels")
     return read_index(spark, path)
 
 
+def _blocks(documents: DataFrame, path: str) -> DataFrame:
+    """The stored blocks; without terms there is no folder to learn the columns from."""
+    shape = f"tok string, level int, shard long, top double, n long, postings array<struct<doc_id:{documents.schema['doc_id'].dataType.simpleString()},weight:double>>, bucket long"
+    return documents.sparkSession.read.schema(shape).parquet(f"{path}/blocks")
+
+
 def read_index(spark: SparkSession, path: str) -> Index:
     size = spark.read.parquet(f"{path}/corpus").head()
     documents, levels = (spark.read.parquet(f"{path}/{name}") for name in ("documents", "levels"))
-    # Without terms there is no folder to learn the columns from.
-    shape = f"tok string, level int, shard long, top double, n long, postings array<struct<doc_id:{documents.schema['doc_id'].dataType.simpleString()},weight:double>>, bucket long"
-    return Index(documents, spark.read.schema(shape).parquet(f"{path}/blocks"), levels, size["n_docs"], size["mean"], size["buckets"], size["k1"], size["b"])
+    return Index(documents, _blocks(documents, path), levels, size["n_docs"], size["mean"], size["buckets"], size["k1"], size["b"])
 
 
 def _in_full(index: Index, wanted: DataFrame, pairs: DataFrame) -> DataFrame:
