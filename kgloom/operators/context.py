@@ -1,14 +1,11 @@
-"""Context of questions: earlier turns, entities in focus, passages, retrieval by vectors, ranks by context."""
+"""Context of questions: earlier turns, entities in focus, passages, ranks by context."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kgloom.functions.text import tokens
-from kgloom.session import cut
 
 
 def with_history(conversations: DataFrame, n: int) -> DataFrame:
@@ -39,47 +36,6 @@ def split_passages(documents: DataFrame, n: int, stride: int) -> DataFrame:
     return at.select(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("pos").cast("string")).alias("passage_id"), "doc_id", "pos", F.array_join(F.slice("w", F.col("pos") * stride + 1, n), " ").alias("text"))
 
 
-def retrieve_knn(queries: DataFrame, vectors: DataFrame, k: int, block: int = 4096) -> DataFrame:
-    """``query_id``, ``vec_id``, ``score``, ``rank``: the k nearest by cosine, itself left out; exact.
-
-    Meant for a stated set of queries, each block of which is a scan; a share of a growing table asks for an index instead.
-
-    Queries are dealt in blocks of at most ``block``, and every block meets every batch of vectors, as a stated set of queries does; each
-    meeting sends on its k best, and a window takes the best of these.
-    """
-    spark = queries.sparkSession
-    total = queries.count()
-    found = None
-    for part in range(max(1, -(-total // block))):
-        n = max(1, -(-total // block))
-        rows = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(n)) == part).select("vec_id", "embedding").toPandas()
-        if rows.empty:
-            continue
-        q = np.array(rows["embedding"].tolist(), float)
-        q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-        shared = spark.sparkContext.broadcast((rows["vec_id"].to_numpy(), q))  # at most `block` vectors
-
-        def nearest(frames, shared=shared):
-            ids, unit = shared.value
-            for frame in frames:
-                v = np.array(frame["embedding"].tolist(), float)
-                v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-                own = frame["vec_id"].to_numpy()
-                s = np.round(unit @ v.T, 9)
-                s[ids[:, None] == own[None]] = -np.inf
-                best = np.lexsort((np.broadcast_to(own, s.shape), -s), axis=1)[:, :k]
-                at = np.repeat(np.arange(len(ids)), best.shape[1])
-                out = pd.DataFrame({"query_id": ids[at], "vec_id": own[best.ravel()], "score": s[at, best.ravel()]})
-                yield out[np.isfinite(out["score"])]
-
-        hits = vectors.select("vec_id", "embedding").mapInPandas(nearest, "query_id long, vec_id long, score double")
-        found = hits if found is None else found.union(hits)
-    if found is None:
-        return spark.createDataFrame([], "query_id long, vec_id long, score double, rank int")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-
-
 def rerank(candidates: DataFrame, focus: DataFrame, edges: DataFrame) -> DataFrame:
     """``qid``, ``answer_id``, ``near``, ``rank``: by how many of the question's focus entities (``qid``, ``id``) a candidate is next to, then by the old rank."""
     both = edges.select("s", "o").union(edges.select("o", "s")).toDF("answer_id", "id").distinct()

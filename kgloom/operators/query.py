@@ -155,20 +155,37 @@ def common_neighbors(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.select("a", "b").distinct().join(left, "a").join(right, ["b", "p", "o"]).groupBy("a", "b", "p").agg(F.count("*").alias("n"))
 
 
-def related(edges: DataFrame, p: str, k: int, block: int = 64) -> DataFrame:
-    """``id``, ``other``, ``n``, ``rank``: of the subjects of ``p`` the k that share most objects.
+def related(edges: DataFrame, p: str, k: int, hub: int = 256) -> DataFrame:
+    """``id``, ``other``, ``n``, ``rank``: of the subjects of ``p`` the k that share most objects, ties to the smaller id.
 
-    An object of many subjects meets itself in blocks of subjects: each of its rows goes to every block
-    as ``id`` and to one block as ``other``, so that no task holds all its pairs; counts are summed before the rank.
+    Subjects of an object that at most ``hub`` have meet in pairs. Those of a hub do not: subjects with the same set of
+    hubs are a class, classes that share hubs meet, and the ``k + 1`` smallest ids of the classes that share most are
+    all that a subject can need of those that it meets in hubs alone. Any other of these is behind k that share as many.
+    Pairs so grow with a hub's classes and not with its subjects.
     """
     mine = cut(edges.where(F.col("p") == p).select("s", "o").distinct())
-    blocks = mine.groupBy("o").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    kept = mine.join(blocks, "o")
-    ids = kept.select(F.col("s").alias("id"), "o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    others = kept.select(F.col("s").alias("other"), "o", F.pmod(F.xxhash64("s"), F.col("blocks")).cast("int").alias("block"))
-    met = ids.join(others, ["o", "block"]).where("id <> other").groupBy("id", "other").agg(F.count("*").alias("n"))
-    best = Window.partitionBy("id").orderBy(F.desc("n"), "other")
-    return met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    degrees = mine.groupBy("o").agg(F.count("*").alias("n"))
+    few = mine.join(degrees.where(F.col("n") <= hub).select("o"), "o")
+    met = few.select(F.col("s").alias("id"), "o").join(few.select(F.col("s").alias("other"), "o"), "o").where("id <> other").groupBy("id", "other").agg(F.count("*").alias("n"))
+    first = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("n"), "other"))
+    hubs = cut(degrees.where(F.col("n") > hub).select("o"))
+    if hubs.isEmpty():
+        return met.withColumn("rank", first).where(F.col("rank") <= k)
+    held = mine.join(hubs, "o").groupBy("s").agg(F.array_sort(F.collect_list("o")).alias("held"))
+    held = cut(held.select("s", "held", F.md5(F.array_join("held", "\n")).alias("of")))
+    smallest = F.row_number().over(Window.partitionBy("of").orderBy("s"))
+    heads = held.select("of", "s").withColumn("nth", smallest).where(F.col("nth") <= k + 1).select(F.col("of").alias("to"), F.col("s").alias("other"))
+    classes = cut(held.groupBy("of").agg(F.any_value("held").alias("held")).select("of", F.explode("held").alias("o")))
+    near = classes.join(classes.select(F.col("of").alias("to"), "o"), "o").groupBy("of", "to").agg(F.count("*").alias("n"))
+    most = F.row_number().over(Window.partitionBy("of").orderBy(F.desc("n"), "other"))
+    tops = near.join(heads, "to").withColumn("nth", most).where(F.col("nth") <= k + 1).select("of", "other", "n")
+    in_hubs = held.select(F.col("s").alias("id"), "of").join(tops, "of").where("id <> other").select("id", "other", "n")
+    # Pairs that share other objects count with their common hubs too.
+    a, b = held.select(F.col("s").alias("id"), F.col("held").alias("mine")), held.select(F.col("s").alias("other"), F.col("held").alias("its"))
+    common = F.coalesce(F.size(F.array_intersect("mine", "its")), F.lit(0))
+    in_all = met.join(a, "id", "left").join(b, "other", "left").select("id", "other", (F.col("n") + common).alias("n"))
+    every = in_all.union(in_hubs).groupBy("id", "other").agg(F.max("n").alias("n"))
+    return every.withColumn("rank", first).where(F.col("rank") <= k)
 
 
 def aggregate(matches: DataFrame, by: list[str], aggs: dict[str, tuple[str, str]]) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kgloom.functions.text import norm, tokens
-from kgloom.operators import answer, bm25, build, context, finetune, manage, query
+from kgloom.operators import answer, bm25, build, context, finetune, knn, manage, query
 from kgloom.operators import questions as ask
 from kgloom.plans import sql
 from kgloom.plans.sql import query as over
@@ -478,7 +478,7 @@ def c4(t: Trade) -> DataFrame:
 )
 def c5(t: Trade) -> DataFrame:
     vectors = t.table("embeddings")
-    return context.retrieve_knn(vectors.where("vec_id % 100 = 0"), vectors, 5)
+    return knn.retrieve_knn(vectors.where("vec_id % 100 = 0"), vectors, 5)
 
 
 _FOCUS = "SELECT 'T10|' || p_name AS qid, 'supplier:' || min(l_suppkey) AS id FROM part JOIN lineitem ON l_partkey = p_partkey GROUP BY p_name"
