@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kgloom.functions.text import grams, md5_int, norm, tokens
+from kgloom.session import cut
 
 
 def make_examples(questions: DataFrame, responses: DataFrame, cap: int) -> DataFrame:
@@ -45,25 +48,44 @@ def dedup_exact(df: DataFrame, key: str = "doc_id", col: str = "text") -> DataFr
     return df.groupBy(F.md5(norm(F.col(col))).alias("h")).agg(F.min(key).alias(key), F.count("*").alias("n")).select(key, "n")
 
 
-def near_duplicates(df: DataFrame, threshold: float, key: str = "doc_id", col: str = "text", width: int = 5, bands: int = 16, rows: int = 2) -> DataFrame:
-    """``a``, ``b``, ``jaccard``: pairs of normalised texts in one MinHash bucket whose shingles are alike enough.
+def shingle_sets(df: DataFrame, key: str = "doc_id", col: str = "text", width: int = 5) -> DataFrame:
+    """``key``, ``shingles``: the sorted distinct runs of ``width`` normalised words, 60 bits of their digest each; no row for fewer words."""
+    words = df.select(key, tokens(F.col(col)).alias("w")).where(F.size("w") >= width)
+    grams_of = words.select(key, F.explode(F.array_distinct(grams(F.col("w"), width))).alias("g")).select(key, md5_int(F.col("g"), 15).alias("g"))
+    return grams_of.groupBy(key).agg(F.array_sort(F.collect_set("g")).alias("shingles"))
+
+
+def similar_sets(df: DataFrame, threshold: float, key: str = "doc_id", col: str = "text", width: int = 5) -> tuple[DataFrame, DataFrame]:
+    """All pairs of different shingle sets that are alike enough, and who has which set; exact.
 
-    Equal texts are one text here (the least key of each), so that a group of copies makes no pairs.
+    The one is ``a``, ``b``, ``jaccard`` of classes, each named by the least key that has its set, the other ``key`` and
+    ``representative``: copies are members of a class and make no pairs. Sets are joined by prefixes of their rarest
+    shingles with bounds on sizes and places (PPJoin, Xiao et al., TODS 2011): alike sets share one of these, and what
+    follows it must still suffice.
     """
-    firsts = dedup_exact(df, key, col)
-    texts = df.join(firsts.select(key), key, "left_semi").select(F.col(key).alias("id"), tokens(F.col(col)).alias("w"))
-    shingles = texts.select("id", F.explode(F.array_distinct(grams(F.col("w"), width))).alias("g")).select("id", md5_int(F.col("g"), 15).alias("g"))
-    prime = 2147483647
-    hashes = [F.min((F.col("g") % prime * (2 * i + 3) * 7919 + (i + 1) * 104729) % prime).alias(f"h{i}") for i in range(bands * rows)]
-    signed = shingles.groupBy("id").agg(*hashes)
-    banded = signed.select("id", F.explode(F.array(*[F.concat_ws("|", F.lit(str(j)), *[F.col(f"h{j * rows + r}").cast("string") for r in range(rows)]) for j in range(bands)])).alias("band"))
-    pairs = banded.select(F.col("id").alias("a"), "band").join(banded.select(F.col("id").alias("b"), "band"), "band").where("a < b").select("a", "b").distinct()
-    sizes = shingles.distinct().groupBy("id").agg(F.count("*").alias("size"))
-    sets = shingles.distinct()
-    both = pairs.join(sets.withColumnRenamed("id", "a"), "a").join(sets.withColumnRenamed("id", "b"), ["b", "g"]).groupBy("a", "b").agg(F.count("*").alias("common"))
-    sized = both.join(sizes.select(F.col("id").alias("a"), F.col("size").alias("size_a")), "a").join(sizes.select(F.col("id").alias("b"), F.col("size").alias("size_b")), "b")
-    jaccard = F.col("common") / (F.col("size_a") + F.col("size_b") - F.col("common"))
-    return sized.select("a", "b", F.round(jaccard, 6).alias("jaccard")).where(F.col("jaccard") >= threshold)
+    share = Fraction(threshold).limit_denominator(10_000)
+    num, den = share.numerator, share.denominator
+    sets = cut(shingle_sets(df, key, col, width).withColumn("of", F.md5(F.array_join(F.transform("shingles", lambda g: g.cast("string")), ","))))
+    members = sets.join(sets.groupBy("of").agg(F.min(key).alias("representative")), "of").select(key, "representative")
+    classes = sets.groupBy("of").agg(F.min(key).alias("id"), F.any_value("shingles").alias("shingles"))
+    classes = cut(classes.select("id", "shingles", F.size("shingles").alias("size")))
+    each = classes.select("id", "size", F.explode("shingles").alias("g"))
+    seen = each.groupBy("g").agg(F.count("*").alias("n")).where("n > 1")  # others can join nothing, but take their places among the rarest
+    ordered = each.join(seen, "g", "left").groupBy("id", "size").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(1)).alias("n"), "g"))).alias("rarest"))
+    prefix = F.expr(f"slice(rarest, 1, cast(size - ceil({num} * size / {den}) + 1 as int))")
+    heads = cut(ordered.select("id", "size", F.posexplode(prefix).alias("place", "x")).where("x.n > 1").select("id", "size", "place", "x.g"))
+    a, b = heads.toDF("a", "size_a", "place_a", "g"), heads.toDF("b", "size_b", "place_b", "g")
+    could = f"{num + den} * (1 + least(size_a - 1 - place_a, size_b - 1 - place_b)) >= {num} * (size_a + size_b)"
+    met = a.join(b, "g").where(f"a < b AND {den} * least(size_a, size_b) >= {num} * greatest(size_a, size_b) AND {could}").select("a", "b").distinct()
+    left, right = classes.select(F.col("id").alias("a"), F.col("shingles").alias("in_a")), classes.select(F.col("id").alias("b"), F.col("shingles").alias("in_b"))
+    both = met.join(left, "a").join(right, "b").select("a", "b", F.size("in_a").alias("size_a"), F.size("in_b").alias("size_b"), F.size(F.array_intersect("in_a", "in_b")).alias("common"))
+    alike = both.where(f"{num + den} * common >= {num} * (size_a + size_b)")
+    return alike.select("a", "b", F.round(F.col("common") / (F.col("size_a") + F.col("size_b") - F.col("common")), 6).alias("jaccard")), members
+
+
+def near_duplicates(df: DataFrame, threshold: float, key: str = "doc_id", col: str = "text", width: int = 5) -> DataFrame:
+    """``a``, ``b``, ``jaccard``: all pairs of different shingle sets that are alike enough."""
+    return similar_sets(df, threshold, key, col, width)[0]
 
 
 def decontaminate(df: DataFrame, heldout: DataFrame, n: int = 8, key: str = "doc_id", col: str = "text") -> DataFrame:

@@ -628,21 +628,25 @@ def f3(t: Trade) -> DataFrame:
     return finetune.dedup_exact(t.table("documents"))
 
 
-def _f4_sql(bands: int = 16, rows: int = 2) -> str:
-    mins = ", ".join(f"min((g % 2147483647 * {(2 * i + 3) * 7919} + {(i + 1) * 104729}) % 2147483647) AS h{i}" for i in range(bands * rows))
-    band = " UNION ALL ".join(f"SELECT id, '{j}|' || " + " || '|' || ".join(f"h{j * rows + r}" for r in range(rows)) + " AS band FROM signed" for j in range(bands))
-    return f"""WITH firsts AS (SELECT min(doc_id) AS id FROM documents GROUP BY md5({sql.norm("text")})), w AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM documents WHERE doc_id IN (SELECT id FROM firsts)),
-    sets AS (SELECT DISTINCT id, {sql.md5_int("array_to_string(w[i:i + 4], ' ')", 15)} AS g FROM (SELECT id, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5)), signed AS (SELECT id, {mins} FROM sets GROUP BY id), banded AS ({band}),
-    pairs AS (SELECT DISTINCT x.id AS a, y.id AS b FROM banded x JOIN banded y ON x.band = y.band AND x.id < y.id), sizes AS (SELECT id, count(*) AS n FROM sets GROUP BY id),
-    hit AS (SELECT a, b, count(*) AS c FROM pairs JOIN sets x ON x.id = a JOIN sets y ON y.id = b AND y.g = x.g GROUP BY a, b)
-    SELECT a, b, jaccard FROM (SELECT a, b, round(c / (x.n + y.n - c)::DOUBLE, 6) AS jaccard FROM hit JOIN sizes x ON x.id = a JOIN sizes y ON y.id = b) WHERE jaccard >= 0.75"""
+_SETS = f"""sets AS (SELECT DISTINCT id, {sql.md5_int("array_to_string(w[i:i + 4], ' ')", 15)} AS g FROM (SELECT id, w, unnest(range(1, len(w) - 3)) AS i FROM (SELECT doc_id AS id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM documents) WHERE len(w) >= 5)),
+    named AS (SELECT id, min(id) OVER (PARTITION BY held) AS representative FROM (SELECT id, list(g ORDER BY g) AS held FROM sets GROUP BY id))"""
 
 
-@register("f4_near_duplicates", _f4_sql())
+@register(
+    "f4_near_duplicates",
+    f"""WITH {_SETS}, own AS (SELECT * FROM sets WHERE id IN (SELECT representative FROM named)), sizes AS (SELECT id, count(*) AS n FROM own GROUP BY id),
+    hit AS (SELECT x.id AS a, y.id AS b, count(*) AS c FROM own x JOIN own y ON x.g = y.g AND x.id < y.id GROUP BY x.id, y.id)
+    SELECT a, b, round(c / (x.n + y.n - c)::DOUBLE, 6) AS jaccard FROM hit JOIN sizes x ON x.id = a JOIN sizes y ON y.id = b WHERE 7 * c >= 3 * (x.n + y.n)""",
+)
 def f4(t: Trade) -> DataFrame:
     return finetune.near_duplicates(t.table("documents"), 0.75)
 
 
+@register("f4_members", f"WITH {_SETS} SELECT id AS doc_id, representative FROM named")
+def f4_members(t: Trade) -> DataFrame:
+    return finetune.similar_sets(t.table("documents"), 0.75)[1]
+
+
 def _grams_sql(table: str, key: str) -> str:
     return f"SELECT DISTINCT {key}, array_to_string(w[i:i + 7], ' ') AS g FROM (SELECT {key}, w, unnest(range(1, len(w) - 6)) AS i FROM (SELECT {key}, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM {table}) WHERE len(w) >= 8)"
 

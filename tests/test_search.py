@@ -72,3 +72,33 @@ def test_a_hub_of_many_is_not_squared(spark):
     assert row == {1: ("s000011", 2), 2: ("s000000", 1)}
     row = {r["rank"]: (r["other"], r["n"]) for r in got.where("id = 's000009'").collect()}
     assert row == {1: ("s000000", 2), 2: ("s000003", 2)}
+
+
+def test_similar_sets_against_all_pairs(spark):
+    from kgloom.operators import finetune
+
+    words = [f"w{i}" for i in range(30)]
+    base = [rng.choices(words, k=rng.randrange(5, 60)) for _ in range(25)]
+    texts = []
+    for w in base:
+        for _ in range(rng.randrange(1, 5)):
+            x = list(w)
+            for _ in range(rng.randrange(3)):
+                x[rng.randrange(len(x))] = rng.choice(words)
+            texts.append(" ".join(x))
+    texts += [texts[0].upper()] * 30 + ["", None, "too few words", " ".join(base[0]) + "."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    sets = {}
+    for i, t in enumerate(texts):
+        w = (t or "").lower().replace(".", "").split()
+        if len(w) >= 5:
+            sets[i] = frozenset(tuple(w[j : j + 5]) for j in range(len(w) - 4))
+    first = {}
+    for i, x in sorted(sets.items()):
+        first.setdefault(x, i)
+    for threshold in (0.75, 0.4):
+        pairs, members = finetune.similar_sets(docs, threshold)
+        want = sorted((i, j, round(len(x & y) / len(x | y), 6)) for x, i in first.items() for y, j in first.items() if i < j and len(x & y) / len(x | y) >= threshold)
+        assert rows_of(pairs) == want and len(want) > 5
+        assert rows_of(members) == sorted((i, first[x]) for i, x in sets.items())
+    assert finetune.near_duplicates(docs.limit(0), 0.75).count() == 0
