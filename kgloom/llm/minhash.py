@@ -36,6 +36,8 @@ BINS, ROWS = 256, 5
 #: A shingle of at most so many members is rare.
 RARE = 16
 BANDS = BINS // ROWS
+#: Bands that are linked first.
+EARLY = 8
 
 _order = np.random.default_rng(20240229).integers(0, 1 << 62, (BINS, BINS))
 _factors = mix(np.arange(101, 101 + ROWS, dtype=np.uint64)) | np.uint64(1)
@@ -95,19 +97,21 @@ def shingle_arrays(texts: DataFrame) -> DataFrame:
 
 
 def bucket_members(classes: DataFrame) -> DataFrame:
-    """``key``, ``rep``, ``size``: the rows of every bucket that holds more than one class."""
-    rows = classes.select("rep", "size", F.explode("bands").alias("key"))
+    """``key``, ``band``, ``rep``, ``size``: the rows of every bucket that holds more than one class."""
+    rows = classes.select("rep", "size", F.posexplode("bands").alias("band", "key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    return rows.join(shared, "key").select("key", "rep", "size")
+    return rows.join(shared, "key").select("key", "band", "rep", "size")
 
 
 def star_edges(members: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``a``, ``b``: each member with its bucket's centre, unless their sizes alone rule it out.
+    """``a``, ``b``: each member with its bucket's centre, unless their sizes alone rule it out or they have one ``label`` already, where there is such a column.
 
     The centre is the member with the least key, so that a group that meets in many buckets has few centres.
     """
-    centres = members.groupBy("key").agg(F.min("rep").alias("b"), F.min_by("size", "rep").alias("size_b"))
-    pairs = members.join(centres, "key").where(f"rep <> b AND 100 * least(size, size_b) >= {percent} * greatest(size, size_b)")
+    known = "label" in members.columns
+    centres = members.groupBy("key").agg(F.min("rep").alias("b"), F.min_by("size", "rep").alias("size_b"), *([F.min_by("label", "rep").alias("label_b")] if known else []))
+    apart = "label <> label_b" if known else "true"
+    pairs = members.join(centres, "key").where(f"rep <> b AND {apart} AND 100 * least(size, size_b) >= {percent} * greatest(size, size_b)")
     return pairs.select("b", F.col("rep").alias("a")).distinct()
 
 
@@ -185,6 +189,18 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after more links, which are few: they join components, whose labels take the place of keys."""
+    links = stored(links, "links")
+    if links.isEmpty():
+        return labels
+    ends = links.join(labels.toDF("a", "label_a"), "a", "left").join(labels.toDF("b", "label_b"), "b", "left").select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b"))
+    tops = components(ends.where("a <> b").distinct()).toDF("label", "top")
+    alone = links.select(F.col("a").alias("rep")).union(links.select("b")).distinct().join(labels, "rep", "left_anti")
+    every = labels.union(alone.select("rep", F.col("rep").alias("label")))
+    return stored(every.join(tops, "label", "left").select("rep", F.coalesce("top", "label").alias("label")), "labels")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``id``, ``n_shingles``, ``component_id`` of every row of ``docs``."""
     sketch = stored(sketches(docs, doc_id, text), "sketches")
@@ -195,18 +211,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     firsts = holding.groupBy("set_key").agg(F.min(F.struct("id", "at")).alias("first")).join(members.select("rep").distinct(), F.col("set_key") == F.col("rep"), "left_semi").select(F.col("first.id").alias("of"), "first.at")
     texts = docs.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("hash"), F.col(text).alias("text")).join(firsts, F.col("id").eqNullSafe(F.col("of")) & (F.col("hash") == F.col("at")), "left_semi")
     sets = stored(shingle_arrays(texts).dropDuplicates(["rep"]), "sets")
-    labels = components(confirmed(star_edges(members), sets))
+    # A few bands join most of a group; then buckets that are of one component need no more links.
+    labels = components(confirmed(star_edges(members.where(F.col("band") < EARLY)), sets))
+    labels = merged(labels, confirmed(star_edges(stored(mixed_members(members, labels), "apart")), sets))
     mixed = stored(mixed_members(members, labels), "mixed")
-    named = holding.groupBy("set_key").agg(F.min("id").alias("id")).withColumnRenamed("set_key", "rep").join(labels, "rep", "left").select("rep", "id", F.coalesce("label", "rep").alias("label"))
-    more = None
     if not mixed.isEmpty():
         facts, postings = shareable(mixed.select("rep", "label", "size").distinct(), sets)
-        more = stored(confirmed(cross_edges(mixed, facts, postings), sets), "links")
-    if more is not None and not more.isEmpty():
-        # Few links are left: they join components, whose labels take the place of keys.
-        ends = more.join(labels.toDF("a", "label_a"), "a", "left").join(labels.toDF("b", "label_b"), "b", "left")
-        tops = components(ends.select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b")).distinct()).toDF("label", "top")
-        named = named.join(tops, "label", "left").select("rep", "id", F.coalesce("top", "label").alias("label"))
-    named = stored(named, "named")
+        labels = merged(labels, confirmed(cross_edges(mixed, facts, postings), sets))
+    named = stored(holding.groupBy("set_key").agg(F.min("id").alias("id")).withColumnRenamed("set_key", "rep").join(labels, "rep", "left").select("rep", "id", F.coalesce("label", "rep").alias("label")), "named")
     found = named.select("rep", "label").join(named.groupBy("label").agg(F.min("id").alias("component_id")), "label").select(F.col("rep").alias("set_key"), "component_id")
     return sketch.join(found, "set_key", "left").select("id", "n_shingles", F.when(F.col("set_key").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
