@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kgloom.functions.text import norm
-from kgloom.operators.query import hop
 from kgloom.session import cut
 
 
@@ -22,14 +21,25 @@ def shapes(parsed: DataFrame) -> list[str]:
 
 
 def ends(parsed: DataFrame, edges: DataFrame) -> DataFrame:
-    """``qid``, ``id``: the ends of every question's path; each shape is one set of joins over all its questions."""
-    found = []
-    for path in shapes(parsed):
-        at = parsed.where(F.col("path") == path).select("qid", F.col("anchor_id").alias("id"))
-        for p, forward in _steps(path):
-            at = hop(edges, at, p, forward, ["qid"])
-        found.append(at)
-    return reduce(DataFrame.union, found) if found else parsed.where("false").select("qid", F.col("anchor_id").alias("id"))
+    """``qid``, ``id``: the distinct ends of every question's path.
+
+    All paths are walked together, a step of each at a time: one join a depth, whatever the number of paths, over the predicates that some path has at that depth.
+    """
+    paths = [_steps(p) for p in shapes(parsed)]
+    at = parsed.where("path IS NOT NULL").select("qid", F.col("anchor_id").alias("id"), F.filter(F.split("path", "/"), lambda x: x != "").alias("path")).where("id IS NOT NULL")
+    found = [at.where("size(path) = 0").select("qid", "id").distinct()]
+    for depth in range(max(map(len, paths), default=0)):
+        steps = {p[depth] for p in paths if len(p) > depth}
+        walks = []
+        for forward, a, b in ((True, "s", "o"), (False, "o", "s")):
+            if names := sorted(p for p, f in steps if f == forward):
+                walks.append(edges.where(F.col("p").isin(names)).select(F.concat(F.lit("+" if forward else "-"), "p").alias("step"), F.col(a).alias("id"), F.col(b).alias("next")))
+        moving = at.where(F.size("path") > depth).withColumn("step", F.col("path")[depth])
+        at = moving.join(reduce(DataFrame.union, walks), ["step", "id"]).select("qid", F.col("next").alias("id"), "path").distinct()
+        if any(len(p) > depth + 1 for p in paths):
+            at = cut(at)  # those that end here, and those that go on
+        found.append(at.where(F.size("path") == depth + 1).select("qid", "id"))
+    return reduce(DataFrame.union, found)
 
 
 def filtered(ends_: DataFrame, filters: DataFrame, attrs: DataFrame) -> DataFrame:

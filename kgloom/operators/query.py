@@ -131,20 +131,32 @@ def closure(edges: DataFrame, preds: list[str]) -> DataFrame:
 def shortest_paths(edges: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
     """``s``, ``o``, ``hops``, ``path``: for each pair the fewest forward steps, k at most, and the least such path as text.
 
-    A frontier keeps one path, the least, for each (source, node).
+    Frontiers grow from both ends, each time the smaller one, and meet. Each keeps one path, the least, for every end and
+    node: a least path is the least way to where the frontiers meet, and the least way on from there. Ends of pairs that
+    are settled grow no further.
     """
     step = cut(edges.select(F.col("s").alias("at"), F.col("o").alias("next")).distinct())
-    sources = pairs.select("s").distinct()
-    front = cut(sources.select("s", F.col("s").alias("at"), F.array("s").alias("path")))
-    seen = cut(front.select("s", "at"))
-    found = cut(pairs.where("s = o").distinct().select("s", "o", F.lit(0).alias("hops"), F.col("s").alias("path")))
+    left = cut(pairs.select("s", "o").distinct())
+    found = left.where("s = o").select("s", "o", F.lit(0).alias("hops"), F.col("s").alias("path"))
+    left = left.where("s <> o")
+    front = {end: cut(left.select(end, F.col(end).alias("at"), F.array(end).alias("way")).distinct()) for end in ("s", "o")}
+    seen = {end: front[end].select(end, "at") for end in front}
     for n in range(1, k + 1):
-        grown = front.join(step, "at").select("s", F.col("next").alias("at"), F.array_append("path", F.col("next")).alias("path")).join(seen, ["s", "at"], "left_anti")
-        front = cut(grown.groupBy("s", "at").agg(F.min("path").alias("path")))
-        if front.isEmpty():
+        end = min(front, key=lambda x: front[x].count())
+        if end == "s":
+            grown = front[end].join(step, "at").select(end, F.col("next").alias("at"), F.array_append("way", F.col("next")).alias("way"))
+        else:
+            grown = front[end].join(step.toDF("before", "at"), "at").select(end, F.col("before").alias("at"), F.array_prepend("way", F.col("before")).alias("way"))
+        front[end] = cut(grown.join(seen[end], [end, "at"], "left_anti").groupBy(end, "at").agg(F.min("way").alias("way")))
+        seen[end] = cut(seen[end].union(front[end].select(end, "at")))
+        # Where they meet a path of n steps is whole; the shorter ones are settled.
+        met = left.join(front["s"], "s").join(front["o"].withColumnRenamed("way", "on"), ["o", "at"])
+        hits = cut(met.groupBy("s", "o").agg(F.min(F.concat("way", F.slice("on", F.lit(2), F.greatest(F.size("on") - 1, F.lit(0))))).alias("way")))
+        found = cut(found.union(hits.select("s", "o", F.lit(n).alias("hops"), F.array_join("way", ">").alias("path"))))
+        left = cut(left.join(hits, ["s", "o"], "left_anti"))
+        front = {end: cut(front[end].join(left.select(end).distinct(), end, "left_semi")) for end in front}
+        if any(x.isEmpty() for x in front.values()):
             break
-        hits = pairs.distinct().join(front.withColumnRenamed("at", "o"), ["s", "o"]).select("s", "o", F.lit(n).alias("hops"), F.array_join("path", ">").alias("path"))
-        found, seen = cut(found.union(hits)), cut(seen.union(front.select("s", "at")))
     return found
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kgloom.functions.text import norm, tokens
+from kgloom.session import cut
 
 
 def make_questions(nodes: DataFrame, templates: DataFrame) -> DataFrame:
@@ -97,8 +98,13 @@ def link_filters(questions: DataFrame, filters: DataFrame, attrs: DataFrame) ->
 def disambiguate(mentions: DataFrame, aliases: DataFrame, relations: DataFrame, predicates: DataFrame, nodes: DataFrame, degrees: DataFrame, k: int = 1) -> DataFrame:
     """Mentions with ``id`` and ``rank``: ids of the alias by fit of type with the relation's first step, then degree, then id; the first k."""
     # Ids of an alias are ranked once for each type, before questions fan out: the first k of a question are among these.
-    degree = degrees.select("id", (F.col("n_in") + F.col("n_out")).alias("degree"))
-    named = aliases.select("alias_norm", "id").join(mentions.select("alias_norm").distinct(), "alias_norm", "left_semi").join(nodes.select("id", "type"), "id").join(degree, "id", "left")
+    found = cut(aliases.select("alias_norm", "id").join(mentions.select("alias_norm").distinct(), "alias_norm", "left_semi").join(nodes.select("id", "type"), "id"))
+    # Degrees are of use only where a name is that of several.
+    several = cut(found.join(found.groupBy("alias_norm").agg(F.count("*").alias("n")).where("n > 1").select("alias_norm"), "alias_norm", "left_semi").select("id").distinct())
+    if several.isEmpty():
+        named = found.withColumn("degree", F.lit(None).cast("long"))
+    else:
+        named = found.join(degrees.join(several, "id", "left_semi").select("id", (F.col("n_in") + F.col("n_out")).alias("degree")), "id", "left")
     of_type = Window.partitionBy("alias_norm", "type").orderBy(F.coalesce("degree", F.lit(0)).desc(), "id")
     ids = mentions.join(named.withColumn("nth", F.row_number().over(of_type)).where(F.col("nth") <= k).drop("nth"), "alias_norm")
     first = relations.select("qid", F.regexp_extract("path", r"^([+-])", 1).alias("dir"), F.regexp_extract("path", r"^[+-]([^/]+)", 1).alias("p"))

@@ -124,6 +124,10 @@ class Trade:
     def aliases(self) -> DataFrame:
         return build.build_aliases(self.named)
 
+    @cached_property
+    def stored_aliases(self) -> DataFrame:
+        return cut(self.aliases)
+
     @cached_property
     def predicates(self) -> DataFrame:
         return self.spark.createDataFrame(PREDICATES, "p string, domain string, from_type string, to_type string, functional boolean")
@@ -167,12 +171,13 @@ class Trade:
         """Mentions with ids, relations and classes of questions."""
         # Both are read several times below.
         relations = cut(questions.link_relations(asked, self.lexicon))
-        found = cut(questions.find_mentions(asked, self.aliases))
-        mentions = questions.disambiguate(found, self.aliases, relations, self.predicates, self.nodes, self.degrees)
+        found = cut(questions.find_mentions(asked, self.stored_aliases))
+        mentions = questions.disambiguate(found, self.stored_aliases, relations, self.predicates, self.nodes, self.degrees)
         return mentions, relations, questions.classify(asked, self.cues)
 
     @cached_property
     def parsed(self) -> DataFrame:
         """Logical forms of all questions, worked out once: every path shape starts from them."""
-        mentions, relations, classes = self.understood(self.questions)
-        return cut(questions.assemble(self.questions, mentions, relations, classes, self.predicates, self.nodes))
+        asked = cut(self.questions)  # read by every step
+        mentions, relations, classes = self.understood(asked)
+        return cut(questions.assemble(asked, mentions, relations, classes, self.predicates, self.nodes))

@@ -102,3 +102,19 @@ def test_similar_sets_against_all_pairs(spark):
         assert rows_of(pairs) == want and len(want) > 5
         assert rows_of(members) == sorted((i, first[x]) for i, x in sets.items())
     assert finetune.near_duplicates(docs.limit(0), 0.75).count() == 0
+
+
+def test_shortest_paths_from_both_ends(spark):
+    nodes = [f"n{i}" for i in range(14)]
+    edges = {(rng.choice(nodes), rng.choice(nodes)) for _ in range(30)} | {("a", "b"), ("a", "c"), ("b", "d"), ("c", "d"), ("x", "x")}
+    pairs = [(rng.choice(nodes), rng.choice(nodes)) for _ in range(60)] + [("a", "d"), ("a", "a"), ("d", "a"), ("x", "x"), ("no", "b")]
+    want = {}
+    for s, o in set(pairs):
+        ways = [(s,)]
+        for hops in range(5):
+            if hits := [w for w in ways if w[-1] == o]:
+                want[s, o] = (hops, ">".join(min(hits)))
+                break
+            ways = [(*w, b) for w in ways for a, b in edges if a == w[-1] and b not in w]
+    got = {(r["s"], r["o"]): (r["hops"], r["path"]) for r in query.shortest_paths(graph(spark, edges), spark.createDataFrame(pairs, "s string, o string"), 4).collect()}
+    assert got == want and len(want) > 20
