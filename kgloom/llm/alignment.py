@@ -10,7 +10,8 @@ Tokens that end together are linked, and where they do a group ends.
 Two linked tokens end at one byte, so the shorter is an end of the longer: pairs
 of ids that can be linked at all number less than the bytes of both
 vocabularies. The table of counts is therefore bounded by the vocabularies,
-whatever the corpus; it is broadcast if that bound, worked out before, is small.
+whatever the corpus; it goes to every worker if that bound, worked out before, is
+small, and is joined otherwise.
 
 Cases: null and empty texts have no tokens, nor have texts that either side does
 not give back byte for byte (normalised or invalid ones); these have zeros and
@@ -296,7 +297,9 @@ def _batches(batches: Iterator[pa.RecordBatch], sides: Sides):
             raw = data.tobytes()
             texts = [raw[x:y] for x, y in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
             yield coders, batch["id"][row : row + len(texts)], len(texts), align(*coders.encode(texts), (coders.a_len, coders.b_len))
-    coders.forget()  # a worker stays when its task ends
+    # A worker stays when its task ends.
+    coders.forget()
+    pa.default_memory_pool().release_unused()
 
 
 def overlaps(docs: DataFrame, sides: Sides, key: str = "doc_id", col: str = "text") -> DataFrame:
@@ -371,8 +374,28 @@ def alignment(docs: DataFrame, sides: Sides | None = None, key: str = "doc_id",
     found = stored(aligned(docs, sides, key, col), "aligned")
     counts = stored(pair_counts(found, len(coders.b_len)), "pairs").select("pair", "n", "best")
     if most_pairs(coders.a_bytes, coders.b_bytes) * PAIR_BYTES <= BROADCAST_BYTES:
-        counts = F.broadcast(counts)
+        return summed(found, counts)
     own = ["at", "id", "n_a", "n_b", "n_groups", "n_links", "groups"]
     each = found.select(*own, F.explode_outer("links").alias("pair")).join(counts, "pair", "left")
-    sums = each.groupBy(*own).agg(F.sum(F.when(F.col("best"), 1).otherwise(0)).alias("n_best"), F.coalesce(F.sum("n"), F.lit(0)).alias("count_sum"))
+    sums = each.groupBy(*own).agg(F.sum(F.when(F.col("best"), 1).otherwise(0)).cast("long").alias("n_best"), F.coalesce(F.sum("n"), F.lit(0)).alias("count_sum"))
     return sums.select("id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups")
+
+
+def summed(found: DataFrame, counts: DataFrame) -> DataFrame:
+    """The same where the counts fit in every worker: they are looked up where the links are, and nothing is shuffled."""
+    table = counts.toPandas().sort_values("pair")  # bounded by the vocabularies
+    shared = found.sparkSession.sparkContext.broadcast(tuple(table[c].to_numpy() for c in ("pair", "n", "best")))
+    kept = ["id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups"]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs, n, best = shared.value
+        for batch in batches:
+            links = batch["links"].flatten().to_numpy()
+            ends = np.concatenate([[0], np.cumsum(batch["n_links"].to_numpy())])
+            at = np.searchsorted(pairs, links)
+            sums = [np.diff(np.concatenate([[0], np.cumsum(x[at], dtype=np.int64)])[ends]) for x in (best, n)] if len(links) else [np.zeros(len(batch), np.int64)] * 2
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in kept[:5]), *map(pa.array, sums), batch["groups"]], kept)
+        pa.default_memory_pool().release_unused()
+
+    long = {c: T.StructField(c, T.LongType()) for c in kept[1:7]}
+    return found.select("id", "n_a", "n_b", "n_groups", "n_links", "groups", "links").mapInArrow(work, T.StructType([found.schema["id"], *long.values(), found.schema["groups"]]))

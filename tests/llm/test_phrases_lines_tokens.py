@@ -144,7 +144,7 @@ SPOKEN = [(i, t, "en") for i, t in enumerate(SAID)] + [(4, "Hello again", "en"),
 
 
 @pytest.mark.skipif(not os.path.exists(alignment.BYTE_PATH), reason="no tokenizers")
-def test_alignment_against_brute_force(spark):
+def test_alignment_against_brute_force(spark, monkeypatch):
     sides = alignment.load_sides()
     coders = alignment.Encoders(sides)
     want, counts, overlapping = [], Counter(), []
@@ -174,6 +174,9 @@ def test_alignment_against_brute_force(spark):
     docs = frame(spark, SPOKEN).repartition(3)
     got = sorted((str(r["id"]), *[r[c] for c in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups")]) for r in alignment.alignment(docs, sides).collect())
     assert got == want and sum(w[1] == 0 for w in want) >= 2
+    monkeypatch.setattr(alignment, "BROADCAST_BYTES", 0)
+    joined = sorted((str(r["id"]), *[r[c] for c in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups")]) for r in alignment.alignment(docs, sides).collect())
+    assert joined == want
     pairs = sorted((str(r[0]), *r[1:]) for r in alignment.overlaps(docs.where("length(text) < 100"), sides).collect())
     assert pairs == sorted(overlapping)
     assert alignment.alignment(docs.limit(0), sides).count() == 0
