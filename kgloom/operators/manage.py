@@ -57,15 +57,48 @@ def violations(edges: DataFrame, nodes: DataFrame, predicates: DataFrame) -> Dat
     return several.select(columns).unionByName(wrong("s", "from_type", "subject type").select(columns)).unionByName(wrong("o", "to_type", "object type").select(columns))
 
 
+def _segment(length: str, i: int, parts: int) -> tuple[str, str]:
+    """Where the i-th of ``parts`` even segments of so many letters starts, and its length: the first ones are the shorter ones."""
+    short = f"({length} div {parts})"
+    longer = f"greatest(0, {i} - ({parts} - {length} % {parts}))"
+    return f"({i} * {short} + {longer})", f"({short} + if({i} >= {parts} - {length} % {parts}, 1, 0))"
+
+
+def near_labels(labels: DataFrame, by: list[str], max_dist: int) -> DataFrame:
+    """``by``, ``a``, ``b``: labels (``low``) of one block within an edit distance, the shorter or as long one first, each with itself too.
+
+    A label is cut into one segment more than it may have edits, so that one of them stands unchanged in any label that
+    is near, moved by as many places at most (Pass-Join, Li et al., VLDB 2011). Only labels that share a segment are
+    compared, however many a block has.
+    """
+    parts = max_dist + 1
+    own, seen = [], []
+    for i in range(parts):
+        start, size = _segment("n", i, parts)
+        own.append(f"named_struct('l', n, 'i', {i}, 'x', substring(low, {start} + 1, {size}))")
+        for fewer in range(parts):
+            start, size = _segment(f"(n - {fewer})", i, parts)
+            seen += [f"if(n - {fewer} > {max_dist} AND {start} + {shift} >= 0 AND {start} + {shift} + {size} <= n, named_struct('l', n - {fewer}, 'i', {i}, 'x', substring(low, {start} + {shift} + 1, {size})), NULL)" for shift in range(-max_dist, parts)]
+    # Labels with fewer letters than segments meet by their shortness.
+    brief = "named_struct('l', -1, 'i', 0, 'x', '')"
+    sized = labels.where("low IS NOT NULL").select(*by, "low", F.length("low").alias("n"))
+    mine = sized.select(*by, F.col("low").alias("a"), F.expr(f"explode(if(n > {max_dist}, array({', '.join(own)}), array({brief})))").alias("sign"))
+    theirs = sized.select(*by, F.col("low").alias("b"), F.expr(f"explode(array_distinct(filter(array({', '.join(seen)}, if(n <= {2 * max_dist}, {brief}, NULL)), x -> x IS NOT NULL)))").alias("sign"))
+    met = mine.select(*by, "a", "sign.*").join(theirs.select(*by, "b", "sign.*"), [*by, "l", "i", "x"])
+    return met.where("length(a) <= length(b)").where(F.levenshtein("a", "b", max_dist) >= 0).select(*by, "a", "b").distinct()
+
+
 def match_entities(nodes: DataFrame, attrs: DataFrame, block: list[str], max_dist: int) -> DataFrame:
     """``id``, ``dup_id``: pairs of a type that agree in the given attributes and whose labels are within an edit distance."""
     wide = attrs.where(F.col("p").isin(*block)).select("s", "p", F.coalesce("v_str", F.col("v_num").cast("string")).alias("v"))
     keys = [f"block_{k}" for k in range(len(block))]
     values = wide.groupBy("s").pivot("p", block).agg(F.first("v")).toDF("id", *keys).dropna(subset=keys)
-    keyed = nodes.select("id", F.col("type").alias("kind"), "label").join(values, "id")
-    other = keyed.select(F.col("id").alias("dup_id"), F.col("label").alias("dup_label"), "kind", *keys)
-    near = F.levenshtein(F.lower("label"), F.lower("dup_label"), max_dist)
-    return keyed.join(other, ["kind", *keys]).where((F.col("id") < F.col("dup_id")) & (near >= 0)).select("id", "dup_id")
+    keyed = cut(nodes.select("id", F.col("type").alias("kind"), F.lower("label").alias("low")).join(values, "id"))
+    by = ["kind", *keys]
+    near = near_labels(keyed.select(*by, "low").distinct(), by, max_dist)
+    left, right = keyed.select(*by, F.col("low").alias("a"), F.col("id").alias("x")), keyed.select(*by, F.col("low").alias("b"), F.col("id").alias("y"))
+    pairs = near.join(left, [*by, "a"]).join(right, [*by, "b"]).where("x <> y")
+    return pairs.select(F.least("x", "y").alias("id"), F.greatest("x", "y").alias("dup_id")).distinct()
 
 
 def components(pairs: DataFrame) -> DataFrame:

@@ -118,3 +118,34 @@ def test_shortest_paths_from_both_ends(spark):
             ways = [(*w, b) for w in ways for a, b in edges if a == w[-1] and b not in w]
     got = {(r["s"], r["o"]): (r["hops"], r["path"]) for r in query.shortest_paths(graph(spark, edges), spark.createDataFrame(pairs, "s string, o string"), 4).collect()}
     assert got == want and len(want) > 20
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+@pytest.mark.parametrize("most", [1, 2])
+def test_near_labels_against_all_pairs(spark, most):
+    from kgloom.operators import manage
+
+    labels = {"".join(rng.choices("abc", k=rng.randrange(0, 9))) for _ in range(150)} | {"", "a", "ab", "straße eins", "strasse eins", "straße ein"}
+    frame = spark.createDataFrame([(str(len(x) % 2), x) for x in labels] + [("0", x) for x in labels] + [("0", None)], "block string, low string").distinct()
+    blocks = {"0": labels, "1": {x for x in labels if len(x) % 2}}
+    want = {(k, *sorted((a, b), key=lambda x: (len(x), x))) for k, held in blocks.items() for a in held for b in held if distance(a, b) <= most}
+    got = {(r["block"], *sorted((r["a"], r["b"]), key=lambda x: (len(x), x))) for r in manage.near_labels(frame, ["block"], most).collect()}
+    assert got == want
+
+
+def test_a_block_of_many_is_not_squared(spark):
+    from kgloom.operators import manage
+
+    n = 20_000
+    nodes = spark.range(n).selectExpr("concat('e:', id) AS id", "'part' AS type", "if(id = 7, 'x0000000000y', concat('x', lpad(conv(id * 7919, 10, 16), 10, '0'), 'y')) AS label", "'k' AS domain")
+    attrs = spark.range(n).selectExpr("concat('e:', id) AS s", "'brand' AS p", "'str' AS dtype", "'one' AS v_str", "cast(NULL AS double) AS v_num", "cast(NULL AS timestamp_ntz) AS v_ts", "'k' AS domain")
+    got = {tuple(r) for r in manage.match_entities(nodes, attrs, ["brand"], 0).collect()}
+    assert got == {("e:0", "e:7")}
