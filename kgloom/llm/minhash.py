@@ -36,6 +36,7 @@ BINS, ROWS = 256, 5
 #: A shingle of at most so many members is rare.
 RARE = 16
 BANDS = BINS // ROWS
+ODD = 16
 
 _order = np.random.default_rng(20240229).integers(0, 1 << 62, (BINS, BINS))
 _factors = mix(np.arange(101, 101 + ROWS, dtype=np.uint64)) | np.uint64(1)
@@ -65,6 +66,12 @@ def set_keys(sets: list[np.ndarray]) -> pa.Array:
     return pa.array([xxhash.xxh3_128_digest(u.tobytes()) if len(u) else None for u in sets], pa.binary())
 
 
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """Whether the number of hashes in each of ``64 * ODD`` classes is odd, as ``ODD`` numbers: sets differ by as many as these bits do, at least."""
+    bits = np.bincount((hashes >> np.uint64(20)).astype(np.int64) % (64 * ODD), minlength=64 * ODD).astype(np.uint8) & 1
+    return np.packbits(bits).view(np.int64)
+
+
 def sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``id``, ``at`` (a hash of the text), ``n_shingles``, ``set_key`` (null without shingles) and ``bands`` of each row."""
     frame = docs.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("at"), F.col(text).alias("text"))
@@ -82,16 +89,17 @@ def sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
 
 
 def shingle_arrays(texts: DataFrame) -> DataFrame:
-    """``rep`` (the set's key) and ``shingles`` (the whole set) of each ``text``."""
+    """``rep`` (the set's key), ``shingles`` (the whole set) and ``odd`` (its parities) of each ``text``."""
 
     def work(batches):
         for batch in batches:
             for _, offsets, data in slices(batch.column(0)):
                 sets = list(shingle_sets(offsets, data, WIDTH))
                 flat = pa.ListArray.from_arrays(np.r_[0, np.cumsum([len(u) for u in sets])].astype(np.int32), pa.array(np.concatenate(sets).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([set_keys(sets), flat], names=["rep", "shingles"])
+                odd = pa.array([parities(u).tolist() for u in sets], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([set_keys(sets), flat, odd], names=["rep", "shingles", "odd"])
 
-    return texts.select("text").mapInArrow(work, "rep binary, shingles array<long>")
+    return texts.select("text").mapInArrow(work, "rep binary, shingles array<long>, odd array<long>")
 
 
 def bucket_members(classes: DataFrame) -> DataFrame:
@@ -133,8 +141,8 @@ def shareable(suspects: DataFrame, sets: DataFrame, rare: int = RARE, percent: i
     placed = sets.join(suspects, "rep").select("rep", "label", "size", F.explode("shingles").alias("shingle"))
     seen = placed.groupBy("shingle").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("n")).where("least <> most").select("shingle", "n")
     met = placed.join(seen, "shingle").groupBy("rep", "label", "size").agg(F.count("*").alias("shared"), F.count_if(F.col("n") > rare).alias("common"), F.collect_list(F.when(F.col("n") <= rare, F.col("shingle"))).alias("rares"))
-    facts = stored(met.where(could("shared", "size", f"ceil({percent} * size / 100)", percent)), "facts")
-    return facts.drop("rares"), facts.select("rep", "label", "size", "shared", F.explode("rares").alias("shingle"))
+    facts = stored(met.where(could("shared", "size", f"ceil({percent} * size / 100)", percent)).join(sets.select("rep", "odd"), "rep"), "facts")
+    return facts.drop("rares"), facts.select("odd", "rep", "label", "size", "shared", F.explode("rares").alias("shingle"))
 
 
 def cross_edges(mixed: DataFrame, facts: DataFrame, postings: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -144,18 +152,19 @@ def cross_edges(mixed: DataFrame, facts: DataFrame, postings: DataFrame, percent
     Either one of these is rare: then the pair meets in its short posting list. Or all are common
     ones: then both have that many common shingles, and the pair is looked for in the buckets. Both
     bounds are exact. They leave out the members of a group of copies that are too far from the
-    rest, of which there can be as many as copies.
+    rest, of which there can be as many as copies. So does a third: sets differ in no fewer shingles than their parities.
     """
 
     def pairs(rows: DataFrame, on: str, count: str, more: tuple[str, ...] = (), also: str = "true") -> DataFrame:
-        a = rows.select(on, F.col("rep").alias("a"), F.col("label").alias("label_a"), F.col("size").alias("size_a"), F.col(count).alias("count_a"), *map(F.col, more))
-        b = a.toDF(on, "b", "label_b", "size_b", "count_b", *[f"{c}_b" for c in more])
-        alike = f"100 * least(size_a, size_b) >= {percent} * greatest(size_a, size_b) AND {could('count_a', 'size_a', 'size_b', percent)} AND {could('count_b', 'size_b', 'size_a', percent)}"
+        a = rows.select(on, F.col("rep").alias("a"), F.col("label").alias("label_a"), F.col("size").alias("size_a"), F.col(count).alias("count_a"), "odd", *map(F.col, more))
+        b = a.toDF(on, "b", "label_b", "size_b", "count_b", "odd_b", *[f"{c}_b" for c in more])
+        apart = " + ".join(f"bit_count(odd[{k}] ^ odd_b[{k}])" for k in range(ODD))
+        alike = f"100 * least(size_a, size_b) >= {percent} * greatest(size_a, size_b) AND {could('count_a', 'size_a', 'size_b', percent)} AND {could('count_b', 'size_b', 'size_a', percent)} AND {100 + percent} * ({apart}) <= {100 - percent} * (size_a + size_b)"
         return a.join(b, on).where(f"a < b AND label_a <> label_b AND {alike} AND {also}").select("b", "a")
 
     within = mixed.select("key", "rep").join(facts.where(could("common", "size", f"ceil({percent} * size / 100)", percent)), "rep")
     # A pair counts in the first of the buckets that both are in, of which a member has one a band at most.
-    keyed = stored(within.groupBy("rep", "label", "size", "common").agg(F.array_sort(F.collect_list("key")).alias("keys")), "bucket-rows").withColumn("key", F.explode("keys"))
+    keyed = stored(within.groupBy("rep", "label", "size", "common", "odd").agg(F.array_sort(F.collect_list("key")).alias("keys")), "bucket-rows").withColumn("key", F.explode("keys"))
     return pairs(keyed, "key", "common", ("keys",), "array_intersect(keys, keys_b)[0] = key").union(pairs(postings, "shingle", "shared")).distinct()
 
 

@@ -136,6 +136,15 @@ def test_words_whose_sums_of_powers_agree_are_not_alike(spark):
     assert got == {1: 1, 2: 2, 3: 3, 4: 4}
 
 
+def test_parities_differ_in_no_more_bits_than_sets_in_members():
+    made = np.random.default_rng(7)
+    for _ in range(50):
+        base = made.integers(0, 1 << 63, 400, dtype=np.int64).astype(np.uint64)
+        a, b = (np.unique(np.concatenate([base, made.integers(0, 1 << 63, int(made.integers(0, 300)), dtype=np.int64).astype(np.uint64)])) for _ in range(2))
+        bits = sum(bin(int(x) & (1 << 64) - 1).count("1") for x in minhash.parities(a) ^ minhash.parities(b))
+        assert bits <= len(np.setxor1d(a, b)) and (bits > 0 or len(a) == len(b))
+
+
 def test_near_duplicates_with_repeated_and_null_ids(spark):
     a, b = prose(40), prose(40)
     near = lambda t, w: " ".join([*t.split()[:-1], w])
