@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -49,15 +50,66 @@ def _bindings(edges: DataFrame, pattern: tuple[str, str, str]) -> DataFrame:
     return rows.select(*[c.alias(v) for v, c in out.items()]).distinct()
 
 
+def _sizes(bindings: list[DataFrame]) -> list[dict[str, int]]:
+    """For each pattern its rows, as ``*``, and about how many values each of its variables has; one job for all."""
+    counts = [b.agg(F.count("*").alias("*"), *[F.approx_count_distinct(c).alias(c) for c in b.columns]).select(F.lit(k).alias("nth"), F.to_json(F.struct("*")).alias("sizes")) for k, b in enumerate(bindings)]
+    return [json.loads(r["sizes"]) for r in reduce(DataFrame.union, counts).orderBy("nth").collect()]
+
+
 def match_all(edges: DataFrame, patterns: list[tuple[str, str, str]]) -> DataFrame:
-    """Bindings of a conjunction of patterns; each but the first must share a variable with those before it."""
-    found = _bindings(edges, patterns[0])
-    for pattern in patterns[1:]:
-        more = _bindings(edges, pattern)
-        shared = [c for c in more.columns if c in found.columns]
-        if not shared:
-            raise ValueError(f"no shared variable: {pattern}")
-        found = found.join(more, shared)
+    """Bindings of a conjunction of patterns, each of which must share a variable with others.
+
+    Variables are bound one after another, beginning with the pattern from which counts promise least. Where several
+    patterns hold a new variable beside bound ones, as in a cycle, each row is extended by that of them in which it has
+    fewest partners (counted exactly), and the others only confirm: a row with few orders looks at its orders though
+    another pattern has many for it. Patterns whose variables are all bound filter.
+    """
+    bindings = [_bindings(edges, p) for p in patterns]
+    if len(bindings) > 2:
+        bindings = [cut(b) for b in bindings]  # read for sizes, degrees and joins
+        sizes = _sizes(bindings)
+
+        def growth(k: int) -> float:
+            """Rows of a pattern times the least mean number of partners in a pattern that shares a variable."""
+            means = [sizes[j]["*"] / max(1, *(sizes[j][c] for c in b.columns if c in bindings[k].columns)) for j, b in enumerate(bindings) if j != k and set(b.columns) & set(bindings[k].columns)]
+            return sizes[k]["*"] * min(means, default=1.0)
+
+        start = min(range(len(bindings)), key=growth)
+    else:
+        start = 0
+    found, left = bindings[start], [b for k, b in enumerate(bindings) if k != start]
+    while left:
+        bound = set(found.columns)
+        if whole := [b for b in left if set(b.columns) <= bound]:
+            found = found.join(whole[0], whole[0].columns, "left_semi")
+            left.remove(whole[0])
+            continue
+        near = [b for b in left if set(b.columns) & bound]
+        if not near:
+            raise ValueError(f"no shared variable: {left[0].columns}")
+        new = {frozenset(b.columns) - bound for b in near}
+        # The new variable that most patterns hold; a pattern with several new ones stands alone.
+        fresh = max(new, key=lambda v: (len(v) == 1, sum(frozenset(b.columns) - bound == v for b in near), sorted(v)))
+        several = [b for b in near if frozenset(b.columns) - bound == fresh] if len(fresh) == 1 else [b for b in near if frozenset(b.columns) - bound == fresh][:1]
+        left = [b for b in left if b not in several]
+        shared = [[c for c in b.columns if c in bound] for b in several]
+        if len(several) == 1:
+            found = found.join(several[0], shared[0])
+            continue
+        columns = found.columns
+        for k, (b, on) in enumerate(zip(several, shared, strict=True)):
+            found = found.join(b.groupBy(*on).agg(F.count("*").alias(f"partners {k}")), on)
+        least = F.least(*[F.col(f"partners {k}") for k in range(len(several))])
+        fewest = reduce(lambda rest, k: F.when(F.col(f"partners {k}") == least, k).otherwise(rest), range(len(several) - 1), F.lit(len(several) - 1))
+        found = cut(found.select(*columns, fewest.alias("by")))
+        parts = []
+        for k, (b, on) in enumerate(zip(several, shared, strict=True)):
+            part = found.where(F.col("by") == k).drop("by").join(b, on)
+            for j, other in enumerate(several):
+                if j != k:
+                    part = part.join(other, other.columns, "left_semi")
+            parts.append(part.select(*columns, *fresh))
+        found = reduce(DataFrame.union, parts)
     return found.distinct()
 
 

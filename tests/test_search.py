@@ -149,3 +149,41 @@ def test_a_block_of_many_is_not_squared(spark):
     attrs = spark.range(n).selectExpr("concat('e:', id) AS s", "'brand' AS p", "'str' AS dtype", "'one' AS v_str", "cast(NULL AS double) AS v_num", "cast(NULL AS timestamp_ntz) AS v_ts", "'k' AS domain")
     got = {tuple(r) for r in manage.match_entities(nodes, attrs, ["brand"], 0).collect()}
     assert got == {("e:0", "e:7")}
+
+
+PATTERNS = [
+    [("?a", "p", "?b"), ("?b", "p", "?c"), ("?a", "p", "?c")],
+    [("?a", "p", "?b"), ("?b", "p", "?c"), ("?c", "q", "?d"), ("?a", "q", "?d")],
+    [("?a", "p", "?b"), ("?a", "q", "?c"), ("?a", "?r", "n1")],
+    [("?a", "p", "?b")],
+    [("?a", "p", "?a"), ("?a", "q", "?b")],
+    [("?a", "p", "?b"), ("?c", "p", "?b"), ("?d", "p", "?b"), ("?c", "q", "?a")],
+]
+
+
+@pytest.mark.parametrize("patterns", PATTERNS)
+def test_patterns_against_all_bindings(spark, patterns):
+    nodes = [f"n{i}" for i in range(9)]
+    edges = {(rng.choice(nodes), rng.choice("pq"), rng.choice(nodes)) for _ in range(45)}
+    found = [{}]
+    for pattern in patterns:
+        grown = []
+        for row in found:
+            for edge in edges:
+                new = dict(row)
+                if all(new.setdefault(t[1:], v) == v if t[0] == "?" else t == v for t, v in zip(pattern, edge, strict=True)):
+                    grown.append(new)
+        found = grown
+    names = sorted({t[1:] for x in patterns for t in x if t[0] == "?"})
+    frame = spark.createDataFrame([(*e, "k") for e in sorted(edges)], "s string, p string, o string, domain string")
+    assert rows_of(query.match_all(frame, patterns).select(*names)) == sorted({tuple(r[n] for n in names) for r in found})
+
+
+def test_a_cycle_looks_at_the_smaller_side_of_each_row(spark):
+    """A hub on either side: joined in any fixed order, half a million rows would be looked at."""
+    n = 700
+    rows = [("h", "p", f"x{i}") for i in range(n)] + [(f"x{i}", "q", "h2") for i in range(n)] + [("h", "r", f"y{i}") for i in range(n)] + [(f"y{i}", "q", f"z{i}") for i in range(n)]
+    rows += [(f"a{i}", "p", "hub") for i in range(n)] + [("hub", "q", f"b{i}") for i in range(n)] + [("a1", "r", "b1"), ("h", "r", "h2")]
+    frame = spark.createDataFrame([(*e, "k") for e in rows], "s string, p string, o string, domain string")
+    got = rows_of(query.match_all(frame, [("?a", "p", "?b"), ("?b", "q", "?c"), ("?a", "r", "?c")]).select("a", "b", "c"))
+    assert got == sorted([("a1", "hub", "b1")] + [("h", f"x{i}", "h2") for i in range(n)])
