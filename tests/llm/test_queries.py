@@ -75,7 +75,8 @@ def test_on_odd_and_empty_tables(spark, odd, bare, name):
             near.setdefault(r["query_id"], []).append((r["score"], r["vec_id"], r["rank"]))
         assert set(near) == {0, 100} and all([x[2] for x in sorted(near[100])] == list(range(1, 11)) for _ in near)
     elif name == "op11_collocations":
-        assert {r["lang"] for r in rows} == {"aa", "und"} and all(r["a"] >= 10 for r in rows)
+        # Only the long text, which has no language, repeats pairs of words so often.
+        assert {r["lang"] for r in rows} == {"und"} and all(r["a"] >= 10 and r["score"] <= 1000000 for r in rows)
     else:
         assert sorted(str(r["doc_id"]) for r in rows) == sorted(str(r["doc_id"]) for r in docs.select("doc_id").collect())
     if "held_out" in COLUMNS[name]:
