@@ -8,7 +8,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgloom.functions.text import norm, tokens
 from kgloom.operators import answer, bm25, build, context, finetune, knn, manage, query
 from kgloom.operators import questions as ask
 from kgloom.plans import sql
