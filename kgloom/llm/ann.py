@@ -9,8 +9,9 @@ nearest. A query walks a graph
 of the centroids in memory, takes all within a ratio of the nearest
 distance, and further ones until they hold ``k + 1`` distinct vectors, and is
 compared with all of their vectors; a long list is split in chunks that are
-searched apart. The ratio is the least that reaches ``TARGET`` of the nearest neighbours of
-``TRIALS`` vectors of the sample within the sample.
+searched apart. A pass over all centroids adds those within the ratio that the walk did not meet. The ratio is the
+least that reaches ``TARGET`` of the nearest neighbours, among all vectors, of ``TRIALS`` of the queries themselves:
+these may lie elsewhere than most vectors, and then need more lists than a vector of the sample does.
 
 How much this saves depends on the vectors: where they form clusters few lists are near, while
 among vectors of many dimensions without any structure all centroids are about as far away.
@@ -100,11 +101,15 @@ class Index:
         ``owned`` counts the vectors of which a cluster is the nearest, so that none counts twice.
         """
         out = self.nearest(query)
+        taken = set(out)
+        d = np.sqrt(((self.centroids - query) ** 2).sum(axis=1))
+        # The walk can end in a part of the graph that few links leave.
+        missed = [i for i in np.flatnonzero(d <= self.ratio * d.min() + 1e-12).tolist() if i not in taken]
+        out += missed
+        taken.update(missed)
         held = int(owned[out].sum())
         if held < least:
-            every = np.argsort(((self.centroids - query) ** 2).sum(axis=1), kind="stable").tolist()
-            taken = set(out)
-            for i in every:
+            for i in np.argsort(d, kind="stable").tolist():
                 if held >= least:
                     break
                 if i not in taken:
@@ -164,6 +169,47 @@ def ratio_for(index: Index, sample: np.ndarray, k: int) -> float:
     return max(1.0, float(np.quantile(needed, TARGET, method="higher"))) if needed else 1.0
 
 
+def true_neighbours(held: DataFrame, trials: np.ndarray, k: int) -> dict[int, np.ndarray]:
+    """For each of ``trials`` the k nearest other vectors of ``held``, by comparison with all of them; one pass, k rows a trial and task."""
+    shared = held.sparkSession.sparkContext.broadcast((trials, trials.mean(axis=0)))
+
+    def nearest(batches):
+        asked, middle = shared.value
+        q = asked - middle
+        best = [[] for _ in q]
+        for batch in batches:
+            x = matrix(batch.column(0))
+            near = (x - middle) @ q.T
+            d = ((x - middle) ** 2).sum(axis=1)[:, None] + (q**2).sum(axis=1)[None] - 2 * near
+            # A trial is its own nearest one, which does not count below.
+            at = np.argpartition(d, min(k, len(x) - 1), axis=0)[: k + 1]
+            for j in range(len(q)):
+                rows = x[at[:, j]]
+                best[j] = sorted(best[j] + list(zip(((rows - asked[j]) ** 2).sum(axis=1).tolist(), rows.tolist(), strict=True)))[: k + 1]
+        found = [(j, d, v) for j, rows in enumerate(best) for d, v in rows]
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in found], pa.int32()), pa.array([r[1] for r in found], pa.float64()), pa.array([r[2] for r in found], pa.list_(pa.float64()))], names=["trial", "d", "v"])
+
+    met = held.select("v").mapInArrow(nearest, "trial int, d double, v array<double>")
+    first = met.withColumn("nth", F.row_number().over(Window.partitionBy("trial").orderBy("d", "v"))).where(F.col("nth").between(2, k + 1))
+    out: dict[int, list] = {}
+    for r in first.select("trial", "v").collect():  # k rows for each of TRIALS
+        out.setdefault(r["trial"], []).append(r["v"])
+    return {j: np.array(v, float) for j, v in out.items()}
+
+
+def ratio_of_queries(index: Index, held: DataFrame, queries: DataFrame, k: int) -> float:
+    """How far lists must be searched, in units of the nearest centroid's distance, to meet TARGET of the nearest vectors of TRIALS queries (``key``, ``v``)."""
+    trials = np.array([r["v"] for r in queries.orderBy(F.xxhash64("key"), "key").limit(TRIALS).select("v").collect()], float)
+    if not len(trials):
+        return index.ratio
+    needed = []
+    for j, near in true_neighbours(held, trials, k).items():
+        to_lists = np.sqrt(((index.centroids - trials[j]) ** 2).sum(axis=1))
+        needed += [to_lists[lists].min() / max(to_lists.min(), 1e-12) for lists in index.lists_of(near)]
+    return max(1.0, float(np.quantile(needed, TARGET, method="higher"))) if needed else 1.0
+
+
 def fit(held: DataFrame, k: int = 10) -> Index:
     """The index of a sample of the distinct vectors (``key``, ``v``). Centroids, as many as grow with the root of their number, reach the driver, and vectors of about FIT_ROWS."""
     spark, n = held.sparkSession, held.count()
@@ -223,7 +269,11 @@ def search(rows: DataFrame, every: int = 100, k: int = 10, vec_id: str = "vec_id
         return spark.createDataFrame([], out)
     vectors = vectors.where(F.size("v") == sizes[0]["d"])
     held = stored(entries(vectors, k), "vectors")
-    index = spark.sparkContext.broadcast(fit(held, k))
+    asked = vectors.where(F.col("id") % every == 0)
+    query_keys = stored(entries(asked, 0).select("key", "v"), "queries")
+    fitted = fit(held, k)
+    fitted.ratio = ratio_of_queries(fitted, held, query_keys, k)
+    index = spark.sparkContext.broadcast(fitted)
 
     def post(batches):
         for batch in batches:
@@ -246,8 +296,6 @@ def search(rows: DataFrame, every: int = 100, k: int = 10, vec_id: str = "vec_id
     owned = spark.sparkContext.broadcast(counts)
     postings = postings.drop("nearest")
     chunks = postings.groupBy("list").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
-    asked = vectors.where(F.col("id") % every == 0)
-    query_keys = entries(asked, 0).select("key", "v")
     questions = query_keys.mapInArrow(ask, "list long, query string, q array<double>").join(chunks, "list").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
     dealt = postings.join(chunks, "list").withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int")).drop("chunks")
 

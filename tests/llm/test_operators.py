@@ -484,6 +484,21 @@ def test_recall_on_many_lists(spark, monkeypatch, fit_rows):
     assert np.mean(compared) < 0.1 * 8000
 
 
+def test_queries_that_lie_elsewhere_than_most_vectors(spark):
+    """Tight clusters, and queries apart from all of them: what suffices for a vector of a cluster does not for these."""
+    made = np.random.default_rng(21)
+    x = (made.normal(size=(150, 16))[made.integers(0, 150, 3000)] + 0.02 * made.normal(size=(3000, 16))).astype(np.float32)
+    x[::100] = made.normal(size=(30, 16))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {(r["query_id"], r["vec_id"]) for r in ann.search(rows).collect()}
+    hit = 0
+    for i in range(0, 3000, 100):
+        d = ((x.astype(float) - x[i].astype(float)) ** 2).sum(axis=1)
+        d[i] = np.inf
+        hit += sum((i, int(j)) in got for j in np.argsort(d, kind="stable")[:10])
+    assert hit >= 0.9 * 300
+
+
 def test_languages(spark, docs, empty):
     parts = {"aa": "ba na ka la ma".split(), "bb": "öx üx ßx äx ix".split()}
     texts = [(lang, " ".join(rng.choice(parts[lang]) for _ in range(60))) for lang in parts for _ in range(60)]
