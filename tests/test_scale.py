@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from kgloom.operators import build, manage, questions
 from kgloom.session import cut
 
 
@@ -13,3 +14,41 @@ def test_small_files_of_many_rows_are_not_broadcast(spark):
     rows = spark.range(400_000).coalesce(1).select(F.concat(F.lit("customer:"), "id").alias("id"), F.lit("a phrase that stands in every row").alias("phrase"))
     a, b = cut(rows), cut(rows.withColumnRenamed("phrase", "other"))
     assert "Broadcast" not in planned(a.join(b, "id"))
+
+
+def test_edges_are_made_distinct_as_numbers(spark):
+    specs = [("order", "o", "has", "part", "q"), ("order", "o", "by", "supplier", "q")]
+    rows = [(1, 2), (1, 2), (1, None), (None, 3), (4, 5)]
+    numbers = build.map_edges(spark.createDataFrame(rows, "o long, q int"), specs, "d")
+    texts = build.map_edges(spark.createDataFrame(rows, "o string, q string"), specs, "d")
+    assert sorted(numbers.collect()) == sorted(texts.collect()) and numbers.count() == 4
+    assert "keys=[a#" in planned(numbers)
+    nodes = [("order", "o", None), ("part", "q", "label")]
+    named = [(1, 2, "b"), (1, 2, "a"), (None, 2, None), (3, None, "c")]
+    made = [build.build_nodes(spark.createDataFrame(named, f"o {kind}, q {kind}, label string"), nodes, "d") for kind in ("long", "string")]
+    assert sorted(made[0].collect()) == sorted(made[1].collect())
+    assert "keys=[key#" in planned(made[0])
+
+
+def test_vocabularies_go_to_the_rows(spark):
+    asked = spark.createDataFrame([("1", "How many orders?"), ("2", "Who?"), ("3", "How many most expensive orders?")], "qid string, text string")
+    cues = spark.createDataFrame([("how many", "count", 50), ("most expensive", "superlative", 60)], "cue_norm string, qtype string, priority int")
+    classes = questions.classify(asked, cues)
+    assert sorted(map(tuple, classes.collect())) == [("1", "count"), ("2", "list"), ("3", "superlative")]
+    lexicon = spark.createDataFrame([("orders", "-x", "", ""), ("expensive orders", "-y", "max", "z")], "phrase_norm string, path string, agg string, attr_p string")
+    linked = questions.link_relations(asked, lexicon)
+    assert sorted((r["qid"], r["path"]) for r in linked.collect()) == [("1", "-x"), ("3", "-y")]
+    rules = spark.createDataFrame([("p", "d", "a", "b", True)], "p string, domain string, from_type string, to_type string, functional boolean")
+    edges = spark.createDataFrame([("x", "p", "y", "d"), ("x", "p", "z", "d")], "s string, p string, o string, domain string")
+    broken = manage.violations(edges, spark.createDataFrame([("x", "a"), ("y", "b"), ("z", "a")], "id string, type string"), rules)
+    assert sorted((r["rule"], r["n"]) for r in broken.collect()) == [("object type", 1), ("several objects", 2)]
+    for made in (classes, linked, broken):
+        assert "BroadcastHashJoin" in planned(made)
+
+
+def test_ngrams_of_many_questions_are_looked_up_apart(spark, monkeypatch):
+    asked = spark.createDataFrame([(str(i), f"who is in new york {i}") for i in range(9)], "qid string, text string")
+    aliases = spark.createDataFrame([("a", "new york", 2), ("b", "york", 1), ("c", "york 3", 2), ("d", "7", 1)], "id string, alias_norm string, n_tok int")
+    whole = sorted(questions.find_mentions(asked, aliases).collect())
+    monkeypatch.setattr(questions, "HOT", 2)
+    assert sorted(questions.find_mentions(asked, aliases).collect()) == whole and len(whole) == 10
