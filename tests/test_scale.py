@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from kgloom.operators import build, manage, questions
+from kgloom.plans.queries import QUERIES
+from kgloom.plans.trade import Trade
 from kgloom.session import cut
 
 
@@ -52,3 +54,10 @@ def test_ngrams_of_many_questions_are_looked_up_apart(spark, monkeypatch):
     whole = sorted(questions.find_mentions(asked, aliases).collect())
     monkeypatch.setattr(questions, "HOT", 2)
     assert sorted(questions.find_mentions(asked, aliases).collect()) == whole and len(whole) == 10
+
+
+def test_every_order_and_supplier_has_its_way_to_a_region(spark):
+    found = {r["s"]: (r["o"], r["hops"]) for r in QUERIES["k12_shortest_paths"](spark, "/root/testdata/sf0.001").collect()}
+    t = Trade(spark, "/root/testdata/sf0.001")
+    assert len(found) == t.table("orders").count() + t.table("supplier").count()
+    assert {k.split(":")[0]: hops for k, (_, hops) in found.items()} == {"order": 3, "supplier": 2}
