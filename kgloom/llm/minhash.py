@@ -138,11 +138,12 @@ def shareable(suspects: DataFrame, sets: DataFrame, rare: int = RARE, percent: i
     (how many of those are in more than ``rare`` suspects); and ``shingle`` besides for each of the others that it shares.
     Suspects that share too little for any set of a like size are left out of both.
     """
+    parity = [c for c in sets.columns if c == "odd"]  # sets that come without parities are compared without that bound
     placed = sets.join(suspects, "rep").select("rep", "label", "size", F.explode("shingles").alias("shingle"))
     seen = placed.groupBy("shingle").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("n")).where("least <> most").select("shingle", "n")
     met = placed.join(seen, "shingle").groupBy("rep", "label", "size").agg(F.count("*").alias("shared"), F.count_if(F.col("n") > rare).alias("common"), F.collect_list(F.when(F.col("n") <= rare, F.col("shingle"))).alias("rares"))
-    facts = stored(met.where(could("shared", "size", f"ceil({percent} * size / 100)", percent)).join(sets.select("rep", "odd"), "rep"), "facts")
-    return facts.drop("rares"), facts.select("odd", "rep", "label", "size", "shared", F.explode("rares").alias("shingle"))
+    facts = stored(met.where(could("shared", "size", f"ceil({percent} * size / 100)", percent)).join(sets.select("rep", *parity), "rep"), "facts")
+    return facts.drop("rares"), facts.select(*parity, "rep", "label", "size", "shared", F.explode("rares").alias("shingle"))
 
 
 def cross_edges(mixed: DataFrame, facts: DataFrame, postings: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -155,16 +156,18 @@ def cross_edges(mixed: DataFrame, facts: DataFrame, postings: DataFrame, percent
     rest, of which there can be as many as copies. So does a third: sets differ in no fewer shingles than their parities.
     """
 
+    parity = [c for c in facts.columns if c == "odd"]
+
     def pairs(rows: DataFrame, on: str, count: str, more: tuple[str, ...] = (), also: str = "true") -> DataFrame:
-        a = rows.select(on, F.col("rep").alias("a"), F.col("label").alias("label_a"), F.col("size").alias("size_a"), F.col(count).alias("count_a"), "odd", *map(F.col, more))
-        b = a.toDF(on, "b", "label_b", "size_b", "count_b", "odd_b", *[f"{c}_b" for c in more])
-        apart = " + ".join(f"bit_count(odd[{k}] ^ odd_b[{k}])" for k in range(ODD))
+        a = rows.select(on, F.col("rep").alias("a"), F.col("label").alias("label_a"), F.col("size").alias("size_a"), F.col(count).alias("count_a"), *parity, *map(F.col, more))
+        b = a.toDF(on, "b", "label_b", "size_b", "count_b", *[f"{c}_b" for c in (*parity, *more)])
+        apart = " + ".join(f"bit_count(odd[{k}] ^ odd_b[{k}])" for k in range(ODD)) if parity else "0"
         alike = f"100 * least(size_a, size_b) >= {percent} * greatest(size_a, size_b) AND {could('count_a', 'size_a', 'size_b', percent)} AND {could('count_b', 'size_b', 'size_a', percent)} AND {100 + percent} * ({apart}) <= {100 - percent} * (size_a + size_b)"
         return a.join(b, on).where(f"a < b AND label_a <> label_b AND {alike} AND {also}").select("b", "a")
 
     within = mixed.select("key", "rep").join(facts.where(could("common", "size", f"ceil({percent} * size / 100)", percent)), "rep")
     # A pair counts in the first of the buckets that both are in, of which a member has one a band at most.
-    keyed = stored(within.groupBy("rep", "label", "size", "common", "odd").agg(F.array_sort(F.collect_list("key")).alias("keys")), "bucket-rows").withColumn("key", F.explode("keys"))
+    keyed = stored(within.groupBy("rep", "label", "size", "common", *parity).agg(F.array_sort(F.collect_list("key")).alias("keys")), "bucket-rows").withColumn("key", F.explode("keys"))
     return pairs(keyed, "key", "common", ("keys",), "array_intersect(keys, keys_b)[0] = key").union(pairs(postings, "shingle", "shared")).distinct()
 
 
