@@ -6,6 +6,7 @@ from kgloom.operators import build, manage, questions
 from kgloom.plans.queries import QUERIES
 from kgloom.plans.trade import Trade
 from kgloom.session import cut
+from kgloom.sources import store
 
 
 def planned(df):
@@ -61,3 +62,11 @@ def test_every_order_and_supplier_has_its_way_to_a_region(spark):
     t = Trade(spark, "/root/testdata/sf0.001")
     assert len(found) == t.table("orders").count() + t.table("supplier").count()
     assert {k.split(":")[0]: hops for k, (_, hops) in found.items()} == {"order": 3, "supplier": 2}
+
+
+def test_distinct_edges_are_stored_as_they_are(spark, tmp_path):
+    edges = spark.createDataFrame([(f"a{i}", f"p{i % 2}", f"b{i % 3}", "d") for i in range(20)], "s string, p string, o string, domain string")
+    plain, told = store.write_graph(edges, f"{tmp_path}/plain", 5), store.write_graph(edges, f"{tmp_path}/told", 5, distinct=True)
+    assert sorted(plain.edges().collect()) == sorted(told.edges().collect()) == sorted(edges.collect())
+    assert sorted(plain.stats().collect()) == sorted(told.stats().collect())
+    assert store.differing(plain, told).isEmpty()
