@@ -178,6 +178,8 @@ def true_neighbours(held: DataFrame, trials: np.ndarray, k: int) -> dict[int, np
         q = asked - middle
         best = [[] for _ in q]
         for batch in batches:
+            if not batch.num_rows:
+                continue
             x = matrix(batch.column(0))
             near = (x - middle) @ q.T
             d = ((x - middle) ** 2).sum(axis=1)[:, None] + (q**2).sum(axis=1)[None] - 2 * near
