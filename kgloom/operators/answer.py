@@ -20,12 +20,18 @@ def shapes(parsed: DataFrame) -> list[str]:
     return sorted(r["path"] for r in parsed.where("path IS NOT NULL").select("path").distinct().collect())
 
 
+def walkable(edges: DataFrame, paths: list[str]) -> DataFrame:
+    """The edges whose predicate some path has, stored: the steps of all paths read them, and a plan that maps them anew for each is too large for the driver."""
+    return cut(edges.where(F.col("p").isin(sorted({p for path in paths for p, _ in _steps(path)}))).select("s", "p", "o"))
+
+
 def ends(parsed: DataFrame, edges: DataFrame) -> DataFrame:
     """``qid``, ``id``: the distinct ends of every question's path.
 
     All paths are walked together, a step of each at a time: one join a depth, whatever the number of paths, over the predicates that some path has at that depth.
     """
-    paths = [_steps(p) for p in shapes(parsed)]
+    shaped = shapes(parsed)
+    paths, edges = [_steps(p) for p in shaped], walkable(edges, shaped)
     at = parsed.where("path IS NOT NULL").select("qid", F.col("anchor_id").alias("id"), F.filter(F.split("path", "/"), lambda x: x != "").alias("path")).where("id IS NOT NULL")
     found = [at.where("size(path) = 0").select("qid", "id").distinct()]
     for depth in range(max(map(len, paths), default=0)):
@@ -34,7 +40,8 @@ def ends(parsed: DataFrame, edges: DataFrame) -> DataFrame:
         for forward, a, b in ((True, "s", "o"), (False, "o", "s")):
             if names := sorted(p for p, f in steps if f == forward):
                 walks.append(edges.where(F.col("p").isin(names)).select(F.concat(F.lit("+" if forward else "-"), "p").alias("step"), F.col(a).alias("id"), F.col(b).alias("next")))
-        moving = at.where(F.size("path") > depth).withColumn("step", F.col("path")[depth])
+        # Null and not an error beyond the end: the optimiser may look for the step before it has dropped the shorter paths.
+        moving = at.where(F.size("path") > depth).withColumn("step", F.get("path", F.lit(depth)))
         at = moving.join(reduce(DataFrame.union, walks), ["step", "id"]).select("qid", F.col("next").alias("id"), "path").distinct()
         if any(len(p) > depth + 1 for p in paths):
             at = cut(at)  # those that end here, and those that go on
@@ -76,9 +83,10 @@ def answer(parsed: DataFrame, nodes: DataFrame, edges: DataFrame, attrs: DataFra
 
 def evidence(parsed: DataFrame, answers: DataFrame, edges: DataFrame) -> DataFrame:
     """``qid``, ``evidence``: the sorted edges, as text, on the paths from the anchor to an answer; for counts and yes or no, to any end."""
-    kept = []
-    wanted = answers.select("qid", F.col("answer_id").alias("id")).distinct()
-    for path in shapes(parsed):
+    kept, paths = [], shapes(parsed)
+    edges = walkable(edges, paths)
+    wanted = cut(answers.select("qid", F.col("answer_id").alias("id")).distinct())  # read for every path
+    for path in paths:
         walked = parsed.where(F.col("path") == path).select("qid", "qtype", F.col("anchor_id").alias("id"), F.array().cast("array<string>").alias("trail"))
         for p, forward in _steps(path):
             a, b = ("s", "o") if forward else ("o", "s")
@@ -97,7 +105,7 @@ def verbalize(questions: DataFrame, answers: DataFrame, templates: DataFrame, m:
     ``questions`` has ``qid`` and ``qtype``; ``templates`` has ``qtype`` and ``sentence`` with one ``%s``.
     """
     # The first names and the count of all are found apart, so that no row gathers a question's every answer.
-    given = answers.where("answer_label IS NOT NULL").select("qid", "answer_label")
+    given = cut(answers.where("answer_label IS NOT NULL").select("qid", "answer_label"))  # read twice
     first = Window.partitionBy("qid").orderBy("answer_label")
     heads = given.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= m).groupBy("qid").agg(F.array_sort(F.collect_list("answer_label")).alias("names"))
     named = heads.join(given.groupBy("qid").agg(F.count("*").alias("n")), "qid")

@@ -175,3 +175,17 @@ def test_spelling_meets_all_near_words(spark):
 def test_closure_has_no_bound(spark):
     edges = spark.createDataFrame([(str(i), "r", str(i + 1)) for i in range(12)] + [("12", "r", "0")], "s string, p string, o string")
     assert query.closure(edges, ["r"]).agg({"depth": "max"}).head()[0] == 13
+
+
+def test_paths_without_steps_are_no_error_where_every_predicate_is_a_literal(spark, tmp_path):
+    """The optimiser then tests each question's step for each mapping, before it has dropped the paths that have none."""
+    spark.createDataFrame([("1", "a:1", "+r"), ("2", "a:1", ""), ("3", "a:1", "+r/+q"), ("4", "b:1", "-r")], "qid string, anchor_id string, path string").write.parquet(f"{tmp_path}/parsed")
+    spark.createDataFrame([(1, 1)], "x long, y long").write.parquet(f"{tmp_path}/table")
+    table = spark.read.parquet(f"{tmp_path}/table")
+    edges = build.union([build.map_edges(table, [spec], "t") for spec in (("a", "x", "r", "b", "y"), ("b", "x", "q", "c", "y"), ("d", "x", "r", "b", "y"))])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = answer.ends(spark.read.parquet(f"{tmp_path}/parsed"), edges).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sorted(map(tuple, found)) == [("1", "b:1"), ("2", "a:1"), ("3", "c:1"), ("4", "a:1"), ("4", "d:1")]
