@@ -187,3 +187,19 @@ def test_a_cycle_looks_at_the_smaller_side_of_each_row(spark):
     frame = spark.createDataFrame([(*e, "k") for e in rows], "s string, p string, o string, domain string")
     got = rows_of(query.match_all(frame, [("?a", "p", "?b"), ("?b", "q", "?c"), ("?a", "r", "?c")]).select("a", "b", "c"))
     assert got == sorted([("a1", "hub", "b1")] + [("h", f"x{i}", "h2") for i in range(n)])
+
+
+def test_links_of_equal_nodes_have_the_components_of_all_pairs(spark):
+    """They grow with the nodes and not with the square of those of one label, and no segments of labels are broadcast."""
+    from pyspark.sql import functions as F
+
+    from kgloom.operators import manage
+
+    labels = ["alpha one"] * 40 + ["alpha ons"] * 3 + ["alphb ont", "other", "other", "ALPHA ONE", None, None, "ab", "ac"]
+    nodes = spark.createDataFrame([(f"e:{i}", "e", x) for i, x in enumerate(labels)], "id string, type string, label string")
+    attrs = spark.createDataFrame([(f"e:{i}", "brand", "x" if i % 2 else "y", None) for i in range(len(labels))], "s string, p string, v_str string, v_num double")
+    pairs, links = manage.match_entities(nodes, attrs, ["brand"], 2), manage.match_links(nodes, attrs, ["brand"], 2)
+    assert links.count() < len(labels) < pairs.count() and links.exceptAll(pairs).isEmpty()
+    assert sorted(manage.components(links).collect()) == sorted(manage.components(pairs).collect())
+    near = manage.near_labels(nodes.select(F.col("type").alias("kind"), F.lower("label").alias("low")).distinct(), ["kind"], 2)
+    assert "BroadcastHashJoin" not in near._jdf.queryExecution().toString()
