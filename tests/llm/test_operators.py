@@ -10,7 +10,7 @@ from fractions import Fraction
 import numpy as np
 import pytest
 
-from kgloom.llm import ann, fingerprint, langid, minhash, mixing, pii, queries, secrets, suffix_dedup, toxicity
+from kgloom.llm import ann, bytesvec, fingerprint, langid, minhash, mixing, pii, queries, secrets, suffix_dedup, toxicity
 from kgloom.llm import sentencepiece_lattice as lattice
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, row string, part int"
@@ -65,6 +65,18 @@ def test_repeated_strings_against_brute_force(docs, empty):
     assert suffix_dedup.deduplicated(empty).count() == 0
 
 
+def test_texts_are_packed_once_and_powers_follow_need(docs, monkeypatch):
+    packs, pack = [], suffix_dedup.packed
+    monkeypatch.setattr(suffix_dedup, "packed", lambda d: packs.append(d) or pack(d))
+    suffix_dedup.deduplicated(docs, length=60, anchor=20).count()
+    assert len(packs) == 1
+    monkeypatch.setattr(bytesvec, "_powers", [np.ones(1, np.uint64), np.ones(1, np.uint64)])
+    for n in (1, 2, 5, 1000):
+        for k, base in enumerate((bytesvec.BASE, bytesvec.BASE_INVERSE)):
+            assert bytesvec.powers(n)[k].tolist() == [pow(int(base), i, 1 << 64) for i in range(n)]
+            assert len(bytesvec._powers[k]) <= 2 * n
+
+
 def test_hot_passages_are_split(spark):
     length, anchor, limit = 60, 20, 2000
     made = random.Random(3)
