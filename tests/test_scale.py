@@ -70,3 +70,17 @@ def test_distinct_edges_are_stored_as_they_are(spark, tmp_path):
     assert sorted(plain.edges().collect()) == sorted(told.edges().collect()) == sorted(edges.collect())
     assert sorted(plain.stats().collect()) == sorted(told.stats().collect())
     assert store.differing(plain, told).isEmpty()
+
+
+def test_dangling_edges_come_from_ends(spark):
+    specs = [("order", "o", "has", "part", "q"), ("order", "o", "by", "supplier", "q")]
+    rows = spark.createDataFrame([(1, 2), (1, 2), (1, None), (None, 3), (4, 5)], "o long, q int")
+    edges, ends = build.map_edges(rows, specs, "d"), build.map_ends(rows, specs)
+    want = {(p, end, row[end]) for row in edges.collect() for p in [row["p"]] for end in "so"}
+    assert sorted(map(tuple, ends.collect())) == sorted(want)
+    nodes = spark.createDataFrame([(x,) for x in ("order:1", "order:4", "part:2", "part:5", "supplier:2")], "id string")
+    for given in (ends, None):
+        lost = manage.dangling_edges(edges, nodes, given)
+        assert [tuple(r) for r in lost.collect()] == [("order:4", "by", "supplier:5", "d", "o")]
+        # Edges of predicates that miss nothing are not read.
+        assert "has" not in lost._jdf.queryExecution().optimizedPlan().toString()
