@@ -203,3 +203,17 @@ def test_links_of_equal_nodes_have_the_components_of_all_pairs(spark):
     assert sorted(manage.components(links).collect()) == sorted(manage.components(pairs).collect())
     near = manage.near_labels(nodes.select(F.col("type").alias("kind"), F.lower("label").alias("low")).distinct(), ["kind"], 2)
     assert "BroadcastHashJoin" not in near._jdf.queryExecution().toString()
+
+def test_members_need_no_pairs_and_shingles_are_made_in_place(spark, monkeypatch):
+    from kgloom.operators import finetune
+
+    words = [f"w{i}" for i in range(40)]
+    texts = [(1, " ".join(words)), (2, " ".join(words).upper()), (3, " ".join(words[:20])), (3, " ".join(words[20:])), (4, "too few words"), (5, None), (6, " ".join(words[:20] * 2))]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    tables, put = [], finetune.cut
+    monkeypatch.setattr(finetune, "cut", lambda df: tables.append(df.columns) or put(df))
+    members = sorted(map(tuple, finetune.set_members(docs).collect()))
+    assert tables == [["doc_id", "of"]]
+    assert members == sorted(map(tuple, finetune.similar_sets(docs, 0.75)[1].collect())) == [(1, 1), (2, 1), (3, 3), (6, 6)]
+    held = {r["doc_id"]: r["shingles"] for r in finetune.shingle_sets(docs).collect()}
+    assert {k: len(v) for k, v in held.items()} == {1: 36, 2: 36, 3: 32, 6: 20} and all(v == sorted(set(v)) for v in held.values())
