@@ -135,6 +135,17 @@ def test_layout_round_trip(spark, tmp_path):
     assert got(read_kg(spark, str(tmp_path / "kg")).where("p = 'r'"), "s", "o") == sorted((s, o) for s, _, o in DIAMOND)
 
 
+def test_files_of_a_layout_have_tasks_of_their_own(spark, tmp_path):
+    many = edges(spark, [(f"s{i}", p, f"o{i}") for p, n in (("r", 400), ("q", 90), ("one", 1)) for i in range(n)])
+    write_kg(many, str(tmp_path / "kg"), 25)
+    files = list((tmp_path / "kg").glob("p=*/*.parquet"))
+    # 16, 4 and 1 files; a file's name begins with the number of the task that wrote it.
+    assert len({f.name.split("-")[1] for f in files}) == len(files) == 21
+    stored = read_kg(spark, str(tmp_path / "kg"))
+    assert sorted(stored.select("s", "p", "o").collect()) == sorted(many.select("s", "p", "o").collect())
+    write_kg(many.limit(0), str(tmp_path / "none"))
+
+
 def test_norm(spark):
     df = spark.createDataFrame([("Ünder_Score  #12!",)], "t string")
     assert df.select(norm(df.t)).head()[0] == "ünder score 12"
