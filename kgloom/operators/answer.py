@@ -25,15 +25,16 @@ def walkable(edges: DataFrame, paths: list[str]) -> DataFrame:
     return cut(edges.where(F.col("p").isin(sorted({p for path in paths for p, _ in _steps(path)}))).select("s", "p", "o"))
 
 
-def ends(parsed: DataFrame, edges: DataFrame) -> DataFrame:
-    """``qid``, ``id``: the distinct ends of every question's path.
+def walked(parsed: DataFrame, edges: DataFrame) -> DataFrame:
+    """``anchor_id``, ``path``, ``id``: the distinct ends of every path from every anchor, walked once however many questions have both.
 
     All paths are walked together, a step of each at a time: one join a depth, whatever the number of paths, over the predicates that some path has at that depth.
     """
     shaped = shapes(parsed)
     paths, edges = [_steps(p) for p in shaped], walkable(edges, shaped)
-    at = parsed.where("path IS NOT NULL").select("qid", F.col("anchor_id").alias("id"), F.filter(F.split("path", "/"), lambda x: x != "").alias("path")).where("id IS NOT NULL")
-    found = [at.where("size(path) = 0").select("qid", "id").distinct()]
+    way = F.filter(F.split("path", "/"), lambda x: x != "")
+    at = parsed.where("path IS NOT NULL AND anchor_id IS NOT NULL").select("anchor_id", "path", F.col("anchor_id").alias("id")).distinct()
+    found = [at.where(F.size(way) == 0)]
     for depth in range(max(map(len, paths), default=0)):
         steps = {p[depth] for p in paths if len(p) > depth}
         walks = []
@@ -41,29 +42,42 @@ def ends(parsed: DataFrame, edges: DataFrame) -> DataFrame:
             if names := sorted(p for p, f in steps if f == forward):
                 walks.append(edges.where(F.col("p").isin(names)).select(F.concat(F.lit("+" if forward else "-"), "p").alias("step"), F.col(a).alias("id"), F.col(b).alias("next")))
         # Null and not an error beyond the end: the optimiser may look for the step before it has dropped the shorter paths.
-        moving = at.where(F.size("path") > depth).withColumn("step", F.get("path", F.lit(depth)))
-        at = moving.join(reduce(DataFrame.union, walks), ["step", "id"]).select("qid", F.col("next").alias("id"), "path").distinct()
+        moving = at.where(F.size(way) > depth).withColumn("step", F.get(way, F.lit(depth)))
+        at = moving.join(reduce(DataFrame.union, walks), ["step", "id"]).select("anchor_id", "path", F.col("next").alias("id")).distinct()
         if any(len(p) > depth + 1 for p in paths):
             at = cut(at)  # those that end here, and those that go on
-        found.append(at.where(F.size("path") == depth + 1).select("qid", "id"))
+        found.append(at.where(F.size(way) == depth + 1))
     return reduce(DataFrame.union, found)
 
 
-def filtered(ends_: DataFrame, filters: DataFrame, attrs: DataFrame) -> DataFrame:
-    """The rows of ``ends_`` (``qid``, ``id``) that meet all of their question's ``filters`` (``qid``, ``filter_p``, ``value``); questions without any keep theirs."""
-    having = attrs.where("v_str IS NOT NULL").select(F.col("s").alias("id"), F.col("p").alias("filter_p"), norm(F.col("v_str")).alias("value")).distinct()
-    asked = filters.distinct()
-    met = ends_.distinct().join(asked, "qid").join(having, ["id", "filter_p", "value"]).groupBy("qid", "id").agg(F.count("*").alias("n"))
-    all_met = met.join(asked.groupBy("qid").agg(F.count("*").alias("n")), ["qid", "n"]).select("qid", "id")
-    return ends_.join(asked.select("qid").distinct(), "qid", "left_anti").select("qid", "id").union(all_met)
+def ends(parsed: DataFrame, edges: DataFrame) -> DataFrame:
+    """``qid``, ``id``: the distinct ends of every question's path."""
+    return walked(parsed, edges).join(parsed.select("qid", "anchor_id", "path").distinct(), ["anchor_id", "path"]).select("qid", "id").distinct()
+
+
+def filtered(walks: DataFrame, asked: DataFrame, filters: DataFrame, attrs: DataFrame) -> DataFrame:
+    """The ends (``anchor_id``, ``path``, ``id``) for the rows of ``asked`` (``qid``, ``anchor_id``, ``path``) that meet all ``filters`` (``qid``, ``filter_p``, ``value``) of the question; questions without any keep theirs.
+
+    Ends meet values before they meet questions: a question is joined to the ends that have its values, and never to all from its anchor.
+    """
+    walks, filters = cut(walks), cut(filters.distinct())
+    # Names of attributes: as many as the vocabulary has, whatever the number of questions.
+    names = sorted(r["filter_p"] for r in filters.select("filter_p").distinct().collect())
+    having = attrs.where(F.col("p").isin(names) & F.col("v_str").isNotNull()).select(F.col("s").alias("id"), F.col("p").alias("filter_p"), norm(F.col("v_str")).alias("value")).distinct()
+    wanted = asked.join(filters, "qid").join(filters.groupBy("qid").agg(F.count("*").alias("conditions")), "qid")
+    met = cut(walks.join(having, "id").join(wanted, ["anchor_id", "path", "filter_p", "value"]).select(*asked.columns, "id", "conditions"))
+    several = met.where("conditions > 1").groupBy(*asked.columns, "id", "conditions").agg(F.count("*").alias("n")).where("n = conditions")
+    free = walks.join(asked.join(filters.select("qid").distinct(), "qid", "left_anti"), ["anchor_id", "path"])
+    columns = [*asked.columns, "id"]
+    return free.select(columns).union(met.where("conditions = 1").select(columns)).union(several.select(columns))
 
 
 def answer(parsed: DataFrame, nodes: DataFrame, edges: DataFrame, attrs: DataFrame, filters: DataFrame | None = None) -> DataFrame:
     """``qid``, ``answer_id``, ``answer_label``: entities for lists and superlatives, a number for counts, yes or no, or a value; of ends that meet ``filters``."""
-    asked = parsed.select("qid", "qtype", "agg", "attr_p", "target_id").where("qtype IS NOT NULL")
+    asked = parsed.select("qid", "qtype", "agg", "attr_p", "target_id", "anchor_id", "path").where("qid IS NOT NULL AND qtype IS NOT NULL")
     # Every class of question starts from these ends: they are walked once and stored.
-    found = ends(parsed, edges)
-    at = cut((found if filters is None else filtered(found, filters, attrs)).join(asked, "qid"))
+    found = walked(parsed, edges)
+    at = cut(found.join(asked, ["anchor_id", "path"]) if filters is None else filtered(found, asked, filters, attrs))
     labelled = nodes.select("id", "label")
     lists = at.where("qtype = 'list'").select("qid", "id").distinct()
     counted = at.where("qtype = 'count'").groupBy("qid").agg(F.countDistinct("id").cast("string").alias("answer_id"))

@@ -84,3 +84,23 @@ def test_dangling_edges_come_from_ends(spark):
         assert [tuple(r) for r in lost.collect()] == [("order:4", "by", "supplier:5", "d", "o")]
         # Edges of predicates that miss nothing are not read.
         assert "has" not in lost._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_questions_of_one_anchor_share_its_walk_and_meet_only_ends_that_have_their_values(spark, monkeypatch):
+    from kgloom.operators import answer
+
+    parts = [(f"p{i}", "red" if i % 3 else "blue", "big" if i % 2 else "small") for i in range(12)]
+    edges = spark.createDataFrame([("s1", "has", p, "d") for p, _, _ in parts] + [("s2", "has", "p0", "d")], "s string, p string, o string, domain string")
+    attrs = spark.createDataFrame([(p, k, v, None, None) for p, *vs in parts for k, v in zip(("colour", "size"), vs, strict=True)], "s string, p string, v_str string, v_num double, v_ts timestamp_ntz")
+    nodes = spark.createDataFrame([(p, p.upper()) for p, _, _ in parts], "id string, label string")
+    asked = [("red", ["s1", {"colour": "red"}]), ("both", ["s1", {"colour": "blue", "size": "big"}]), ("all", ["s1", {}]), ("none", ["s2", {"colour": "red"}]), ("one", ["s2", {"colour": "blue", "size": "small"}])]
+    asked += [(f"again {i}", ["s1", {"size": "small"}]) for i in range(30)]
+    parsed = spark.createDataFrame([(q, "list", a, "+has", "", "", None) for q, (a, _) in asked], "qid string, qtype string, anchor_id string, path string, agg string, attr_p string, target_id string")
+    filters = spark.createDataFrame([(q, k, v) for q, (_, f) in asked for k, v in f.items()], "qid string, filter_p string, value string")
+    tables, put = [], answer.cut
+    monkeypatch.setattr(answer, "cut", lambda df: tables.append(put(df)) or tables[-1])
+    got = sorted((r["qid"], r["answer_id"]) for r in answer.answer(parsed, nodes, edges, attrs, filters).collect())
+    owned = {"s1": parts, "s2": parts[:1]}
+    assert got == sorted((q, p) for q, (a, f) in asked for p, c, s in owned[a] if f.get("colour", c) == c and f.get("size", s) == s)
+    walks = [t for t in tables if t.columns == ["anchor_id", "path", "id"]]
+    assert [t.count() for t in walks] == [13]  # and not 12 for each of the 33 questions on s1
