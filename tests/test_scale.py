@@ -104,3 +104,22 @@ def test_questions_of_one_anchor_share_its_walk_and_meet_only_ends_that_have_the
     assert got == sorted((q, p) for q, (a, f) in asked for p, c, s in owned[a] if f.get("colour", c) == c and f.get("size", s) == s)
     walks = [t for t in tables if t.columns == ["anchor_id", "path", "id"]]
     assert [t.count() for t in walks] == [13]  # and not 12 for each of the 33 questions on s1
+
+
+def test_false_edges_need_no_shuffle_by_type_and_no_second_look_at_true_ones(spark):
+    from kgloom.operators import finetune
+
+    nodes = spark.createDataFrame([(f"{t}{i}", t) for t, n in (("a", 3), ("b", 150), ("c", 1)) for i in range(n)], "id string, type string")
+    rows = [(f"a{i % 3}", "r", f"b{i}", d) for i in range(60) for d in ("x", "y")] + [("b1", "q", f"a{i}", "x") for i in range(3)] + [("b1", "q", "c0", "x"), ("b1", "q", "nowhere", "x"), (None, "q", "b7", "x")]
+    edges = spark.createDataFrame(rows, "s string, p string, o string, domain string")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        false = finetune.negatives(edges, nodes, 3)
+        plan, made = planned(false), [tuple(r) for r in false.collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    # The sizes and buckets of types go to the rows, nodes are hashed, and the true edges need no join of their own.
+    assert plan.count("BroadcastHashJoin") == 3 and "LeftAnti" not in plan
+    assert len(set(made)) == len(made) > 100 and not {r[:3] for r in rows} & set(made)
+    assert {(s, p, o[0]) for s, p, o in made} == {(f"a{i}", "r", "b") for i in range(3)} | {(None, "q", "b")}
