@@ -6,6 +6,8 @@ import itertools
 import json
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -219,22 +221,94 @@ def common_neighbors(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.select("a", "b").distinct().join(left, "a").join(right, ["b", "p", "o"]).groupBy("a", "b", "p").agg(F.count("*").alias("n"))
 
 
+def in_order(ids: DataFrame) -> DataFrame:
+    """``s`` and ``at``: whole numbers from 0 in the order of the ids, which are distinct; of four bytes where these suffice."""
+    placed = cut(ids.select("s").orderBy("s").withColumn("at", F.monotonically_increasing_id()))
+    # A row for each task that wrote; the number of a row begins with that of its task.
+    sizes = sorted((r["task"], r["n"]) for r in placed.groupBy(F.shiftright("at", 33).alias("task")).agg(F.count("*").alias("n")).collect())
+    starts = dict(zip([t for t, _ in sizes], itertools.accumulate([0, *(n for _, n in sizes)]), strict=False))
+    first = ids.sparkSession.createDataFrame(list(starts.items()), "task long, first long")
+    kind = "int" if sum(n for _, n in sizes) < 2**31 else "long"
+    at = (F.col("first") + F.col("at").bitwiseAND(2**33 - 1)).cast(kind)
+    return placed.join(F.broadcast(first), F.shiftright("at", 33) == F.col("task")).select("s", at.alias("at"))
+
+
+#: Others that a subject gathers before they are counted.
+WAITING = 1 << 20
+
+
+def shared(lists: DataFrame, k: int | None = None) -> DataFrame:
+    """``id``, ``other``, ``n``: in how many of the ``lists`` (``others``, distinct numbers) two are; with ``k`` for each the k that are with it most often, ties to the smaller.
+
+    Lists go to their members, who count them in arrays: pairs are neither rows nor shuffled, and a member's
+    lists are counted as they come.
+    """
+    kind = lists.schema["others"].dataType.elementType.simpleString()
+
+    def counted(parts):
+        seen, back = np.unique(np.concatenate([x for x, _ in parts]), return_inverse=True)
+        return seen, np.bincount(back, np.concatenate([n for _, n in parts])).astype(np.int64)
+
+    def rows(at, parts):
+        others, n = counted(parts)
+        others, n = others[others != at], n[others != at]
+        if k is not None and len(n) > k:
+            least = -np.partition(-n, k - 1)[k - 1]
+            others, n = others[n >= least], n[n >= least]
+            best = np.argsort(-n, kind="stable")[:k]
+            others, n = others[best], n[best]
+        return np.full(len(n), at, others.dtype), others, n
+
+    def work(batches):
+        at, parts, size = None, [], 0
+        for batch in batches:
+            ids, lists_ = batch.column(0).to_numpy(), batch.column(1)
+            ends, values = lists_.offsets.to_numpy(), lists_.values.to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1], True]) if len(ids) else np.array([], int)
+            out = []
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                if at is not None and ids[i] != at:
+                    out.append(rows(at, parts))
+                    parts, size = [], 0
+                at, some = ids[i], values[ends[i] : ends[j]]
+                parts.append((some, np.ones(len(some))))
+                size += len(some)
+                if size > WAITING:
+                    parts, size = [counted(parts)], 0
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["id", "other", "n"])
+        if at is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows(at, parts)], names=["id", "other", "n"])
+
+    dealt = lists.select(F.explode("others").alias("id"), "others").repartition("id").sortWithinPartitions("id")
+    return dealt.mapInArrow(work, f"id {kind}, other {kind}, n long")
+
+
 def related(edges: DataFrame, p: str, k: int, hub: int = 256) -> DataFrame:
     """``id``, ``other``, ``n``, ``rank``: of the subjects of ``p`` the k that share most objects, ties to the smaller id.
 
-    Subjects of an object that at most ``hub`` have meet in pairs. Those of a hub do not: subjects with the same set of
-    hubs are a class, classes that share hubs meet, and the ``k + 1`` smallest ids of the classes that share most are
-    all that a subject can need of those that it meets in hubs alone. Any other of these is behind k that share as many.
-    Pairs so grow with a hub's classes and not with its subjects.
+    Subjects are numbered in their order. Those of an object that at most ``hub`` have meet by its list. Those of a hub
+    do not: subjects with the same set of hubs are a class, classes that share hubs meet, and the ``k + 1`` smallest ids
+    of the classes that share most are all that a subject can need of those that it meets in hubs alone. Any other of
+    these is behind k that share as many. Pairs so grow with a hub's classes and not with its subjects.
     """
-    mine = cut(edges.where(F.col("p") == p).select("s", "o").distinct())
+    named = cut(edges.where((F.col("p") == p) & F.col("s").isNotNull() & F.col("o").isNotNull()).select("s", "o").distinct())
+    ids = cut(in_order(named.select("s").distinct()))
+    mine = cut(named.join(ids, "s").select(F.col("at").alias("s"), "o"))
     degrees = mine.groupBy("o").agg(F.count("*").alias("n"))
-    few = mine.join(degrees.where(F.col("n") <= hub).select("o"), "o")
-    met = few.select(F.col("s").alias("id"), "o").join(few.select(F.col("s").alias("other"), "o"), "o").where("id <> other").groupBy("id", "other").agg(F.count("*").alias("n"))
     first = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("n"), "other"))
     hubs = cut(degrees.where(F.col("n") > hub).select("o"))
-    if hubs.isEmpty():
-        return met.withColumn("rank", first).where(F.col("rank") <= k)
+    plain = hubs.isEmpty()
+    few = mine if plain else mine.join(hubs, "o", "left_anti")
+    met = shared(few.groupBy("o").agg(F.collect_list("s").alias("others")).where(F.size("others") > 1), k if plain else None)
+
+    def best(pairs: DataFrame) -> DataFrame:
+        top = pairs.withColumn("rank", first).where(F.col("rank") <= k).withColumnsRenamed({"id": "at", "other": "at_other"})
+        own, others = ids.select("at", F.col("s").alias("id")), ids.select(F.col("at").alias("at_other"), F.col("s").alias("other"))
+        return top.join(own, "at").join(others, "at_other").select("id", "other", "n", "rank")
+
+    if plain:
+        return best(met)
     held = mine.join(hubs, "o").groupBy("s").agg(F.array_sort(F.collect_list("o")).alias("held"))
     held = cut(held.select("s", "held", F.md5(F.array_join("held", "\n")).alias("of")))
     smallest = F.row_number().over(Window.partitionBy("of").orderBy("s"))
@@ -248,8 +322,7 @@ def related(edges: DataFrame, p: str, k: int, hub: int = 256) -> DataFrame:
     a, b = held.select(F.col("s").alias("id"), F.col("held").alias("mine")), held.select(F.col("s").alias("other"), F.col("held").alias("its"))
     common = F.coalesce(F.size(F.array_intersect("mine", "its")), F.lit(0))
     in_all = met.join(a, "id", "left").join(b, "other", "left").select("id", "other", (F.col("n") + common).alias("n"))
-    every = in_all.union(in_hubs).groupBy("id", "other").agg(F.max("n").alias("n"))
-    return every.withColumn("rank", first).where(F.col("rank") <= k)
+    return best(in_all.union(in_hubs).groupBy("id", "other").agg(F.max("n").alias("n")))
 
 
 def aggregate(matches: DataFrame, by: list[str], aggs: dict[str, tuple[str, str]]) -> DataFrame:

@@ -217,3 +217,16 @@ def test_members_need_no_pairs_and_shingles_are_made_in_place(spark, monkeypatch
     assert members == sorted(map(tuple, finetune.similar_sets(docs, 0.75)[1].collect())) == [(1, 1), (2, 1), (3, 3), (6, 6)]
     held = {r["doc_id"]: r["shingles"] for r in finetune.shingle_sets(docs).collect()}
     assert {k: len(v) for k, v in held.items()} == {1: 36, 2: 36, 3: 32, 6: 20} and all(v == sorted(set(v)) for v in held.values())
+
+
+@pytest.mark.parametrize("waiting", [1 << 20, 3])
+def test_members_of_lists_are_counted_without_a_row_for_each_pair(spark, monkeypatch, waiting):
+    monkeypatch.setattr(query, "WAITING", waiting)
+    pairs = [(f"s{rng.randrange(60)}", f"o{rng.randrange(25)}") for _ in range(500)]
+    for k in (1, 3, 100):
+        got = query.related(graph(spark, pairs), "p", k)
+        assert rows_of(got) == most_related(pairs, k)
+        # Before, pairs were joined by object and grouped as rows.
+        assert "MapInArrow" in got._jdf.queryExecution().toString()
+    names = spark.createDataFrame([(x,) for x in ("b", "a10", "a9", "B", "é", "")], "s string")
+    assert [r["at"] for r in query.in_order(names).orderBy("s").collect()] == list(range(6))
