@@ -10,14 +10,15 @@ from pyspark.sql import functions as F
 
 from kgloom.llm import minhash, mixing, pii, toxicity
 from kgloom.llm import sentencepiece_lattice as lattice
-from kgloom.llm.common import shared_dir, stored, table
+from kgloom.llm.common import shared_dir, small_batches, stored, table
 
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents less likely than the threshold to be toxic; the model learns from all labelled ones."""
-    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    rows = docs.select(F.struct("*").alias("row"), "text")
-    return toxicity.score(rows, model, "row").where("predicted = 0").select("id.*")
+    # The size of batches is read when a job starts, so that what is kept is stored in here.
+    with small_batches(spark):
+        model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+        return stored(toxicity.score(docs.select(F.struct("*").alias("row")), model, "row", "row.text").where("predicted = 0").select("id.*"), "clean")
 
 
 def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

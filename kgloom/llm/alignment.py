@@ -27,7 +27,6 @@ import json
 import os
 import re
 from collections.abc import Iterator
-from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import cached_property, lru_cache
 from itertools import chain
@@ -36,12 +35,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kgloom.llm.bytesvec import slices
-from kgloom.llm.common import stored
+from kgloom.llm.common import small_batches, stored
 
 BYTE_PATH = "/opt/tokenizers/byte_bpe_50k.json"
 PIECE_PATH = "/opt/tokenizers/piece_bpe_32k.model"
@@ -368,18 +367,6 @@ def pair_counts(links: DataFrame, n_b: int) -> DataFrame:
     return counts.join(most, "b").select("pair", F.expr(f"pair div {n_b}").alias("a"), "b", "n", (F.col("n") == F.col("most")).alias("best"))
 
 
-@contextmanager
-def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
-    """Texts and links travel to Python in batches of fewer rows than usual, as either side holds whole ones; for jobs that run inside."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, rows)
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def alignment(docs: DataFrame, sides: Sides | None = None, key: str = "doc_id", col: str = "text") -> DataFrame:
     """``id``, ``n_a``, ``n_b``, ``n_groups``, ``n_links``, ``n_best``, ``count_sum``, ``groups``: each document, with how its links stand in the corpus."""
     sides = sides or load_sides()

@@ -249,14 +249,18 @@ PASSAGES = "array<struct<start:int,stop:int,score:double,expected:double>>"
 
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``id``, ``score``, ``predicted`` and the significant ``passages`` (code points; score; count expected by chance) of each row."""
-    frame = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    """``id``, ``score``, ``predicted`` and the significant ``passages`` (code points; score; count expected by chance) of each row.
+
+    ``text`` may be a field of ``doc_id``, as ``row.text`` is of ``row``: it then travels once, inside the id.
+    """
+    inside = text.removeprefix(f"{doc_id}.") if text.startswith(f"{doc_id}.") else None
+    frame = docs.select(F.col(doc_id).alias("id"), *([] if inside else [F.col(text).alias("text")]))
     schema = T.StructType([frame.schema["id"], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("passages", T._parse_datatype_string(PASSAGES))])
 
     def work(batches):
         for batch in batches:
             scores, passages = [], []
-            for t in batch.column(1):
+            for t in batch.column(0).field(inside) if inside else batch.column(1):
                 low = lowered(t.as_py() or "")
                 words = WORD.findall(low)
                 segments = maximal_segments(model.hits(words), model.drift)

@@ -66,3 +66,23 @@ def test_the_schedule_reaches_the_last_stage(spark):
     moved = spark.createDataFrame(rows[::-1], schema)
     got = corpus_pipeline.STAGES[-1][1](spark, moved, "").collect()
     assert len(got) == len(rows) and {r["doc_id"]: r["slot"] for r in got} == want and all(r["n_pieces"] == len(r["ids"]) for r in got)
+
+
+def test_texts_travel_once_and_in_small_batches(spark, monkeypatch, tmp_path):
+    from pyspark.sql import functions as F
+
+    from kgloom.llm import toxicity
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, seen = spark.conf.get(name), []
+    docs = spark.createDataFrame([(1, "a vile text"), (2, None), (3, "")], "doc_id long, text string")
+    model = toxicity.Model(weights={"vile": 5.0}, curve=(0.0, 1.0, 1.0))
+    inside = toxicity.score(docs.select(F.struct("*").alias("row")), model, "row", "row.text")
+    assert [f.split("#")[0] for f in inside._jdf.queryExecution().analyzed().children().head().output().mkString(",").split(",")] == ["id"]
+    plain = toxicity.score(docs, model)
+    assert sorted((r["id"]["doc_id"], r["score"], r["passages"]) for r in inside.collect()) == sorted((r["id"], r["score"], r["passages"]) for r in plain.collect())
+    spark.createDataFrame([(1, 0)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    put = corpus_pipeline.stored
+    monkeypatch.setattr(corpus_pipeline, "stored", lambda df, of: seen.append(spark.conf.get(name)) or put(df, of))
+    assert sorted(corpus_pipeline.toxic_out(spark, docs, str(tmp_path)).collect(), key=lambda r: r["doc_id"]) == docs.orderBy("doc_id").collect()
+    assert seen == ["1000"] and spark.conf.get(name) == before
