@@ -8,8 +8,8 @@ of its own. A vector near a boundary goes into several lists: those of the
 nearest. A query walks a graph
 of the centroids in memory, takes all within a ratio of the nearest
 distance, and further ones until they hold ``k + 1`` distinct vectors, and is
-compared with all of their vectors; a long list is split in chunks that are
-searched apart. A pass over all centroids adds those within the ratio that the walk did not meet. The ratio is the
+compared with all of their vectors; short lists lie together in parts, to each of which a
+query goes once, and a long list is split in parts that are searched apart. A pass over all centroids adds those within the ratio that the walk did not meet. The ratio is the
 least that reaches ``TARGET`` of the nearest neighbours, among all vectors, of ``TRIALS`` of the queries themselves:
 these may lie elsewhere than most vectors, and then need more lists than a vector of the sample does.
 
@@ -39,8 +39,8 @@ from kgloom.llm.common import stored
 
 #: Lists for the square root of the number of vectors; vectors of the sample for a list, about; members of a cluster of the sample, at most.
 PER_ROOT, FIT_EACH, FIT_CLUSTER = 3.3, 27, 40
-#: Vectors that one task fits, about; rows of a chunk of a list, about.
-FIT_ROWS, CHUNK = 20_000, 4096
+#: Vectors that one task fits, about; rows of a part, of lists or of a long list, about; queries whose rows are made at once.
+FIT_ROWS, CHUNK, ASKED = 20_000, 4096, 64
 DEGREE, WALK, REPLICAS, BOUNDARY = 24, 64, 4, 1.15
 TARGET, TRIALS = 0.95, 256
 
@@ -242,6 +242,19 @@ def fit(held: DataFrame, k: int = 10) -> Index:
     return build_index(np.array(sorted(r["v"] for r in found.collect())), first, k)
 
 
+def parts_of(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For lists of so many rows the first part that each is in, and in how many it is: short lists share a part of CHUNK rows at most, a longer one is cut in parts of its own."""
+    first, pieces, part, held = np.zeros(len(sizes), np.int64), -(-sizes // CHUNK), 0, 0
+    for i, n in enumerate(sizes.tolist()):
+        if held and held + n > CHUNK:
+            part, held = part + 1, 0
+        first[i] = part
+        held += n
+        if held > CHUNK:
+            part, held = part + int(pieces[i]), 0
+    return first, pieces
+
+
 def matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
@@ -284,37 +297,60 @@ def search(rows: DataFrame, every: int = 100, k: int = 10, vec_id: str = "vec_id
             nearest = np.concatenate([np.arange(len(x)) == 0 for x in lists])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lists), pa.int64()), *(batch.column(i).take(pa.array(at)) for i in range(3)), pa.array(nearest)], names=["list", "key", "v", "ids", "nearest"])
 
+    postings = stored(held.select("key", "v", "ids").mapInArrow(post, "list long, key string, v array<double>, ids array<long>, nearest boolean"), "postings")
+    # Numbers of each list, of which there are as many as centroids.
+    owned, sizes = np.zeros((2, len(index.value.centroids)), np.int64)
+    for r in postings.groupBy("list").agg(F.count_if("nearest").alias("owned"), F.count("*").alias("n")).collect():
+        owned[r["list"]], sizes[r["list"]] = r["owned"], r["n"]
+    first, pieces = parts_of(sizes)
+    shared = spark.sparkContext.broadcast((owned, first, pieces))
+
     def ask(batches):
+        owned, first, pieces = shared.value
         for batch in batches:
-            lists = [index.value.lists_for(x, owned.value, k + 1) for x in matrix(batch.column(1))]
-            at = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lists), pa.int64()), batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at))], names=["list", "query", "q"])
-
-    postings = stored(held.select("key", "v", "ids").mapInArrow(post, "list long, key string, v array<double>, ids array<long>, nearest boolean"), "postings")
-    # One number for each list, of which there are as many as centroids.
-    counts = np.zeros(len(index.value.centroids), np.int64)
-    for r in postings.where("nearest").groupBy("list").agg(F.count("*").alias("n")).collect():
-        counts[r["list"]] = r["n"]
-    owned = spark.sparkContext.broadcast(counts)
-    postings = postings.drop("nearest")
-    chunks = postings.groupBy("list").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
-    questions = query_keys.mapInArrow(ask, "list long, query string, q array<double>").join(chunks, "list").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
-    dealt = postings.join(chunks, "list").withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int")).drop("chunks")
+            # A query has a row for each part that it meets: few queries at once, whatever a batch has.
+            for start in range(0, batch.num_rows, ASKED):
+                some = batch.slice(start, ASKED)
+                parts, at, lists = [], [], []
+                for i, x in enumerate(matrix(some.column(1))):
+                    met: dict[int, list[int]] = {}
+                    for which in index.value.lists_for(x, owned, k + 1):
+                        for part in range(first[which], first[which] + pieces[which]):
+                            met.setdefault(part, []).append(which)
+                    parts += met
+                    at += [i] * len(met)
+                    lists += met.values()
+                yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), pa.array(lists, pa.list_(pa.int64())), *(some.column(i).take(pa.array(at, pa.int64())) for i in range(2))], names=["part", "lists", "query", "q"])
+
+    # A query is sent once to a part and not to each of its lists. Only the places of lists are broadcast: what is asked grows faster than the vectors.
+    questions = query_keys.mapInArrow(ask, "part long, lists array<long>, query string, q array<double>")
+    places = spark.createDataFrame([(i, int(first[i]), int(pieces[i])) for i in np.flatnonzero(sizes).tolist()], "list long, first long, pieces long")
+    dealt = postings.join(F.broadcast(places), "list").select((F.col("first") + F.pmod(F.xxhash64("key"), F.col("pieces"))).alias("part"), "list", "key", "v", "ids")
 
     def compare(members: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if members.empty or queries.empty:
             return pd.DataFrame(columns=["query", "key", "ids", "score"], dtype=object)
         x = np.array(members["v"].tolist())
         keys, ids = members["key"].tolist(), [list(i) for i in members["ids"]]
-        first = np.array([i[0] for i in ids])
+        least, lists = np.array([i[0] for i in ids]), members["list"].to_numpy()
+        # A vector is in REPLICAS lists at most, so that so many rows hold k + 1 vectors.
+        enough = REPLICAS * (k + 1)
         out = []
-        for query, q in zip(queries["query"], queries["q"], strict=True):
-            d = np.sqrt(((x - q) ** 2).sum(axis=1))
-            best = np.lexsort((first, d))[: k + 1]
-            out += [(query, keys[i], ids[i], float(d[i])) for i in best]
+        for query, q, asked_lists in zip(queries["query"], queries["q"], queries["lists"], strict=True):
+            rows = np.flatnonzero(np.isin(lists, asked_lists))
+            d = np.sqrt(((x[rows] - q) ** 2).sum(axis=1))
+            if len(d) > enough:
+                near = np.flatnonzero(d <= np.partition(d, enough - 1)[enough - 1])
+                rows, d = rows[near], d[near]
+            best: dict[str, tuple[int, float]] = {}
+            for j in np.lexsort((least[rows], d)).tolist():
+                if len(best) > k:
+                    break
+                best.setdefault(keys[rows[j]], (rows[j], float(d[j])))
+            out += [(query, key, ids[i], score) for key, (i, score) in best.items()]
         return pd.DataFrame(out, columns=["query", "key", "ids", "score"])
 
-    near = dealt.groupBy("list", "chunk").cogroup(questions.groupBy("list", "chunk")).applyInPandas(compare, "query string, key string, ids array<long>, score double")
+    near = dealt.groupBy("part").cogroup(questions.groupBy("part")).applyInPandas(compare, "query string, key string, ids array<long>, score double")
     # A vector met in several lists counts once; k + 1 entries hold the k nearest rows whichever row asks.
     once = near.groupBy("query", "key").agg(F.any_value("ids").alias("ids"), F.any_value("score").alias("score"))
     hits = once.select("query", "score", F.explode("ids").alias("vec_id"))

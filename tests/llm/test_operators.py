@@ -458,6 +458,30 @@ def test_neighbours(spark):
     assert ann.search(table.limit(0)).count() == 0
 
 
+def test_what_is_asked_is_not_broadcast(spark, monkeypatch):
+    """Lists of all sizes, in parts: a query has a row for each part it meets and not for each list, and none of them goes through the driver."""
+    first, pieces = ann.parts_of(np.array([3000, 1000, 96, 1, 0, 4097, 8193, 5]))
+    assert pieces.tolist() == [1, 1, 1, 1, 0, 2, 3, 1] and first.tolist() == [0, 0, 0, 1, 1, 2, 4, 7]
+    made = np.random.default_rng(31)
+    x = made.normal(size=(1500, 6))
+    table = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    found = {}
+    for chunk in (40, 4096):
+        monkeypatch.setattr(ann, "CHUNK", chunk)
+        made = ann.search(table)
+        plan = made._jdf.queryExecution().sparkPlan().toString().splitlines()
+        found[chunk] = sorted(tuple(r) for r in made.collect())
+        # Below a join that is broadcast on one side, the other side alone has Python.
+        depth = {i: len(line) - len(line.lstrip(" :+-")) for i, line in enumerate(plan)}
+        joins = [i for i, line in enumerate(plan) if "BroadcastHashJoin" in line]
+        for i in joins:
+            below = [j for j in range(i + 1, len(plan)) if all(depth[k] > depth[i] for k in range(i + 1, j + 1))]
+            sides = [j for j in below if depth[j] == min(depth[k] for k in below)]
+            side = below if len(sides) < 2 else [j for j in below if (j >= sides[1]) == ("BuildRight" in plan[i])]
+            assert not any("MapInArrow" in plan[j] or "FlatMapCoGroups" in plan[j] for j in side), plan[i]
+    assert found[40] == found[4096]
+
+
 def test_a_tight_group_smaller_than_k_gets_k_neighbours(spark):
     made = np.random.default_rng(8)
     tight = [made.normal(size=8) * 1e-3 + 50 * np.eye(8)[g % 8] * (1 + g // 8) for g in range(40) for _ in range(9)]
