@@ -53,6 +53,43 @@ def test_a_change_rewrites_only_what_it_touches(spark, tmp_path):
     assert emptied.manifest.where("p = 'new one'").count() == 0 and emptied.edges(p="new one").count() == 0
 
 
+def test_edges_are_made_once_and_odd_ids_come_back(spark, tmp_path):
+    """Where counts are given, edges are not made twice; ids that look like kinds with numbers, but are not, are kept as they are."""
+    ends = ["a:1", "a:-1", "a:01", "a:+1", "a: 1", "a:", "a", ":7", "", "a:b:3", "a:1\n", "x:9223372036854775807", "x:9223372036854775808", "é:0", "a:1e3"]
+    rows = sorted((s, "p", o, "k") for s in ends for o in ends)
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    edges = spark.createDataFrame(rows, EDGES).mapInArrow(counted, EDGES)
+    graph = store.write_graph(edges, str(tmp_path / "g"), rows=50, distinct=True, counts=spark.createDataFrame([("p", 200), ("p", 25)], "p string, n long"))
+    assert made.value == len(rows)
+    assert rows_of(graph.edges()) == rows and graph.manifest.where("side = 's' AND buckets = 5").count() > 1
+    assert rows_of(graph.stats()) == [("p", len(rows), len(ends), len(ends), len(ends))] and rows_of(graph.edges(s="a:01")) == [r for r in rows if r[0] == "a:01"]
+    delta = spark.createDataFrame([(*r, op, 1) for r in rows for op in (["delete"] if r[0] == "a:01" else ["upsert"] if r[2] == "a" else [])] + [("a", "p", "a", "l", "upsert", 1)], f"{EDGES}, op string, ts int")
+    assert rows_of(store.change(graph, delta, rows=50).edges()) == sorted([r for r in rows if r[0] != "a:01"] + [("a", "p", "a", "l")])
+
+
+def test_differences_of_domains(spark, tmp_path):
+    """Only domains that both sides have and that differ are summed; also where a predicate is dealt otherwise."""
+    rows, edges = some_edges(spark, 900)
+    first = store.write_graph(edges, str(tmp_path / "g"), rows=10**6)
+    fresh = [(f"a:{i}", "likes", f"b:{i % 9}", "m") for i in range(50)]
+    lost = [r for r in rows if r[1] == "is in" and r[3] == "k"]
+    some = [r for r in rows if r[1] == "x=1/y" and r[3] == "l"][:3]
+    delta = spark.createDataFrame([(*r, "upsert", 1) for r in fresh] + [(*r, "delete", 1) for r in lost + some], f"{EDGES}, op string, ts int")
+    second = store.change(first, delta)
+    want = sorted([(*r, "added") for r in fresh] + [(*r, "removed") for r in lost + some])
+    assert rows_of(store.diff(first, second)) == want
+    (work,) = (tmp_path / "g" / "work").glob("diff-*")
+    assert sorted((r["p"], r["domain"], r["both"]) for r in spark.read.parquet(str(work)).collect()) == [("is in", "k", False), ("likes", "m", False), ("x=1/y", "l", True)]
+    other = store.write_graph(second.edges(), str(tmp_path / "h"), rows=50)
+    assert rows_of(store.diff(first, other)) == want and rows_of(store.diff(second, other)) == []
+
+
 def test_bound_ends_read_one_folder(spark, tmp_path):
     rows, edges = some_edges(spark, 900)
     graph = store.write_graph(edges, str(tmp_path / "g"), rows=50)
