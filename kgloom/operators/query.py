@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kgloom.functions.text import kind_and_number
 from kgloom.session import cut
 
 
@@ -37,8 +38,8 @@ def entity_record(attrs: DataFrame, ids: DataFrame, preds: list[str] | None = No
     return mine.groupBy(F.col("s").alias("id")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("p", value.alias("v"))))).alias("record"))
 
 
-def _bindings(edges: DataFrame, pattern: tuple[str, str, str]) -> DataFrame:
-    """The variables of one pattern as columns."""
+def _bindings(edges: DataFrame, pattern: tuple[str, str, str], distinct: bool = False) -> DataFrame:
+    """The variables of one pattern as columns; edges that are ``distinct`` already, by ``s``, ``p`` and ``o``, are not compared once more."""
     s, p, o = pattern
     rows = edges.where(F.col("p") == p) if not p.startswith("?") else edges
     out: dict[str, Column] = {}
@@ -49,24 +50,33 @@ def _bindings(edges: DataFrame, pattern: tuple[str, str, str]) -> DataFrame:
             rows = rows.where(F.col(name) == out[term[1:]])
         else:
             out[term[1:]] = F.col(name)
-    return rows.select(*[c.alias(v) for v, c in out.items()]).distinct()
-
-
-def _sizes(bindings: list[DataFrame]) -> list[dict[str, int]]:
-    """For each pattern its rows, as ``*``, and about how many values each of its variables has; one job for all."""
-    counts = [b.agg(F.count("*").alias("*"), *[F.approx_count_distinct(c).alias(c) for c in b.columns]).select(F.lit(k).alias("nth"), F.to_json(F.struct("*")).alias("sizes")) for k, b in enumerate(bindings)]
+    made = rows.select(*[c.alias(v) for v, c in out.items()])
+    return made if distinct else made.distinct()
+
+
+def _sizes(bindings: list[DataFrame]) -> list[dict]:
+    """For each pattern its rows, as ``*``, about how many values each of its variables has, and as ``kind *`` the one kind whose numbered ids these all are; one job for all."""
+    counts = []
+    for k, b in enumerate(bindings):
+        facts = [F.count("*").alias("*")]
+        for c in b.columns:
+            kind, number = kind_and_number(c)
+            facts += [F.approx_count_distinct(c).alias(c), F.when((F.min(number) >= 0) & (F.min(kind) == F.max(kind)), F.min(kind)).alias(f"kind {c}")]
+        counts.append(b.agg(*facts).select(F.lit(k).alias("nth"), F.to_json(F.struct("*")).alias("sizes")))
     return [json.loads(r["sizes"]) for r in reduce(DataFrame.union, counts).orderBy("nth").collect()]
 
 
-def match_all(edges: DataFrame, patterns: list[tuple[str, str, str]]) -> DataFrame:
+def match_all(edges: DataFrame, patterns: list[tuple[str, str, str]], distinct: bool = False) -> DataFrame:
     """Bindings of a conjunction of patterns, each of which must share a variable with others.
 
     Variables are bound one after another, beginning with the pattern from which counts promise least. Where several
     patterns hold a new variable beside bound ones, as in a cycle, each row is extended by that of them in which it has
     fewest partners (counted exactly), and the others only confirm: a row with few orders looks at its orders though
-    another pattern has many for it. Patterns whose variables are all bound filter.
+    another pattern has many for it. Patterns whose variables are all bound filter. A variable whose values all are
+    numbered ids of one kind is joined by the numbers. Bindings are distinct, so that joins of them are; ``distinct``
+    says that edges are, by ``s``, ``p`` and ``o``.
     """
-    bindings = [_bindings(edges, p) for p in patterns]
+    bindings, kinds = [_bindings(edges, p, distinct) for p in patterns], {}
     if len(bindings) > 2:
         bindings = [cut(b) for b in bindings]  # read for sizes, degrees and joins
         sizes = _sizes(bindings)
@@ -77,6 +87,9 @@ def match_all(edges: DataFrame, patterns: list[tuple[str, str, str]]) -> DataFra
             return sizes[k]["*"] * min(means, default=1.0)
 
         start = min(range(len(bindings)), key=growth)
+        seen = {c: {x.get(f"kind {c}") for x, b in zip(sizes, bindings, strict=True) if c in b.columns} for b in bindings for c in b.columns}
+        kinds = {c: k for c, (k, *more) in seen.items() if k is not None and not more}
+        bindings = [b.select(*[kind_and_number(c)[1].alias(c) if c in kinds else c for c in b.columns]) for b in bindings]
     else:
         start = 0
     found, left = bindings[start], [b for k, b in enumerate(bindings) if k != start]
@@ -104,15 +117,19 @@ def match_all(edges: DataFrame, patterns: list[tuple[str, str, str]]) -> DataFra
         least = F.least(*[F.col(f"partners {k}") for k in range(len(several))])
         fewest = reduce(lambda rest, k: F.when(F.col(f"partners {k}") == least, k).otherwise(rest), range(len(several) - 1), F.lit(len(several) - 1))
         found = cut(found.select(*columns, fewest.alias("by")))
+        # Patterns that no row is extended by need not be read for it.
+        used = {r["by"] for r in found.select("by").distinct().collect()} or {0}
         parts = []
         for k, (b, on) in enumerate(zip(several, shared, strict=True)):
+            if k not in used:
+                continue
             part = found.where(F.col("by") == k).drop("by").join(b, on)
             for j, other in enumerate(several):
                 if j != k:
                     part = part.join(other, other.columns, "left_semi")
             parts.append(part.select(*columns, *fresh))
         found = reduce(DataFrame.union, parts)
-    return found.distinct()
+    return found.select(*[F.concat(F.lit(f"{kinds[c]}:"), F.col(c).cast("string")).alias(c) if c in kinds else c for c in found.columns])
 
 
 def match_optional(left: DataFrame, edges: DataFrame, pattern: tuple[str, str, str]) -> DataFrame:

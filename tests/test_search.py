@@ -179,6 +179,23 @@ def test_patterns_against_all_bindings(spark, patterns):
     assert rows_of(query.match_all(frame, patterns).select(*names)) == sorted({tuple(r[n] for n in names) for r in found})
 
 
+def test_patterns_join_numbers_of_ids_and_are_not_made_distinct_again(spark):
+    made = random.Random(4)
+    of = {"a": [f"a:{i}" for i in range(12)], "b": ["b:1", "b:01", "b", "b:-1", "c:1", "b:2"], "c": [f"x:y:{i}" for i in range(8)]}
+    held = {p: sorted({(made.choice(of[x]), made.choice(of[y])) for _ in range(50)}) for p, x, y in (("p", "a", "b"), ("q", "b", "c"), ("r", "a", "c"))}
+    rows = [(s, p, o) for p, pairs in held.items() for s, o in pairs]
+    want = sorted((a, b, c) for a, b in held["p"] for x, c in held["q"] if x == b and (a, c) in held["r"])
+    patterns = [("?a", "p", "?b"), ("?b", "q", "?c"), ("?a", "r", "?c")]
+    found = query.match_all(spark.createDataFrame(rows, "s string, p string, o string"), patterns, distinct=True).select("a", "b", "c")
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "Aggregate" not in plan and "concat(a:" in plan and "concat(b:" not in plan and "concat(x:" not in plan
+    assert rows_of(found) == want and len(want) > 20
+    twice = spark.createDataFrame([(s, p, o, d) for s, p, o in rows for d in "kl"], "s string, p string, o string, domain string")
+    assert rows_of(query.match_all(twice, patterns).select("a", "b", "c")) == want
+    lacking = spark.createDataFrame([r for r in rows if r[1] != "q"], "s string, p string, o string")
+    assert query.match_all(lacking, patterns, distinct=True).count() == 0
+
+
 def test_a_cycle_looks_at_the_smaller_side_of_each_row(spark):
     """A hub on either side: joined in any fixed order, half a million rows would be looked at."""
     n = 700
