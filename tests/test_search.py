@@ -236,6 +236,28 @@ def test_members_need_no_pairs_and_shingles_are_made_in_place(spark, monkeypatch
     assert {k: len(v) for k, v in held.items()} == {1: 36, 2: 36, 3: 32, 6: 20} and all(v == sorted(set(v)) for v in held.values())
 
 
+def test_only_shingles_that_several_sets_hold_are_kept(spark):
+    """Texts of 40 words of their own and ten that two share: whole sets are neither stored nor, where keys are unique, shuffled by key."""
+    from pathlib import Path
+
+    from kgloom.operators import finetune
+
+    texts = [" ".join([f"s{i // 2}x{j}" for j in range(10)] + [f"t{i}x{j}" for j in range(40 if i < 20 else 2)]) for i in range(40)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(100 + i, t) for i, t in enumerate(texts[:5])], "doc_id long, text string")
+    assert "Exchange" not in finetune.shingle_sets(docs)._jdf.queryExecution().executedPlan().toString()
+    shared = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(shared.iterdir())
+    pairs, members = finetune.similar_sets(docs, 0.5)
+    assert rows_of(pairs) == [(i, i + 1, 0.6) for i in range(20, 40, 2)] and sorted(map(tuple, members.where("doc_id <> representative").collect())) == [(100 + i, i) for i in range(5)]
+    kept = [spark.read.parquet(str(x)) for x in set(shared.iterdir()) - before]
+    arrays = [(x, c) for x in kept for c, kind in x.dtypes if kind.startswith("array")]
+    assert sum(x.selectExpr(f"sum(size({c}))").first()[0] for x, c in arrays) == 40 * 6
+    # Rows with one key are one set.
+    twice = spark.createDataFrame([(1, texts[20]), (1, texts[21]), (2, texts[20]), (3, None)], "doc_id long, text string")
+    assert {r["doc_id"]: len(r["shingles"]) for r in finetune.shingle_sets(twice).collect()} == {1: 10, 2: 8}
+    assert rows_of(finetune.near_duplicates(twice, 0.75)) == [(1, 2, 0.8)]
+
+
 @pytest.mark.parametrize("waiting", [1 << 20, 3])
 def test_members_of_lists_are_counted_without_a_row_for_each_pair(spark, monkeypatch, waiting):
     monkeypatch.setattr(query, "WAITING", waiting)
